@@ -9,6 +9,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; rows with crc32(doc_id) mod 3 = 1 are held out of learning."""
+    from canticle.llm import quality, toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    network = quality.fit(docs, labels, ~toxicity.held_out("_id", 3, 1))
+    out = quality.score(spark, docs, network)
+    return out.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canticle.llm.near_dedup import near_duplicates
 
@@ -21,6 +31,22 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents; rows with crc32(doc_id) mod 5 = 0 are held out of learning."""
+    from canticle.llm import toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    weights = toxicity.fit(docs, labels, ~toxicity.held_out("_id", 5, 0))
+    out = toxicity.score(spark, docs, weights)
+    return out.select("doc_id", toxicity.held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from canticle.llm.sharding import shard
+
+    return shard(spark, table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -60,8 +86,11 @@ FROM (SELECT o.*, s.source AS src FROM ordered o JOIN sizes s USING (row_id)) GR
 
 def queries() -> dict:
     return {
+        "op1_quality": op1_quality,
         "op5_near_dedup": op5_near_dedup,
         "op8_mixing": op8_mixing,
+        "op9_toxicity": op9_toxicity,
+        "op10_sharding": op10_sharding,
     }
 
 
