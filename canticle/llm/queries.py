@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canticle.shipping import ship
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -19,6 +21,24 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in documents: one row a pair."""
+    from canticle.llm.decontamination import leaks
+
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM documents),
+i AS (SELECT item_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM benchmark),
+ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE w[1] <> '')),
+iss AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE w[1] <> '')),
+n AS (SELECT item_id, count(*) AS n_shingles FROM iss GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
+FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
+"""
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canticle.llm.near_dedup import near_duplicates
 
@@ -87,6 +107,7 @@ FROM (SELECT o.*, s.source AS src FROM ordered o JOIN sizes s USING (row_id)) GR
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op3_decontamination": op3_decontamination,
         "op5_near_dedup": op5_near_dedup,
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
@@ -95,4 +116,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mixing": OP8_SQL}
+    return {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from canticle.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; one is set only where none is, as in tests."""
@@ -28,6 +30,7 @@ class Scratch:
     """Tables written to the shared folder: they cut lineage and outlive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/canticle/{name}-{uuid.uuid4().hex}"
         self.count = 0
