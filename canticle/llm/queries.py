@@ -21,6 +21,28 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each vector whose vec_id is divisible by 50."""
+    from pyspark.sql import functions as F
+
+    from canticle.llm.topk import top_k
+
+    return top_k(spark, table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+OP2_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items found in documents: one row a pair."""
     from canticle.llm.decontamination import leaks
@@ -107,6 +129,7 @@ FROM (SELECT o.*, s.source AS src FROM ordered o JOIN sizes s USING (row_id)) GR
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
+        "op2_topk": op2_topk,
         "op3_decontamination": op3_decontamination,
         "op5_near_dedup": op5_near_dedup,
         "op8_mixing": op8_mixing,
@@ -116,4 +139,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
