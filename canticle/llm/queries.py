@@ -67,6 +67,13 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every page; text models are counted over all documents."""
+    from canticle.llm.langid import identify
+
+    return identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canticle.llm.mixing import mix
 
@@ -132,6 +139,7 @@ def queries() -> dict:
         "op2_topk": op2_topk,
         "op3_decontamination": op3_decontamination,
         "op5_near_dedup": op5_near_dedup,
+        "op6_langid": op6_langid,
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
