@@ -8,10 +8,16 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_BYTES = "32m"
+
 
 def ship(spark: SparkSession) -> None:
-    """Adds the package's sources to the session's Python files, once per Spark context."""
+    """Adds the package's sources to the session's Python files, once per Spark context.
+
+    It also bounds the bytes of an Arrow batch, which rows of long texts would not be otherwise.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     if getattr(sc, "_canticle_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
