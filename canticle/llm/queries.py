@@ -61,6 +61,13 @@ FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVIN
 """
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What removing repeated 50-byte strings leaves of every document."""
+    from canticle.llm.substring_dedup import remove_repeats
+
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canticle.llm.near_dedup import near_duplicates
 
@@ -138,6 +145,7 @@ def queries() -> dict:
         "op1_quality": op1_quality,
         "op2_topk": op2_topk,
         "op3_decontamination": op3_decontamination,
+        "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op6_langid": op6_langid,
         "op8_mixing": op8_mixing,
