@@ -81,6 +81,13 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(spark, table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; the target is the documents labelled of quality 1."""
+    from canticle.llm.lm_scoring import score
+
+    return score(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from canticle.llm.mixing import mix
 
@@ -148,6 +155,7 @@ def queries() -> dict:
         "op4_substring_dedup": op4_substring_dedup,
         "op5_near_dedup": op5_near_dedup,
         "op6_langid": op6_langid,
+        "op7_lm_scoring": op7_lm_scoring,
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
