@@ -132,7 +132,7 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     scratch = Scratch(spark, "lm-scoring")
     target = labels.where(F.col(label).cast("int") == 1).select(F.col("doc_id").cast("long").alias("_id")).distinct().withColumn("_tag", F.lit(1))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.join(target, rows["doc_id"] == target["_id"], "left").select("doc_id", "text", F.coalesce("_tag", F.lit(0)).cast("tinyint").alias("tag"))
+    rows = rows.join(target.hint("merge"), rows["doc_id"] == target["_id"], "left").select("doc_id", "text", F.coalesce("_tag", F.lit(0)).cast("tinyint").alias("tag"))
     blocks = B.pack(scratch, rows, block_bytes)
     n = max(1, math.ceil((blocks.agg(F.sum("n_bytes")).first()[0] or 0) / BUCKET_BYTES))
     sent = blocks.mapInArrow(_ask(n), "bucket int, block long, keys binary, counts binary, inside binary")
