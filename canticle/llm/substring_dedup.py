@@ -66,6 +66,18 @@ def window_anchors(buf: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeats(data: np.ndarray, begin: np.ndarray, size: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """Whether each stretch of data equals the one before it; equal marks are compared byte by byte."""
+    same = np.zeros(len(mark), bool)
+    i = np.flatnonzero((mark[1:] == mark[:-1]) & (size[1:] == size[:-1]))
+    if len(i):
+        length = size[i]
+        into = np.arange(length.sum()) - np.repeat(before(length), length)
+        equal = data[np.repeat(begin[i], length) + into] == data[np.repeat(begin[i + 1], length) + into]
+        same[i[np.logical_and.reduceat(equal, before(length))] + 1] = True
+    return same
+
+
 class Windows:
     """The windows of a block's documents that have a doc_id, in runs of one anchor."""
 
@@ -136,17 +148,9 @@ class Segments:
         begin = before(size)
         mark = K.span_hashes(data, begin, begin + size)
         order = np.lexsort((block.ids[doc], mark, count, bucket))
-        start, count, doc, bucket, size, begin, mark = (x[order] for x in (start, count, doc, bucket, size, begin, mark))
-        same = np.zeros(len(start), bool)
-        if len(start) > 1:
-            alike = (mark[1:] == mark[:-1]) & (count[1:] == count[:-1]) & (bucket[1:] == bucket[:-1])
-            i = np.flatnonzero(alike)
-            # Equal hashes are compared byte by byte.
-            length = size[i]
-            into = np.arange(length.sum()) - np.repeat(before(length), length)
-            equal = data[np.repeat(begin[i], length) + into] == data[np.repeat(begin[i + 1], length) + into]
-            if len(i):
-                same[i[np.logical_and.reduceat(equal, before(length))] + 1] = True
+        start, count, doc, bucket = (x[order] for x in (start, count, doc, bucket))
+        same = repeats(data, begin[order], size[order], mark[order]) if len(order) else np.zeros(0, bool)
+        same[1:] &= bucket[1:] == bucket[:-1]
         self.head = np.cumsum(~same) - 1
         self.start, self.count, self.doc = start, count, doc
         heads = np.flatnonzero(~same)
@@ -233,14 +237,23 @@ def _sort(group: pa.Table) -> pa.Table:
     n = np.concatenate(counts)
     ends = np.cumsum(n + LENGTH - 1)
     starts = ends - (n + LENGTH - 1)
-    first = before(n)
-    p = np.repeat(starts - first, n) + np.arange(n.sum())
-    owner = np.repeat(low, n)
-    earlier = np.zeros(len(p), bool)
-    for order, heads in equal_windows(text, starts, ends, p, LENGTH):
-        ids = owner[order]
-        least = np.minimum.reduceat(ids, heads)
-        earlier[order] = ids > np.repeat(least, np.diff(np.append(heads, len(ids))))
+    # Segments that several blocks sent are sorted once, for the least of their documents.
+    mark = K.span_hashes(text, starts, ends)
+    order = np.lexsort((mark, n))
+    heads = np.flatnonzero(~repeats(text, starts[order], (ends - starts)[order], mark[order]))
+    alike = np.empty(len(n), np.int64)
+    alike[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(n))))
+    kept = order[heads]
+    least = np.minimum.reduceat(low[order], heads)
+    size, count = (ends - starts)[kept], n[kept]
+    text = text[np.repeat(starts[kept] - before(size), size) + np.arange(size.sum())]
+    starts, first = before(size), before(count)
+    p = np.repeat(starts - first, count) + np.arange(count.sum())
+    owner = np.repeat(least, count)
+    minimum = np.empty(len(p), np.int64)
+    for order, heads in equal_windows(text, starts, starts + size, p, LENGTH):
+        minimum[order] = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
+    earlier = minimum[np.repeat(first[alike] - before(n), n) + np.arange(n.sum())] < np.repeat(low, n)
     edges = np.concatenate([[0], np.cumsum([c.sum() for c in counts])])
     bits = [B.squeeze(np.packbits(earlier[edges[i] : edges[i + 1]])) for i in range(len(counts))]
     return pa.table({"block": group["block"], "bucket": group["bucket"], "bits": bits, "n": np.diff(edges)})
