@@ -1,7 +1,7 @@
 """Substring dedup: bytes covered by 50-byte strings that also start in an earlier document.
 
 Equal strings are brought together by content.  The anchor of a window of 50 bytes is the least hash
-among its 20-byte strings, so equal windows have equal anchors.
+among its 16-byte strings, so equal windows have equal anchors.
 
 1. Documents are packed into blocks; each block tells the distinct anchors of its windows.
 2. Anchors are dealt into buckets, which answer every block: occurs elsewhere, or not, or is hot.
@@ -31,7 +31,7 @@ from canticle.llm.storage import Scratch
 from canticle.llm.suffix_array import equal_windows
 
 U = K.U
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 #: Windows of a segment at most.
 CUT = 64
 #: Text bytes a bucket stands for; the number of buckets follows from the input.
@@ -83,19 +83,24 @@ class Windows:
 
     def __init__(self, block: B.Block, n_buckets: int):
         self.block, self.n_buckets = block, n_buckets
-        size = np.diff(block.off)
-        usable = np.where(block.known, np.maximum(size - LENGTH + 1, 0), 0)
         anchors = window_anchors(block.buf)
-        doc = np.repeat(np.arange(len(size)), usable)
-        place = np.repeat(block.off[:-1] - before(usable), usable) + np.arange(usable.sum())
-        a = anchors[place]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])
-        self.start = place[new]
-        at = np.flatnonzero(new)
-        self.count = np.diff(np.append(at, len(a)))
-        self.doc = doc[new]
-        key, self.which = np.unique(K.mix(a[new]), return_inverse=True)
+        n, off = len(anchors), block.off
+        # A window may start where a document with a doc_id has LENGTH bytes left.
+        edge = np.zeros(len(block.buf) + 1, np.int8)
+        use = block.known & (np.diff(off) >= LENGTH)
+        edge[off[:-1][use]] += 1
+        edge[off[1:][use] - LENGTH + 1] -= 1
+        usable = np.cumsum(edge[:n], dtype=np.int8) > 0
+        new = usable.copy()
+        new[1:] &= (anchors[1:] != anchors[:-1]) | ~usable[:-1]
+        begins = off[:-1][use]
+        new[begins[begins < n]] = True
+        last = usable.copy()
+        last[:-1] &= new[1:] | ~usable[1:]
+        self.start = np.flatnonzero(new)
+        self.count = np.flatnonzero(last) - self.start + 1
+        self.doc = np.searchsorted(off, self.start, "right") - 1
+        key, self.which = np.unique(K.mix(anchors[self.start]), return_inverse=True)
         order = np.lexsort((key, key % U(n_buckets)))
         self.key = key[order]
         back = np.empty(len(order), np.int64)

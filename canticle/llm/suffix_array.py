@@ -38,28 +38,47 @@ def eights(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_ranks(first: np.ndarray, ends: np.ndarray, depth: int) -> np.ndarray:
-    """Ranks of the cover's positions by their next `depth` bytes within their segment; -1 elsewhere.
+def dense(keys: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal keys alike."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out = np.empty(len(keys), U)
+    out[order] = np.cumsum(new)
+    return out
 
-    first: eights of the text; ends: the end of each position's segment.
-    """
-    n = len(ends)
+
+def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return (left << U(32)) | right
+
+
+class Prefixes:
+    """Ranks of the first 16 bytes of every position within its segment, by doubling from 8."""
+
+    def __init__(self, text: np.ndarray, ends: np.ndarray):
+        left = ends - np.arange(len(text))
+        short = np.minimum(left, 8).astype(U)
+        first = eights(text)[: len(text)] & (~U(0) << (U(8) * (U(8) - short)))
+        self.ends = ends
+        eight = dense(first)
+        self.rank = dense(joined(eight, self.behind(eight, np.arange(len(text)), 8)))
+
+    def behind(self, rank: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+        """Ranks `shift` bytes further on; 0, below all, where the segment has ended."""
+        there = at + shift
+        inside = there < self.ends[at]
+        return np.where(inside, rank[np.where(inside, there, 0)], U(0))
+
+
+def sample_ranks(prefix: Prefixes, depth: int) -> np.ndarray:
+    """Ranks of the cover's positions by their next `depth` (32 to 64) bytes; -1 elsewhere."""
+    n = len(prefix.ends)
     rank = np.full(n, -1, np.int64)
     at = np.flatnonzero(np.isin(np.arange(n) % PERIOD, COVER))
-    if not len(at):
-        return rank
-    left = ends[at] - at
-    columns = []
-    for c in range(0, depth, 8):
-        have = np.clip(left - c, 0, 8)
-        mask = np.where(have > 0, ~U(0) << (U(8) * (U(8) - np.maximum(have, 1).astype(U))), U(0))
-        columns.append(first[np.minimum(at + c, len(first) - 1)] & mask)
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(at), bool)
-    for c in columns:
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
-    rank[at[order]] = np.cumsum(new)
+    half = dense(joined(prefix.rank[at], prefix.behind(prefix.rank, at, 16)))
+    rest = dense(joined(prefix.behind(prefix.rank, at, 32), prefix.behind(prefix.rank, at, depth - 16)))
+    rank[at] = dense(joined(half, rest))
     return rank
 
 
@@ -94,34 +113,41 @@ def equal_windows(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, p: np.
 
     starts, ends: the segments of the text; each p has `depth` bytes left in its segment.
     """
-    first = eights(text)
-    end_of = np.repeat(ends, ends - starts)
-    rank = sample_ranks(first, end_of, depth)
-    lead = (first[p] >> U(48)).astype(np.uint16)
-    by_lead = np.argsort(lead, kind="stable")
-    edges = np.searchsorted(lead[by_lead], np.arange(1 << 16))
-    lo = 0
-    while lo < len(p):
-        # As many leading pairs as fit, one at least.
-        k = np.searchsorted(edges, lo + BUCKET, "right") - 1
-        hi = int(edges[k]) if edges[k] > lo else (int(edges[edges > lo].min()) if (edges > lo).any() else len(p))
-        if hi <= lo or (lo + BUCKET >= len(p)):
-            hi = len(p)
-        mine = by_lead[lo:hi]
+    if not len(p):
+        return
+    prefix = Prefixes(text, np.repeat(ends, ends - starts))
+    rank = sample_ranks(prefix, depth)
+    r = prefix.rank
+    # Buckets of suffixes by the rank of their leading bytes.
+    lead = r[p]
+    edges = bucket_edges(lead)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        mine = np.flatnonzero((lead >= low) & (lead < high)) if len(edges) > 2 else np.arange(len(p))
+        key = joined(lead[mine], r[p[mine] + 16])
+        order = np.argsort(key)
+        key = key[order]
+        new = np.zeros(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        mine = mine[order]
+        mine = mine[refined(p[mine], np.cumsum(new), rank)]
         q = p[mine]
-        keys = [first[q + c] for c in (0, 8, 16, 24)]
-        order = np.lexsort(keys[::-1])
-        new = np.zeros(len(q), bool)
-        for key in keys:
-            key = key[order]
-            new[1:] |= key[1:] != key[:-1]
-        order = order[refined(q[order], np.cumsum(new), rank)]
-        q = q[order]
         # Neighbours in suffix order: those with a common prefix of the whole depth are equal windows.
         differ = np.ones(len(q), bool)
         differ[1:] = False
-        for c in [*range(0, depth - 7, 8), depth - 8]:
-            x = first[q + c]
+        for c in (0, 16, depth - 16) if depth <= 48 else (0, 16, 32, depth - 16):
+            x = r[q + c]
             differ[1:] |= x[1:] != x[:-1]
-        yield mine[order], np.flatnonzero(differ)
-        lo = hi
+        yield mine, np.flatnonzero(differ)
+
+
+def bucket_edges(lead: np.ndarray) -> list[int]:
+    """Bounds of ranges of leading ranks, each with about BUCKET suffixes or one leading rank."""
+    top = int(lead.max()) + 1
+    if len(lead) <= BUCKET:
+        return [0, top]
+    running = np.cumsum(np.bincount(lead.astype(np.int64), minlength=top))
+    edges = [0]
+    while edges[-1] < top:
+        done = running[edges[-1] - 1] if edges[-1] else 0
+        edges.append(max(edges[-1] + 1, int(np.searchsorted(running, done + BUCKET, "right"))))
+    return edges
