@@ -16,7 +16,7 @@ from canticle.llm import kernels as K
 from canticle.llm.storage import Scratch
 
 #: Bytes of text in a block; a longer document has a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 3 << 20
 SCHEMA = "block long, n_bytes long, ids binary, known binary, sizes binary, tags binary, text binary"
 
 

@@ -35,7 +35,7 @@ LENGTH, GRAM = 50, 16
 #: Windows of a segment at most.
 CUT = 64
 #: Text bytes a bucket stands for; the number of buckets follows from the input.
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 #: Blocks that have an anchor before its windows are dealt one by one.
 HOT_BLOCKS = 64
 PIECE = 1 << 17
@@ -251,7 +251,10 @@ def _sort(group: pa.Table) -> pa.Table:
     kept = order[heads]
     least = np.minimum.reduceat(low[order], heads)
     size, count = (ends - starts)[kept], n[kept]
-    text = text[np.repeat(starts[kept] - before(size), size) + np.arange(size.sum())]
+    flat = np.repeat(starts[kept] - before(size), size)
+    flat += np.arange(len(flat))
+    text = text[flat]
+    del flat, mark, order
     starts, first = before(size), before(count)
     p = np.repeat(starts - first, count) + np.arange(count.sum())
     owner = np.repeat(least, count)

@@ -62,6 +62,7 @@ class Prefixes:
         first = eights(text)[: len(text)] & (~U(0) << (U(8) * (U(8) - short)))
         self.ends = ends
         eight = dense(first)
+        del first, left, short
         self.rank = dense(joined(eight, self.behind(eight, np.arange(len(text)), 8)))
 
     def behind(self, rank: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
