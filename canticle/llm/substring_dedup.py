@@ -37,7 +37,7 @@ CUT = 64
 #: Text bytes a bucket stands for; the number of buckets follows from the input.
 BUCKET_BYTES = 2 << 20
 #: Blocks that have an anchor before its windows are dealt one by one.
-HOT_BLOCKS = 64
+HOT_BLOCKS = 1024
 PIECE = 1 << 17
 NONE, REPEATED, HOT = 0, 1, 2
 
