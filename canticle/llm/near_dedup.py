@@ -18,6 +18,8 @@ WORDS, SIMILARITY = 5, 85
 SLOTS, BANDS, ROWS = 131, 26, 5
 #: Shingles worked on at once within a batch.
 BLOCK = 1 << 18
+#: Documents of a tile, and shingles of a membership matrix.
+TILE, COLUMNS = 384, 2048
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
@@ -107,6 +109,46 @@ def _overlap(similarity: int):
     return run
 
 
+def _square(similarity: int):
+    return lambda square: _linked(square, similarity)
+
+
+def _linked(square: pa.Table, similarity: int) -> pa.Table:
+    """Links between documents of different components in a tile pair, by exact overlaps.
+
+    Overlaps are counted with products of membership matrices, some thousand shingles at a time.
+    """
+    ids, part, own = (np.array(square[c]) for c in ("id", "part", "own"))
+    bags = [_unpack(x.as_py()) for x in square["bag"]]
+    across = square["a"][0].as_py() != square["b"][0].as_py()
+    size = np.array([len(x) for x in bags])
+    i, j = np.nonzero(np.triu(part[:, None] != part[None, :], 1))
+    if across:
+        i, j = (x[own[i] != own[j]] for x in (i, j))
+    near = 100 * np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j])
+    i, j = i[near], j[near]
+    if len(i) < 256:
+        shared = np.array([len(np.intersect1d(bags[x], bags[y], assume_unique=True)) for x, y in zip(i, j, strict=True)], np.int64)
+    else:
+        values, column, count = np.unique(np.concatenate(bags), return_inverse=True, return_counts=True)
+        row = np.repeat(np.arange(len(bags)), size)
+        common = count[column] > 1
+        rank = np.cumsum(count > 1) - 1
+        row, column = row[common], rank[column[common]]
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        shared = np.zeros(len(i), np.int64)
+        overlap = np.zeros((len(bags), len(bags)), np.float32)
+        edges = np.searchsorted(column, np.arange(0, int(column[-1]) + COLUMNS + 1 if len(column) else 1, COLUMNS))
+        for k in range(len(edges) - 1):
+            member = np.zeros((len(bags), COLUMNS), np.float32)
+            member[row[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]] - k * COLUMNS] = 1
+            overlap += member @ member.T
+        shared = overlap[i, j].astype(np.int64)
+    link = 100 * shared >= similarity * (size[i] + size[j] - shared)
+    return pa.table({"u": np.minimum(ids[i], ids[j])[link], "v": np.maximum(ids[i], ids[j])[link]})
+
+
 def _near_size(similarity: int, a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
@@ -122,7 +164,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
       nothing further.  Representatives meet in bands of SuperMinHash signatures.
     * In each band bucket three centres (the least id and two by hash) are compared with every
       member; only then, and only in buckets that still hold several components, are the remaining
-      pairs of different components compared.  Every pair that shares a bucket is thus either
+      pairs of different components compared, tile by tile, and only links leave a tile.  Every pair that shares a bucket is thus either
       compared on full sets or already connected.
     * Null, empty and blank texts have no shingles and stay alone.  Rows with a null doc_id stay
       alone with a null component_id and kept = true, unless equal sets give them a component.
@@ -154,16 +196,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
     parts = connected_components(links, scratch)
 
     # Buckets that still hold several components: compare what the centres have not connected.
+    # Buckets of the same members (a pair can share many bands) are compared once.
     named = shared.select("bucket", "id", "n").join(parts, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
     named = scratch.table(named, "named")
-    mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("bucket")
-    left = scratch.table(named.join(mixed, "bucket"), "mixed")
-    right = left.select("bucket", F.col("id").alias("other"), F.col("n").alias("m"), F.col("part").alias("part2"))
-    # A bucket of two components can be wide: order by part so that each pair comes once.
-    rest = left.join(right, (left.bucket == right.bucket) & (left.part < right.part2) & _near_size(similarity, "n", "m"))
-    rest = ordered(rest.select("id", "n", "other", "m")).join(first, ["u", "v"], "left_anti")
-    rest = scratch.table(rest, "pairs")
-    more = _verified(docs, rest, similarity)
+    mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members"), F.sum(F.xxhash64("id", F.lit(5)).cast("decimal(38,0)")).alias("mark"))
+    mixed = mixed.where("lo < hi").groupBy("members", "mark").agg(F.min("bucket").alias("bucket"))
+    # A large bucket is a square of tiles; a member goes to the tiles of its row and column.
+    tiles = F.ceil(F.col("members") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int")
+    left = named.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("own", own)
+    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    left = left.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "part")
+    bags = docs.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_pack, "id long, bag binary")
+    squares = left.join(bags, "id").groupBy("bucket", "a", "b")
+    more = squares.applyInArrow(_square(similarity), "u long, v long").distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
     parts = connected_components(joined, scratch)
 
