@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from canticle.plans import REGISTRY, SQL
+from canticle.plans import jobs, kernels, library, lyrics, signal, words  # noqa: F401  registers their queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(REGISTRY)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
