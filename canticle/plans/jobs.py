@@ -10,7 +10,7 @@ from canticle.plans.views import epoch, micros, table
 
 STATUS = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' ELSE 'running' END"
 RANK = "CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 2 WHEN 'error' THEN 2 ELSE 1 END"
-JOBS = f"jobs AS (SELECT user_id AS job, event_id, epoch_us(ts) AS us, CAST(floor(epoch(ts)) AS BIGINT) AS at, event_type, value, {STATUS} AS status, {RANK} AS rank FROM events)"
+JOBS = f"jobs AS (SELECT user_id AS job, event_id, epoch_us(ts) AS us, CAST(floor(epoch(ts)) AS BIGINT) AS secs, event_type, value, {STATUS} AS status, {RANK} AS rank FROM events)"
 
 
 def jobs(spark, sf):
@@ -69,7 +69,7 @@ def fail_waiting(spark, sf):
     return jobs(spark, sf).select("event_id", ((F.col("status") == "queued") & (before == 1)).alias("failed_too"))
 
 
-@query("spacing_violations", f"WITH {JOBS}, g AS (SELECT event_id, at - lag(at) OVER (PARTITION BY job ORDER BY us, event_id) AS gap FROM jobs) SELECT event_id, gap FROM g WHERE gap < 3600")
+@query("spacing_violations", f"WITH {JOBS}, g AS (SELECT event_id, secs - lag(secs) OVER (PARTITION BY job ORDER BY us, event_id) AS gap FROM jobs) SELECT event_id, gap FROM g WHERE gap < 3600")
 def spacing_violations(spark, sf):
     gap = F.col("at") - F.lag("at").over(Window.partitionBy("job").orderBy("us", "event_id"))
     return jobs(spark, sf).select("event_id", gap.alias("gap")).where("gap < 3600")
@@ -88,12 +88,12 @@ def limited(spark, sf, seconds: int, most: int):
     return jobs(spark, sf).select("event_id", (F.row_number().over(w) <= most).alias("accepted"))
 
 
-@query("rate_limit_minute", f"WITH {JOBS} SELECT event_id, row_number() OVER (PARTITION BY job, at // 60 ORDER BY us, event_id) <= 30 AS accepted FROM jobs")
+@query("rate_limit_minute", f"WITH {JOBS} SELECT event_id, row_number() OVER (PARTITION BY job, secs // 60 ORDER BY us, event_id) <= 30 AS accepted FROM jobs")
 def rate_limit_minute(spark, sf):
     return limited(spark, sf, 60, 30)
 
 
-@query("rate_limit_hour", f"WITH {JOBS} SELECT event_id, row_number() OVER (PARTITION BY job, at // 604800 ORDER BY us, event_id) <= 10 AS accepted FROM jobs")
+@query("rate_limit_hour", f"WITH {JOBS} SELECT event_id, row_number() OVER (PARTITION BY job, secs // 604800 ORDER BY us, event_id) <= 10 AS accepted FROM jobs")
 def rate_limit_hour(spark, sf):
     """The same with a week for the hour, as events here are hours apart."""
     return limited(spark, sf, 604800, 10)
@@ -127,7 +127,7 @@ def decode_frames(spark, sf):
     return table(spark, sf, "events").select("event_id", F.when(k.isNull(), "rejected").when(F.col("event_type") == "view", "ignored").otherwise("accepted").alias("outcome"), k.alias("k"))
 
 
-@query("pack_status", "SELECT p_brand AS pack, sum(p_size) AS total, coalesce(sum(p_size) FILTER (WHERE p_partkey % 3 = 0), 0) AS present, count(*) FILTER (WHERE p_partkey % 3 <> 0) AS missing FROM part GROUP BY p_brand")
+@query("pack_status", "SELECT p_brand AS pack, CAST(sum(p_size) AS BIGINT) AS total, CAST(coalesce(sum(p_size) FILTER (WHERE p_partkey % 3 = 0), 0) AS BIGINT) AS present, count(*) FILTER (WHERE p_partkey % 3 <> 0) AS missing FROM part GROUP BY p_brand")
 def pack_status(spark, sf):
     have = F.col("p_partkey") % 3 == 0
     return table(spark, sf, "part").groupBy(F.col("p_brand").alias("pack")).agg(F.sum("p_size").alias("total"), F.coalesce(F.sum(F.when(have, F.col("p_size"))), F.lit(0)).alias("present"), F.count_if(~have).alias("missing"))
