@@ -187,12 +187,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
     centres = centres.where("c0.id < most").select("bucket", F.array("c0", F.struct("c1.id", "c1.n"), F.struct("c2.id", "c2.n")).alias("centre"))
     shared = scratch.table(post.join(centres, "bucket"), "shared-buckets")
 
+    # Full sets of the documents that share a bucket, packed once for all comparisons.
+    ids = shared.select(F.col("id").alias("doc_id")).distinct()
+    bags = scratch.table(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_pack, "id long, bag binary"), "bags")
+
     def ordered(df: DataFrame) -> DataFrame:
         return df.where(_near_size(similarity, "n", "m")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
 
     spread = shared.select("id", "n", F.explode("centre").alias("c")).select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("m"))
     first = scratch.table(ordered(spread.where("id != other")), "pairs")
-    links = scratch.table(_verified(docs, first, similarity), "links")
+    links = scratch.table(_verified(bags, first, similarity), "links")
     parts = connected_components(links, scratch)
 
     # Buckets that still hold several components: compare what the centres have not connected.
@@ -207,7 +211,6 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
     left = named.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("own", own)
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "part")
-    bags = docs.join(left.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_pack, "id long, bag binary")
     squares = left.join(bags, "id").groupBy("bucket", "a", "b")
     more = squares.applyInArrow(_square(similarity), "u long, v long").distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
@@ -219,10 +222,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+def _verified(bags: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     """The pairs (u, v) whose full shingle sets are similar enough."""
-    ids = pairs.select(F.col("u").alias("doc_id")).unionByName(pairs.select(F.col("v").alias("doc_id"))).distinct()
-    bags = docs.join(ids, "doc_id", "left_semi").mapInArrow(_pack, "id long, bag binary")
     a = bags.select(F.col("id").alias("u"), F.col("bag").alias("bag_u"))
     b = bags.select(F.col("id").alias("v"), F.col("bag").alias("bag_v"))
     both = pairs.join(a, "u").join(b, "v").select("u", "v", "bag_u", "bag_v")
