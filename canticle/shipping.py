@@ -8,7 +8,7 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-BATCH_BYTES = "32m"
+BATCH_BYTES = "8m"
 
 
 def ship(spark: SparkSession) -> None:
