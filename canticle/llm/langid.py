@@ -25,6 +25,8 @@ MAX_LANGUAGES = 64
 #: Trigrams overlap, so a text's likelihood counts for less than its trigrams; at most EVIDENCE of them.
 TEMPER, EVIDENCE = 0.2, 400
 ADD, KAPPA = 0.5, 5.0
+#: Bytes worked on at once within a batch.
+PIECE = 1 << 20
 
 
 def trigrams(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -41,14 +43,22 @@ def trigrams(texts) -> tuple[np.ndarray, np.ndarray]:
     return cell[start + inner], np.repeat(np.arange(len(size)), size)
 
 
+def pieces(texts):
+    """A text column in slices of about PIECE bytes; a longer text is alone."""
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    _, off = K.buffer_of(texts)
+    for lo, hi in K.blocks(off, PIECE):
+        yield lo, hi, texts.slice(lo, hi - lo)
+
+
 def _count(batches):
     total: dict[str, np.ndarray] = {}
     for b in batches:
         names = np.array(b.column(0).to_pylist(), object)
         for name in set(names.tolist()):
-            cell, _ = trigrams(b.column(1).filter(pa.array(names == name)))
             total.setdefault(name, np.zeros(1 << BITS, np.int64))
-            total[name] += np.bincount(cell, minlength=1 << BITS)
+            for _, _, part in pieces(b.column(1).filter(pa.array(names == name))):
+                total[name] += np.bincount(trigrams(part)[0], minlength=1 << BITS)
     for name, counts in total.items():
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "cell", "n"])
@@ -99,10 +109,12 @@ def identify(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFram
 
     def likelihood(batches):
         for b in batches:
-            cell, row = trigrams(b.column("text"))
-            count = np.bincount(row, minlength=b.num_rows)
-            weight = TEMPER * np.minimum(1.0, EVIDENCE / np.maximum(count, 1))
-            scores = np.stack([np.bincount(row, shared.value[k][cell], minlength=b.num_rows) * weight for k in range(size)], axis=1) if size else np.zeros((b.num_rows, 0))
+            scores = np.zeros((b.num_rows, size))
+            for lo, hi, part in pieces(b.column("text")):
+                cell, row = trigrams(part)
+                weight = TEMPER * np.minimum(1.0, EVIDENCE / np.maximum(np.bincount(row, minlength=hi - lo), 1))
+                for k in range(size):
+                    scores[lo:hi, k] = np.bincount(row, shared.value[k][cell], minlength=hi - lo) * weight
             yield pa.record_batch([*(b.column(c) for c in ("page_id", "host", "domain", "suffix", "declared")), pa.array(scores.tolist(), pa.list_(pa.float64()))], ["page_id", "host", "domain", "suffix", "declared", "text_score"])
 
     host, domain, suffix = address(F.col("url"))

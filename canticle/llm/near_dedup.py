@@ -18,6 +18,8 @@ WORDS, SIMILARITY = 5, 85
 SLOTS, BANDS, ROWS = 131, 26, 5
 #: Shingles worked on at once within a batch.
 BLOCK = 1 << 18
+#: Bytes of text worked on at once within a batch.
+PIECE = 2 << 20
 #: Documents of a tile, and shingles of a membership matrix.
 TILE, COLUMNS = 384, 2048
 SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
@@ -62,8 +64,15 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
     return K.distinct(*K.ngrams(*K.words(texts), WORDS))
 
 
+def _parts(batch):
+    """A batch (doc_id, text) in slices of about PIECE bytes of text; a longer text is alone."""
+    _, off = K.buffer_of(batch.column(1))
+    for lo, hi in K.blocks(off, PIECE):
+        yield batch.slice(lo, hi - lo)
+
+
 def _sketch(batches):
-    for batch in batches:
+    for batch in (part for b in batches for part in _parts(b)):
         s, off = shingle_sets(batch.column(1))
         total = [np.concatenate([[K.U(0)], np.cumsum(K.mix(s ^ K.U(c)), dtype=K.U)]) for c in (0x5BD1E995, 0x1B873593)]
         k1, k2 = (t[off[1:]] - t[off[:-1]] for t in total)
@@ -82,7 +91,7 @@ def _sketch(batches):
 
 def _pack(batches):
     """The upper 40 bits of each shingle hash, ascending: what a pair needs for its exact overlap."""
-    for batch in batches:
+    for batch in (part for b in batches for part in _parts(b)):
         s, off = shingle_sets(batch.column(1))
         raw = np.ascontiguousarray((s >> K.U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
         yield pa.record_batch({"id": batch.column(0), "bag": pa.array([raw[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
