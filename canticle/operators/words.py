@@ -5,26 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SONG = Window.partitionBy("song_id").orderBy("word_idx")
-SO_FAR = SONG.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = SONG.rowsBetween(Window.unboundedPreceding, -1)
+
+
+def song():
+    """A song's words in order."""
+    return Window.partitionBy("song_id").orderBy("word_idx")
+
+
+def so_far():
+    return song().rowsBetween(Window.unboundedPreceding, 0)
+
+
+def before():
+    return song().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def numbered(new: Column) -> Column:
     """A running session number from flags of new sessions."""
-    return F.sum(F.when(new, 1).otherwise(0)).over(SO_FAR)
+    return F.sum(F.when(new, 1).otherwise(0)).over(so_far())
 
 
 def pace_sessions(words: DataFrame, gap: float) -> DataFrame:
     """Same line if the ids agree; where an id is missing, if the gap from the previous end is at most `gap`."""
-    w = words.withColumn("_l", F.lag("line").over(SONG)).withColumn("_e", F.lag("end").over(SONG))
+    w = words.withColumn("_l", F.lag("line").over(song())).withColumn("_e", F.lag("end").over(song()))
     same = F.when(F.col("line").isNotNull() & F.col("_l").isNotNull(), F.col("line") == F.col("_l")).otherwise(F.col("start") - F.col("_e") <= gap)
     return w.withColumn("session", numbered(F.col("_e").isNull() | ~same)).drop("_l", "_e")
 
 
 def export_sessions(words: DataFrame, gap: float) -> DataFrame:
     """A new line where the id changes, where linked words meet unlinked ones, or after a gap of `gap`."""
-    w = words.withColumn("_l", F.lag("line").over(SONG)).withColumn("_e", F.lag("end").over(SONG))
+    w = words.withColumn("_l", F.lag("line").over(song())).withColumn("_e", F.lag("end").over(song()))
     both = F.col("line").isNotNull() & F.col("_l").isNotNull()
     neither = F.col("line").isNull() & F.col("_l").isNull()
     new = F.when(both, F.col("line") != F.col("_l")).when(neither, F.col("start") - F.col("_e") >= gap).otherwise(F.lit(True))
@@ -33,7 +43,7 @@ def export_sessions(words: DataFrame, gap: float) -> DataFrame:
 
 def view_sessions(words: DataFrame) -> DataFrame:
     """Runs of one line id; a word without id is a group of its own."""
-    new = F.coalesce(F.col("line") != F.lag("line").over(SONG), F.lit(True))
+    new = F.coalesce(F.col("line") != F.lag("line").over(song()), F.lit(True))
     return words.withColumn("session", numbered(new))
 
 

@@ -46,29 +46,29 @@ def renumber(spark, sf):
 
 @query("gap_cues", f'WITH {WORDS}, g AS (SELECT *, coalesce(lag("end") {S}, 0) AS pe FROM words) SELECT song_id, word_idx, round(start - pe, 6) AS gap FROM g WHERE start - pe >= {GAP}')
 def gap_cues(spark, sf):
-    w = words(spark, sf).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(W.SONG), F.lit(0.0)))
+    w = words(spark, sf).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(W.song()), F.lit(0.0)))
     return w.where(F.col("gap") >= GAP).select("song_id", "word_idx", F.round("gap", 6).alias("gap"))
 
 
 @query("lead_in_kinds", f"""WITH {WORDS}, g AS (SELECT *, start - coalesce(lag("end") {S}, 0) AS gap FROM words) SELECT song_id, word_idx, CASE WHEN gap >= {GAP * 5} THEN 'pips' WHEN gap >= {GAP * 1.5} THEN 'bar' END AS kind FROM g""")
 def lead_in_kinds(spark, sf):
-    w = words(spark, sf).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(W.SONG), F.lit(0.0)))
+    w = words(spark, sf).withColumn("gap", F.col("start") - F.coalesce(F.lag("end").over(W.song()), F.lit(0.0)))
     return w.select("song_id", "word_idx", F.when(F.col("gap") >= GAP * 5, "pips").when(F.col("gap") >= GAP * 1.5, "bar").alias("kind"))
 
 
 @query("running_max_end", f'WITH {WORDS} SELECT song_id, word_idx, round(max("end") OVER (PARTITION BY song_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS busy_until FROM words')
 def running_max_end(spark, sf):
-    return words(spark, sf).select("song_id", "word_idx", F.round(F.max("end").over(W.BEFORE), 6).alias("busy_until"))
+    return words(spark, sf).select("song_id", "word_idx", F.round(F.max("end").over(W.before()), 6).alias("busy_until"))
 
 
 @query("clip_next", f'WITH {WORDS} SELECT song_id, word_idx, round(least("end", coalesce(lead(start) {S}, "end")), 6) AS clipped FROM words')
 def clip_next(spark, sf):
-    return words(spark, sf).select("song_id", "word_idx", F.round(F.least("end", F.coalesce(F.lead("start").over(W.SONG), F.col("end"))), 6).alias("clipped"))
+    return words(spark, sf).select("song_id", "word_idx", F.round(F.least("end", F.coalesce(F.lead("start").over(W.song()), F.col("end"))), 6).alias("clipped"))
 
 
 @query("monotonic_onsets", f"WITH {WORDS} SELECT song_id, word_idx, round(max(start - confidence * 40000) {RUN}, 6) AS onset FROM words")
 def monotonic_onsets(spark, sf):
-    return words(spark, sf).select("song_id", "word_idx", F.round(F.max(F.col("start") - F.col("confidence") * 40000).over(W.SO_FAR), 6).alias("onset"))
+    return words(spark, sf).select("song_id", "word_idx", F.round(F.max(F.col("start") - F.col("confidence") * 40000).over(W.so_far()), 6).alias("onset"))
 
 
 @query("islands_unsung", f'WITH {WORDS}, r AS (SELECT *, word_idx - row_number() OVER (PARTITION BY song_id, unsung ORDER BY word_idx) AS run FROM words) SELECT song_id, min(word_idx) AS first, max(word_idx) AS last, min(start) AS start, max("end") AS "end" FROM r WHERE unsung GROUP BY song_id, run')
@@ -79,7 +79,7 @@ def islands_unsung(spark, sf):
 @query("timing_validate", f'WITH {WORDS}, v AS (SELECT *, lag(start) {S} AS ps, last_value(line IGNORE NULLS) OVER (PARTITION BY song_id ORDER BY word_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pline FROM words) SELECT song_id, word_idx, "end" < start AS reversed, coalesce(start < ps, FALSE) AS unordered, coalesce(line < pline, FALSE) AS backward FROM v')
 def timing_validate(spark, sf):
     w = words(spark, sf)
-    return w.select("song_id", "word_idx", (F.col("end") < F.col("start")).alias("reversed"), F.coalesce(F.col("start") < F.lag("start").over(W.SONG), F.lit(False)).alias("unordered"), F.coalesce(F.col("line") < F.last("line", ignorenulls=True).over(W.BEFORE), F.lit(False)).alias("backward"))
+    return w.select("song_id", "word_idx", (F.col("end") < F.col("start")).alias("reversed"), F.coalesce(F.col("start") < F.lag("start").over(W.song()), F.lit(False)).alias("unordered"), F.coalesce(F.col("line") < F.last("line", ignorenulls=True).over(W.before()), F.lit(False)).alias("backward"))
 
 
 PROBES = "probes AS (SELECT song_id, event_id AS probe, start + 1800 AS t FROM words WHERE word_idx % 5 = 0)"
@@ -114,7 +114,7 @@ def accuracy_rollup(spark, sf):
 
 @query("gap_stalls", f"WITH {WORDS}, g AS (SELECT song_id, start - lag(start) {S} AS gap FROM words) SELECT song_id, count(gap) AS gaps, count(*) FILTER (WHERE gap > 2 * 26400 AND gap - 26400 >= 1) AS stalls, round(max(gap), 6) AS worst FROM g GROUP BY song_id")
 def gap_stalls(spark, sf):
-    g = words(spark, sf).withColumn("gap", F.col("start") - F.lag("start").over(W.SONG))
+    g = words(spark, sf).withColumn("gap", F.col("start") - F.lag("start").over(W.song()))
     return g.groupBy("song_id").agg(F.count("gap").alias("gaps"), F.count_if((F.col("gap") > 2 * 26400) & (F.col("gap") - 26400 >= 1)).alias("stalls"), F.round(F.max("gap"), 6).alias("worst"))
 
 
@@ -132,7 +132,7 @@ def usage_by_key(spark, sf):
 
 @query("piecewise_integral", f"WITH {WORDS}, s AS (SELECT *, lead(start) {S} - start AS span FROM words) SELECT song_id, round(sum(span * confidence), 3) AS total FROM s GROUP BY song_id")
 def piecewise_integral(spark, sf):
-    s = words(spark, sf).withColumn("span", F.lead("start").over(W.SONG) - F.col("start"))
+    s = words(spark, sf).withColumn("span", F.lead("start").over(W.song()) - F.col("start"))
     return s.groupBy("song_id").agg(F.round(F.sum(F.col("span") * F.col("confidence")), 3).alias("total"))
 
 
@@ -159,7 +159,7 @@ def lines_to_text(spark, sf):
 SELECT song_id, word_idx, CAST(seg AS BIGINT) AS segment, CAST((row_number() OVER (PARTITION BY song_id, seg ORDER BY word_idx) - 1) // 3 AS BIGINT) AS page FROM g""")
 def pages(spark, sf):
     """At most three lines a page, and a new one behind each wait."""
-    w = words(spark, sf).withColumn("wait", F.coalesce(F.col("start") - F.lag("end").over(W.SONG) >= GAP * 5, F.lit(False)))
+    w = words(spark, sf).withColumn("wait", F.coalesce(F.col("start") - F.lag("end").over(W.song()) >= GAP * 5, F.lit(False)))
     w = w.withColumn("segment", W.numbered(F.col("wait")))
     place = F.row_number().over(Window.partitionBy("song_id", "segment").orderBy("word_idx"))
     return w.select("song_id", "word_idx", "segment", F.floor((place - 1) / 3).alias("page"))
