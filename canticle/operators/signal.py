@@ -28,16 +28,25 @@ def soft_limit(v: Column, knee: float = 0.8) -> Column:
     return F.when(a <= knee, v).otherwise(F.signum(v) * (knee + room * F.tanh((a - knee) / room)))
 
 
+def with_value(value: Column, f) -> Column:
+    """f(value) with the value worked out once a row; a lambda would work it out for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def log_softmax(x: Column) -> Column:
-    top = F.array_max(x)
-    norm = F.log(total(F.transform(x, lambda v: F.exp(v - top))))
-    return F.transform(x, lambda v: v - top - norm)
+    def shifted(top):
+        norm = F.log(total(F.transform(x, lambda v: F.exp(v - top))))
+        return with_value(norm, lambda n: F.transform(x, lambda v: v - top - n))
+
+    return with_value(F.array_max(x), shifted)
 
 
 def zscore(x: Column) -> Column:
-    mean = total(x) / F.size(x)
-    var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
-    return F.transform(x, lambda v: (v - mean) / F.sqrt(var + 1e-7))
+    def scaled(mean):
+        var = total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x)
+        return with_value(F.sqrt(var + 1e-7), lambda sd: F.transform(x, lambda v: (v - mean) / sd))
+
+    return with_value(total(x) / F.size(x), scaled)
 
 
 def longest_run(x: Column, below: float) -> Column:
