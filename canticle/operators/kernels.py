@@ -12,6 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 GAP, MISMATCH, PLAUSIBLE = 1.0, 1.5, 0.5
+#: Bytes of decisions that a dynamic program holds at once.
+HELD = 1 << 26
+#: Letters of words that are compared as arrays; longer ones are compared one by one.
+SHORT = 32
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -31,22 +35,107 @@ def cost(a: str, b: str) -> float:
     return ratio if ratio <= PLAUSIBLE else MISMATCH
 
 
+def backwards(state, steps: int, step, width: int):
+    """The last state of a recurrence, and an iterator over the decisions of its steps, the last step first.
+
+    step(state, k) gives the next state and decisions of about `width` bytes.  Where all decisions would
+    take over HELD bytes, about sqrt(steps) states are kept and the steps between them worked out again.
+    """
+    size = steps if steps * width <= HELD else math.isqrt(steps) + 1
+    kept, rows = [], []
+    for k in range(steps):
+        if k % size == 0:
+            kept.append(state)
+            rows = []
+        state, decisions = step(state, k)
+        if k >= (steps - 1) // size * size:
+            rows.append(decisions)
+
+    def back():
+        yield from reversed(rows)
+        for block in range(len(kept) - 2, -1, -1):
+            s, again = kept[block], []
+            for k in range(block * size, (block + 1) * size):
+                s, decisions = step(s, k)
+                again.append(decisions)
+            yield from reversed(again)
+
+    return state, back()
+
+
+def short_distances(a: list[str], b: list[str]) -> np.ndarray:
+    """Edit distances of all words of a to all of b, each of 1 to SHORT letters."""
+    x, y = (np.array(w).view(np.uint32).reshape(len(w), -1) for w in (a, b))
+    size, ends = np.array([len(w) for w in a]), np.array([len(w) for w in b])
+    place = np.arange(y.shape[1] + 1, dtype=np.int8)[:, None, None]
+    row = np.broadcast_to(place, (len(place), len(a), len(b)))
+    out = np.zeros((len(a), len(b)), np.int8)
+    for i in range(1, x.shape[1] + 1):
+        new = row + np.int8(1)
+        new[1:] = np.minimum(new[1:], row[:-1] + (x[None, :, i - 1, None] != y.T[:, None, :]))
+        row = np.minimum.accumulate(new - place, axis=0) + place
+        done = np.flatnonzero(size == i)
+        out[done] = row[ends[None, :], done[:, None], np.arange(len(b))[None, :]]
+    return out
+
+
+def costs(hyp: list[str], ref: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The cost of each pair of distinct words, and the place of each word of hyp and ref in it."""
+    at, to = ({w: k for k, w in enumerate(dict.fromkeys(x))} for x in (hyp, ref))
+    c = np.full((len(at), len(to)), MISMATCH)
+    a, b = ([w for w in x if 0 < len(w) <= SHORT] for x in (at, to))
+    rows, columns = (np.array([x[w] for w in words], int) for x, words in ((at, a), (to, b)))
+    some = max(1, HELD // (16 * SHORT * max(1, len(b))))
+    for k in range(0, len(a) if b else 0, some):
+        ratio = short_distances(a[k : k + some], b) / np.maximum.outer([len(w) for w in a[k : k + some]], [len(w) for w in b])
+        c[np.ix_(rows[k : k + some], columns)] = np.where(ratio <= PLAUSIBLE, ratio, MISMATCH)
+    for x, i in at.items():
+        for y, j in to.items() if len(x) > SHORT else ():
+            c[i, j] = cost(x, y) if 2 * len(y) >= len(x) >= len(y) / 2 else MISMATCH
+    for y, j in to.items():
+        for x, i in at.items() if len(y) > SHORT else ():
+            c[i, j] = cost(x, y) if len(x) <= SHORT and 2 * len(x) >= len(y) else c[i, j]
+    return c, np.array([at[x] for x in hyp], int), np.array([to[y] for y in ref], int)
+
+
 def align(hyp: list[str], ref: list[str]) -> list[tuple[int, int]]:
-    """Pairs matched by the cheapest global alignment; ties prefer the diagonal, then skipping hyp, then ref."""
+    """Pairs matched by the cheapest global alignment; ties prefer the diagonal, then skipping hyp, then ref.
+
+    Worked out by anti-diagonals i + j = k, as arrays over i.
+    """
     n, m = len(hyp), len(ref)
-    c = np.array([[cost(x, y) for y in ref] for x in hyp]).reshape(n, m)
-    d = np.zeros((n + 1, m + 1))
-    d[:, 0], d[0, :] = np.arange(n + 1) * GAP, np.arange(m + 1) * GAP
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            d[i, j] = min(d[i - 1, j - 1] + c[i - 1, j - 1], d[i - 1, j] + GAP, d[i, j - 1] + GAP)
+    if not n or not m:
+        return []
+    c, at, to = costs(hyp, ref)
+
+    def step(state, s):
+        k = s + 1
+        before, last = state
+        d = np.empty(n + 1)
+        if k <= m:
+            d[0] = k * GAP
+        if k <= n:
+            d[k] = k * GAP
+        lo, hi = max(1, k - m), min(n, k - 1) + 1
+        i = np.arange(lo, hi)
+        diagonal, up, left = before[lo - 1 : hi - 1] + c[at[i - 1], to[k - i - 1]], last[lo - 1 : hi - 1] + GAP, last[lo:hi] + GAP
+        best = np.minimum(np.minimum(diagonal, up), left)
+        d[lo:hi] = best
+        return (last, d), np.where(best == diagonal, 0, np.where(best == up, 1, 2)).astype(np.int8)
+
+    _, moves = backwards((np.zeros(n + 1), np.zeros(n + 1)), n + m, step, min(n, m))
     out, i, j = [], n, m
-    while i and j:
-        if d[i, j] == d[i - 1, j - 1] + c[i - 1, j - 1]:
+    for k, move in zip(range(n + m, 0, -1), moves):
+        if not i or not j:
+            break
+        if i + j < k:
+            continue
+        go = move[i - max(1, k - m)]
+        if go == 0:
             i, j = i - 1, j - 1
-            if c[i, j] <= PLAUSIBLE:
+            if c[at[i], to[j]] <= PLAUSIBLE:
                 out.append((i, j))
-        elif d[i, j] == d[i - 1, j] + GAP:
+        elif go == 1:
             i -= 1
         else:
             j -= 1
@@ -79,19 +168,21 @@ def ctc_path(emission: np.ndarray, target: list[int], blank: int = 0) -> list[in
     skip = np.array([k > 1 and states[k] != blank and states[k] != states[k - 2] for k in range(s)])
     score = np.full(s, -np.inf)
     score[:2] = emission[0, states[0]], emission[0, states[1]]
-    back = np.zeros((t, s), np.int8)
-    for f in range(1, t):
+
+    def step(score, k):
         one = np.concatenate([[-np.inf], score[:-1]])
         two = np.where(skip, np.concatenate([[-np.inf, -np.inf], score[:-2]])[:s], -np.inf)
         best, move = score.copy(), np.zeros(s, np.int8)
-        for k, option in ((1, one), (2, two)):
+        for by, option in ((1, one), (2, two)):
             better = option > best
-            best[better], move[better] = option[better], k
-        score, back[f] = best + emission[f, states], move
+            best[better], move[better] = option[better], by
+        return best + emission[k + 1, states], move
+
+    score, moves = backwards(score, t - 1, step, s)
     at = s - 2 if score[s - 2] > score[s - 1] else s - 1
     path = [at]
-    for f in range(t - 1, 0, -1):
-        at -= back[f, at]
+    for move in moves:
+        at -= int(move[at])
         path.append(at)
     return path[::-1]
 
@@ -178,18 +269,23 @@ def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[fl
     """Times of typed words: equal words keep theirs (a longest common subsequence), equal runs go one to
     one, other runs share their span, 80 per cent of each share voiced; onsets never go back."""
     n, m = len(old), len(new)
-    lcs = np.zeros((n + 1, m + 1), int)
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            lcs[i, j] = lcs[i + 1, j + 1] + 1 if old[i][0] == new[j] else max(lcs[i + 1, j], lcs[i, j + 1])
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        if old[i][0] == new[j]:
+    code: dict[str, int] = {}
+    was, now = (np.array([code.setdefault(x, len(code)) for x in words], int) for words in ((w[0] for w in old), new))
+
+    def step(below, k):
+        """Lengths from old word n - 1 - k on, by new word, and where leaving that old word out is as good."""
+        row = np.where(now == was[n - 1 - k], below[1:] + 1, below[:-1])
+        row = np.append(np.maximum.accumulate(row[::-1])[::-1], 0)
+        return row, np.packbits(below[:-1] >= row[1:])
+
+    _, rows = backwards(np.zeros(m + 1, np.int32), n, step, m // 8 + 1)
+    pairs, j = [], 0
+    for i, packed in enumerate(rows):
+        leave = np.unpackbits(packed, count=m)
+        while j < m and was[i] != now[j] and not leave[j]:
+            j += 1
+        if j < m and was[i] == now[j]:
             pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif lcs[i + 1, j] >= lcs[i, j + 1]:
-            i += 1
-        else:
             j += 1
     out: list[tuple[float, float]] = [(0.0, 0.0)] * m
     a = b = 0

@@ -15,21 +15,22 @@ from canticle.shipping import ship
 
 @query("align_grade")
 def align_grade(spark, sf):
-    """Each turn of a conversation against the next, word by word."""
+    """Each turn of a conversation against the next, word by word; a null text has no words."""
     ship(spark)
-    c = table(spark, sf, "conversations").withColumn("w", F.transform(F.split("text", r"\s+"), normalize_word))
+    c = table(spark, sf, "conversations").withColumn("w", F.coalesce(F.transform(F.split("text", r"\s+"), normalize_word), F.array().cast("array<string>")))
     nxt = F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))
-    pairs = c.withColumn("ref", nxt).where("ref IS NOT NULL AND size(w) <= 120 AND size(ref) <= 120")
+    pairs = c.withColumn("ref", nxt).where("ref IS NOT NULL")
     return K.align_grade(pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("w").alias("hyp"), "ref"))
 
 
 @query("ctc_align")
 def ctc_align(spark, sf):
-    """Frames are a label's first vectors; the target is every fourth component's place."""
+    """Frames are a label's vectors; the target has a token for every four of them, every fourth component's place in turn."""
     ship(spark)
-    e = table(spark, sf, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where("n <= 40")
+    e = table(spark, sf, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
     rows = e.groupBy(F.col("label").cast("long").alias("song")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda x: x["embedding"]).alias("emission"))
-    return K.ctc_align(rows.withColumn("target", F.sequence(F.lit(1), F.lit(40), F.lit(4))))
+    places = F.size(F.get("emission", F.lit(0))) - 1
+    return K.ctc_align(rows.withColumn("target", F.transform(F.sequence(F.lit(0), F.ceil(F.size("emission") / 4).cast("int") - 1), lambda k: 4 * k % places + 1)))
 
 
 @query("line_breaks")
@@ -50,7 +51,7 @@ def reflow_lines(spark, sf):
 def lcs_retime(spark, sf):
     """Every song retyped without its errors and with a word put in front."""
     ship(spark)
-    w = words(spark, sf).where("word_idx < 200")
+    w = words(spark, sf)
     old = F.array_sort(F.collect_list(F.struct("word_idx", F.col("event_type").alias("word"), "start", "end")))
     s = w.groupBy("song_id").agg(F.transform(old, lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("old"))
     kept = F.filter(F.transform("old", lambda x: x["word"]), lambda x: x != "error")
