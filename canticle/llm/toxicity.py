@@ -72,7 +72,7 @@ class Ftrl:
 
 
 def _learn(batch: pa.Table) -> pa.Table:
-    """One learner over its rows, in the order of a hash: its non-zero weights."""
+    """One learner over its rows, in the order of a hash: its non-zero weights and the bias."""
     order = np.argsort(np.array(batch["place"]), kind="stable")
     batch = batch.take(pa.array(order))
     index, row = distinct(*features(batch["text"]))
@@ -83,7 +83,7 @@ def _learn(batch: pa.Table) -> pa.Table:
         for r, label in enumerate(labels):
             model.learn(np.append(index[ends[r] : ends[r + 1]], BIAS), label)
     w = model.weights(np.arange(BIAS + 1))
-    at = np.flatnonzero(w)
+    at = np.append(np.flatnonzero(w[:BIAS]), BIAS)
     return pa.table({"feature": at, "weight": w[at]})
 
 
@@ -110,8 +110,14 @@ def held_out(column: str, modulus: int, remainder: int) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, most: int = MAX_LABELLED) -> np.ndarray:
     """Weights of the hashed features (BIAS last), learned from labels (doc_id, toxic).
 
-    With no labelled row all weights are 0, so every score is 0.5.
+    With no labelled row (no labels, null ones only, or none of a doc_id in docs) all weights are 0, so
+    every score is 0.5; fit_known tells.
     """
+    return fit_known(docs, labels, use, most)[0]
+
+
+def fit_known(docs: DataFrame, labels: DataFrame, use: Column | None = None, most: int = MAX_LABELLED) -> tuple[np.ndarray, bool]:
+    """The weights of fit, and whether any labelled row was found in docs."""
     rows, n = labelled_sample(docs, labels, "toxic", F.lit(True) if use is None else use, most)
     learners = max(1, math.ceil(n / ROWS_PER_LEARNER))
     rows = rows.withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(learners)))
@@ -121,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, use: Column | None = None, most: int
     found = mean.toPandas()  # at most BIAS + 1 rows
     weights = np.zeros(BIAS + 1, np.float32)
     weights[found["feature"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float32)
-    return weights
+    return weights, len(found) > 0
 
 
 def scores(texts, weights: np.ndarray) -> np.ndarray:
@@ -156,8 +162,14 @@ def score(spark: SparkSession, docs: DataFrame, weights: np.ndarray) -> DataFram
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, labels: DataFrame, use: Column | None = None, threshold: float = 0.5) -> DataFrame:
-    """docs without the rows that score threshold or more; columns as they were."""
-    shared = spark.sparkContext.broadcast(fit(docs, labels, use))
+    """docs without the rows that score threshold or more; columns as they were.
+
+    All rows are kept where no labelled row was found in docs: nothing is known to be toxic then.
+    """
+    weights, known = fit_known(docs, labels, use)
+    if not known:
+        return docs
+    shared = spark.sparkContext.broadcast(weights)
     place = docs.columns.index("text")
 
     def run(batches):

@@ -225,3 +225,12 @@ def test_pipeline_stages(spark):
                 assert {r["doc_id"] for r in out.collect()} == {i for i, (_, c) in want.items() if c == i}
         docs = out.persist()
     assert docs.count() > 0
+
+
+def test_keep_clean_keeps_all_where_nothing_was_learned(spark):
+    docs, kind = frame(spark, odd_documents()), "doc_id long, quality int, toxic int"
+    for rows in ([], [(0, 1, None), (3, 0, None)], [(-1, 1, 0), (-2, 0, 1)]):
+        assert toxicity.keep_clean(spark, docs, spark.createDataFrame(rows, kind)).count() == docs.count()
+    toxic = toxicity.keep_clean(spark, docs, spark.createDataFrame([(0, 0, 1)], kind))
+    clean = toxicity.keep_clean(spark, docs, spark.createDataFrame([(0, 1, 0)], kind))
+    assert toxic.count() == 0 and clean.count() == docs.count()
