@@ -240,6 +240,19 @@ def _verified(bags: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """docs without the documents whose component keeps another; columns as they were."""
-    gone = near_duplicates(spark, docs, similarity).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """One row of docs of each component; columns as they were.
+
+    Each row is a document of its own here, whatever its doc_id: rows that repeat a doc_id, rows with
+    a null one and a doc_id's different texts are judged by their texts.  A component keeps the row of
+    least doc_id, a null one last, then of least text hash.  Texts without shingles all stay.
+    """
+    scratch = Scratch(spark, "near-dedup-rows")
+    # Written once, so that a row's number is the same in every later read.
+    keyed = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), similarity).where("n_shingles > 0")
+    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    named = keyed.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
+    order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_row")
+    kept = found.join(named, "_row").groupBy("_part").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    gone = scratch.table(found.join(kept, "_row", "left_anti").select("_row"), "gone")
+    return keyed.join(gone, "_row", "left_anti").select(docs.columns)

@@ -234,3 +234,12 @@ def test_keep_clean_keeps_all_where_nothing_was_learned(spark):
     toxic = toxicity.keep_clean(spark, docs, spark.createDataFrame([(0, 0, 1)], kind))
     clean = toxicity.keep_clean(spark, docs, spark.createDataFrame([(0, 1, 0)], kind))
     assert toxic.count() == 0 and clean.count() == docs.count()
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    texts = [(5, a), (5, a), (5, b), (3, a + " more"), (None, a), (None, c), (None, c), (9, b), (8, None), (None, ""), (8, None)]
+    rows = [(i, t, "en", "s", 1, "b", k, "x") for k, (i, t) in enumerate(texts)]
+    kept = near_dedup.keep_one_of_each(spark, frame(spark, rows))
+    assert kept.columns == frame(spark, []).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a + " more"), (5, b), (None, c), (8, None), (8, None), (None, "")], key=str)
