@@ -15,8 +15,8 @@ def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate group."""
-    return near_dedup.keep_one_of_each(spark, docs)
+    """Keeps one document of each group linked at a similarity of 0.8 or more."""
+    return near_dedup.keep_one_of_each(spark, docs, 80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
