@@ -22,7 +22,7 @@ BLOCK = 1 << 18
 PIECE = 2 << 20
 #: Documents of a tile, and shingles of a membership matrix.
 TILE, COLUMNS = 384, 2048
-SKETCH = "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"
+SKETCH = "row long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
 def signatures(s: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -65,7 +65,7 @@ def shingle_sets(texts) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _parts(batch):
-    """A batch (doc_id, text) in slices of about PIECE bytes of text; a longer text is alone."""
+    """A batch (row, text) in slices of about PIECE bytes of text; a longer text is alone."""
     _, off = K.buffer_of(batch.column(1))
     for lo, hi in K.blocks(off, PIECE):
         yield batch.slice(lo, hi - lo)
@@ -80,7 +80,7 @@ def _sketch(batches):
         has = np.diff(off) > 0
         yield pa.record_batch(
             {
-                "doc_id": batch.column(0),
+                "row": batch.column(0),
                 "n_shingles": np.diff(off),
                 "k1": k1.view(np.int64),
                 "k2": k2.view(np.int64),
@@ -90,17 +90,14 @@ def _sketch(batches):
 
 
 def _pack(batches):
-    """The upper 40 bits of each shingle hash, ascending: what a pair needs for its exact overlap."""
+    """The shingle hashes of each text, ascending: what a pair needs for its exact overlap."""
     for batch in (part for b in batches for part in _parts(b)):
         s, off = shingle_sets(batch.column(1))
-        raw = np.ascontiguousarray((s >> K.U(24)).view(np.uint8).reshape(-1, 8)[:, :5])
-        yield pa.record_batch({"id": batch.column(0), "bag": pa.array([raw[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+        yield pa.record_batch({"id": batch.column(0), "bag": pa.array([s[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
 
 
 def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(blob, np.uint8).reshape(-1, 5)
-    return out.view(K.U).reshape(-1)
+    return np.frombuffer(blob, K.U)
 
 
 def _overlap(similarity: int):
@@ -162,31 +159,18 @@ def _near_size(similarity: int, a: str, b: str) -> F.Column:
     return 100 * F.least(a, b) >= similarity * F.greatest(a, b)
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * |A ∩ B| >= similarity * |A ∪ B| over distinct five-word shingles
-    (ASCII letters folded, words end at ASCII white space); a component is named by its least doc_id
-    and keeps that document.
+def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """The sketch of each row of a written table (row, doc_id, text) with its class, and (rep, component) of linked classes.
 
-    * Documents of equal sets form one class first, represented by its least doc_id, so copies cost
-      nothing further.  Representatives meet in bands of SuperMinHash signatures.
-    * In each band bucket three centres (the least id and two by hash) are compared with every
-      member; only then, and only in buckets that still hold several components, are the remaining
-      pairs of different components compared, tile by tile, and only links leave a tile.  Every pair that shares a bucket is thus either
-      compared on full sets or already connected.
-    * Null, empty and blank texts have no shingles and stay alone.  Rows with a null doc_id stay
-      alone with a null component_id and kept = true, unless equal sets give them a component.
-      Repeated rows of one doc_id are one document and share its component.  Other columns of docs
-      are ignored; an empty table gives an empty result.
+    Rows of equal sets are one class, known by its least row.  Classes are linked where their sets are
+    similar enough or where rows of one doc_id belong to both.
     """
-    scratch = Scratch(spark, "near-dedup")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketch = scratch.table(docs.mapInArrow(_sketch, SKETCH), "sketch")
-    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    # One row of a class carries its bands: the row of the representative.
-    heads = sketch.where("doc_id is not null and n_shingles > 0").join(classes, ["k1", "k2", "n_shingles"]).where("doc_id = rep")
-    post = heads.select(F.col("rep").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    sketch = scratch.table(rows.select("row", "text").mapInArrow(_sketch, SKETCH), "sketch")
+    classes = sketch.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("rep"))
+    classed = sketch.select("row", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
+    classed = scratch.table(classed.select("row", "n_shingles", F.coalesce("rep", "row").alias("rep")), "classes")
+    heads = sketch.join(classed.where("row = rep").select("row"), "row", "left_semi").where("n_shingles > 0")
+    post = heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     member = F.struct("id", "n")
     centres = post.groupBy("bucket").agg(
         F.min(member).alias("c0"),
@@ -195,40 +179,84 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMI
     )
     centres = centres.where("c0.id < most").select("bucket", F.array("c0", F.struct("c1.id", "c1.n"), F.struct("c2.id", "c2.n")).alias("centre"))
     shared = scratch.table(post.join(centres, "bucket"), "shared-buckets")
+    scratch.drop(sketch)
 
-    # Full sets of the documents that share a bucket, packed once for all comparisons.
-    ids = shared.select(F.col("id").alias("doc_id")).distinct()
-    bags = scratch.table(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_pack, "id long, bag binary"), "bags")
+    # Full sets of the classes that share a bucket, packed once for all comparisons.
+    ids = shared.select(F.col("id").alias("row")).distinct()
+    bags = scratch.table(rows.select("row", "text").join(ids.hint("merge"), "row", "left_semi").mapInArrow(_pack, "id long, bag binary"), "bags")
 
     def ordered(df: DataFrame) -> DataFrame:
         return df.where(_near_size(similarity, "n", "m")).select(F.least("id", "other").alias("u"), F.greatest("id", "other").alias("v")).distinct()
 
     spread = shared.select("id", "n", F.explode("centre").alias("c")).select("id", "n", F.col("c.id").alias("other"), F.col("c.n").alias("m"))
     first = scratch.table(ordered(spread.where("id != other")), "pairs")
-    links = scratch.table(_verified(bags, first, similarity), "links")
+    # A doc_id with rows of several classes links them, whatever their texts.
+    owned = rows.select("row", "doc_id").where("doc_id is not null").join(classed, "row")
+    least = owned.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("most")).where("u < most").select("doc_id", "u")
+    own = owned.join(least, "doc_id").where("rep != u").select("u", F.col("rep").alias("v")).distinct()
+    links = scratch.table(_verified(bags, first, similarity).unionByName(own), "links")
     parts = connected_components(links, scratch)
 
     # Buckets that still hold several components: compare what the centres have not connected.
     # Buckets of the same members (a pair can share many bands) are compared once.
     named = shared.select("bucket", "id", "n").join(parts, "id", "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("part"))
     named = scratch.table(named, "named")
+    scratch.drop(shared, first)
     mixed = named.groupBy("bucket").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members"), F.sum(F.xxhash64("id", F.lit(5)).cast("decimal(38,0)")).alias("mark"))
     mixed = mixed.where("lo < hi").groupBy("members", "mark").agg(F.min("bucket").alias("bucket"))
     # A large bucket is a square of tiles; a member goes to the tiles of its row and column.
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int")
-    left = named.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("own", own)
+    place = F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int")
+    left = named.join(mixed.select("bucket", tiles.alias("tiles")), "bucket").withColumn("own", place)
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     left = left.select("bucket", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "part")
     squares = left.join(bags, "id").groupBy("bucket", "a", "b")
     more = squares.applyInArrow(_square(similarity), "u long, v long").distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-    parts = connected_components(joined, scratch)
+    scratch.drop(bags, named, links)
+    return classed, connected_components(joined, scratch).select(F.col("id").alias("rep"), "component")
+
+
+def _numbered(scratch: Scratch, docs: DataFrame) -> DataFrame:
+    """docs written once with a number a row, so that the number is the same in every later read."""
+    return scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
 
-    rows = sketch.select("doc_id", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
-    rows = rows.join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * |A ∩ B| >= similarity * |A ∪ B| over distinct five-word shingles
+    (ASCII letters folded, words end at ASCII white space); a component is named by its least doc_id
+    and keeps that document.
+
+    * Rows of equal sets form one class first, so copies cost nothing further.  Classes meet in bands
+      of SuperMinHash signatures.
+    * In each band bucket three centres (the least row and two by hash) are compared with every
+      member; only then, and only in buckets that still hold several components, are the remaining
+      pairs of different components compared, tile by tile, and only links leave a tile.  Every pair
+      that shares a bucket is thus either compared on full sets or already connected.  Sets are held
+      as 64-bit hashes of their shingles.
+    * Null, empty and blank texts have no shingles and are linked with nothing.
+    * Rows that repeat a doc_id are one document, whatever their texts: what is linked to one of them
+      is linked to all.  n_shingles is that of the row's own text.
+    * A row with a null doc_id is a document of its own; it takes part in links, and its component_id
+      is null, and kept true, where nothing that it reaches has a doc_id.
+    * Texts of any length are worked through whole; one text is in memory at a time, with eight bytes a
+      shingle.  Other columns of docs are ignored; an empty table gives an empty result.
+    """
+    scratch = Scratch(spark, "near-dedup")
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    numbered = _numbered(scratch, named)
+    rows = numbered.withColumnRenamed("_row", "row")
+    classed, parts = _grouped(scratch, rows, similarity)
+    out = rows.select("row", "doc_id").join(classed, "row").join(parts, "rep", "left")
+    # Empty texts of one doc_id share its document's component too; the name is the least doc_id of the component.
+    out = scratch.table(out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("part")), "parts")
+    scratch.drop(numbered)
+    names = out.groupBy("part").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("size"))
+    big = names.where("size > 1").select("part", F.col("component_id").alias("_least"))
+    out = out.join(big, "part", "left").select("doc_id", "n_shingles", F.coalesce("_least", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def _verified(bags: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
@@ -247,10 +275,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, similarity: int = SIM
     least doc_id, a null one last, then of least text hash.  Texts without shingles all stay.
     """
     scratch = Scratch(spark, "near-dedup-rows")
-    # Written once, so that a row's number is the same in every later read.
-    keyed = scratch.table(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(spark, keyed.select(F.col("_row").alias("doc_id"), "text"), similarity).where("n_shingles > 0")
-    found = found.select(F.col("doc_id").alias("_row"), F.col("component_id").alias("_part"))
+    keyed = _numbered(scratch, docs)
+    rows = keyed.select(F.col("_row").alias("row"), F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    classed, parts = _grouped(scratch, rows, similarity)
+    found = classed.where("n_shingles > 0").join(parts, "rep", "left").select(F.col("row").alias("_row"), F.coalesce("component", "rep").alias("_part"))
     named = keyed.select("_row", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_hash"))
     order = F.struct(F.col("_id").isNull().alias("none"), "_id", "_hash", "_row")
     kept = found.join(named, "_row").groupBy("_part").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))

@@ -11,10 +11,12 @@ from canticle.shipping import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one is set only where none is, as in tests."""
+    """The session's checkpoint folder.  Where none is set, a local session gets one; a cluster has to name it."""
     conf = spark.sparkContext.getConf()
     found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="canticle-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
