@@ -19,6 +19,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 #: Slots of a source's shuffled order; each is summed on its own, so no source is one task's work.
 SLOT_DIGITS = 3
+#: Copies of documents in a range of the global order.
+RANGE_ROWS = 1 << 17
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -53,6 +55,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return per.select("source", "source_size", "budget", F.when(full, F.col("cap")).otherwise(level * F.col("weight")).alias("target"))
 
 
+def parts_of(copies: int) -> int:
+    """Ranges of the global order: the one where the budget ends is summed row by row, so none may grow."""
+    return max(1, math.ceil(copies / RANGE_ROWS))
+
+
 def _finish(epoch: int) -> Column:
     return F.when(F.col("target") > 0, (F.lit(epoch) * F.col("source_size") + F.col("cum")) / F.col("target")).otherwise(F.lit(0.0))
 
@@ -82,9 +89,10 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     placed = scratch.table(placed, "placed")
 
     epochs = range(max(1, math.ceil(most)))
+    n = placed.count() * len(epochs)
     copies = placed.select("size", "key", "doc_id", F.explode(F.array(*(F.struct(_finish(e).alias("finish"), F.lit(e).alias("epoch")) for e in epochs))).alias("c"))
     place = F.struct("c.finish", "key", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id"), "c.epoch")
-    ordered = copies.select(place.alias("place"), "size").repartitionByRange("place").withColumn("part", F.spark_partition_id())
+    ordered = copies.select(place.alias("place"), "size").repartitionByRange(parts_of(n), "place").withColumn("part", F.spark_partition_id())
     ordered = scratch.table(ordered, "ordered")
     parts = ordered.groupBy("part").agg(F.sum("size").alias("part_size"))
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,16 +114,25 @@ def mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SH
     )
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row, but for columns of maps, which have no order to hash."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+
+
 def apply_mix(spark: SparkSession, docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """docs as the mix takes them: rows left out are gone, rows taken twice come twice, columns as they were."""
+    """docs as the mix takes them: rows left out are gone, rows taken twice come twice, columns as they were.
+
+    Of rows with one doc_id, source and size the mix takes the first by a hash of the whole row less
+    often, so reruns agree on the texts too, however the rows are dealt.
+    """
     decided = mix(spark, docs, weights, share, most).select("doc_id", "source", "size", "copies")
     same = Window.partitionBy("_doc", "_source", "_size").orderBy("_copies")
     decided = decided.select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("copies").alias("_copies"))
     decided = decided.withColumn("_n", F.row_number().over(same)).where("_copies > 0")
     columns = docs.columns
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_from"), size.alias("_words"))
-    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_from", "_words").orderBy(F.lit(0))))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), F.col("source").cast("string").alias("_from"), size.alias("_words"), row_hash(docs).alias("_hash"))
+    rows = rows.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_from", "_words").orderBy("_hash")))
     match = F.col("_id").eqNullSafe(F.col("_doc")) & F.col("_from").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_nth") == F.col("_n"))
     rows = rows.join(decided, match).withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
     return rows.select("_row.*")
