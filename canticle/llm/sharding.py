@@ -14,10 +14,12 @@ version that won.  Readers follow the largest version, so they see a whole versi
 
 from __future__ import annotations
 
-import math
+import functools
 import re
+import time
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +28,8 @@ from canticle.llm.storage import Scratch, filesystem
 TARGET_BYTES, SMALLEST_BYTES = 32 << 20, 1 << 20
 #: Shards of one tier differ in size by less than this factor; a tier is merged from FANIN shards on.
 RATIO, FANIN = 4, 4
-ROWS_PER_ARRIVAL = 4096
+#: Bytes of values in a shard that arrives, and rows of it at most.
+ARRIVAL_BYTES, ARRIVAL_ROWS = 16 << 20, 4096
 MANIFEST = "path string, tier int, bytes long, rows long, version int"
 
 
@@ -40,43 +43,62 @@ class ShardStore:
 
     # Versions
 
-    def versions(self) -> list[int]:
+    def _claims(self) -> dict[int, int]:
+        """The version files, with their lengths; one of length 0 is being written."""
         fs, folder = filesystem(self.spark, f"{self.root}/versions")
         if not fs.exists(folder):
-            return []
-        found = (re.fullmatch(r"v(\d+)", f.getPath().getName()) for f in fs.listStatus(folder))
-        return sorted(int(m[1]) for m in found if m)
+            return {}
+        found = ((re.fullmatch(r"v(\d+)", f.getPath().getName()), f.getLen()) for f in fs.listStatus(folder))
+        return {int(m[1]): n for m, n in found if m}
+
+    def versions(self) -> list[int]:
+        return sorted(v for v, n in self._claims().items() if n)
+
+    def latest(self) -> int:
+        """The last version, 0 for an empty store; a commit under way is waited for."""
+        for pause in (0, 0.1, 0.3, 1, 3, 10):
+            time.sleep(pause)
+            claims = self._claims()
+            last = max(claims, default=0)
+            if not last or claims[last]:
+                return last
+        raise Conflict(f"the writer of version {last} left an empty versions/v{last:06d}; delete it to go on")
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, tier, bytes, rows and version (that added it) of each live shard."""
-        have = self.versions()
-        version = version if version is not None else (have[-1] if have else 0)
+        version = self.latest() if version is None else version
         if not version:
             return self.spark.createDataFrame([], MANIFEST)
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{self._name(version)}")
+
+    def _name(self, version: int) -> str:
         fs, path = filesystem(self.spark, f"{self.root}/versions/v{version:06d}")
         stream = fs.open(path)
         try:
-            name = bytes(stream.readAllBytes()).decode()
+            return bytes(stream.readAllBytes()).decode()
         finally:
             stream.close()
-        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifests/{name}")
 
     def _commit(self, version: int, shards: DataFrame) -> None:
-        """Writes the manifest, then creates the version's file; only one writer can."""
+        """Writes the manifest, then creates the version's file, which names it; only one writer can."""
         name = f"v{version:06d}-{uuid.uuid4().hex}"
-        shards.coalesce(1).write.parquet(f"{self.root}/manifests/{name}")
+        try:
+            shards.write.parquet(f"{self.root}/manifests/{name}")
+        except Exception as e:
+            # A vacuum may have ended the version that this one starts from; then another is the latest.
+            if self.latest() >= version:
+                raise Conflict(f"version {version - 1} is gone") from e
+            raise
         fs, path = filesystem(self.spark, f"{self.root}/versions/v{version:06d}")
         fs.mkdirs(path.getParent())
-        if fs.exists(path):
-            raise Conflict(f"version {version} exists")
-        # Complete under a name of its own first: a version is never seen half written.
-        _, own = filesystem(self.spark, f"{self.root}/versions/.{name}")
-        stream = fs.create(own, False)
+        try:
+            stream = fs.create(path, False)
+        except Py4JJavaError as e:
+            if "FileAlreadyExists" in str(e.java_exception) or fs.exists(path):
+                raise Conflict(f"version {version} exists") from e
+            raise
         stream.write(bytearray(name.encode()))
         stream.close()
-        if fs.exists(path) or not fs.rename(own, path):
-            fs.delete(own, False)
-            raise Conflict(f"version {version} exists")
 
     def _written(self, folder: str, version: int) -> DataFrame:
         """Manifest rows of the shards in a folder, from file metadata and row counts."""
@@ -90,12 +112,15 @@ class ShardStore:
 
     # Writing
 
-    def append(self, rows: DataFrame, rows_per_shard: int = ROWS_PER_ARRIVAL) -> int:
-        """Adds rows as small shards and commits; returns the version."""
+    def append(self, rows: DataFrame, rows_per_shard: int | None = None) -> int:
+        """Adds rows as small shards and commits; returns the version.
+
+        A shard takes so many rows as are about ARRIVAL_BYTES of values, if rows_per_shard does not say.
+        """
         folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
-        rows.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard).parquet(folder)
+        rows.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard or arrival_rows(rows)).parquet(folder)
         while True:
-            version = (self.versions() or [0])[-1] + 1
+            version = self.latest() + 1
             try:
                 self._commit(version, self.manifest(version - 1).unionByName(self._written(folder, version)))
                 return version
@@ -104,26 +129,29 @@ class ShardStore:
 
     def compact(self) -> int:
         """Merges full tiers until none is left; returns the version."""
+        last = self.latest()
         while (version := self._merge_once()) is not None:
             last = version
-        return last if "last" in locals() else (self.versions() or [0])[-1]
+        return last
+
+    def plan(self, live: DataFrame) -> DataFrame:
+        """path, bytes, rows and run (from 0, without gaps) of each shard to merge.
 
-    def _plan(self, live: DataFrame) -> DataFrame:
-        """path and run of each shard to merge: within a full tier, neighbours up to the target size."""
+        Within a full tier, neighbours go into one run up to the target size.
+        """
         small = live.where(F.col("bytes") < self.target / 2)
         tier = Window.partitionBy("tier")
         before = tier.orderBy("version", "path").rowsBetween(Window.unboundedPreceding, -1)
         small = small.withColumn("runs", F.count("*").over(tier)).withColumn("sum", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
-        small = small.where(F.col("runs") >= self.fanin).withColumn("run", F.floor(F.col("sum") / self.target))
-        run = Window.partitionBy("tier", "run")
-        small = small.withColumn("members", F.count("*").over(run)).where("members > 1")
-        return small.select("path", F.concat_ws("-", "tier", "run").alias("run"), "bytes")
+        small = small.where(F.col("runs") >= self.fanin).withColumn("part", F.floor(F.col("sum") / self.target))
+        small = small.withColumn("members", F.count("*").over(Window.partitionBy("tier", "part"))).where("members > 1")
+        return small.select("path", "bytes", "rows", (F.dense_rank().over(Window.orderBy("tier", "part")) - 1).cast("int").alias("run"))
 
     def _merge_once(self) -> int | None:
         """One round of merges and its commit; None if there is nothing to merge."""
-        version = (self.versions() or [0])[-1] + 1
+        version = self.latest() + 1
         live = self.manifest(version - 1)
-        plan = self._plan(live).persist()
+        plan = self.plan(live).persist()
         try:
             runs = plan.agg(F.count_distinct("run").alias("n")).first()["n"]
             if not runs:
@@ -135,8 +163,9 @@ class ShardStore:
             which = plan.select(F.col("path").alias(f"{run}_path"), F.col("run").alias(run))
             rows = source.withColumn(f"{run}_path", F.col("_metadata.file_path")).join(which, f"{run}_path").drop(f"{run}_path")
             folder = f"{self.root}/data/m-{uuid.uuid4().hex}"
-            rows.repartition(max(1, math.ceil(runs)), run).write.option("compression", "zstd").partitionBy(run).parquet(folder)
-            merged = self.manifest(version - 1).join(plan.select("path"), "path", "left_anti")
+            # One run a partition, by its number, so a task writes one file of about the target size.
+            rows.repartitionById(runs, run).drop(run).write.option("compression", "zstd").parquet(folder)
+            merged = live.join(plan.select("path"), "path", "left_anti")
             try:
                 self._commit(version, merged.select(*live.columns).unionByName(self._written(folder, version)))
             except Conflict:
@@ -149,25 +178,22 @@ class ShardStore:
         return self.spark.read.parquet(path).schema
 
     def vacuum(self) -> None:
-        """Deletes shards and manifests that the latest version does not use; older versions end with it."""
+        """Ends older versions: deletes the shards that only they list, their manifests and themselves.
+
+        Files that no version lists are left alone, as a writer may be about to commit them.
+        """
         have = self.versions()
-        if not have:
+        if len(have) < 2:
             return
-        keep = {re.search(r"/data/([^/]+)/", r.path)[1] for r in self.manifest().select("path").distinct().toLocalIterator()}
-        live = {r.path for r in self.manifest().select("path").toLocalIterator()}
-        fs, data = filesystem(self.spark, f"{self.root}/data")
-        for job in fs.listStatus(data):
-            if job.getPath().getName() not in keep:
-                fs.delete(job.getPath(), True)
-                continue
-            files = fs.listFiles(job.getPath(), True)
-            while files.hasNext():
-                f = files.next().getPath()
-                if f.getName().endswith(".parquet") and not any(x.endswith(f.toUri().getPath()) for x in (live if len(live) < 64 else {y for y in live if f.getName() in y})):
-                    fs.delete(f, False)
+        old = functools.reduce(DataFrame.union, (self.manifest(v).select("path") for v in have[:-1]))
+        for row in old.distinct().join(self.manifest(have[-1]).select("path"), "path", "left_anti").toLocalIterator():
+            fs, path = filesystem(self.spark, row.path)
+            fs.delete(path, False)
         for v in have[:-1]:
-            _, old = filesystem(self.spark, f"{self.root}/versions/v{v:06d}")
-            fs.delete(old, False)
+            fs, manifest = filesystem(self.spark, f"{self.root}/manifests/{self._name(v)}")
+            _, file = filesystem(self.spark, f"{self.root}/versions/v{v:06d}")
+            fs.delete(file, False)
+            fs.delete(manifest, True)
 
     # Reading
 
@@ -179,6 +205,14 @@ class ShardStore:
         return self.spark.read.schema(self._schema(paths[0])).parquet(*paths)
 
 
+def arrival_rows(rows: DataFrame) -> int:
+    """Rows that hold about ARRIVAL_BYTES of text and binary values, by the mean over all rows; ARRIVAL_ROWS at most."""
+    wide = [F.octet_length(f"`{c}`") for c, kind in rows.dtypes if kind in ("string", "binary")]
+    size = sum((F.coalesce(x, F.lit(0)) for x in wide), F.lit(0))
+    mean = rows.agg(F.avg(size)).first()[0] or 0.0
+    return max(1, min(ARRIVAL_ROWS, int(ARRIVAL_BYTES / max(1.0, mean))))
+
+
 def unused(name: str, columns: list[str]) -> str:
     """A column name that is not taken."""
     while name.lower() in {c.lower() for c in columns} | {c.lower() + "_path" for c in columns}:
@@ -186,14 +220,15 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def shard(spark: SparkSession, docs: DataFrame, target_bytes: int = TARGET_BYTES, fanin: int = FANIN, rows_per_shard: int = ROWS_PER_ARRIVAL) -> DataFrame:
+def shard(spark: SparkSession, docs: DataFrame, target_bytes: int = TARGET_BYTES, fanin: int = FANIN, rows_per_shard: int | None = None) -> DataFrame:
     """doc_id, shard, shard_rows, shard_bytes, version of each row of docs after append and compaction.
 
-    shard numbers the live shards of the committed version from 1.  Rows are stored whole, with every
+    The second arrival is every eighth doc_id by a hash.  shard numbers the live shards of the committed version from 1.  Rows are stored whole, with every
     column, nulls and repeats as they are; an empty table gives an empty store and an empty result.
     """
     store = ShardStore(spark, f"{Scratch(spark, 'shards').root}", target_bytes, fanin)
     late = F.pmod(F.xxhash64("doc_id"), F.lit(8)) == 0
+    rows_per_shard = rows_per_shard or arrival_rows(docs)
     store.append(docs.where(~late), rows_per_shard)
     store.append(docs.where(late), rows_per_shard)
     version = store.compact()
