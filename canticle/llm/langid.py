@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from canticle.llm import kernels as K
 from canticle.llm.storage import Scratch
 
-#: Cells of the hashed trigrams; a model is broadcast as languages * 2^BITS float32.
+#: Cells of the hashed trigrams; a language's model is 2^BITS float32.
 BITS = 16
-MAX_LANGUAGES = 64
+#: Languages whose models are broadcast together (16 MB); more are scored in turn, group by group.
+TOGETHER = 64
 #: Trigrams overlap, so a text's likelihood counts for less than its trigrams; at most EVIDENCE of them.
 TEMPER, EVIDENCE = 0.2, 400
 ADD, KAPPA = 0.5, 5.0
@@ -64,18 +65,22 @@ def _count(batches):
         yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "cell", "n"])
 
 
-def fit(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, by name, and the log-probabilities of trigram cells in each, over all of docs (text, lang)."""
+def _model(counts: pa.Table) -> pa.Table:
+    """The log-probabilities of one language's cells."""
+    n = np.zeros(1 << BITS)
+    n[np.array(counts["cell"])] = np.array(counts["n"])
+    return pa.table({"lang": counts["lang"][:1], "model": [np.log((n + ADD) / (n + ADD).sum()).astype(np.float32).tobytes()]})
+
+
+def fit(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """lang and model, the log-probabilities of the trigram cells, of each language in docs (text, lang); all of docs counts."""
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     rows = rows.where("lang is not null and text is not null")
     counts = rows.mapInArrow(_count, "lang string, cell long, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
-    langs = sorted(r.lang for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    table = np.zeros((len(langs), 1 << BITS))
-    for part in counts.toLocalIterator():  # at most languages * 2^BITS rows
-        table[langs.index(part.lang), part.cell] = part.n
-    return langs, np.log((table + ADD) / (table + ADD).sum(axis=1, keepdims=True, initial=0)).astype(np.float32)
+    # At most 2^BITS rows a language.  A language whose texts are too short for a trigram has a uniform model.
+    known = rows.select("lang").distinct().select("lang", F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("n"))
+    all_counts = known.unionByName(counts).groupBy("lang", "cell").agg(F.sum("n").alias("n"))
+    return scratch.table(all_counts.groupBy("lang").applyInArrow(_model, "lang string, model binary"), "models")
 
 
 def visible_text(html: Column) -> Column:
@@ -103,59 +108,90 @@ def identify(spark: SparkSession, pages: DataFrame, docs: DataFrame) -> DataFram
     one by one.  Ties go to the language that sorts first.  Without labelled docs lang is null.
     """
     scratch = Scratch(spark, "langid")
-    langs, logp = fit(docs)
+    models = fit(docs, scratch)
+    langs = sorted(r.lang for r in models.select("lang").toLocalIterator())  # names only
     size = len(langs)
-    shared = spark.sparkContext.broadcast(logp)
+    host, domain, suffix = address(F.col("url"))
+    rows = pages.select(
+        "page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared(F.col("html")).alias("declared"),
+        F.array().cast("array<double>").alias("text_score"), visible_text(F.coalesce("html", F.lit(""))).alias("text"),
+    )
+    kind = dict(rows.dtypes)["page_id"]
+    evidence = ["page_id", "host", "domain", "suffix", "declared"]
+    schema = f"page_id {kind}, host string, domain string, suffix string, declared string, text_score array<double>"
+    if not size:
+        none = rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host")
+        return none.withColumns({"text_lang": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>")})
+    groups = [langs[k : k + TOGETHER] for k in range(0, size, TOGETHER)]
+    for k, group in enumerate(groups):
+        last = k == len(groups) - 1
+        found = {r.lang: r.model for r in models.where(F.col("lang").isin(group)).toLocalIterator()}  # TOGETHER rows at most
+        shared = spark.sparkContext.broadcast(np.stack([np.frombuffer(found[x], np.float32) for x in group]))
+        rows = scratch.table(rows.mapInArrow(_scored(shared, evidence, last), schema if last else f"{schema}, text string"), "text")
+    return fused(rows, langs)
+
 
-    def likelihood(batches):
+def _scored(shared, evidence: list[str], last: bool):
+    """Adds the tempered log-likelihoods of the broadcast languages to text_score; the last ones drop the text."""
+
+    def run(batches):
         for b in batches:
+            size = len(shared.value)
             scores = np.zeros((b.num_rows, size))
             for lo, hi, part in pieces(b.column("text")):
                 cell, row = trigrams(part)
                 weight = TEMPER * np.minimum(1.0, EVIDENCE / np.maximum(np.bincount(row, minlength=hi - lo), 1))
                 for k in range(size):
                     scores[lo:hi, k] = np.bincount(row, shared.value[k][cell], minlength=hi - lo) * weight
-            yield pa.record_batch([*(b.column(c) for c in ("page_id", "host", "domain", "suffix", "declared")), pa.array(scores.tolist(), pa.list_(pa.float64()))], ["page_id", "host", "domain", "suffix", "declared", "text_score"])
+            before = [x or [] for x in b.column("text_score").to_pylist()]
+            out = {c: b.column(c) for c in evidence} | {"text_score": pa.array([x + y for x, y in zip(before, scores.tolist(), strict=True)], pa.list_(pa.float64()))}
+            yield pa.record_batch(out if last else out | {"text": b.column("text")})
 
-    host, domain, suffix = address(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), domain.alias("domain"), suffix.alias("suffix"), declared(F.col("html")).alias("declared"), visible_text(F.coalesce("html", F.lit(""))).alias("text"))
-    kind = dict(rows.dtypes)["page_id"]
-    rows = rows.mapInArrow(likelihood, f"page_id {kind}, host string, domain string, suffix string, declared string, text_score array<double>")
-    if not size:
-        none = rows.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), "declared", "suffix", "host")
-        return none.withColumns({"text_lang": F.lit(None).cast("string"), "posterior": F.array().cast("array<double>")})
-    rows = scratch.table(rows, "text")
+    return run
 
-    # Text posteriors, column by column, then what each kind of evidence says of each language.
-    top = F.array_max("text_score")
-    weights = [F.exp(F.get("text_score", F.lit(k)) - top) for k in range(size)]
-    mass = sum(weights[1:], weights[0])
-    rows = rows.select("*", *((w / mass).alias(f"p{k}") for k, w in enumerate(weights)))
 
-    def sums(by: list[str], name: str) -> DataFrame:
-        return rows.groupBy(*by).agg(*(F.sum(f"p{k}").alias(f"{name}{k}") for k in range(size)))
+def fused(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """The posterior of each row (page_id, host, domain, suffix, declared, text_score by langs) from all evidence.
 
-    total = rows.agg(*(F.sum(f"p{k}").alias(f"all{k}") for k in range(size)), F.count_distinct("declared").alias("n_declared"), F.count_distinct("suffix").alias("n_suffix")).first()
-    everything = sum((total[f"all{k}"] or 0.0) for k in range(size))
+    What each kind of evidence says is counted language by language: a value's sums are one row each, with
+    partial sums before the shuffle, so a host that holds a third of all pages is no hot group.
+    """
+    size = len(langs)
+    rows = rows.withColumn("w", F.transform("text_score", lambda x: F.exp(x - F.array_max("text_score"))))
+    rows = rows.withColumn("p", F.transform("w", lambda x: x / F.aggregate("w", F.lit(0.0), lambda a, b: a + b))).drop("w")
+
+    def gathered(by: list[str], name: str) -> DataFrame:
+        """The sum of p over each value, by language: at most as long an array as there are languages."""
+        cells = rows.select(*by, F.posexplode("p").alias("k", "v")).groupBy(*by, "k").agg(F.sum("v").alias("v"))
+        sums = F.transform(F.array_sort(F.collect_list(F.struct("k", "v"))), lambda x: x["v"])
+        return cells.groupBy(*by).agg(sums.alias(name)) if by else cells.agg(sums.alias(name))
+
+    total = gathered([], "total").first()["total"] or [0.0] * size
+    n_declared, n_suffix = rows.agg(F.count_distinct("declared"), F.count_distinct("suffix")).first()
     out = rows
     for name in ("declared", "suffix", "host", "domain"):
-        out = out.join(sums([name], f"{name}_"), name)
+        out = out.join(gathered([name], f"in_{name}"), name)
+    everything = F.array(*(F.lit(float(x)) for x in total))
+
+    def less_own(sums: Column) -> Column:
+        """Sums without the page's own share."""
+        return F.zip_with(sums, "p", lambda s, p: F.greatest(s - p, F.lit(0.0)))
 
-    def seen(name: str, k: int) -> Column:
-        """Pages in language k with this page's value, itself left out."""
-        return F.greatest(F.col(f"{name}_{k}") - F.col(f"p{k}"), F.lit(0.0))
+    def smoothed(sums: Column, towards: Column) -> Column:
+        mass = F.aggregate(sums, F.lit(0.0), lambda a, b: a + b) + KAPPA
+        return F.zip_with(sums, towards, lambda s, t: (s + KAPPA * t) / mass)
 
-    def emission(name: str, values: int, k: int) -> Column:
-        return F.log((seen(name, k) + ADD) / (F.greatest(F.lit(total[f"all{k}"]) - F.col(f"p{k}"), F.lit(0.0)) + ADD * (values + 1)))
+    out = out.withColumn("rest", less_own(everything))
+    out = out.withColumns({f"in_{x}": less_own(F.col(f"in_{x}")) for x in ("declared", "suffix", "host", "domain")})
+    out = out.withColumn("general", F.transform("rest", lambda x: (x + ADD) / F.lit(sum(total) - 1 + ADD * size)))
+    out = out.withColumn("of_domain", smoothed(F.col("in_domain"), F.col("general")))
+    out = out.withColumn("prior", F.transform(smoothed(F.col("in_host"), F.col("of_domain")), lambda x: F.log(F.greatest(x, F.lit(1e-12)))))
 
-    def prior(k: int) -> Column:
-        general = (F.lit(total[f"all{k}"]) - F.col(f"p{k}") + ADD) / (everything - 1 + ADD * size)
-        of_domain = (seen("domain", k) + KAPPA * general) / (sum((seen("domain", j) for j in range(1, size)), seen("domain", 0)) + KAPPA)
-        of_host = (seen("host", k) + KAPPA * of_domain) / (sum((seen("host", j) for j in range(1, size)), seen("host", 0)) + KAPPA)
-        return F.log(F.greatest(of_host, F.lit(1e-12)))
+    def emission(name: str, values: int) -> Column:
+        return F.zip_with(f"in_{name}", "rest", lambda s, r: F.log((s + ADD) / (r + ADD * (values + 1))))
 
-    fused = [F.get("text_score", F.lit(k)) + emission("declared", total["n_declared"], k) + emission("suffix", total["n_suffix"], k) + prior(k) for k in range(size)]
-    out = out.select("page_id", "declared", "suffix", "host", "text_score", F.array(*fused).alias("fused"))
+    plus = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
+    out = out.withColumn("fused", plus(plus(plus(F.col("text_score"), emission("declared", n_declared)), emission("suffix", n_suffix)), F.col("prior")))
     out = out.withColumn("unscaled", F.transform("fused", lambda x: F.exp(x - F.array_max("fused"))))
     out = out.withColumn("posterior", F.transform("unscaled", lambda x: x / F.aggregate("unscaled", F.lit(0.0), lambda a, b: a + b)))
     names = F.array(*(F.lit(x) for x in langs))
