@@ -18,21 +18,35 @@ BLOCK, QUERIES = 2048, 1024
 LANES = 8
 #: The rotation is fitted on about so many vectors, chosen by a hash of vec_id; it only orders the work.
 SAMPLE = 10000
-VECTOR = "vec_id long, norm double, v binary"
+VECTOR = "vec_id long, norm double, v binary, most long"
 PACKED = "norm double, ids binary, vs binary, dim int"
+#: Levels of length by which blocks and groups of queries find each other: a factor of 2^(1/LEVELS) a level.
+LEVELS = 16
+#: Shares of a level, so that vectors of one length are not one task's work.
+SALTS = 32
 
 
 def _integers(batches):
+    """The vectors as integers, norms and largest component; null ids, null or non-finite components take no part."""
     for b in batches:
-        keep, vs, norms = [], [], []
-        for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            if i is None or x is None or any(c is None or not math.isfinite(c) for c in x):
-                continue
-            v = np.floor(SCALE * np.array(x, np.float64)).astype(np.int64)
-            keep.append(i)
-            vs.append(v.tobytes())
-            norms.append(float(np.sqrt((v.astype(np.float64) ** 2).sum())))
-        yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(norms, pa.float64()), pa.array(vs, pa.binary())], ["vec_id", "norm", "v"])
+        lists = b.column(1).cast(pa.list_(pa.float64()))
+        off = np.array(lists.offsets)
+        flat = lists.values.slice(off[0], off[-1] - off[0])
+        flat = np.where(np.array(flat.is_valid()), np.array(flat.fill_null(0.0)), np.nan) if len(flat) else np.zeros(0)
+        off = off - off[0]
+        fine = np.concatenate([[0], np.cumsum(~np.isfinite(flat))])
+        good = np.flatnonzero(np.array(b.column(0).is_valid()) & np.array(lists.is_valid()) & (fine[off[1:]] == fine[off[:-1]]))
+        v = np.floor(SCALE * np.where(np.isfinite(flat), flat, 0)).astype(np.int64)
+        square = np.concatenate([[0.0], np.cumsum(v.astype(np.float64) ** 2)]) if len(good) and len(v) and float(np.abs(v).max()) ** 2 * len(v) < 2**52 else None
+        vs = [v[off[i] : off[i + 1]] for i in good]
+        norms = np.sqrt(square[off[good + 1]] - square[off[good]]) if square is not None else np.array([np.sqrt((x.astype(np.float64) ** 2).sum()) for x in vs], np.float64)
+        most = np.array([np.abs(x).max(initial=0) for x in vs], np.int64)
+        yield pa.record_batch({"vec_id": b.column(0).take(pa.array(good)), "norm": norms, "v": pa.array([x.tobytes() for x in vs], pa.binary()), "most": most})
+
+
+def width(most: int) -> np.dtype:
+    """The narrowest integers that hold components up to `most`."""
+    return np.dtype(np.int16 if most < 1 << 15 else np.int32 if most < 1 << 31 else np.int64)
 
 
 def matrix(blobs, dim: int) -> np.ndarray:
@@ -44,14 +58,14 @@ def matrix(blobs, dim: int) -> np.ndarray:
     return out
 
 
-def _pack(dim: int, size: int):
+def _pack(dim: int, size: int, kind: np.dtype):
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, size):
                 part = b.slice(lo, size)
                 vs = matrix(part.column(2).to_pylist(), dim)
                 yield pa.record_batch(
-                    [pa.array([part.column(1)[0].as_py()], pa.float64()), pa.array([np.array(part.column(0), np.int64).tobytes()], pa.binary()), pa.array([vs.tobytes()], pa.binary()), pa.array([dim], pa.int32())],
+                    [pa.array([part.column(1)[0].as_py()], pa.float64()), pa.array([np.array(part.column(0), np.int64).tobytes()], pa.binary()), pa.array([vs.astype(kind).tobytes()], pa.binary()), pa.array([dim], pa.int32())],
                     ["norm", "ids", "vs", "dim"],
                 )
 
@@ -150,17 +164,18 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K)
     scratch = Scratch(spark, "top-k")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     table = scratch.table(rows.mapInArrow(_integers, VECTOR), "vectors")
-    n, dim = table.agg(F.count("*"), F.coalesce(F.max(F.length("v") / 8), F.lit(0)).cast("int")).first()
+    n, dim, most = table.agg(F.count("*"), F.coalesce(F.max(F.length("v") / 8), F.lit(0)).cast("int"), F.coalesce(F.max("most"), F.lit(0))).first()
+    kind = width(most)
     asked = table.where(is_query).groupBy("vec_id").agg(F.min(F.struct("v", "norm")).alias("x")).select("vec_id", F.col("x.norm").alias("norm"), F.col("x.v").alias("v"))
     q = asked.count()
     rotation = _rotation(table, dim, n)
 
     parts = max(1, math.ceil(n / (8 * BLOCK)))
     falling = table.repartitionByRange(parts, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    blocks = scratch.table(falling.mapInArrow(_pack(dim, BLOCK), PACKED), "blocks")
+    blocks = scratch.table(falling.mapInArrow(_pack(dim, BLOCK, kind), PACKED).withColumn("block", F.monotonically_increasing_id()), "blocks")
     groups = max(1, math.ceil(q / QUERIES))
     dealt = asked.repartitionByRange(groups, F.desc("norm"), "vec_id").sortWithinPartitions(F.desc("norm"), "vec_id")
-    asking = dealt.mapInArrow(_pack(dim, QUERIES), PACKED).withColumn("group", F.monotonically_increasing_id())
+    asking = dealt.mapInArrow(_pack(dim, QUERIES, kind), PACKED).withColumn("group", F.monotonically_increasing_id())
     asking = scratch.table(asking.select("group", F.col("ids").alias("q_ids"), F.col("vs").alias("q_vs")), "queries")
 
     def floors(batches):
@@ -177,7 +192,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K)
 
     def opened(ids, vs):
         ids = np.frombuffer(ids, np.int64)
-        return ids, np.frombuffer(vs, np.int64).reshape(len(ids), dim)
+        return ids, np.frombuffer(vs, kind).astype(np.int64).reshape(len(ids), dim)
 
     def search(batches):
         best, now = None, None
@@ -199,10 +214,18 @@ def top_k(spark: SparkSession, vectors: DataFrame, is_query: Column, k: int = K)
     floored = asking.withColumn("one", F.lit(1)).join(F.broadcast(first.withColumn("one", F.lit(1))), "one")
     floored = floored.mapInArrow(floors, "group long, q_ids binary, q_vs binary, floor binary, need double")
     floored = scratch.table(floored, "floors")
-    names = [r["group"] for r in floored.select("group").toLocalIterator()]  # one number a block of queries
-    met = blocks.withColumn("lane", F.pmod(F.xxhash64("ids"), F.lit(LANES))).withColumn("group", F.explode(F.array(*(F.lit(x).cast("long") for x in names)) if names else F.lit(None).cast("array<long>")))
-    met = met.join(floored, "group").where(F.col("norm") >= F.col("need") * (1 - 1e-9))
-    met = met.repartition(min(2000, max(1, len(names)) * LANES), "group", "lane").sortWithinPartitions("group", "lane", F.desc("norm"))
+    # Which block meets which group is settled on norms alone, level by level of length, before any vector
+    # moves; a group meets the levels that its floor leaves open.
+    level = lambda x: F.floor(F.log2(F.greatest(x, F.lit(1e-300))) * LEVELS).cast("long")
+    lengths = blocks.select("block", "norm", level(F.col("norm")).alias("level"), F.pmod(F.xxhash64("block", F.lit(2)), F.lit(SALTS)).cast("long").alias("salt"))
+    steps = F.broadcast(lengths.groupBy("level").agg(F.max("norm").alias("top")).agg(F.collect_list(F.struct("level", "top")).alias("steps")).withColumn("one", F.lit(1)))  # some thousand levels at most
+    open_ = floored.select("group", (F.col("need") * (1 - 1e-9)).alias("need"), F.lit(1).alias("one")).join(steps, "one")
+    open_ = open_.select("group", "need", F.explode(F.filter("steps", lambda s: s["top"] >= F.col("need"))["level"]).alias("level"))
+    open_ = open_.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = open_.join(lengths, ["level", "salt"]).where("norm >= need").select("group", "block")
+    lane = F.pmod(F.xxhash64("block"), F.lit(LANES)).cast("int")
+    met = pairs.join(blocks, "block").join(floored.drop("need"), "group").withColumn("lane", lane)
+    met = met.repartition(max(1, groups * LANES), "group", "lane").sortWithinPartitions("group", "lane", F.desc("norm"))
     hits = met.mapInArrow(search, "query_id long, vec_id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
