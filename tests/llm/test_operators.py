@@ -60,40 +60,61 @@ def test_substring_dedup_against_brute_force(spark):
     assert substring_dedup.remove_repeats(spark, frame(spark, [])).count() == 0
 
 
-def components(rows):
+def shingled(text):
     fold = {c: c + 32 for c in range(65, 91)}
-    sets = {}
-    for i, t in rows:
-        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(fold))
-        sets.setdefault(i, {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()))
-    ids = [i for i in sets if i is not None]
-    parent = {i: i for i in ids}
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
+    return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def components(rows, similarity=85):
+    """(doc_id, n_shingles, component_id) of each row, by comparing all pairs; rows of one doc_id are one document."""
+    sets = [shingled(t) for _, t in rows]
+    parent = list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    for a in ids:
-        for b in ids:
-            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+    for a in range(len(rows)):
+        for b in range(a):
+            alike = sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+            if alike or (rows[a][0] is not None and rows[a][0] == rows[b][0]):
                 x, y = find(a), find(b)
                 parent[max(x, y)] = min(x, y)
-    return {i: (len(sets[i]), find(i)) for i in ids}
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[find(k)] = min(least.get(find(k), i), i)
+    return sorted(((i, len(sets[k]), least.get(find(k))) for k, (i, _) in enumerate(rows)), key=str)
 
 
 def test_near_dedup_against_brute_force(spark):
-    rows = [r for r in odd_documents(5) if r[0] != 7]
-    want = components([(r[0], r[1]) for r in rows])
-    got = near_dedup.near_duplicates(spark, frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    for r in got:
-        if r["doc_id"] is not None:
-            assert (r["n_shingles"], r["component_id"]) == want[r["doc_id"]]
-            assert r["kept"] == (r["doc_id"] == r["component_id"])
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    clash = [(i, t, "en", "s", 1, "b", 0, "x") for i, t in [(3, a), (7, a), (7, b), (9, b), (2, c), (None, c + " tail"), (None, "only " + a[:40]), (9, None), (11, "x y " * 200000)]]
+    for rows in (odd_documents(5), odd_documents(6) + clash, clash):
+        want = components([(r[0], r[1]) for r in rows])
+        got = near_dedup.near_duplicates(spark, frame(spark, rows)).collect()
+        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+        assert all(r["kept"] == (r["component_id"] is None or r["doc_id"] == r["component_id"]) for r in got)
     assert near_dedup.near_duplicates(spark, frame(spark, [])).count() == 0
     kept = near_dedup.keep_one_of_each(spark, frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
+    texts = [r["text"] for r in kept.collect()]
+    assert sorted(t for t in texts if t in (a, b)) == [a, b]
+
+
+def test_overlap_matrix_equals_set_overlaps():
+    """The matrix path of a tile (256 pairs and more) against plain sets."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = r.choice(10**6, 400, replace=False).astype(np.uint64)
+    sets = [np.sort(np.concatenate([base[: 400 - k], (2 * 10**6 + 1000 * k + np.arange(k)).astype(np.uint64)])) for k in range(60)]
+    square = pa.table({"id": np.arange(60), "part": np.arange(60), "own": np.zeros(60, np.int32), "a": np.zeros(60, np.int32), "b": np.zeros(60, np.int32), "bag": [s.tobytes() for s in sets]})
+    got = near_dedup._linked(square, 85)
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 85 * len(np.union1d(sets[i], sets[j]))}
+    assert set(zip(got["u"].to_pylist(), got["v"].to_pylist(), strict=True)) == want and want
 
 
 def test_superminhash_estimates_similarity():
@@ -131,6 +152,9 @@ def test_mixing_edge_cases(spark):
     assert sorted(mixing.apply_mix(spark, frame(spark, rows)).columns) == sorted(frame(spark, []).columns)
     assert mixing.apply_mix(spark, frame(spark, rows)).count() == got["copies"].sum()
     assert mixing.mix(spark, frame(spark, [])).count() == 0
+    twins = [(1, f"{x} " * 50, "en", "s", 1, "b", k, "x") for k, x in enumerate("abcdefgh")] + [(k, "w " * 50, "en", "t", 1, "b", k, "x") for k in range(9)]
+    taken = [Counter(r["text"] for r in mixing.apply_mix(spark, frame(spark, twins).repartition(n)).collect()) for n in (1, 5, 3)]
+    assert taken[0] == taken[1] == taken[2]
 
 
 def test_decontamination_edge_cases(spark):
@@ -191,6 +215,55 @@ def test_langid_edge_cases(spark):
     assert langid.identify(spark, odd, docs.limit(0)).where("lang is not null").count() == 0
 
 
+def test_langid_many_languages_and_false_declarations(spark):
+    """No number of languages is too many, and a page's declaration is outvoted where it is false."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("text", "lang")
+    stray = spark.createDataFrame([(f"zz zz{k} qq", f"x{k:03d}") for k in range(70)], "text string, lang string")
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").select("page_id", "url", "html")
+    out = langid.identify(spark, pages, docs.unionByName(stray)).collect()
+    assert {len(r["posterior"]) for r in out} == {70 + docs.select("lang").distinct().count()}
+    assert sum(r["lang"] == r["declared"] for r in out) >= 0.9 * len(out)
+    # Each eighth page declares another language than before.
+    truth = {r["page_id"]: r["lang"] for r in langid.identify(spark, pages, docs).collect()}
+    wrong = F.when(F.col("page_id") % 8 == 0, F.regexp_replace("html", r"(?i)(<html\b[^>]*?\blang\s*=\s*[\"']?)[a-zA-Z]{2}", "$1zz")).otherwise(F.col("html"))
+    lied = langid.identify(spark, pages.withColumn("html", wrong), docs).collect()
+    assert any(r["declared"] == "zz" for r in lied)
+    assert sum(r["lang"] == truth[r["page_id"]] for r in lied) >= 0.95 * len(lied)
+
+
+def test_langid_posterior_against_plain_python(spark):
+    docs = [("the cat and the dog", "en"), ("der hund und die katze", "de"), ("le chat et le chien", "fr"), (None, "en"), ("no language", None)]
+    pages = [(1, "https://a.example.com/x", "<html lang=en><p>the cat sat</p>"), (2, "https://b.example.com/", "<html lang=de>die katze</html>"), (3, "http://www.other.fr/y", "le chien"), (4, None, None), (4, "", ""), (5, "https://a.example.com/z", "<html lang='fr'>the dog and the cat")]
+    got = langid.identify(spark, spark.createDataFrame(pages, "page_id int, url string, html string"), spark.createDataFrame(docs, "text string, lang string")).collect()
+    cells = lambda t: [((((b[i] << 16) | (b[i + 1] << 8) | b[i + 2]) * 2654435761) & 0xFFFFFFFF) >> 16 for b in [t.lower().encode()] for i in range(len(b) - 2)]
+    langs, n, model = ["de", "en", "fr"], 1 << 16, {}
+    for x in langs:
+        c = Counter(k for t, y in docs if y == x and t for k in cells(t))
+        model[x] = lambda k, c=c, total=sum(c.values()): math.log((c[k] + 0.5) / (total + 0.5 * n))
+    strip = lambda h: re.sub(r"&[a-zA-Z#0-9]{1,8};", " ", re.sub(r"<[^>]*>", " ", h or ""))
+    rows = []
+    for i, url, html in pages:
+        k = cells(strip(html))
+        score = [sum(model[x](c) for c in k) * 0.2 * min(1, 400 / max(1, len(k))) for x in langs]
+        w = [math.exp(s - max(score)) for s in score]
+        host = (re.match(r"^[a-z]+://([^/?#:]*)", url or "") or [None, ""])[1]
+        said = (re.match(r"(?i)<html\b[^>]*?\blang\s*=\s*[\"']?([a-z]{2,3})", html or "") or [None, ""])[1]
+        rows.append((i, score, [x / sum(w) for x in w], said, host.split(".")[-1], host, ".".join(host.split(".")[-2:])))
+    total = [sum(r[2][k] for r in rows) for k in range(3)]
+    for r, out in zip(sorted(rows, key=str), sorted(got, key=lambda o: str((o["page_id"], o["text_lang"] is None))), strict=True):
+        fused = []
+        seen = lambda at, k: max(0.0, sum(q[2][k] for q in rows if q[at] == r[at]) - r[2][k])
+        rest = [max(0.0, total[k] - r[2][k]) for k in range(3)]
+        for k in range(3):
+            say = sum(math.log((seen(at, k) + 0.5) / (rest[k] + 0.5 * (len({q[at] for q in rows}) + 1))) for at in (3, 4))
+            general = (rest[k] + 0.5) / (sum(total) - 1 + 1.5)
+            domain = (seen(6, k) + 5 * general) / (sum(seen(6, j) for j in range(3)) + 5)
+            fused.append(r[1][k] + say + math.log((seen(5, k) + 5 * domain) / (sum(seen(5, j) for j in range(3)) + 5)))
+        w = [math.exp(f - max(fused)) for f in fused]
+        assert out["lang"] == langs[fused.index(max(fused))]
+        assert all(abs(x / sum(w) - y) < 1e-6 for x, y in zip(w, out["posterior"], strict=True))
+
+
 def test_shard_store_round_trip(spark, tmp_path):
     docs = frame(spark, odd_documents())
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20)
@@ -202,7 +275,9 @@ def test_shard_store_round_trip(spark, tmp_path):
     rows = lambda d: sorted(map(str, d.select(docs.columns).collect()))
     assert rows(store.read()) == rows(docs) == rows(store.read(6))
     store.vacuum()
-    assert rows(store.read()) == rows(docs)
+    assert rows(store.read()) == rows(docs) and store.versions() == [7]
+    assert len(list((tmp_path / "store" / "manifests").iterdir())) == 1
+    assert {str(p) for p in (tmp_path / "store" / "data").rglob("*.parquet")} == {re.sub("^file:/*", "/", r["path"]) for r in store.manifest().collect()}
     try:
         store._commit(store.versions()[-1], store.manifest())
         raise AssertionError("a version was committed twice")
@@ -212,6 +287,42 @@ def test_shard_store_round_trip(spark, tmp_path):
     assert sharding.shard(spark, frame(spark, [])).count() == 0
 
 
+def test_shard_store_interleaved_writers(spark, tmp_path):
+    """Two writers start from one version: one wins it, the other goes on from there, nothing is lost."""
+    docs = frame(spark, odd_documents())
+    one, two = (sharding.ShardStore(spark, str(tmp_path / "store")) for _ in range(2))
+    one.append(docs.where("key < 20"), 10)
+    commit, late = one._commit, []
+
+    def slow(version, shards):
+        if not late:
+            late.append(two.append(docs.where("key >= 60"), 10))
+            two.vacuum()  # beside an append that has written its shards and not yet committed
+        return commit(version, shards)
+
+    one._commit = slow
+    assert one.append(docs.where("key >= 20 and key < 60"), 10) == 3 and late == [2]
+    assert sorted(map(str, one.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_compaction_plan_against_plain_python(spark, tmp_path):
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=100)
+    r = random.Random(4)
+    live = [(f"p{k:03d}", k % 4, r.randrange(1, 70), 5, 1 + k // 10) for k in range(50)]
+    got = {}
+    for x in store.plan(spark.createDataFrame(live, sharding.MANIFEST)).collect():
+        got.setdefault(x["run"], set()).add(x["path"])
+    want = []
+    for tier in range(4):
+        small = sorted((x for x in live if x[1] == tier and x[2] < 50), key=lambda x: (x[4], x[0]))
+        total, runs = 0, {}
+        for x in small if len(small) >= store.fanin else []:
+            runs.setdefault(total // 100, set()).add(x[0])
+            total += x[2]
+        want += [v for v in runs.values() if len(v) > 1]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and set(got) == set(range(len(want)))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as p
 
@@ -221,8 +332,8 @@ def test_pipeline_stages(spark):
         if name != p.STAGES[-1][0]:
             assert out.columns == docs.columns
             if name == "near_dedup":
-                want = components([(r["doc_id"], r["text"]) for r in docs.collect()])
-                assert {r["doc_id"] for r in out.collect()} == {i for i, (_, c) in want.items() if c == i}
+                want = components([(r["doc_id"], r["text"]) for r in docs.collect()], 80)
+                assert {r["doc_id"] for r in out.collect()} == {i for i, _, c in want if c == i}
         docs = out.persist()
     assert docs.count() > 0
 
