@@ -136,6 +136,6 @@ def score(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str =
     blocks = B.pack(scratch, rows, block_bytes)
     n = max(1, math.ceil((blocks.agg(F.sum("n_bytes")).first()[0] or 0) / BUCKET_BYTES))
     sent = blocks.mapInArrow(_ask(n), "bucket int, block long, keys binary, counts binary, inside binary")
-    answers = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer, "block long, bucket int, background binary, target binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, background binary, target binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "background", "target")).alias("answers"))
     return blocks.join(answers, "block").mapInArrow(_score(n), SCORES)

@@ -308,11 +308,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False
     total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
     asked = blocks.mapInArrow(_ask(n), "bucket int, block long, keys binary, inside binary")
-    answers = asked.repartition(n, "bucket").groupBy("bucket").applyInArrow(_answer(hot_blocks), "block long, bucket int, codes binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answer(hot_blocks), "block long, bucket int, codes binary")
     answers = scratch.table(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers")), "answers")
     with_answers = blocks.join(answers.hint("shuffle_hash"), "block", "left")
     sent = with_answers.mapInArrow(_send(n), "bucket int, block long, counts binary, low binary, text binary")
-    found = sent.repartition(n, "bucket").groupBy("bucket").applyInArrow(_sort, "block long, bucket int, bits binary, n long")
+    found = sent.groupBy("bucket").applyInArrow(_sort, "block long, bucket int, bits binary, n long")
     found = scratch.table(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("found")), "found")
     both = blocks.join(answers.join(found, "block", "left"), "block", "left")
     out = both.mapInArrow(_finish(n, with_text), DIGEST)
