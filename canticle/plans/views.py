@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-NOW = 993945600  # fixed value: 2001-07-01, the day on which "recent" is judged
+NOW = 795744000  # fixed value: 1995-03-21, the day on which "recent" is judged
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,15 @@ def lib(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") >= 3, F.col("p_retailprice") / 10).alias("pace_wpm"),
         F.when(F.col("p_size") != 50, F.concat(F.lit("maps/"), F.col("p_partkey").cast("string"))).alias("timing_map_path"),
         F.sha2(F.col("p_partkey").cast("string"), 256).alias("audio_hash"),
+        F.when(F.col("p_partkey") % 6 != 0, F.concat(F.lit("Album "), (F.col("p_partkey") % 40).cast("string"))).alias("album"),
+        F.concat_ws("/", F.lit("music"), "p_brand", F.concat(F.col("p_partkey").cast("string"), F.lit(".mp3"))).alias("audio_path"),
+        F.concat(F.lit("jobs/"), F.col("p_partkey").cast("string")).alias("job_dir"),
+        *(F.when(F.col("p_size") != 50, F.concat(F.lit("jobs/"), F.col("p_partkey").cast("string"), F.lit(f"/{x}.wav"))).alias(f"{x}_path") for x in ("vocals", "instrumental")),
+        F.element_at(F.array(*map(F.lit, ("pasted", "transcribed", "imported"))), (F.col("p_partkey") % 3 + 1).cast("int")).alias("lyric_source"),
+        F.when(F.col("p_partkey") % 4 != 0, F.concat(F.lit("covers/"), (F.col("p_partkey") % 50).cast("string"))).alias("cover_path"),
+        (F.col("p_partkey") % 8 == 1).alias("cover_by_user"),
+        F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") + 788918400).alias("reviewed_at"),
+        (F.col("p_partkey") % 4).alias("meta_version"),
     )
     out = songs.join(plays, "id", "left").withColumn("play_count", F.coalesce("play_count", F.lit(0)))
     return out.withColumn("date_added", F.coalesce("date_added", F.lit(0)))
@@ -43,6 +52,10 @@ LIB = """lib AS (
     CASE WHEN p_partkey % 11 <> 0 THEN CAST(1950 + (p_partkey * 7) % 73 AS INTEGER) END AS year,
     ['en','de','fr','es'][CAST(p_partkey % 4 + 1 AS INTEGER)] AS language_tag, CASE WHEN p_size >= 3 THEN p_retailprice / 10 END AS pace_wpm,
     CASE WHEN p_size <> 50 THEN 'maps/' || p_partkey END AS timing_map_path, sha256(CAST(p_partkey AS VARCHAR)) AS audio_hash,
+    CASE WHEN p_partkey % 6 <> 0 THEN 'Album ' || (p_partkey % 40) END AS album, 'music/' || p_brand || '/' || p_partkey || '.mp3' AS audio_path, 'jobs/' || p_partkey AS job_dir,
+    CASE WHEN p_size <> 50 THEN 'jobs/' || p_partkey || '/vocals.wav' END AS vocals_path, CASE WHEN p_size <> 50 THEN 'jobs/' || p_partkey || '/instrumental.wav' END AS instrumental_path,
+    ['pasted','transcribed','imported'][CAST(p_partkey % 3 + 1 AS INTEGER)] AS lyric_source, CASE WHEN p_partkey % 4 <> 0 THEN 'covers/' || (p_partkey % 50) END AS cover_path,
+    p_partkey % 8 = 1 AS cover_by_user, CASE WHEN p_partkey % 3 = 0 THEN p_partkey + 788918400 END AS reviewed_at, p_partkey % 4 AS meta_version,
     coalesce(play_count, 0) AS play_count, last_played, coalesce(date_added, 0) AS date_added
   FROM part LEFT JOIN (
     SELECT l_partkey, count(*) FILTER (WHERE l_returnflag = 'R' AND l_quantity >= 45) AS play_count,
@@ -66,17 +79,21 @@ def coll(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The queue: the first 200 orders, each with its first song."""
-    o = table(spark, sf_dir, "orders").orderBy("o_orderkey").limit(200)
-    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey")).alias("l"))
-    q = o.join(first, o["o_orderkey"] == first["l_orderkey"])
-    q = q.select(F.col("o_orderkey").alias("id"), F.col("l.l_partkey").alias("song_id"), (F.col("o_custkey") % 10).alias("guest"), F.col("o_orderstatus").alias("status"))
-    return q.withColumn("position", F.row_number().over(Window.orderBy("id")) - 1)
+    """The queues: all orders, ten customers a party, each order with its first song; the first entry plays."""
+    first = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("l"))
+    q = table(spark, sf_dir, "orders").join(first, F.col("o_orderkey") == F.col("l_orderkey"))
+    q = q.select(
+        F.col("o_orderkey").alias("id"), F.floor(F.col("o_custkey") / 10).alias("party"), F.col("l.l_partkey").alias("song_id"), F.col("l.l_suppkey").alias("from_collection"),
+        (F.col("o_custkey") % 10).alias("guest"), F.col("o_orderstatus").alias("status"),
+    )
+    own = Window.partitionBy("party")
+    return q.withColumn("position", F.row_number().over(own.orderBy("id")) - 1).withColumn("playing", F.min("id").over(own))
 
 
 QUEUE = """queue AS (
-  SELECT o_orderkey AS id, l.p AS song_id, o_custkey % 10 AS guest, o_orderstatus AS status, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS INTEGER) AS position
-  FROM (SELECT * FROM orders ORDER BY o_orderkey LIMIT 200) JOIN (SELECT l_orderkey, min({'n': l_linenumber, 'p': l_partkey}).p AS p FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey)"""
+  SELECT *, CAST(row_number() OVER (PARTITION BY party ORDER BY id) - 1 AS INTEGER) AS position, min(id) OVER (PARTITION BY party) AS playing FROM (
+    SELECT o_orderkey AS id, o_custkey // 10 AS party, l.p AS song_id, l.s AS from_collection, o_custkey % 10 AS guest, o_orderstatus AS status
+    FROM orders JOIN (SELECT l_orderkey, min({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}).p AS p, min({'n': l_linenumber, 'p': l_partkey, 's': l_suppkey}).s AS s FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey))"""
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
