@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canticle.functions import text as T
@@ -169,28 +168,6 @@ def lrc_strip(spark, sf):
     return literal(spark, LRC, "id int, l string").select("id", strip_tags(F.col("l")).alias("line"))
 
 
-@query("pick_best", """WITH c AS (SELECT source, d.doc_id, n_chars / 10.0::DOUBLE AS duration, coalesce(quality, 0) = 1 AS synced, coalesce(toxic, 0) = 1 AS live, len(string_split(text, chr(10))) AS lines FROM documents d LEFT JOIN labels USING (doc_id)),
-o AS (SELECT *, abs(duration - 200) AS off FROM c), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY live, CASE WHEN off <= 3 THEN -1 ELSE floor(off / 10) END, lines DESC, synced DESC, off, doc_id) AS rn FROM o WHERE off <= 50) SELECT source, doc_id FROM r WHERE rn = 1""")
-def pick_best(spark, sf):
-    """Best candidate a source: studio first, then the duration band, more lines, synced, nearest."""
-    c = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    off = F.abs(F.col("n_chars") / 10.0 - 200)
-    c = c.withColumn("off", off).where("off <= 50")
-    order = Window.partitionBy("source").orderBy(
-        F.coalesce("toxic", F.lit(0)) == 1, F.when(F.col("off") <= 3, F.lit(-1.0)).otherwise(F.floor(F.col("off") / 10).cast("double")),
-        F.size(F.split("text", "\n")).desc(), (F.coalesce("quality", F.lit(0)) == 1).desc(), "off", "doc_id",
-    )
-    return c.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("source", "doc_id")
-
-
-@query("pick_best_nodur", "WITH c AS (SELECT source, doc_id, CASE WHEN coalesce(toxic, 0) = 0 AND coalesce(quality, 0) = 1 THEN 0 WHEN coalesce(toxic, 0) = 0 THEN 1 ELSE 2 END AS r FROM documents LEFT JOIN labels USING (doc_id)), n AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY r, doc_id) AS rn FROM c) SELECT source, doc_id FROM n WHERE rn = 1")
-def pick_best_nodur(spark, sf):
-    c = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
-    studio = F.coalesce("toxic", F.lit(0)) == 0
-    rank = F.when(studio & (F.coalesce("quality", F.lit(0)) == 1), 0).when(studio, 1).otherwise(2)
-    return c.groupBy("source").agg(F.min_by("doc_id", F.struct(rank, "doc_id")).alias("doc_id"))
-
-
 @query("union_dedup", "WITH u AS (SELECT url, page_id, 0 AS s FROM pages UNION ALL SELECT upper(url), page_id, 1 FROM pages WHERE page_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY s, page_id) AS rn FROM u) SELECT url, page_id FROM r WHERE rn = 1")
 def union_dedup(spark, sf):
     p = table(spark, sf, "pages")
