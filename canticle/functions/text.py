@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,13 +86,63 @@ def filename_title(c: Column) -> tuple[Column, Column]:
     return F.when(both, artist), F.when(both, title).otherwise(t)
 
 
-def repeat_marker(c: Column) -> Column:
-    """How often a line such as "(x3)" or "2x" repeats, at most 8; null if it is no marker."""
-    n = F.regexp_extract(F.lower(F.trim(c)), r"^[\[(]?(?:[x×] ?([0-9]{1,2})|([0-9]{1,2}) ?[x×])[\])]?$", 1)
-    m = F.regexp_extract(F.lower(F.trim(c)), r"^[\[(]?(?:[x×] ?([0-9]{1,2})|([0-9]{1,2}) ?[x×])[\])]?$", 2)
-    k = F.when(n != "", n).when(m != "", m).cast("int")
-    return F.when(k >= 2, F.least(k, F.lit(8)))
+def short_time(seconds: Column) -> Column:
+    """Minutes and rounded seconds, as lists show a length."""
+    t = F.round(seconds).cast("long")
+    return F.format_string("%d:%02d", F.floor(t / 60), t % 60)
 
 
-def chord(c: Column) -> Column:
-    return c.rlike(r"^[A-G][#b]?(m|maj|min|dim|aug|sus|add)?[0-9]*(/[A-G][#b]?)?$")
+def ago(seconds: Column) -> Column:
+    """An age in its largest whole unit; ages below zero are none."""
+    d = F.greatest(seconds, F.lit(0))
+    told = lambda size, unit: F.concat(F.floor(d / size).cast("long").cast("string"), F.lit(f"{unit} ago"))
+    return F.when(d < 60, told(1, "s")).when(d < 3600, told(60, "m")).when(d < 86400, told(3600, "h")).otherwise(told(86400, "d"))
+
+
+def fingerprint(**parts: Column) -> Column:
+    """SHA-256 of the parts as JSON, keys in order and nulls written out."""
+    return F.sha2(F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"}), 256)
+
+
+# The names under which song files give a language, besides its tag.
+LANGUAGE_NAMES = {
+    "en": ("english", "englisch"), "de": ("german", "deutsch"), "es": ("spanish", "español", "espanol", "castellano"), "fr": ("french", "français", "francais"),
+    "it": ("italian", "italiano"), "pt": ("portuguese", "português", "portugues"), "nl": ("dutch", "nederlands"), "sv": ("swedish", "svenska"), "no": ("norwegian", "norsk"),
+    "da": ("danish", "dansk"), "fi": ("finnish", "suomi"), "pl": ("polish", "polski"), "cs": ("czech", "čeština", "cestina"), "hu": ("hungarian", "magyar"),
+    "ru": ("russian", "русский"), "tr": ("turkish", "türkçe", "turkce"), "el": ("greek", "ελληνικά"), "ja": ("japanese", "日本語"), "ko": ("korean", "한국어"),
+    "zh": ("chinese", "中文"), "la": ("latin",),
+}
+
+
+def language_tag(name: Column) -> Column:
+    """The tag of a language's name or tag; null for what is not known."""
+    names = F.create_map(*(F.lit(x) for tag, known in LANGUAGE_NAMES.items() for n in (tag, *known) for x in (n, tag)))
+    return F.try_element_at(names, F.lower(F.trim(name)))
+
+
+def common_folder(paths: DataFrame, by: str) -> DataFrame:
+    """The folder that all paths (id, path) of a group share, whatever the case; null for none and for a bare drive.
+
+    What the least and the greatest list of folder names share, all between share: two aggregates, no gathering.
+    """
+    parts = F.split(F.regexp_replace("path", r"[\\/][^\\/]*$", ""), r"[\\/]")
+    folded = F.transform(parts, F.lower)
+    b = paths.groupBy(by).agg(F.min(folded).alias("a"), F.max(folded).alias("z"), F.min_by(parts, "id").alias("first"))
+    differ = F.array_position(F.transform(F.arrays_zip("a", "z"), lambda x: x["a"].eqNullSafe(x["z"])), False)
+    n = F.when(differ > 0, differ - 1).otherwise(F.size("a")).cast("int")
+    folder = F.array_join(F.slice("first", F.lit(1), n), "\\")
+    return b.select(by, F.when((folder != "") & ~folder.rlike(r"^[A-Za-z]:$"), folder).alias("folder"))
+
+
+def headers(text: Column) -> Column:
+    """key and value of each #KEY:value line before the first other line; keys in capitals."""
+    rows = F.filter(F.transform(F.split(F.regexp_replace(text, "^\ufeff", ""), r"\r?\n"), F.trim), lambda x: x != "")
+    other = F.array_position(F.transform(rows, lambda x: x.startswith("#")), False)
+    head = F.when(other > 0, F.slice(rows, F.lit(1), (other - 1).cast("int"))).otherwise(rows)
+    pairs = F.filter(head, lambda x: x.contains(":"))
+    return F.transform(pairs, lambda x: F.struct(F.upper(F.trim(F.regexp_extract(x, "^#([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(x, "^#[^:]*:(.*)$", 1)).alias("value")))
+
+
+def header(pairs: Column, key: str) -> Column:
+    """The value of the first header of a name; null where it is missing or blank."""
+    return F.nullif(F.get(F.filter(pairs, lambda x: x["key"] == key), F.lit(0))["value"], F.lit(""))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canticle.functions import text as T
+from canticle.operators import cleanup as C
+from canticle.operators.library import LANGUAGES, language_name, opaque_id
 from canticle.plans import query
-from canticle.plans.views import table
+from canticle.plans.views import NOW, epoch, table
+from canticle.shipping import ship
 
 LINES = "lines AS (SELECT doc_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))"
 
@@ -24,14 +28,64 @@ def values(rows, columns) -> str:
     return f"v({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(q(v) for v in r) + ')' for r in rows)})"
 
 
-KINDS = "CASE WHEN trim(line) = '' THEN 'blank' WHEN regexp_matches(trim(line), '^\\[.*\\]$') THEN 'header' WHEN regexp_matches(lower(line), 'copyright|license|licence|all rights') THEN 'credit' ELSE 'text' END"
+CREDIT = "(" + " OR ".join(f"starts_with(lower(trim(line)), '{p}')" for p in C.CREDITS) + " OR lower(trim(line)) IN ('embed', 'you might also like') OR regexp_matches(lower(trim(line)), '^[0-9]+\\s*contributor'))"
+#: Lines that the tables lack, with what each is.
+SHAPES = [
+    ("[Chorus]", "header"), ("(Verse 2: Ann)", "header"), ("{Hook x2}", "header"), ("Chorus: (x2)", "header"), ("Chorus", "text"), ("Bridge: over the water", "text"), ("[Part II - Bob]", "header"), ("[Am]", "text"),
+    ("x2", "repeat"), ("(3x)", "repeat"), ("{ ×4 }", "repeat"), ("[2x)", "text"), ("x1", "text"), ("x 2", "text"), ("X100", "text"), ("Written by A Person", "credit"), ("23 Contributors", "credit"), ("You Might Also Like", "credit"),
+    ("pre chorus 2:", "header"), ("[Outro (x2)]", "header"), ("[Verse 2 la]", "text"), ("  ", "blank"), ("© 1999 Nobody", "credit"), ("Sources: none", "text"),
+]
 
 
-@query("lyrics_line_kinds", f"WITH {LINES} SELECT {KINDS} AS kind, count(*) AS n FROM lines GROUP BY 1")
+@query("lyrics_line_kinds", f"WITH {LINES}, {values(SHAPES, ['line', 'kind'])}, k AS (SELECT CASE WHEN trim(line) = '' THEN 'blank' WHEN {CREDIT} THEN 'credit' ELSE 'text' END AS kind, line FROM lines UNION ALL SELECT kind, line FROM v) SELECT kind, count(*) AS n, CAST(sum(length(line)) AS BIGINT) AS chars FROM k GROUP BY kind")
 def lyrics_line_kinds(spark, sf):
-    line = F.trim("line")
-    kind = F.when(line == "", "blank").when(line.rlike(r"^\[.*\]$"), "header").when(F.lower("line").rlike("copyright|license|licence|all rights"), "credit").otherwise("text")
-    return lines(spark, sf).groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    """What each line of the documents is, and of lines in all the shapes that headers, markers and credits take."""
+    rows = lines(spark, sf).select("line").unionByName(literal(spark, [(x,) for x, _ in SHAPES], "line string"))
+    return rows.groupBy(C.line_kind(F.col("line")).alias("kind")).agg(F.count("*").alias("n"), F.sum(F.length("line")).alias("chars"))
+
+
+KEPT = f"kept AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY line_no) - 1 AS k FROM lines WHERE trim(line) <> '' AND NOT {CREDIT})"
+TOKENS = r"tokens AS (SELECT doc_id, k AS line, generate_subscripts(w, 1) - 1 AS place, unnest(w) AS word FROM (SELECT doc_id, k, list_filter(string_split_regex(line, '\s+'), lambda x: x <> '') AS w FROM kept))"
+
+
+@query("lyrics_clean", f"WITH {LINES}, {KEPT}, {TOKENS}, n AS (SELECT doc_id, count(*) AS words FROM tokens GROUP BY 1), l AS (SELECT doc_id, count(*) AS lines FROM kept GROUP BY 1), e AS (SELECT doc_id, count(*) AS credits FROM lines WHERE trim(line) <> '' AND {CREDIT} GROUP BY 1) SELECT doc_id, coalesce(lines, 0) AS lines, coalesce(words, 0) AS words, coalesce(credits, 0) AS credits FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id) LEFT JOIN e USING (doc_id)")
+def lyrics_clean(spark, sf):
+    """What the cleanup keeps of every document and how many credits it takes out."""
+    ship(spark)
+    c = C.clean(table(spark, sf, "documents").select("doc_id", "text"))
+    n = lambda x: F.size(x).cast("long")
+    return c.select("doc_id", n("lines").alias("lines"), n("words").alias("words"), n(F.filter("edits", lambda e: e["kind"] == "credit")).alias("credits"))
+
+
+SONGS = [
+    ("la la\nlo lo\n", "la la\nlo lo\n", "no changes needed"),
+    ("[Verse 1: Ann]\r\nhello there (ooh)\r\nagain x2\r\n\r\n[Chorus x2]\r\nla la\r\nlo lo\r\n\r\nend of it42Embed", "hello there (ooh)\nagain\nagain\n\nla la\nlo lo\n\nla la\nlo lo\n\nend of it", "removed 1 section header, removed 1 credit/boilerplate line, expanded 2 marked repeats, flagged 1 ad-lib".replace("removed 1 section header, ", "removed 2 section headers, ")),
+    ("one\ntwo\n(x3)\nthree", "one\ntwo\none\ntwo\none\ntwo\nthree", "expanded one x3 stanza"),
+    ("Lyrics by Someone\n\nsing (a (b) c) and (d\nx99", "\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d", "removed 1 credit/boilerplate line, expanded one x8 stanza, flagged 1 ad-lib"),
+    ("Hook: (x2)\nhey", "hey\n\nhey", "removed 1 section header, expanded one x2 hook"), ("", "", "no changes needed"),
+]
+
+
+@query("cleanup_summary", "WITH " + values([(i, t.replace("\n", "|"), w) for i, (_, t, w) in enumerate(SONGS)], ["id", "text", "summary"]) + " SELECT id, text, summary FROM v")
+def cleanup_summary(spark, sf):
+    """Cleaned texts and what was changed, in words; the twin holds what should come out."""
+    ship(spark)
+    c = C.clean(literal(spark, [(i, t) for i, (t, _, _) in enumerate(SONGS)], "id int, text string"))
+    return c.select("id", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), C.summary(F.col("edits")).alias("summary"))
+
+
+@query("annotate_zip", f"""WITH {LINES}, {KEPT}, {TOKENS}, i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line, place) - 1 AS word_idx, count(*) OVER (PARTITION BY doc_id) AS n FROM tokens)
+SELECT doc_id AS song, line, min(word_idx) * 0.5 AS start, count(*) AS words, NULL AS error FROM i WHERE doc_id % 7 <> 0 GROUP BY ALL UNION ALL SELECT doc_id, NULL, NULL, count(*), (n - 1) || ' timed words, ' || n || ' cleaned ones' FROM i WHERE doc_id % 7 = 0 GROUP BY doc_id, n""")
+def annotate_zip(spark, sf):
+    """Timed words meet cleaned ones one to one; a seventh of the documents lacks a timed word, which is an error."""
+    ship(spark)
+    c = C.clean(table(spark, sf, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("song"), "words")
+    kept = lines(spark, sf).where(~C.line_kind(F.col("line")).isin("blank", "credit")).select("doc_id", F.filter(F.split("line", r"\s+"), lambda x: x != "").alias("w"))
+    n = kept.groupBy(F.col("doc_id").alias("song")).agg(F.sum(F.size("w")).alias("n")).withColumn("n", F.col("n") - F.when(F.col("song") % 7 == 0, 1).otherwise(0))
+    timed = n.where("n > 0").select("song", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("word_idx")).withColumn("start", F.col("word_idx") * 0.5)
+    out = C.annotate(c, timed).groupBy("song", "line", "error").agg(F.min("start").alias("start"), F.count("*").alias("n"))
+    said = F.regexp_extract("error", r", ([0-9]+) cleaned", 1).try_cast("long")
+    return out.select("song", "line", "start", F.coalesce(said, F.col("n")).alias("words"), "error")
 
 
 @query("doc_word_counts", r"SELECT doc_id, CAST(len(list_filter(string_split_regex(text, '[ \t\n]+'), lambda w: w <> '')) AS INTEGER) AS words FROM documents")
@@ -70,14 +124,16 @@ def file_stem(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.file_stem(F.col("url"), F.col("url")).alias("stem"))
 
 
-@query("opaque_ids", "SELECT s_suppkey, 's' || left(sha256('salt:' || s_suppkey), 10) AS opaque FROM supplier")
+@query("opaque_ids", "SELECT s_suppkey, 's' || left(sha256('salt:'::BLOB || from_hex(lpad(hex(s_suppkey % 256), 2, '0') || lpad(hex(s_suppkey // 256 % 256), 2, '0') || lpad(hex(s_suppkey // 65536), 2, '0') || '0000000000')), 10) AS opaque FROM supplier")
 def opaque_ids(spark, sf):
-    return table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.left(F.sha2(F.concat(F.lit("salt:"), F.col("s_suppkey").cast("string")), 256), F.lit(10))).alias("opaque"))
+    return table(spark, sf, "supplier").select("s_suppkey", opaque_id(F.col("s_suppkey"), "salt").alias("opaque"))
 
 
-@query("fingerprint", """SELECT o_orderkey, sha256(o_orderstatus || '|' || o_custkey || '|' || o_orderpriority) AS fingerprint FROM orders""")
+@query("fingerprint", """SELECT o_orderkey, sha256('{"customer":' || o_custkey || ',"note":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE '"' || o_orderpriority || '"' END || ',"status":"' || o_orderstatus || '"}') AS fingerprint FROM orders""")
 def fingerprint(spark, sf):
-    return table(spark, sf, "orders").select("o_orderkey", F.sha2(F.concat_ws("|", "o_orderstatus", F.col("o_custkey").cast("string"), "o_orderpriority"), 256).alias("fingerprint"))
+    """A hash of canonical JSON: keys in order, nulls said, so that a missing part is not an empty one."""
+    note = F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority"))
+    return table(spark, sf, "orders").select("o_orderkey", T.fingerprint(customer=F.col("o_custkey"), note=note, status=F.col("o_orderstatus")).alias("fingerprint"))
 
 
 @query("decade_of", "SELECT o_orderkey, CAST(year(o_orderdate) // 10 * 10 AS INTEGER) AS decade FROM orders")
@@ -91,24 +147,36 @@ def half_even(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.to_cs(m).alias("cs"))
 
 
-@query("format_timestamps", "SELECT p_partkey, printf('%02d:%02d.%02d', c // 6000, c // 100 % 60, c % 100) AS lrc, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS ass FROM (SELECT p_partkey, CAST(floor(p_retailprice * 100) AS BIGINT) AS c FROM part)")
+@query("format_timestamps", "SELECT p_partkey, printf('%02d:%02d.%02d', c // 6000, c // 100 % 60, c % 100) AS lrc, printf('%d:%02d:%02d.%02d', c // 360000, c // 6000 % 60, c // 100 % 60, c % 100) AS ass, printf('%d:%02d', (c + 50) // 6000, (c + 50) // 100 % 60) AS short FROM (SELECT p_partkey, CAST(floor(p_retailprice * 100) AS BIGINT) AS c FROM part)")
 def format_timestamps(spark, sf):
     c = F.floor(F.col("p_retailprice") * 100)
-    return table(spark, sf, "part").select("p_partkey", T.lrc_time(c).alias("lrc"), T.ass_time(c).alias("ass"))
+    return table(spark, sf, "part").select("p_partkey", T.lrc_time(c).alias("lrc"), T.ass_time(c).alias("ass"), T.short_time(c / 100).alias("short"))
 
 
-@query("humanize_age", "SELECT o_orderkey, CASE WHEN d < 60 THEN 'now' WHEN d < 3600 THEN d // 60 || ' min' WHEN d < 86400 THEN d // 3600 || ' h' ELSE d // 86400 || ' d' END AS age FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS d FROM orders)")
+@query("humanize_age", f"SELECT o_orderkey, CASE WHEN d < 60 THEN d || 's ago' WHEN d < 3600 THEN d // 60 || 'm ago' WHEN d < 86400 THEN d // 3600 || 'h ago' ELSE d // 86400 || 'd ago' END AS age FROM (SELECT o_orderkey, greatest(0, o_orderkey * 37 % 200000 - 50) AS d FROM orders)")
 def humanize_age(spark, sf):
-    d = F.col("d")
-    part = lambda n, unit: F.concat(F.floor(d / n).cast("string"), F.lit(unit))
-    o = table(spark, sf, "orders").select("o_orderkey", F.round("o_totalprice").cast("long").alias("d"))
-    return o.select("o_orderkey", F.when(d < 60, "now").when(d < 3600, part(60, " min")).when(d < 86400, part(3600, " h")).otherwise(part(86400, " d")).alias("age"))
+    seen = F.lit(NOW) - (F.col("o_orderkey") * 37 % 200000 - 50)
+    return table(spark, sf, "orders").select("o_orderkey", T.ago(F.lit(NOW) - seen).alias("age"))
+
 
+@query("civil_dates", "SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day FROM orders")
+def civil_dates(spark, sf):
+    """Calendar dates from days since 1970."""
+    days = F.floor(epoch("o_orderdate") / 86400).cast("int")
+    return table(spark, sf, "orders").select("o_orderkey", F.date_from_unix_date(days).cast("string").alias("day"))
 
-@query("language_tags", "SELECT doc_id, map_extract(MAP {'en': 'English', 'de': 'German', 'fr': 'French', 'es': 'Spanish'}, lang)[1] AS language FROM documents")
+
+SPOKEN = [(1, "English"), (2, " deutsch "), (3, "Español"), (4, "castellano"), (5, "FR"), (6, "Klingon"), (7, None), (8, "日本語"), (9, "čeština"), (10, "norsk"), (11, "la"), (12, "Latin"), (13, "")]
+TAGGED = [(1, "en"), (2, "de"), (3, "es"), (4, "es"), (5, "fr"), (6, None), (7, None), (8, "ja"), (9, "cs"), (10, "no"), (11, "la"), (12, "la"), (13, None)]
+TITLES = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGES.items()) + "}"
+
+
+@query("language_tags", f"WITH {values(TAGGED, ['id', 'tag'])} SELECT id, tag, coalesce(map_extract({TITLES}, tag)[1], upper(tag)) AS language FROM v UNION ALL SELECT doc_id + 100, lang, coalesce(map_extract({TITLES}, lang)[1], upper(lang)) FROM documents")
 def language_tags(spark, sf):
-    names = F.create_map(*(F.lit(x) for x in ("en", "English", "de", "German", "fr", "French", "es", "Spanish")))
-    return table(spark, sf, "documents").select("doc_id", F.element_at(names, F.col("lang")).alias("language"))
+    """Tags of language names as files write them, and names of tags."""
+    rows = literal(spark, SPOKEN, "id long, name string").unionByName(table(spark, sf, "documents").select((F.col("doc_id") + 100).alias("id"), F.col("lang").alias("name")))
+    tag = T.language_tag(F.col("name"))
+    return rows.select("id", tag.alias("tag"), language_name(tag).alias("language"))
 
 
 NAMES = [(1, "  Ann   Lee "), (2, "x" * 20), (3, "   "), (4, "Zoë"), (5, "a\tb")]
@@ -136,26 +204,46 @@ def filename_meta(spark, sf):
     return literal(spark, FILES, "id int, f string").select("id", artist.alias("artist"), title.alias("title"))
 
 
-MARKS = [(1, "x2"), (2, "(3x)"), (3, "[x 12]"), (4, "x1"), (5, "xx"), (6, "2 x"), (7, "chorus x2")]
+MARKS = [(1, "x2", 2), (2, "(3x)", 3), (3, "[x 12]", None), (4, "x1", None), (5, "xx", None), (6, "2 x", None), (7, "chorus x2", None), (8, " { ×4 } ", 4), (9, "[2x)", None), (10, "X99", 8), (11, "x100", None), (12, "[x08]", 8), (13, "((x2))", None)]
 
 
-@query("repeat_markers", f"WITH {values(MARKS, ['id', 'm'])}, " + r"n AS (SELECT id, TRY_CAST(coalesce(nullif(regexp_extract(m, '^[\[(]?(?:x ?([0-9]{1,2})|([0-9]{1,2}) ?x)[\])]?$', 1), ''), nullif(regexp_extract(m, '^[\[(]?(?:x ?([0-9]{1,2})|([0-9]{1,2}) ?x)[\])]?$', 2), '')) AS INTEGER) AS n FROM v) SELECT id, CASE WHEN n >= 2 THEN least(n, 8) END AS times FROM n")
+@query("repeat_markers", f"WITH {values(MARKS, ['id', 'm', 'times'])} SELECT id, CAST(times AS INTEGER) AS times FROM v")
 def repeat_markers(spark, sf):
-    return literal(spark, MARKS, "id int, m string").select("id", T.repeat_marker(F.col("m")).alias("times"))
+    return literal(spark, [m[:2] for m in MARKS], "id int, m string").select("id", C.repeat_count(F.col("m")).alias("times"))
 
 
-@query("repeat_expand", f"WITH {values(MARKS, ['id', 'm'])} SELECT id, CAST(unnest(range(1, 3)) AS INTEGER) AS nth FROM v WHERE id IN (1, 6) UNION ALL SELECT 2, CAST(unnest(range(1, 4)) AS INTEGER) UNION ALL SELECT 3, CAST(unnest(range(1, 9)) AS INTEGER)")
+@query("repeat_expand", f"WITH {LINES}, {KEPT}, r AS (SELECT doc_id, k, line, CAST(1 + (doc_id + k) % 3 AS BIGINT) AS times FROM kept), d AS (SELECT doc_id, sum(times) AS total, count(*) AS n FROM r GROUP BY 1) SELECT doc_id, CAST(total AS BIGINT) AS lines, CAST(total - n AS BIGINT) AS repeated FROM d")
 def repeat_expand(spark, sf):
-    m = literal(spark, MARKS, "id int, m string").withColumn("n", T.repeat_marker(F.col("m"))).where("n IS NOT NULL")
-    return m.select("id", F.explode(F.sequence(F.lit(1), "n")).alias("nth"))
+    """Documents whose lines carry a repeat marker each or none: lines after the cleanup, and how many are copies."""
+    ship(spark)
+    rows = lines(spark, sf).where(~C.line_kind(F.col("line")).isin("blank", "credit"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("line_no")) - 1
+    times = 1 + (F.col("doc_id") + place) % 3
+    marked = rows.select("doc_id", "line_no", F.concat("line", F.when(times > 1, F.concat(F.lit(" (x"), times.cast("string"), F.lit(")"))).otherwise("")).alias("line"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    c = C.clean(marked.groupBy("doc_id").agg(text.alias("text")))
+    return c.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: x["repeated"])).cast("long").alias("repeated"))
+
+
+CHORDS = [(1, "Am", True), (2, "F#m7", True), (3, "C/G", True), (4, "Hello", False), (5, "Gsus4", True), (6, "Do", False), (7, "C7sus4", True), (8, "CM7", True), (9, "Bm7b5", True), (10, "Csus4add", False), (11, "A/", False), (12, "Cb5", True), (13, "H7", False), (14, "Bb", True), (15, "C/Gm", False)]
+
 
+@query("chord_names", f"WITH {values(CHORDS, ['id', 'w', 'chord'])} SELECT id, chord FROM v")
+def chord_names(spark, sf):
+    return literal(spark, [c[:2] for c in CHORDS], "id int, w string").select("id", C.is_chord(F.col("w")).alias("chord"))
 
-CHORDS = [(1, "Am"), (2, "F#m7"), (3, "C/G"), (4, "Hello"), (5, "Gsus4"), (6, "Do")]
 
+SHEETS = [(-1, "Am  F#m7 C/G\nHello [Am] there\n[00:12.00]Timed\nA &amp; B", ["only 10 words: is this the whole song?", "1 chord lines", "1 lines with inline chords", "1 lines with timestamps: this is an LRC file", "HTML left over from a web page"]), (-2, "", ["no lyric words left after cleanup"]), (-3, "Am\nthe [not a chord] line " + "la " * 40, ["1 lines over 100 characters"])]
+WARNED = "list_filter([CASE WHEN words = 0 THEN 'no lyric words left after cleanup' WHEN words < 15 THEN 'only ' || words || ' words: is this the whole song?' END, CASE WHEN words > 1500 THEN words || ' words: this may hold more than one song' END, CASE WHEN long > 0 THEN long || ' lines over 100 characters' END, CASE WHEN html THEN 'HTML left over from a web page' END], lambda x: x IS NOT NULL)"
 
-@query("lyrics_check", f"WITH {values(CHORDS, ['id', 'w'])} " + r"SELECT id, regexp_matches(w, '^[A-G][#b]?(m|maj|min|dim|aug|sus|add)?[0-9]*(/[A-G][#b]?)?$') AS chord FROM v")
+
+@query("lyrics_check", f"WITH {LINES}, {KEPT}, {TOKENS}, n AS (SELECT doc_id, count(*) AS words FROM tokens GROUP BY 1), w AS (SELECT d.doc_id, coalesce(any_value(words), 0) AS words, count(*) FILTER (WHERE length(trim(line)) > 100) AS long, regexp_matches(any_value(text), '<br|<p>|&amp;|&#39;|&quot;') AS html FROM documents d LEFT JOIN lines USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1), {values([(i, '|'.join(w)) for i, _, w in SHEETS], ['id', 'warnings'])} SELECT doc_id AS id, array_to_string({WARNED}, '|') AS warnings FROM w UNION ALL SELECT * FROM v")
 def lyrics_check(spark, sf):
-    return literal(spark, CHORDS, "id int, w string").select("id", T.chord(F.col("w")).alias("chord"))
+    """What a person should mend in each text before it is aligned."""
+    ship(spark)
+    rows = literal(spark, [(i, t) for i, t, _ in SHEETS], "id long, text string").unionByName(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
+    c = C.clean(rows).select("id", F.size("words").alias("n"))
+    return rows.join(c, "id").select("id", F.array_join(C.problems(F.col("text"), F.col("n")), "|").alias("warnings"))
 
 
 LRC = [(1, "[00:12.00]<00:12.50>Hello <00:13.00>you"), (2, "[ti:Song]"), (3, "[Chorus]"), (4, "[01:02.3][01:05.3]Twice"), (5, "I <3 you")]
@@ -202,14 +290,24 @@ def scan_summary(spark, sf):
     return table(spark, sf, "pages").agg(F.count("*").alias("pages"), F.count_if(F.col("url").startswith("https")).alias("secure"), F.count_if(F.col("url").contains("#")).alias("fragments"), F.count_if(F.col("url").contains("?")).alias("queries"), F.max(F.length("url")).cast("long").alias("longest"))
 
 
-@query("common_prefix", "WITH p AS (SELECT min(url) AS a, max(url) AS b FROM pages WHERE starts_with(url, 'https://')) SELECT substring(a, 1, coalesce((SELECT min(i) - 1 FROM range(1, 60) t(i) WHERE substring(a, i, 1) <> substring(b, i, 1)), 59)) AS prefix FROM p")
-def common_prefix(spark, sf):
-    """The common prefix of all strings is that of the least and the greatest: two aggregates, no gathering."""
-    p = table(spark, sf, "pages").where(F.col("url").startswith("https://")).agg(F.min("url").alias("a"), F.max("url").alias("b"))
-    at = F.filter(F.sequence(F.lit(1), F.lit(59)), lambda i: F.substr("a", i, F.lit(1)) != F.substr("b", i, F.lit(1)))
-    return p.select(F.substr("a", F.lit(1), F.coalesce(F.get(at, F.lit(0)) - 1, F.lit(59))).alias("prefix"))
+FOLDERS = "paths AS (SELECT p_partkey AS id, p_brand AS brand, 'C:\\Music/' || CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END || '/' || p_type || '\\song.mp3' AS path FROM part UNION ALL SELECT s_suppkey, 'none', substr('ABC', CAST(s_suppkey % 3 + 1 AS INTEGER), 1) || ':/x/' || s_suppkey FROM supplier UNION ALL SELECT n_nationkey, 'one drive', 'D:\\' || n_name FROM nation)"
+
+
+@query("common_folder", f"WITH {FOLDERS}, f AS (SELECT brand, id, string_split_regex(regexp_replace(path, '[\\\\/][^\\\\/]*$', ''), '[\\\\/]') AS parts FROM paths), b AS (SELECT brand, min(list_transform(parts, lambda x: lower(x))) AS a, max(list_transform(parts, lambda x: lower(x))) AS z, arg_min(parts, id) AS first FROM f GROUP BY brand), c AS (SELECT brand, array_to_string(list_slice(first, 1, len(list_filter(range(1, len(a) + 1), lambda i: list_slice(a, 1, i) = list_slice(z, 1, i)))), '\\') AS folder FROM b) SELECT brand, CASE WHEN folder <> '' AND NOT regexp_full_match(folder, '[A-Za-z]:') THEN folder END AS folder FROM c")
+def common_folder(spark, sf):
+    """The folder that all paths of a brand share, whatever the case, as the first one spells it; a bare drive is none."""
+    p, k = table(spark, sf, "part"), F.col("p_partkey")
+    one = p.select(k.alias("id"), F.col("p_brand").alias("brand"), F.concat(F.lit("C:\\Music/"), F.when(k % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand")), F.lit("/"), "p_type", F.lit("\\song.mp3")).alias("path"))
+    two = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.lit("none").alias("brand"), F.concat(F.substr(F.lit("ABC"), (F.col("s_suppkey") % 3 + 1).cast("int"), F.lit(1)), F.lit(":/x/"), F.col("s_suppkey").cast("string")).alias("path"))
+    three = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.lit("one drive").alias("brand"), F.concat(F.lit("D:\\"), "n_name").alias("path"))
+    return T.common_folder(one.unionByName(two).unionByName(three), "brand")
+
+
+US = [(1, "#TITLE: A song \n#BPM:300\n#bpm:20\n: 0 1 0 la", "A song", "300", None), (2, "#ARTIST:\n#ARTIST:Bob\n#TITLE:x:y\n", "x:y", None, None), (3, "no headers\n#TITLE:late", None, None, None), (4, "\ufeff#title:folded\n\n# GENRE : pop \nE\n#BPM:1", "folded", None, "pop")]
 
 
-@query("header_lookup", "SELECT page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') AS title FROM pages")
+@query("header_lookup", "WITH " + values([(i, *r) for i, _, *r in US], ["id", "title", "bpm", "genre"]) + " SELECT id, title, bpm, genre FROM v")
 def header_lookup(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.nullif(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)), F.lit("")).alias("title"))
+    """Headers of a song file: the first of a name counts, blank values and what stands behind the notes do not."""
+    rows = literal(spark, [u[:2] for u in US], "id int, text string").withColumn("h", T.headers(F.col("text")))
+    return rows.select("id", *(T.header(F.col("h"), k).alias(k.lower()) for k in ("TITLE", "BPM", "GENRE")))
