@@ -136,7 +136,7 @@ def common_folder(paths: DataFrame, by: str) -> DataFrame:
 
 def headers(text: Column) -> Column:
     """key and value of each #KEY:value line before the first other line; keys in capitals."""
-    rows = F.filter(F.transform(F.split(F.regexp_replace(text, "^\ufeff", ""), r"\r?\n"), F.trim), lambda x: x != "")
+    rows = F.filter(F.transform(F.split(F.regexp_replace(text, "^\ufeff", ""), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     other = F.array_position(F.transform(rows, lambda x: x.startswith("#")), False)
     head = F.when(other > 0, F.slice(rows, F.lit(1), (other - 1).cast("int"))).otherwise(rows)
     pairs = F.filter(head, lambda x: x.contains(":"))
