@@ -205,6 +205,8 @@ def ctc_align(rows: DataFrame) -> DataFrame:
 
 
 IDEAL, LONGEST = 7, 24
+#: Seconds that a line counts as at least.
+SHORTEST = 0.2
 
 
 def break_lines(start: list[float], end: list[float], ends_phrase: list[bool]) -> list[int]:
@@ -217,7 +219,7 @@ def break_lines(start: list[float], end: list[float], ends_phrase: list[bool]) -
     best, prev = [0.0] + [math.inf] * n, [0] * (n + 1)
     for j in range(1, n + 1):
         for i in range(max(0, j - LONGEST), j):
-            k, span = j - i, max(0.1, end[j - 1] - start[i])
+            k, span = j - i, max(SHORTEST, end[j - 1] - start[i])
             c = best[i] + 0.25 * math.log(k / IDEAL) ** 2 * k + 0.4 * math.log(span / 3) ** 2
             if j < n:
                 c -= 3 * math.sqrt(min(max(0.0, start[j] - end[j - 1]), 2)) + 0.8 * ends_phrase[j - 1] - 2.5
@@ -233,16 +235,37 @@ def break_lines(start: list[float], end: list[float], ends_phrase: list[bool]) -
 
 
 def line_breaks(words: DataFrame) -> DataFrame:
-    """song_id, word_idx, line_no; words: song_id, word_idx, start, end, phrase_end."""
+    """song_id, word_idx, line_no; words: song_id, word_idx, start, end, word; a word that ends in . ? or ! ends a phrase."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word_idx")
-        line = break_lines(pdf["start"].tolist(), pdf["end"].tolist(), pdf["phrase_end"].tolist())
+        line = break_lines(pdf["start"].tolist(), pdf["end"].tolist(), [w.rstrip()[-1:] in (".", "?", "!") for w in pdf["word"]])
         return pd.DataFrame({"song_id": pdf["song_id"], "word_idx": pdf["word_idx"], "line_no": line})
 
     return words.groupBy("song_id").applyInPandas(run, "song_id long, word_idx int, line_no int")
 
 
+def look_ahead(old: list[str], new: list[str], window: int = 4) -> list[tuple[int, int]]:
+    """Pairs of equal words in order: each old word takes the first equal new one among the next `window`."""
+    out, at = [], 0
+    for i, w in enumerate(old):
+        j = next((k for k in range(at, min(at + window, len(new))) if new[k] == w), None)
+        if j is not None:
+            out.append((i, j))
+            at = j + 1
+    return out
+
+
+def greedy_match(pairs: DataFrame) -> DataFrame:
+    """id, i and j of each pair that the look-ahead finds; pairs: id, hyp and ref (arrays of words)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(r.id, i, j) for r in pdf.itertuples() for i, j in look_ahead(list(r.hyp), list(r.ref))]
+        return pd.DataFrame(out, columns=["id", "i", "j"])
+
+    return pairs.mapInPandas(lambda it: map(run, it), "id string, i int, j int")
+
+
 def reflow(start: list[float], end: list[float], text: list[str], gap: float = 0.8) -> list[int]:
     """A new line after a gap, a full stop, a comma after four words, or eight words."""
     line, count, out = 0, 0, []
@@ -331,13 +354,58 @@ def plan_chunks(levels: list[float], least: int, most: int) -> list[int]:
     return cuts
 
 
-def clock(pos: list[float], now: list[float], snap: float = 0.25, drain: float = 0.12) -> list[float]:
-    """The shown position: corrections drain away, larger ones snap."""
-    shown, out = pos[0] if pos else 0.0, []
-    for k, p in enumerate(pos):
-        if k:
-            shown += now[k] - now[k - 1]
-            error = p - shown
-            shown = p if abs(error) > snap else shown + error * min(1.0, (now[k] - now[k - 1]) / drain)
-        out.append(shown)
+SNAP_S, DRAIN_S = 0.25, 0.12
+
+
+def clock(pos: list[float], rate: list[float], now: list[float]) -> list[tuple[float, bool]]:
+    """The position shown when each report (pos, rate, now in seconds) has been taken in, and whether it snapped to it.
+
+    The first report, one of another rate and one off by more than SNAP_S snap.  A smaller error is kept back and
+    drains evenly over DRAIN_S, so the position shown stays continuous.
+    """
+    out: list[tuple[float, bool]] = []
+    base, at, pace, pending = 0.0, 0.0, 0.0, 0.0
+    for k, (p, r, t) in enumerate(zip(pos, rate, now, strict=True)):
+        gone = max(0.0, t - at)
+        shown = max(0.0, base + gone * pace + pending * min(1.0, gone / DRAIN_S))
+        snapped = k == 0 or r != pace or abs(p - shown) > SNAP_S
+        base, pending = (p, 0.0) if snapped else (shown, p - shown)
+        at, pace = t, r
+        out.append((base, snapped))
+    return out
+
+
+def onsets(level: list[float], least: float, apart: int) -> list[int]:
+    """Local maxima of `least` or more, `apart` frames from each other at least: of two too near the larger stays, the earlier of equals."""
+    out: list[int] = []
+    for k in range(1, len(level) - 1):
+        if level[k] < least or level[k] <= level[k - 1] or level[k] < level[k + 1]:
+            continue
+        if out and k - out[-1] < apart:
+            if level[k] > level[out[-1]]:
+                out[-1] = k
+        else:
+            out.append(k)
+    return out
+
+
+def windows(changed: list[bool], start: list[float], end: list[float], pad: float = 1.0, most: float = 100.0) -> list[tuple[int, int, float, float]]:
+    """first, last, from and to of each stretch to align again: runs of changed words, padded up to their neighbours, split where too long."""
+    out, k, n = [], 0, len(changed)
+    while k < n:
+        if not changed[k]:
+            k += 1
+            continue
+        first = k
+        while k < n and changed[k]:
+            k += 1
+        a = first
+        while a < k:
+            b = a
+            while b + 1 < k and end[b + 1] - start[a] + 2 * pad <= most:
+                b += 1
+            low = max(0.0, start[a] - pad, end[a - 1] if a else 0.0)
+            high = min(end[b] + pad, start[b + 1] if b + 1 < n else end[b] + pad)
+            out.append((a, b, min(low, start[a]), max(high, end[b])))
+            a = b + 1
     return out

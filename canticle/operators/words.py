@@ -78,10 +78,160 @@ def as_of(probes: DataFrame, words: DataFrame, tolerance: float | None = None) -
     return out.select("song_id", "probe", "t", idx.alias("word_idx"))
 
 
+def ui_lines(words: DataFrame) -> DataFrame:
+    """song_id, session, first, last, start, end and the places of each line as the player shows them.
+
+    A line starts with its first word and ends with the latest word end.
+    """
+    w = view_sessions(words).groupBy("song_id", "session").agg(
+        F.min("word_idx").alias("first"), F.max("word_idx").alias("last"), F.min_by("start", "word_idx").alias("start"), F.max(F.greatest("end", "start")).alias("end")
+    )
+    return w.withColumn("line_no", F.row_number().over(Window.partitionBy("song_id").orderBy("session")) - 1)
+
+
+def gaps(lines: DataFrame, least: float) -> DataFrame:
+    """song_id, after_line, start and end of each pause before a line of `least` seconds or more; the intro is after line -1."""
+    before = F.coalesce(F.lag("end").over(Window.partitionBy("song_id").orderBy("line_no")), F.lit(0.0))
+    g = lines.select("song_id", (F.col("line_no") - 1).alias("after_line"), before.alias("start"), F.col("start").alias("end"))
+    return g.where(F.col("end") - F.col("start") >= least)
+
+
+def pages(lines: DataFrame, wait: float, most: int = 3) -> DataFrame:
+    """Lines with segment and page: at most three lines a page, and a new one behind each wait."""
+    order = Window.partitionBy("song_id").orderBy("line_no")
+    waits = F.col("start") - F.coalesce(F.lag("end").over(order), F.lit(0.0)) >= wait
+    out = lines.withColumn("segment", F.sum(F.when(waits & (F.col("line_no") > 0), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.row_number().over(Window.partitionBy("song_id", "segment").orderBy("line_no"))
+    new = F.when((place - 1) % most == 0, 1).otherwise(0)
+    out = out.withColumn("new", new)
+    return out.withColumn("page", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("new")
+
+
+def carried(points: DataFrame, probes: DataFrame, value: str) -> DataFrame:
+    """probes (song_id, probe, t) with the value of the last point (song_id, t, value) at or before each.
+
+    Points and probes are merged and carried forward by a window: one shuffle by song, no range join.
+    """
+    kind = dict(points.dtypes)[value]
+    p = points.select("song_id", "t", F.lit(0).alias("_kind"), F.col(value).alias("_v"), F.lit(None).cast("long").alias("probe"))
+    q = probes.select("song_id", "t", F.lit(1).alias("_kind"), F.lit(None).cast(kind).alias("_v"), F.col("probe").cast("long"))
+    order = Window.partitionBy("song_id").orderBy("t", "_kind", "_v").rowsBetween(Window.unboundedPreceding, 0)
+    return p.unionByName(q).withColumn("_v", F.last("_v", ignorenulls=True).over(order)).where("_kind = 1").select("song_id", "probe", "t", F.col("_v").alias(value))
+
+
+def frames_at(words: DataFrame, probes: DataFrame, grace: float, lead: float, approach: float) -> DataFrame:
+    """What the player shows at each probe (song_id, probe, t): active, sung_through, wipe, approach_word, approach, line.
+
+    active is the word at t, up to `grace` behind its end; in a pause the next word is approached in its last
+    `approach` seconds; the line is that of the last word, or the next one when all of the line is sung and the next
+    starts within `lead`.
+    """
+    w = words.join(view_sessions(words).select("song_id", "word_idx", "session"), ["song_id", "word_idx"])
+    line = F.dense_rank().over(Window.partitionBy("song_id").orderBy("session")) - 1
+    w = w.withColumn("line_no", line).withColumn("closes", F.coalesce(F.lead("session").over(song()) != F.col("session"), F.lit(True)))
+    point = F.struct("word_idx", "start", "end", "line_no", "closes", F.lead("start").over(song()).alias("next"))
+    at = carried(w.select("song_id", F.col("start").alias("t"), point.alias("w")), probes, "w")
+    x, t = F.col("w"), F.col("t")
+    active = F.when(t <= x["end"] + grace, x["word_idx"])
+    size = x["end"] - x["start"]
+    wipe = F.when(active.isNull(), 0.0).when(size <= 0, 1.0).otherwise(F.least(F.lit(1.0), (t - x["start"]) / size))
+    begins = F.greatest(F.greatest(x["end"], x["start"]) + grace, x["next"] - approach)
+    nearing = active.isNull() & (t >= begins) & (t < x["next"])
+    ahead = active.isNull() & x["closes"] & (x["next"] - t <= lead)
+    return at.select(
+        "song_id", "probe", "t", active.alias("active"), x["word_idx"].alias("sung_through"), F.coalesce(wipe, F.lit(0.0)).alias("wipe"), F.when(nearing, x["word_idx"] + 1).alias("approach_word"),
+        F.coalesce(F.when(nearing, (t - begins) / (x["next"] - begins)), F.lit(0.0)).alias("approach"), F.coalesce(x["line_no"] + F.when(F.coalesce(ahead, F.lit(False)), 1).otherwise(0), F.lit(0)).alias("line"),
+    )
+
+
+def inside(intervals: DataFrame, probes: DataFrame, name: str) -> DataFrame:
+    """probes (song_id, probe, t) with the name of the interval (song_id, start, end, name) that holds t, [start, end); intervals of a song do not overlap."""
+    points = intervals.select("song_id", F.col("start").alias("t"), F.struct("start", "end", name).alias("_i"))
+    return carried(points, probes, "_i").select("song_id", "probe", "t", F.when(F.col("t") < F.col("_i.end"), F.col(f"_i.{name}")).alias(name))
+
+
+def uncovered_runs(bins: DataFrame, words: DataFrame, width: float, level: int, least: int) -> DataFrame:
+    """song_id, first and last of each run of `least` loud bins (song_id, bin, peak) or more that no word touches.
+
+    A word covers from the bin of its start to the one before its end, rounded up.  Covered stretches are merged to
+    their edges before bins are looked up, so a long word is two rows, not one a bin.
+    """
+    edges = words.select("song_id", F.explode(F.array(
+        F.struct(F.floor(F.col("start") / width).alias("t"), F.lit(1).alias("step")), F.struct(F.ceil(F.col("end") / width).alias("t"), F.lit(-1).alias("step")),
+    )).alias("e")).select("song_id", "e.*").groupBy("song_id", "t").agg(F.sum("step").alias("step"))
+    open_ = edges.withColumn("open", F.sum("step").over(Window.partitionBy("song_id").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
+    at = carried(open_.select("song_id", "t", "open"), bins.select("song_id", F.col("bin").alias("t"), F.col("bin").alias("probe")), "open")
+    loud = bins.where(F.col("peak") >= level).join(at.select("song_id", F.col("probe").alias("bin"), "open"), ["song_id", "bin"]).where(F.coalesce("open", F.lit(0)) <= 0)
+    run = F.col("bin") - F.row_number().over(Window.partitionBy("song_id").orderBy("bin"))
+    runs = loud.withColumn("_run", run).groupBy("song_id", "_run").agg(F.min("bin").alias("first"), F.max("bin").alias("last"))
+    return runs.where(F.col("last") - F.col("first") + 1 >= least).drop("_run")
+
+
+def violations(words: DataFrame, spans: DataFrame) -> DataFrame:
+    """song_id, at and rule of each way in which a timing map is not well formed.
+
+    words: song_id, word_idx, start, end, line, word_in_line, duration; spans: song_id, span, first, last.  Rules:
+    finite, range, reversed, unordered (onsets, words without a finite time left out), link (lines go forward, and
+    places within a line), span.
+    """
+    bad = F.isnan("start") | F.isnan("end") | (F.abs("start") == float("inf")) | (F.abs("end") == float("inf")) | F.col("start").isNull() | F.col("end").isNull()
+    fine = F.when(~bad, F.col("start"))
+    link = F.when(F.col("line").isNotNull() & F.col("word_in_line").isNotNull(), F.struct("line", "word_in_line"))
+    w = words.withColumns({"last_start": F.last(fine, ignorenulls=True).over(before()), "last_link": F.last(link, ignorenulls=True).over(before())})
+    tests = {
+        "finite": bad,
+        "range": ~bad & ((F.col("start") < 0) | (F.col("end") > F.col("duration") + 1e-6)),
+        "reversed": ~bad & (F.col("end") < F.col("start")),
+        "unordered": ~bad & (F.col("start") < F.col("last_start")),
+        "link": link.isNotNull() & (link <= F.col("last_link")),
+    }
+    found = F.array_compact(F.array(*(F.when(F.coalesce(test, F.lit(False)), F.lit(rule)) for rule, test in tests.items())))
+    rows = w.select("song_id", F.col("word_idx").alias("at"), F.explode(found).alias("rule"))
+    n = words.groupBy("song_id").agg(F.count("*").alias("_n"))
+    wrong = spans.join(n, "song_id", "left").where((F.col("first") > F.col("last")) | (F.col("last") >= F.coalesce("_n", F.lit(0))))
+    return rows.unionByName(wrong.select("song_id", F.col("span").alias("at"), F.lit("span").alias("rule")))
+
+
+def integral(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """song_id and the song time that device frames (song_id, start, end) cover at the ratios in force (song_id, t, ratio).
+
+    A ratio holds from its t to the next one's.  With S(t), the song time up to t, a frame covers S(end) - S(start);
+    S is carried to both ends of each frame, so frames and segments are never paired.
+    """
+    order = Window.partitionBy("song_id").orderBy("t")
+    s = segments.withColumn("_step", F.coalesce((F.col("t") - F.lag("t").over(order)) * F.lag("ratio").over(order), F.lit(0.0)))
+    s = s.withColumn("_sum", F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    points = s.select("song_id", "t", F.struct("t", "ratio", F.col("_sum").alias("sum")).alias("p"))
+    ends = frames.select("song_id", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(-1.0).alias("sign")), F.struct(F.col("end").alias("t"), F.lit(1.0).alias("sign")))).alias("e")).select("song_id", "e.*")
+    ends = ends.groupBy("song_id", "t").agg(F.sum("sign").alias("sign"))
+    at = carried(points, ends.select("song_id", "t", F.lit(0).alias("probe")), "p")
+    both = at.join(ends, ["song_id", "t"])
+    upto = F.coalesce(F.col("p.sum") + (F.col("t") - F.col("p.t")) * F.col("p.ratio"), F.lit(0.0))
+    return both.groupBy("song_id").agg(F.sum(upto * F.col("sign")).alias("total"))
+
+
 def error_stats(errors: DataFrame, by: list[str]) -> DataFrame:
     """n, nearest-rank quantiles of the absolute error, its mean with sign, shares within 50 and 100 ms."""
     a = F.abs("err")
+    ranks = (F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY abs(err))").alias(name) for p, name in ((0.5, "median"), (0.9, "p90"), (0.95, "p95")))
     return errors.groupBy(*by).agg(
-        F.count("*").alias("n"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(err))").alias("median"), F.expr("percentile_disc(0.9) WITHIN GROUP (ORDER BY abs(err))").alias("p90"),
+        F.count("*").alias("n"), *ranks,
         F.max(a).alias("worst"), F.round(F.avg("err"), 6).alias("mean"), F.round(F.avg(F.when(a <= 0.05, 1.0).otherwise(0.0)), 6).alias("within_50"), F.round(F.avg(F.when(a <= 0.1, 1.0).otherwise(0.0)), 6).alias("within_100"),
     )
+
+
+def on_bars(bins: DataFrame, first: int, width: float, bars: int) -> DataFrame:
+    """song_id, edges, bar and peak of bins (song_id, bin, peak) on bars of `width` bins from bin `first` on.
+
+    round: edges are rounded, so each bin is in one bar (a bar has a bin at least); wide: from the floor of a bar's
+    start to the ceiling of its end.  A bin names its few bars itself, so there is no range join.
+    """
+    at = (F.col("bin") - first) / F.lit(width)
+    near = F.explode(F.sequence(F.floor(at) - 2, F.floor(at) + 2))
+    rows = bins.withColumn("bar", near).where((F.col("bar") >= 0) & (F.col("bar") < bars))
+    a, b = F.col("bar") * width + first, (F.col("bar") + 1) * width + first
+    low = F.floor(a + 0.5)
+    rounded = (F.col("bin") >= low) & (F.col("bin") < F.greatest(low + 1, F.floor(b + 0.5)))
+    wide = (F.col("bin") >= F.floor(a)) & (F.col("bin") < F.ceil(b))
+    rows = rows.withColumn("edges", F.explode(F.array_compact(F.array(F.when(rounded, F.lit("round")), F.when(wide, F.lit("wide"))))))
+    return rows.groupBy("song_id", "edges", "bar").agg(F.max("peak").alias("peak"))

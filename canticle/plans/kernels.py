@@ -17,10 +17,14 @@ from canticle.shipping import ship
 def align_grade(spark, sf):
     """Each turn of a conversation against the next, word by word; a null text has no words."""
     ship(spark)
+    return K.align_grade(turns(spark, sf))
+
+
+def turns(spark, sf):
     c = table(spark, sf, "conversations").withColumn("w", F.coalesce(F.transform(F.split("text", r"\s+"), normalize_word), F.array().cast("array<string>")))
     nxt = F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = c.withColumn("ref", nxt).where("ref IS NOT NULL")
-    return K.align_grade(pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("w").alias("hyp"), "ref"))
+    return pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("w").alias("hyp"), "ref")
 
 
 @query("ctc_align")
@@ -33,11 +37,52 @@ def ctc_align(spark, sf):
     return K.ctc_align(rows.withColumn("target", F.transform(F.sequence(F.lit(0), F.ceil(F.size("emission") / 4).cast("int") - 1), lambda k: 4 * k % places + 1)))
 
 
+def spoken(w):
+    """A word for each event; an error ends a phrase."""
+    return F.concat(F.col("event_type"), F.when(F.col("unsung"), ".").otherwise("")).alias("word")
+
+
 @query("line_breaks")
 def line_breaks(spark, sf):
+    """Lines of least cost, over all ways to break each song."""
+    ship(spark)
+    w = words(spark, sf)
+    return K.line_breaks(w.select("song_id", F.col("word_idx").cast("int").alias("word_idx"), (F.col("start") / 7200).alias("start"), (F.col("end") / 7200).alias("end"), spoken(w)))
+
+
+@query("greedy_match")
+def greedy_match(spark, sf):
+    """Each turn of a conversation against the next with a look-ahead of four words."""
+    ship(spark)
+    return K.greedy_match(turns(spark, sf))
+
+
+@query("onset_picks")
+def onset_picks(spark, sf):
+    """Peaks of each song's values, three words apart at least."""
     ship(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word_idx")
+        return pd.DataFrame({"song_id": pdf["song_id"].iloc[0], "word_idx": K.onsets(pdf["value"].tolist(), 200.0, 3)})
+
+    return words(spark, sf).select("song_id", "word_idx", "value").groupBy("song_id").applyInPandas(run, "song_id long, word_idx long")
+
+
+@query("realign_windows")
+def realign_windows(spark, sf):
+    """Stretches around the errors of each song that are aligned again; hours are scaled to seconds."""
+    ship(spark)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word_idx")
+        w = K.windows(pdf["unsung"].tolist(), pdf["start"].tolist(), pdf["end"].tolist())
+        return pd.DataFrame(w, columns=["first", "last", "low", "high"]).assign(song_id=pdf["song_id"].iloc[0])[["song_id", "first", "last", "low", "high"]]
+
     w = words(spark, sf)
-    return K.line_breaks(w.select("song_id", F.col("word_idx").cast("int").alias("word_idx"), (F.col("start") / 7200).alias("start"), (F.col("end") / 7200).alias("end"), F.col("unsung").alias("phrase_end")))
+    zero = F.min("start").over(Window.partitionBy("song_id"))
+    at = lambda c: ((F.col(c) - zero) / 7200).alias(c)
+    return w.select("song_id", "word_idx", at("start"), at("end"), "unsung").groupBy("song_id").applyInPandas(run, "song_id long, first long, last long, low double, high double")
 
 
 @query("reflow_lines")
@@ -71,14 +116,16 @@ def plan_chunks(spark, sf):
 
 @query("clock_reports")
 def clock_reports(spark, sf):
+    """Reports every 50 ms whose positions jitter and whose rate changes now and then: what is shown, and where it snaps."""
     ship(spark)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word_idx")
         now = [x * 0.05 for x in range(len(pdf))]
-        return pd.DataFrame({"song_id": pdf["song_id"], "word_idx": pdf["word_idx"], "shown": K.clock([t + v / 1000 for t, v in zip(now, pdf["value"])], now)})
+        got = K.clock([t + v / 1000 for t, v in zip(now, pdf["value"])], [1.0 if k % 30 else 0.0 for k in range(len(now))], now)
+        return pd.DataFrame({"song_id": pdf["song_id"], "word_idx": pdf["word_idx"], "shown": [x for x, _ in got], "snapped": [s for _, s in got]})
 
-    return words(spark, sf).select("song_id", F.col("word_idx").cast("int").alias("word_idx"), "value").groupBy("song_id").applyInPandas(run, "song_id long, word_idx int, shown double")
+    return words(spark, sf).select("song_id", F.col("word_idx").cast("int").alias("word_idx"), "value").groupBy("song_id").applyInPandas(run, "song_id long, word_idx int, shown double, snapped boolean")
 
 
 @query("chunk_plan", "WITH n AS (SELECT doc_id, n_chars AS n FROM documents) SELECT doc_id, c AS chunk, c * 300 AS keep_from, least(n, (c + 1) * 300) AS keep_to, greatest(0, c * 300 - 50) AS read_from, least(n, (c + 1) * 300 + 50) AS read_to FROM n, LATERAL (SELECT unnest(range(0, greatest(1, (n + 299) // 300))) AS c)")

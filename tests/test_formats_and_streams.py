@@ -5,26 +5,98 @@ from canticle.sources import lrc
 from canticle.streaming import twins
 from tests.conftest import DATA
 
-WORDS = [(1, 0, 0, "Hello", 1.0, 1.5), (1, 0, 1, "{you}", 1.505, 2.0), (1, 1, 2, "again", 4.0, 4.2)]
-COLUMNS = "song_id int, line int, word_idx int, word string, start double, end double"
+WORDS = [
+    (1, 0, 0, "Hello", 1.0, 1.5, False, False), (1, 1, 0, "{you}", 1.505, 2.0, False, True), (1, 2, 1, "again", 4.0, 4.2, False, False), (1, 3, 1, "still", 4.1, 4.675, False, False),
+    (1, 4, 2, "(ooh)", 5.0, 6.0, False, True), (1, 5, 3, "gone", 7.0, 8.0, True, False), (1, 6, None, "far", 9.0, 9.1, False, False), (1, 7, None, "off", 10.6, 10.6, False, False),
+]
+COLUMNS = "song_id int, word_idx int, line int, word string, start double, end double, unsung boolean, ad_lib boolean"
+SONGS = [(1, "A song", "A band", "a.mp3")]
 
 
-def test_writers(spark):
-    w = spark.createDataFrame(WORDS, COLUMNS)
-    assert lrc.write_lrc(w).first()["text"] == "[00:01.00]<00:01.00>Hello <00:01.50>{you}\n[00:04.00]<00:04.00>again"
-    assert "(you)" in lrc.write_ass(w).first()["text"]
+def songs(spark):
+    return spark.createDataFrame(SONGS, "song_id int, title string, artist string, audio string")
+
+
+def test_lrc_writer(spark):
+    text = lrc.write_lrc(spark.createDataFrame(WORDS, COLUMNS), songs(spark)).first()["text"]
+    assert text.splitlines() == [
+        "[ti:A song]", "[ar:A band]", "", "[00:01.00]<00:01.00>Hello <00:01.50>{you} <00:02.00>", "[00:04.00]<00:04.00>again <00:04.10>still <00:04.68>", "[00:05.00]<00:05.00>(ooh) <00:06.00>",
+        "[00:07.00]<00:07.00>gone <00:08.00>", "[00:09.00]<00:09.00>far <00:09.10>", "[00:10.60]<00:10.60>off <00:10.60>",
+    ]
+    assert lrc.write_lrc(spark.createDataFrame(WORDS, COLUMNS)).first()["text"].startswith("[00:01.00]")
+
 
+def test_ass_writer(spark):
+    text = lrc.write_ass(spark.createDataFrame(WORDS, COLUMNS), songs(spark)).first()["text"]
+    events = [x.removeprefix("Dialogue: 0,") for x in text.splitlines() if x.startswith("Dialogue")]
+    assert events == [
+        r"0:00:00.50,0:00:02.00,Karaoke,,0,0,0,,{\k50}{\k50}Hello {\k50\i1}\{you\}{\i0}",
+        r"0:00:03.50,0:00:04.68,Karaoke,,0,0,0,,{\k50}{\k10}again {\k58}still",
+        r"0:00:04.68,0:00:06.00,AdLib,,0,0,0,,{\k32}{\k100}(ooh)",
+        r"0:00:08.50,0:00:09.10,Karaoke,,0,0,0,,{\k50}{\k10}far",
+    ]
+    assert "Title: A song" in text and "; Artist: A band" in text
 
-def test_ultrastar_round_trip(spark, tmp_path):
+
+def test_ultrastar_writer_and_reader(spark):
     w = spark.createDataFrame(WORDS, COLUMNS)
-    text = lrc.write_ultrastar(w).first()["text"]
-    (tmp_path / "a.txt").write_text(text)
-    spark.dataSource.register(lrc.UltraStar)
-    rows = spark.read.format("ultrastar").option("path", str(tmp_path)).load().orderBy("note_no").collect()
-    assert [r["syllable"] for r in rows] == ["Hello", "{you}", "again"]
-    for r, w in zip(rows, WORDS, strict=True):
-        assert abs(r["gap_ms"] / 1000 + r["beat"] * 0.05 - w[4]) <= 0.051
-        assert r["line"] == w[1]
+    text = lrc.write_ultrastar(w, songs(spark)).first()["text"]
+    assert text.splitlines() == [
+        "#TITLE:A song", "#ARTIST:A band", "#MP3:a.mp3", "#LANGUAGE:English", "#BPM:300", "#GAP:1000", ": 0 10 0 Hello ", "F 10 10 0 {you}", "- 60", ": 60 4 0 again ", ": 64 10 0 still", "- 80", "F 80 20 0 (ooh)",
+        "- 120", "F 120 20 0 gone", "- 160", ": 160 2 0 far", "- 192", ": 192 1 0 off", "E",
+    ]
+    back = lrc.merge_syllables(lrc.read_ultrastar(spark.createDataFrame([("1", text)], "path string, text string"))).orderBy("word_idx").collect()
+    assert [r["word"] for r in back] == [x[3] for x in WORDS]
+    assert [r["unsung"] for r in back] == [x[6] or x[7] for x in WORDS]
+    assert all(abs(r["start"] - x[4]) <= 0.051 for r, x in zip(back, WORDS, strict=True) if x[3] != "still")
+
+
+def test_beats_are_the_recurrence(spark):
+    import random
+
+    r = random.Random(3)
+    at, rows = 0.0, []
+    for k in range(300):
+        at += r.choice([0.0, 0.01, 0.025, 0.075, 0.4])
+        rows.append((k % 3, k, r.randrange(3), "w", at, at + r.choice([0.0, 0.05, 0.125, 1.0]), False, False))
+    got = {(b["song_id"], b["word_idx"]): (b["beat"], b["length"]) for b in lrc.beats(spark.createDataFrame(rows, COLUMNS)).collect()}
+    even = lambda n: n // 50 + (2 * (n % 50) > 50 or 2 * (n % 50) == 50 and n // 50 % 2)
+    for song in range(3):
+        mine, busy = [x for x in rows if x[0] == song], 0
+        gap = round(mine[0][4] * 1000)
+        for x in mine:
+            start = max(even(round(x[4] * 1000) - gap), busy)
+            size = max(1, even(round(x[5] * 1000) - gap) - start)
+            assert got[song, x[1]] == (start, size)
+            busy = start + size
+
+
+def test_readers_from_a_folder(spark, tmp_path):
+    """Files reach the readers through Spark's own source, whatever their encoding."""
+    from canticle.sources import folders
+
+    (tmp_path / "a.txt").write_bytes("#TITLE:É\n#BPM:300\n: 0 1 0 a\nE".encode("cp1252"))
+    (tmp_path / "a.mp3").write_bytes(b"x")
+    (tmp_path / ".b.txt").write_text("hidden")
+    found = folders.scan(folders.files(spark, str(tmp_path)), "file:" + str(tmp_path))
+    lyrics = folders.inspect(found.where("kind = 'lyrics'"))
+    out = folders.songs(found.where("kind = 'audio'"), lyrics, spark.createDataFrame([], "path string, title string, artist string")).collect()
+    assert [(r["kind"], r["title"]) for r in out] == [("ultrastar", "É")]
+
+
+def test_cleanup_columns_agree_with_the_kernel(spark):
+    """Line by line, what the columns call a line is what the kernel takes it for."""
+    import random
+
+    from canticle.operators import cleanup as C
+
+    r = random.Random(2)
+    bits = ["[", "]", "(", ")", "{", "}", "Chorus", "verse", "2", "II", "x2", "3x", "×4", "x1", ":", " - ", "Ann", "la la", "pre chorus", "Pre-Chorus", " ", "Written by ", "12", "Contributors", "embed", "break"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " "]) for _ in range(r.randrange(1, 6))) for _ in range(3000)] + ["", "(x2)", "[Chorus]", "[Chorus (x2)]", "Chorus: x2", "{[x2]}"]
+    got = [x["k"] for x in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", C.line_kind(F.col("t")).alias("k")).orderBy("i").collect()]
+    want = ["blank" if not t.strip() else "header" if C.header_of(t) else "repeat" if C.count_of(t) else "credit" if C.credit(t) else "text" for t in texts]
+    wrong = [(t, g, w) for t, g, w in zip(texts, got, want, strict=True) if g != w]
+    assert not wrong, wrong[:5]
 
 
 def stream(spark, tmp_path, frame):

@@ -31,13 +31,13 @@ def test_ctc_path_is_the_best_of_all_paths():
 def test_line_breaks_are_the_cheapest():
     r = np.random.default_rng(2)
     start = np.cumsum(r.uniform(0.2, 1.5, 9)).tolist()
-    end = [s + 0.2 for s in start]
+    end = [s + x for s, x in zip(start, r.choice([0.05, 0.2], 9), strict=True)]
     phrase = [bool(x) for x in r.integers(0, 2, 9)]
 
     def cost(cuts):
         total = 0.0
         for a, b in itertools.pairwise([0, *cuts, 9]):
-            total += 0.25 * math.log((b - a) / 7) ** 2 * (b - a) + 0.4 * math.log(max(0.1, end[b - 1] - start[a]) / 3) ** 2
+            total += 0.25 * math.log((b - a) / 7) ** 2 * (b - a) + 0.4 * math.log(max(0.2, end[b - 1] - start[a]) / 3) ** 2
             if b < 9:
                 total -= 3 * math.sqrt(min(max(0.0, start[b] - end[b - 1]), 2)) + 0.8 * phrase[b - 1] - 2.5
         return total
@@ -65,3 +65,31 @@ def test_plan_chunks_cuts_at_the_quietest_frame():
     levels = [5.0] * 100
     levels[25] = 1.0
     assert K.plan_chunks(levels, 20, 30)[0] == 25
+
+
+def test_clock_snaps_and_drains():
+    got = K.clock([1.0, 1.06, 1.16, 2.0, 2.05, 2.05], [1.0] * 4 + [0.0, 0.0], [5.0, 5.05, 5.17, 5.2, 5.3, 5.4])
+    assert [s for _, s in got] == [True, False, False, True, True, False]
+    # 0.01 ahead at 5.05 is kept back and drained in full 0.12 s later; then 0.01 behind.
+    assert [round(x, 6) for x, _ in got] == [1.0, 1.05, 1.18, 2.0, 2.05, 2.05]
+    assert K.clock([], [], []) == []
+
+
+def test_look_ahead_takes_the_next_equal_word_within_four():
+    assert K.look_ahead(list("abcd"), list("axbycz")) == [(0, 0), (1, 2), (2, 4)]
+    assert K.look_ahead(["z"], list("aaaaz")) == []
+
+
+def test_onsets_against_all_choices():
+    level = [0, 5, 1, 6, 6, 1, 3, 9, 9.5, 0, 4, 0]
+    assert K.onsets(level, 2, 1) == [1, 3, 8, 10]
+    assert K.onsets(level, 2, 3) == [3, 8]
+    assert K.onsets([], 1, 1) == [] and K.onsets([9.0], 1, 1) == []
+
+
+def test_windows_are_padded_to_their_neighbours_and_split():
+    start = [0.0, 1.0, 5.0, 6.0, 20.0]
+    end = [0.8, 1.5, 5.5, 6.5, 21.0]
+    assert K.windows([False, True, False, True, False], start, end) == [(1, 1, 0.8, 2.5), (3, 3, 5.5, 7.5)]
+    assert K.windows([True] * 3, [0.0, 60.0, 120.0], [1.0, 61.0, 121.0]) == [(0, 1, 0.0, 62.0), (2, 2, 119.0, 122.0)]
+    assert K.windows([], [], []) == []
