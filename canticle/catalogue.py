@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canticle.plans import REGISTRY, SQL
-from canticle.plans import formats, jobs, kernels, library, lyrics, matching, signal, words  # noqa: F401  registers their queries
+from canticle.plans import formats, jobs, kernels, library, lyrics, matching, scalars, signal, words  # noqa: F401  registers their queries
 
 
 def queries() -> dict:

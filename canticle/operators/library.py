@@ -381,3 +381,20 @@ def check_requests(asks: DataFrame, songs: DataFrame, queue: DataFrame, limit: i
     out = asks.join(known, "song_id", "left").join(waiting, ["party", "guest"], "left")
     verdict = F.when(F.col("_known").isNull(), "unknown").when(~F.col("_ready"), "not_ready").when(F.coalesce("_n", F.lit(0)) >= limit, "limit").otherwise("ok")
     return out.withColumn("verdict", verdict).drop("_known", "_ready", "_n")
+
+
+def themes(pins: DataFrame, have: DataFrame, default: str, built_in: str) -> DataFrame:
+    """id, theme and pinned of each song (id, pin): the pin if that theme is among `have` (theme), else the default, else the built-in."""
+    known = have.select(F.col("theme").alias("pin"), F.lit(True).alias("_known"))
+    fallback = have.where(F.col("theme") == default).agg(F.coalesce(F.max("theme"), F.lit(built_in)).alias("_default")).withColumn("_one", F.lit(1))
+    out = pins.join(known, "pin", "left").withColumn("_one", F.lit(1)).join(F.broadcast(fallback), "_one")  # one row
+    pinned = F.col("_known").isNotNull()
+    return out.select("id", F.when(pinned, F.col("pin")).otherwise(F.col("_default")).alias("theme"), pinned.alias("pinned"))
+
+
+def swap_links(links: DataFrame, swaps: DataFrame) -> DataFrame:
+    """Links (list, page_id, url) with the new one of each swap (list, at, new) in its place, and not a second time."""
+    out = links.join(swaps, "list", "left")
+    here = F.coalesce(F.col("page_id") == F.col("at"), F.lit(False))
+    shown = F.coalesce(F.col("url") == F.col("new"), F.lit(False))
+    return out.where(here | ~shown).withColumn("url", F.when(here, F.col("new")).otherwise(F.col("url"))).drop("at", "new")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canticle.operators.library import at_places
+
 
 def total(x: Column) -> Column:
     return F.aggregate(x, F.lit(0.0), lambda a, b: a + b)
@@ -72,9 +74,21 @@ def overlap_add(frames: DataFrame, hop: int, size: int) -> DataFrame:
 
 
 def level(frames: DataFrame, by: str, value: str, p: float) -> DataFrame:
-    """Floor-index quantile of a value in each group."""
-    v = frames.groupBy(by).agg(F.array_sort(F.collect_list(value)).alias("v"))
-    return v.select(by, F.get("v", F.floor((F.size("v") - 1) * p).cast("int")).alias("level"))
+    """Floor-index quantile of a value in each group, by its place; no group is gathered."""
+    return at_places(frames, [by], value, {"level": lambda n: F.floor((n - 1) * F.lit(p))}).select(by, "level")
+
+
+def voiced(frames: DataFrame, by: str, order: str, db: str, size: int, near: float, least: float) -> DataFrame:
+    """chunk, share of frames within `near` dB of the group's loud level, and whether that is `least` or more."""
+    rows = frames.join(level(frames, by, db, 0.95), by)
+    share = F.avg(F.when(F.col(db) > F.col("level") - near, 1.0).otherwise(0.0))
+    return rows.groupBy(by, F.floor(F.col(order) / size).alias("chunk")).agg(share.alias("share")).withColumn("voiced", F.col("share") >= least)
+
+
+def over_spans(frames: DataFrame, by: list[str]) -> DataFrame:
+    """first, last and confidence (the mean log-probability as a probability) of each span of frames (frame_idx, logp)."""
+    mean = F.exp(F.avg("logp"))
+    return frames.groupBy(*by).agg(F.min("frame_idx").alias("first"), F.max("frame_idx").alias("last"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), mean)).alias("confidence"))
 
 
 def runs(rows: DataFrame, by: str, order: str, flag: str) -> DataFrame:
