@@ -40,24 +40,24 @@ def shingles(words: Column) -> Column:
 
 
 def key(doc_id: Column, text: Column) -> Column:
-    """A document's identity: its doc_id, or its text where that is null."""
+    """A document's or an item's identity: its id, or its text where that is null."""
     return F.coalesce(doc_id.cast("string"), F.concat(F.lit("?"), F.sha2(text.cast("string"), 256)))
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, n and shingles of each item that has words."""
-    rows = items.select(F.col("item_id"), word_array(F.col("text")).alias("words")).where(F.get("words", F.lit(0)) != "")
-    return rows.select("item_id", shingles(F.col("words")).alias("shingles")).withColumn("n", F.size("shingles"))
+    """item_key, item_id, n and shingles of each item that has words."""
+    rows = items.select("item_key", "item_id", word_array(F.col("text")).alias("words")).where(F.get("words", F.lit(0)) != "")
+    return rows.select("item_key", "item_id", shingles(F.col("words")).alias("shingles")).withColumn("n", F.size("shingles"))
 
 
 def sketches(items: DataFrame, threshold: float) -> DataFrame:
-    """item_id, n and h, the hashes of the sketch, k of them by the item's size class."""
-    rows = items.select("item_id", word_array(F.col("text")).alias("words")).where(F.get("words", F.lit(0)) != "")
-    rows = rows.select("item_id", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("hashes"))
+    """item_key, n and h, the hashes of the sketch, k of them by the item's size class."""
+    rows = items.select("item_key", word_array(F.col("text")).alias("words")).where(F.get("words", F.lit(0)) != "")
+    rows = rows.select("item_key", F.array_sort(F.array_distinct(shingle_hashes(F.col("words")))).alias("hashes"))
     rows = rows.withColumn("n", F.size("hashes"))
     size_class = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n").cast("double"))))
     k = F.floor(size_class * (1 - threshold) + 1e-9).cast("int") + 1
-    return rows.select("item_id", "n", F.explode_outer(F.slice("hashes", F.lit(1), k)).alias("h"))
+    return rows.select("item_key", "n", F.explode_outer(F.slice("hashes", F.lit(1), k)).alias("h"))
 
 
 def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -66,10 +66,11 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: flo
     docs: doc_id, text; items: item_id, text.  An item is in a document if the document has
     threshold * n of the item's n distinct shingles or more.  An item of fewer than five words is one
     shingle, its whole sequence, and is found where it is a whole document.  Blank and null texts
-    hold nothing and are in nothing.  A document without doc_id is known by its text; rows that
+    hold nothing and are in nothing.  A document without doc_id, or an item without item_id, is known by its text; rows that
     repeat a doc_id are one document, its best row counts.  Empty tables give an empty result.
     """
     scratch = Scratch(spark, "decontamination")
+    items = items.select(key(F.col("item_id"), F.col("text")).alias("item_key"), "item_id", F.col("text").cast("string").alias("text"))
     sketch = scratch.table(sketches(items, threshold), "sketches")
     if sketch.count() <= BROADCAST_ROWS:
         sketch = F.broadcast(sketch)
@@ -78,17 +79,17 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: flo
     # explode_outer: explode would also filter on the array's size, which evaluates it twice.
     hashed = words.select("key", F.size("words").alias("length"), shingle_hashes(F.col("words")).alias("hashes"))
     hashed = hashed.select("key", F.greatest(F.col("length") - (WORDS - 1), F.lit(1)).alias("most"), F.explode_outer("hashes").alias("h"))
-    found = hashed.join(sketch, "h").where(F.col("most") >= F.ceil(F.col("n") * threshold - 1e-9)).select("key", "item_id").distinct()
+    found = hashed.join(sketch, "h").where(F.col("most") >= F.ceil(F.col("n") * threshold - 1e-9)).select("key", "item_key").distinct()
     found = scratch.table(found, "candidates")
 
     texts = texts.withColumn("key", key(F.col("doc_id"), F.col("text")))
     full = texts.join(found.select("key").distinct(), "key", "left_semi").select("key", "doc_id", word_array(F.col("text")).alias("words"))
     full = full.select("key", "doc_id", shingles(F.col("words")).alias("held"))
-    exact = full.join(found, "key").join(item_shingles(items), "item_id")
-    exact = exact.select("key", "doc_id", "item_id", F.size(F.array_intersect("shingles", "held")).alias("n_shared"), F.col("n").alias("n_shingles"))
+    exact = full.join(found, "key").join(item_shingles(items), "item_key")
+    exact = exact.select("key", "doc_id", "item_key", "item_id", F.size(F.array_intersect("shingles", "held")).alias("n_shared"), F.col("n").alias("n_shingles"))
     exact = exact.where(F.col("n_shared") >= F.col("n_shingles") * threshold - 1e-9)
-    best = exact.groupBy("key", "doc_id", "item_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n_shingles").cast("long").alias("n_shingles"))
-    return best.withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
+    best = exact.groupBy("key", "doc_id", "item_key", "item_id").agg(F.max("n_shared").cast("long").alias("n_shared"), F.max("n_shingles").cast("long").alias("n_shingles"))
+    return best.drop("item_key").withColumn("containment", F.col("n_shared") / F.col("n_shingles"))
 
 
 def keep_unleaked(spark: SparkSession, docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
