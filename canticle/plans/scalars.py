@@ -40,7 +40,7 @@ def fetch_rates(spark, sf):
 
 
 @query("view_geometry", """WITH v AS (SELECT event_id, value AS nat, 300.0::DOUBLE AS room, value / 10 AS a, value / 10 + event_id % 7 AS b, 45.0::DOUBLE AS d FROM events), f AS (SELECT *, floor(room / nat * 1000) / 1000 AS raw FROM v), w AS (SELECT *, greatest(0, floor(a - 0.6)) AS wa, least(greatest(d, b), ceil(b + 0.6)) AS wb FROM f)
-SELECT event_id, CASE WHEN nat <= room OR nat <= 0 THEN 1.0 ELSE greatest(raw, 0.55) END AS scale, nat > room AND raw < 0.55 AS wrap, wa AS low, greatest(wb, wa + 1) AS high, round((a - wa) / (greatest(wb, wa + 1) - wa) * 640, 6) AS x, CAST((a > 10)::INT + (a > 20)::INT + (a > 30)::INT AS INTEGER) AS slot, round(0.25 + 0.75 * least(1, a / 40), 6) AS pulse, round(least(1, a / 40 * (0.35 + 0.65 * abs(sin(5.1 + a * (1.3 + 3 * 0.35))))), 6) AS bar FROM w""")
+SELECT event_id, CASE WHEN nat <= room OR nat <= 0 THEN 1.0 ELSE greatest(raw, 0.55) END AS scale, nat > room AND raw < 0.55 AS wrap, wa AS low, greatest(wb, wa + 1) AS high, round((a - wa) / (greatest(wb, wa + 1) - wa) * 640, 6) AS x, CAST((a > 10)::INT + (a > 20)::INT + (a > 30)::INT AS INTEGER) AS slot, 0.25 + 0.75 * least(1, a / 40) AS pulse, round(least(1, a / 40 * (0.35 + 0.65 * abs(sin(5.1 + a * (1.3 + 3 * 0.35))))), 6) AS bar FROM w""")
 def view_geometry(spark, sf):
     """Line fit, line windows, pixels, drop slots, pulse and bars at each event's value."""
     v = F.col("value")
@@ -50,7 +50,7 @@ def view_geometry(spark, sf):
     e = table(spark, sf, "events").select("event_id", scale.alias("scale"), wrap.alias("wrap"), low.alias("low"), high.alias("high"), a.alias("a"))
     x = S.to_pixels(F.col("a"), F.col("low"), F.col("high"), F.lit(640))
     middles = F.array(*(F.lit(float(m)) for m in (10, 20, 30)))
-    return e.select("event_id", "scale", "wrap", "low", "high", F.round(x, 6).alias("x"), S.slot(middles, F.col("a")).alias("slot"), F.round(S.pulse(F.col("a") / 40), 6).alias("pulse"), F.round(F.get(S.bar_heights(F.col("a") / 40, F.col("a"), 24), F.lit(3)), 6).alias("bar"))
+    return e.select("event_id", "scale", "wrap", "low", "high", F.round(x, 6).alias("x"), S.slot(middles, F.col("a")).alias("slot"), S.pulse(F.col("a") / 40).alias("pulse"), F.round(F.get(S.bar_heights(F.col("a") / 40, F.col("a"), 24), F.lit(3)), 6).alias("bar"))
 
 
 @query("escapes", "SELECT page_id, replace(replace(replace(url, '\\', '\\\\'), '%', '\\%'), '_', '\\_') AS liked, array_to_string(list_transform(range(1, length(t) + 1), lambda i: CASE WHEN regexp_full_match(substr(t, i, 1), '[A-Za-z0-9._~-]') THEN substr(t, i, 1) ELSE regexp_replace(hex(encode(substr(t, i, 1))), '(..)', '%\\1', 'g') END), '') AS encoded FROM (SELECT page_id, url, url || ' *~é' AS t FROM pages)")
