@@ -438,3 +438,60 @@ def test_near_dedup_keeps_one_row_of_each_group(spark):
     kept = near_dedup.keep_one_of_each(spark, frame(spark, rows))
     assert kept.columns == frame(spark, []).columns
     assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(3, a + " more"), (5, b), (None, c), (8, None), (8, None), (None, "")], key=str)
+
+
+def contaminated(rows, items):
+    """The rows (doc_id, text) that hold an item by comparing all sets; rows of one doc_id are one document."""
+    wanted = [s for s in (shingled(t) for t in items) if s]
+    holds = [any(len(s & shingled(t)) >= 0.8 * len(s) for s in wanted) for _, t in rows]
+    ids = {i for (i, _), h in zip(rows, holds, strict=True) if h and i is not None}
+    return [h if i is None else i in ids for (i, _), h in zip(rows, holds, strict=True)]
+
+
+def test_pipeline_stages_on_odd_documents(spark, tmp_path):
+    """Each stage against plain Python on its own input: nulls, empty and long texts, ties, repeats, clashing names, no rows."""
+    import corpus_pipeline as p
+
+    r = random.Random(8)
+    rows = odd_documents(9)
+    passage = " ".join(f"q{k}" for k in range(40))
+    insults = [f"w{r.randrange(300)} you vile scum w{r.randrange(300)} w{k}" for k in range(40)]
+    texts = [(2000 + k, t) for k, t in enumerate(insults)] + [(3000, f"a b {passage} c"), (3001, passage.upper()), (3002, "r s t " * 400000), (None, f"x {passage}")]
+    rows += [(i, t, "en", "s1", 1, "b", k, "x") for k, (i, t) in enumerate(texts)]
+    items = [passage, None, "", "one two", passage]
+    labelled = [(i, 1, 0) for i in sorted({x[0] for x in rows if x[0] is not None and x[0] < 90})] + [(2000 + k, 0, 1) for k in range(30)] + [(None, 0, 1), (3, None, None)]
+    spark.createDataFrame(labelled, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(list(zip([1, 2, 3, 4, None], items, strict=True)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = frame(spark, rows)
+    for name in ("score", "predicted", "held_out", "label", "toxic", "place", "size", "target", "run", "path", "id", "row"):
+        docs = docs.withColumn(name, F.lit(name))
+    for name, stage in p.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+        before = [(x["doc_id"], x["text"]) for x in docs.collect()]
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        after = spark.read.parquet(f"{tmp_path}/{name}")
+        out = after.collect()
+        if name == "sharding":
+            assert Counter(x["doc_id"] for x in out) == Counter(i for i, _ in before)
+            assert all(n == k[1] for k, n in Counter((x["shard"], x["shard_rows"]) for x in out).items())
+            break
+        assert after.columns == docs.columns
+        kept = Counter((x["doc_id"], x["text"]) for x in out)
+        if name == "toxicity":
+            assert kept == Counter(x for x in before if "vile" not in (x[1] or ""))
+        elif name == "near_dedup":
+            groups = {}
+            for k, n, c in components([(k, t) for k, (_, t) in enumerate(before)], 80):
+                groups.setdefault(c if n else ("blank", k), []).append(before[k][0])
+            first = [min(ids, key=lambda i: (i is None, i or 0)) for ids in groups.values()]
+            assert Counter(i for i, _ in kept.elements()) == Counter(first) and not kept - Counter(before)
+        elif name == "decontamination":
+            gone = contaminated(before, items)
+            assert any(gone) and kept == Counter(x for x, g in zip(before, gone, strict=True) if not g)
+        else:
+            said = Counter()
+            for x in mixing.mix(spark, docs).collect():
+                said[x["doc_id"], x["size"]] += x["copies"]
+            got = Counter((i, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in kept.elements())
+            assert got == +said and set(kept) <= set(before)
+        docs = after
