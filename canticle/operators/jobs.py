@@ -149,3 +149,35 @@ def guest_view(queue: DataFrame, guests: DataFrame, listing: DataFrame) -> DataF
     rows = queue.select("party", F.col("guest").alias("_owner"), "id", "position", "song_id", F.col("id").eqNullSafe(F.col("playing")).alias("playing"))
     rows = rows.join(listing.select(F.col("id").alias("song_id"), "pid", "title"), "song_id")
     return guests.join(rows, "party").select("party", "guest", "id", "position", "pid", "title", "playing", (F.col("_owner") == F.col("guest")).alias("mine"))
+
+
+def stage_states(events: DataFrame) -> DataFrame:
+    """status, fingerprint, seconds, error and output_token of each stage of a job after its events.
+
+    events: job, stage, seq, type (in_flight, complete, failed, not_applicable), fingerprint, at, seconds, artifacts (a
+    text), message.  A start drops the output token, so later stages see that it ran again; a completion makes a new
+    one; a stage that does not apply has the same one as long as its fingerprint stays; a failure leaves it alone.
+    """
+    kind = F.col("type")
+    begins, last = kind.isin("in_flight", "not_applicable"), lambda value, when: F.max_by(F.struct(value.alias("v")), F.when(when, F.col("seq")))["v"]
+    latest = events.groupBy("job", "stage").agg(
+        F.max_by("type", "seq").alias("status"),
+        F.coalesce(last(F.col("fingerprint"), begins), F.lit("")).alias("fingerprint"),
+        last(F.when(kind == "complete", F.col("seconds")), kind != "failed").alias("seconds"),
+        F.max_by(F.when(kind == "failed", F.col("message")), "seq").alias("error"),
+        F.max_by(F.struct("type", "at", "seconds", "artifacts"), F.when(kind != "failed", F.col("seq"))).alias("made"),
+    )
+    # What sets the fingerprint also sets the token, so a token that stands was made from the last fingerprint.
+    token = F.when(F.col("made.type") == "complete", F.sha2(F.concat_ws("|", "fingerprint", "made.at", "made.seconds", "made.artifacts"), 256))
+    token = token.when(F.col("made.type") == "not_applicable", F.sha2(F.concat(F.lit("n/a|"), "fingerprint"), 256)).otherwise("")
+    return latest.withColumn("output_token", token).drop("made")
+
+
+def in_front(fullscreen: Column, pid: Column, own: Column, load: Column, threshold: float) -> Column:
+    """Whether a game is in front: exclusive full screen, or another process that keeps the graphics unit busy."""
+    return fullscreen | ((pid != 0) & (pid != own) & (load >= threshold))
+
+
+def jobs_list(active: DataFrame, registry: DataFrame) -> DataFrame:
+    """Running jobs and registered ones in one table, with `part` to tell them apart; columns of one part are null in the other."""
+    return active.withColumn("part", F.lit("active")).unionByName(registry.withColumn("part", F.lit("registry")), allowMissingColumns=True)

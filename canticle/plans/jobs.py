@@ -308,3 +308,43 @@ def job_registry(spark, sf):
     out = j.select("job").distinct().join(m, "job", "left")
     ok = F.col("m.version") == 1
     return out.select("job", F.when(ok, F.col("m.seen")).alias("seen"), F.when(F.col("m").isNull(), "missing").when(F.col("m.version").isNull(), "unreadable").when(~ok, "newer").otherwise("ok").alias("state"))
+
+
+STAGE_EVENTS = """ev AS (SELECT job, event_id % 4 AS stage, row_number() OVER (PARTITION BY job, event_id % 4 ORDER BY us, event_id) AS n, ['in_flight', 'complete', 'failed', 'not_applicable'][CAST(event_id * 31 // 4 % 4 AS INTEGER) + 1] AS type,
+ 'f' || (event_id % 6) AS fp, secs || '|' || (event_id % 90) || '|maps/' || job || ':' || event_id AS made, event_id % 90 AS s, 'broken ' || event_id AS m FROM jobs)"""
+
+
+@query("stage_states", f"""WITH RECURSIVE {JOBS}, {STAGE_EVENTS}, f AS (
+ SELECT job, stage, CAST(0 AS BIGINT) AS n, '' AS status, '' AS fingerprint, CAST(NULL AS BIGINT) AS seconds, CAST(NULL AS VARCHAR) AS error, '' AS output_token FROM ev WHERE ev.n = 1
+ UNION ALL SELECT f.job, f.stage, e.n, e.type, CASE WHEN e.type IN ('in_flight', 'not_applicable') THEN e.fp ELSE f.fingerprint END,
+  CASE e.type WHEN 'complete' THEN e.s WHEN 'failed' THEN f.seconds END, CASE WHEN e.type = 'failed' THEN e.m END,
+  CASE e.type WHEN 'in_flight' THEN '' WHEN 'complete' THEN sha256(f.fingerprint || '|' || e.made) WHEN 'not_applicable' THEN sha256('n/a|' || e.fp) ELSE f.output_token END
+ FROM f JOIN ev e ON e.job = f.job AND e.stage = f.stage AND e.n = f.n + 1)
+SELECT job, stage, arg_max(status, n) AS status, arg_max(fingerprint, n) AS fingerprint, max({{'n': n, 'v': seconds}}).v AS seconds, max({{'n': n, 'v': error}}).v AS error, arg_max(output_token, n) AS output_token FROM f GROUP BY ALL""")
+def stage_states(spark, sf):
+    """Where each job's stages stand after their events."""
+    i = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("in_flight", "complete", "failed", "not_applicable"))), (F.floor(i * 31 / 4) % 4 + 1).cast("int"))
+    e = jobs(spark, sf).select(
+        "job", (i % 4).alias("stage"), F.struct("us", "event_id").alias("seq"), kind.alias("type"), F.concat(F.lit("f"), (i % 6).cast("string")).alias("fingerprint"), "at", (i % 90).alias("seconds"),
+        F.concat(F.lit("maps/"), F.col("job").cast("string"), F.lit(":"), i.cast("string")).alias("artifacts"), F.concat(F.lit("broken "), i.cast("string")).alias("message"),
+    )
+    return J.stage_states(e)
+
+
+@query("game_in_front", "SELECT event_id, user_id % 10 = 3 OR (event_id % 4 <> 0 AND event_id % 4 <> 2 AND value >= 10) AS game FROM events")
+def game_in_front(spark, sf):
+    """Readings of the window in front; process 2 is the engine's own, 0 is none."""
+    return table(spark, sf, "events").select("event_id", J.in_front(F.col("user_id") % 10 == 3, F.col("event_id") % 4, F.lit(2), F.col("value"), 10.0).alias("game"))
+
+
+@query("jobs_list", f"""WITH {JOBS}, r AS (SELECT job, arg_max(status, [rank, us, event_id]) AS status, max(secs) AS updated FROM jobs GROUP BY job)
+SELECT 'active' AS part, job, status, NULL AS updated, NULL AS map_path FROM r WHERE status NOT IN ('completed', 'failed')
+UNION ALL SELECT 'registry', job, status, updated, CASE WHEN status = 'completed' THEN 'maps/' || job END FROM r""")
+def jobs_list(spark, sf):
+    """What runs or waits, and all that is registered with its map."""
+    last = F.max_by("status", F.struct("rank", "us", "event_id"))
+    r = jobs(spark, sf).groupBy("job").agg(last.alias("status"), F.max("at").alias("updated"))
+    path = F.when(F.col("status") == "completed", F.concat(F.lit("maps/"), F.col("job").cast("string")))
+    active = r.where(~F.col("status").isin("completed", "failed")).select("job", "status")
+    return J.jobs_list(active, r.withColumn("map_path", path)).select("part", "job", "status", "updated", "map_path")

@@ -52,3 +52,29 @@ def minute_counts(events: DataFrame, limit: int = 30, late: str = "1 hour") -> D
     """Messages and refusals of each key and minute, with a watermark that bounds the state; events: job, ts."""
     w = events.withWatermark("ts", late).groupBy("job", F.window("ts", "1 minute").alias("w")).agg(F.count("*").alias("n"))
     return w.select("job", F.col("w.start").alias("minute"), "n", F.greatest(F.col("n") - limit, F.lit(0)).alias("refused"))
+
+
+def play_marks(plays: DataFrame) -> DataFrame:
+    """party, event_id, accepted and gone of plays of queue entries (party, event_id, us, entry), by keyed state.
+
+    A play of another entry makes the one before leave for good; plays of entries that have left are
+    refused.  State keeps what plays and what has left, no more than a party's queue has held.
+    """
+
+    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        playing, left = state.get if state.exists else (None, [])
+        left = set(left)
+        pdf = pd.concat(list(batches)).sort_values(["us", "event_id"])
+        accepted, gone = [], []
+        for entry in pdf["entry"].tolist():
+            accepted.append(entry not in left)
+            moves = accepted[-1] and playing is not None and entry != playing
+            gone.append(playing if moves else None)
+            if moves:
+                left.add(playing)
+            if accepted[-1]:
+                playing = entry
+        state.update((playing, sorted(left)))
+        yield pd.DataFrame({"party": key[0], "event_id": pdf["event_id"].to_numpy(), "accepted": accepted, "gone": pd.array(gone, "Int64")})
+
+    return plays.groupBy("party").applyInPandasWithState(step, "party long, event_id long, accepted boolean, gone long", "playing long, gone array<long>", "append", GroupStateTimeout.NoTimeout)

@@ -112,3 +112,19 @@ def test_job_stream_equals_its_batch_twin(spark, tmp_path):
     got = {(r["job"], r["status"]) for r in spark.table("reduced").groupBy("job").agg(F.max_by("status", "events").alias("status")).collect()}
     want = {(r["job"], r["status"]) for r in j.groupBy("job").agg(F.max_by("status", F.struct("rank", "us", "event_id")).alias("status")).collect()}
     assert got == want
+
+
+def test_play_mark_stream_equals_its_batch_twin(spark, tmp_path):
+    """Two files in event order, one a trigger: state carries over from one to the next."""
+    from canticle.operators import alignment as A
+
+    plays = jobs(spark, DATA).select(F.col("job").alias("party"), "event_id", "us", (F.col("event_id") * 31 % 13).alias("entry"))
+    middle = plays.agg(F.percentile("us", F.lit(0.5))).first()[0]
+    for early in (True, False):
+        plays.where((F.col("us") < middle) == early).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(plays.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = twins.play_marks(s).writeStream.format("memory").queryName("marks").outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(120)
+    got = {(r["event_id"], r["accepted"], r["gone"]) for r in spark.table("marks").collect()}
+    want = {(r["event_id"], r["accepted"], r["left"]) for r in A.play_marks(plays.withColumn("seq", F.struct("us", "event_id"))).collect()}
+    assert got == want and len(q.recentProgress) >= 2
