@@ -235,3 +235,26 @@ def on_bars(bins: DataFrame, first: int, width: float, bars: int) -> DataFrame:
     wide = (F.col("bin") >= F.floor(a)) & (F.col("bin") < F.ceil(b))
     rows = rows.withColumn("edges", F.explode(F.array_compact(F.array(F.when(rounded, F.lit("round")), F.when(wide, F.lit("wide"))))))
     return rows.groupBy("song_id", "edges", "bar").agg(F.max("peak").alias("peak"))
+
+
+def splice(words: DataFrame, runs: DataFrame, timings: DataFrame) -> DataFrame:
+    """Words with a run of each song (runs: song_id, first, last, duration) timed anew (timings: song_id, word_idx, start, end, confidence).
+
+    Onsets stay between those of the words around the run and never go back inside it; a run that is out of range or
+    lacks a timing is left alone.  Words of a run are sung and rest on no anchor.
+    """
+    whole = Window.partitionBy("song_id")
+    t = timings.select("song_id", "word_idx", F.col("start").alias("_start"), F.col("end").alias("_end"), F.col("confidence").alias("_confidence"))
+    w = words.join(runs, "song_id", "left").join(t, ["song_id", "word_idx"], "left")
+    inside = F.col("word_idx").between(F.col("first"), F.col("last"))
+    complete = F.sum(F.when(inside & F.col("_start").isNotNull(), 1).otherwise(0)).over(whole) == F.col("last") - F.col("first") + 1
+    w = w.withColumn("_in", F.coalesce(inside & complete, F.lit(False)))
+    low = F.coalesce(F.max(F.when(F.col("word_idx") == F.col("first") - 1, F.col("start"))).over(whole), F.lit(0.0))
+    high = F.coalesce(F.max(F.when(F.col("word_idx") == F.col("last") + 1, F.col("start"))).over(whole), F.col("duration"))
+    # Clamping from above at a fixed bound commutes with the running maximum.
+    onset = F.least(F.greatest(F.max(F.when(F.col("_in"), F.col("_start"))).over(so_far()), low, F.lit(0.0)), high, F.col("duration"))
+    w = w.withColumn("_onset", onset)
+    new = {
+        "end": F.least(F.greatest("_end", "_onset"), F.greatest("duration", "_onset")), "start": F.col("_onset"), "confidence": F.col("_confidence"), "unsung": F.lit(False),
+    }
+    return w.withColumns({k: F.when(F.col("_in"), v).otherwise(F.col(k)) for k, v in new.items()}).drop("_in", "_start", "_end", "_confidence", "_onset", "first", "last", "duration")

@@ -274,3 +274,16 @@ def pages(spark, sf):
 def shift_clamp(spark, sf):
     b = words(spark, sf).select("song_id", "word_idx", (F.greatest(F.lit(0.0), F.least(F.lit(500.0), F.col("value") - 100))).alias("start"), (F.col("value") + 40 - 100).alias("e"))
     return b.select("song_id", "word_idx", F.round("start", 6).alias("start"), F.round(F.least(F.lit(500.0), F.greatest("start", "e")), 6).alias("end"))
+
+
+@query("splice_run", f"""WITH {WORDS}, n AS (SELECT *, count(*) OVER (PARTITION BY song_id) AS n, max("end") OVER (PARTITION BY song_id) AS duration, lag(start) {S} AS before FROM words),
+ b AS (SELECT *, max(CASE WHEN word_idx = 1 THEN start END) OVER (PARTITION BY song_id) AS low, coalesce(max(CASE WHEN word_idx = 6 THEN start END) OVER (PARTITION BY song_id), duration) AS high, start + (event_id % 7 - 3) * 40000 AS t, n > 5 AND song_id % 10 <> 0 AND word_idx BETWEEN 2 AND 5 AS inside FROM n),
+ o AS (SELECT *, least(greatest(max(CASE WHEN inside THEN t END) {RUN}, low, 0), high, duration) AS onset FROM b)
+SELECT song_id, word_idx, round(CASE WHEN inside THEN onset ELSE start END, 6) AS start, round(CASE WHEN inside THEN least(greatest(t + 600, onset), greatest(duration, onset)) ELSE "end" END, 6) AS "end", CASE WHEN inside THEN 0.5 ELSE confidence END AS confidence, CASE WHEN inside THEN FALSE ELSE unsung END AS unsung FROM o""")
+def splice_run(spark, sf):
+    """The third to sixth word of each song timed anew; every tenth song lacks a timing, and short songs are left alone."""
+    w = words(spark, sf)
+    runs = w.groupBy("song_id").agg(F.lit(2).alias("first"), F.lit(5).alias("last"), F.max("end").alias("duration"))
+    t = F.col("start") + (F.col("event_id") % 7 - 3) * 40000
+    timings = w.where("song_id % 10 <> 0 OR word_idx <> 4").select("song_id", "word_idx", t.alias("start"), (t + 600).alias("end"), F.lit(0.5).alias("confidence"))
+    return W.splice(w, runs, timings).select("song_id", "word_idx", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"), "confidence", "unsung")
