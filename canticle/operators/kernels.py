@@ -409,3 +409,159 @@ def windows(changed: list[bool], start: list[float], end: list[float], pad: floa
             out.append((a, b, min(low, start[a]), max(high, end[b])))
             a = b + 1
     return out
+
+
+#: Seconds below which a move is none, that an inserted word lasts, and states that undo goes back.
+STILL_S, INSERTED_S, UNDO = 1e-6, 0.3, 200
+
+
+def placed(words: list[dict], duration: float, i: int, start: float, end: float) -> tuple[float, float]:
+    """start and end of word i kept between its neighbours' onsets and inside the song."""
+    low = words[i - 1]["start"] if i else 0.0
+    high = words[i + 1]["start"] if i + 1 < len(words) else duration
+    s = min(max(start, low, 0.0), high, duration)
+    return s, min(max(end, s), duration)
+
+
+def slot(words: list[dict], duration: float, after: int, at: float | None, count: int) -> tuple[float, float]:
+    """The span of `count` words put in behind word `after`: from `at` on, else the middle half of the gap, else the next onset."""
+    low = words[after]["start"] if after >= 0 else 0.0
+    high = words[after + 1]["start"] if after + 1 < len(words) else duration
+    if at is not None:
+        s = min(max(at, low, 0.0), high, duration)
+        return s, max(s, min(s + INSERTED_S * count, high, duration))
+    left = max(words[after]["end"], low) if after >= 0 else 0.0
+    gap = max(high, left) - left
+    if gap > 0.06:
+        return left + gap / 4, left + gap * 3 / 4
+    s = min(high, duration)
+    return s, min(s + 0.12, duration)
+
+
+def edited(words: list[dict], duration: float, op: dict) -> list[dict] | None:
+    """The words (word, start, end, line) after one edit, or None where it changes nothing.
+
+    op: kind, first, last, start, end, text.  drag sets the times of word `first`; nudge moves first to last by `start`
+    seconds as one; text and delete concern word `first`; insert puts the words of text behind word `first` (-1: in front).
+    """
+    kind, i, j = op["kind"], op["first"], op["last"]
+    if kind == "insert":
+        tokens = (op["text"] or "").split()
+        if not tokens or not words or not -1 <= i < len(words):
+            return None
+        s, e = slot(words, duration, i, op["start"], len(tokens))
+        step = (e - s) / len(tokens)
+        near = [words[k]["line"] for k in (i, i + 1) if 0 <= k < len(words) and words[k]["line"] is not None]
+        new = [{"word": w, "start": s + step * k, "end": e if k == len(tokens) - 1 else s + step * (k + 1), "line": near[0] if near else None} for k, w in enumerate(tokens)]
+        out = [dict(w) for w in words]
+        if i >= 0 and out[i]["end"] > s:
+            out[i]["end"] = max(out[i]["start"], s)
+        return out[: i + 1] + new + out[i + 1 :]
+    if not 0 <= i < len(words):
+        return None
+    out = [dict(w) for w in words]
+    if kind == "delete":
+        return out[:i] + out[i + 1 :]
+    if kind == "text":
+        text = (op["text"] or "").strip()
+        out[i]["word"] = text
+        return out if text and text != words[i]["word"] else None
+    if kind == "drag" or kind == "nudge" and i == j:
+        by = op["start"]
+        s, e = (op["start"], op["end"]) if kind == "drag" else (words[i]["start"] + by, words[i]["end"] + by)
+        out[i]["start"], out[i]["end"] = placed(words, duration, i, s, e)
+    elif kind == "nudge":
+        if not i < j < len(words):
+            return None
+        low = words[i - 1]["start"] if i else 0.0
+        high = words[j + 1]["start"] if j + 1 < len(words) else duration
+        by = min(max(op["start"], low - words[i]["start"], -words[i]["start"]), high - words[j]["start"])
+        for w in out[i : j + 1]:
+            w["start"] = min(max(w["start"] + by, 0.0), duration)
+            w["end"] = min(max(w["end"] + by, w["start"]), duration)
+    moved = any(abs(a[c] - b[c]) > STILL_S for a, b in zip(out, words) for c in ("start", "end"))
+    return out if moved else None
+
+
+def after_edits(words: list[dict], duration: float, ops: list[dict]) -> tuple[list[dict], int]:
+    """The words after all edits, undo and redo among them, and how many of them changed anything."""
+    past: list[list[dict]] = []
+    future: list[list[dict]] = []
+    changed = 0
+    for op in ops:
+        if op["kind"] in ("undo", "redo"):
+            source, other = (past, future) if op["kind"] == "undo" else (future, past)
+            if not source:
+                continue
+            other.append(words)
+            words = source.pop()
+        else:
+            new = edited(words, duration, op)
+            if new is None:
+                continue
+            past, future, words = [*past[-(UNDO - 1) :], words], [], new
+        changed += 1
+    return words, changed
+
+
+def word_edits(words: DataFrame, edits: DataFrame) -> DataFrame:
+    """song_id, word_idx, word, start, end, line and changed after each song's edits in the order of seq.
+
+    words: song_id, word_idx, word, start, end, line, duration; edits: song_id, seq, kind, first, last, start, end, text.
+    Songs are co-grouped with their edits; a song without edits stays as it is.
+    """
+    schema = "song_id long, word_idx int, word string, start double, end double, line long, changed int"
+
+    def none(x):
+        return None if pd.isna(x) else x
+
+    def run(w: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        w, e = w.sort_values("word_idx"), e.sort_values("seq")
+        if not len(w):
+            return pd.DataFrame(columns=["song_id", "word_idx", "word", "start", "end", "line", "changed"])
+        before = [{"word": r.word, "start": r.start, "end": r.end, "line": none(r.line)} for r in w.itertuples()]
+        ops = [{k: none(v) for k, v in r.items()} for r in e.to_dict("records")]
+        for op in ops:
+            op["first"], op["last"] = (int(op[k]) if op[k] is not None else -2 for k in ("first", "last"))
+        after, changed = after_edits(before, float(w["duration"].iloc[0]), ops)
+        out = pd.DataFrame(after, columns=["word", "start", "end", "line"])
+        out["line"] = out["line"].astype("Int64")
+        return out.assign(song_id=w["song_id"].iloc[0], word_idx=np.arange(len(out)), changed=changed)[["song_id", "word_idx", "word", "start", "end", "line", "changed"]]
+
+    return words.groupBy("song_id").cogroup(edits.groupBy("song_id")).applyInPandas(run, schema)
+
+
+def mel_filters(size: int, mels: int, rate: int) -> np.ndarray:
+    """Triangular filters (mels, size / 2 + 1) evenly spaced on the mel scale up to half the rate, each of unit area."""
+    slope = math.log(6.4) / 27
+    top = rate / 2
+    top = 15 + math.log(top / 1000) / slope if top >= 1000 else top * 3 / 200
+    mel = np.linspace(0, top, mels + 2)
+    hz = np.where(mel < 15, mel * 200 / 3, 1000 * np.exp((np.maximum(mel, 15) - 15) * slope))
+    low, mid, high = hz[:-2, None], hz[1:-1, None], hz[2:, None]
+    f = np.arange(size // 2 + 1) * rate / size
+    return np.maximum(0, np.minimum((f - low) / (mid - low), (high - f) / (high - mid))) * 2 / (high - low)
+
+
+def log_mel(x: np.ndarray, filters: np.ndarray, size: int, hop: int) -> np.ndarray:
+    """Frames by mels of a chunk of samples: powers of Hann windows, every `hop` samples, in log10 no more than 8 below the loudest, scaled to about -1..1.
+
+    The chunk is mirrored by half a window at both ends, so it has to be longer than that.
+    """
+    padded = np.pad(x, size // 2, mode="reflect")
+    frames = np.lib.stride_tricks.sliding_window_view(padded, size)[::hop][: len(x) // hop]
+    power = np.abs(np.fft.rfft(frames * (0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)), axis=1)) ** 2
+    out = np.log10(np.maximum(power @ filters.T, 1e-10))
+    return (np.maximum(out, out.max() - 8) + 4) / 4
+
+
+def log_mels(chunks: DataFrame, size: int = 400, hop: int = 160, mels: int = 80, rate: int = 16000) -> DataFrame:
+    """id, frame and mel (an array of `mels` values) of each chunk; chunks: id, x (samples); a chunk of half a window or less has no frames."""
+
+    def run(batches):
+        filters = mel_filters(size, mels, rate)
+        for pdf in batches:
+            out = [(r.id, k, m.tolist()) for r in pdf.itertuples() if r.x is not None and len(r.x) > size // 2 for k, m in enumerate(log_mel(np.asarray(r.x, np.float64), filters, size, hop))]
+            yield pd.DataFrame(out, columns=["id", "frame", "mel"])
+
+    return chunks.mapInPandas(run, "id long, frame int, mel array<double>")

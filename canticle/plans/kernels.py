@@ -136,3 +136,25 @@ def chunk_plan(spark, sf):
     d = d.select("doc_id", "n", c.alias("chunk"))
     a, b = F.col("chunk") * 300, F.least("n", (F.col("chunk") + 1) * 300)
     return d.select("doc_id", "chunk", a.alias("keep_from"), b.alias("keep_to"), F.greatest(F.lit(0), a - 50).alias("read_from"), F.least(F.col("n"), (F.col("chunk") + 1) * 300 + 50).alias("read_to"))
+
+
+@query("word_edits")
+def word_edits(spark, sf):
+    """Every song's words after twelve edits: drags, moves of several words, new texts, insertions, deletions, undo and redo."""
+    ship(spark)
+    w = words(spark, sf).withColumn("duration", F.max("end").over(Window.partitionBy("song_id")))
+    kinds = F.array(*map(F.lit, ("drag", "nudge", "text", "insert", "undo", "delete", "undo", "redo")))
+    k, i = F.col("seq"), F.col("song_id")
+    e = w.groupBy("song_id").agg(F.count("*").alias("n"), F.min("start").alias("zero")).withColumn("seq", F.explode(F.sequence(F.lit(0), F.lit(11))))
+    kind, first = F.get(kinds, ((i + k * 3) % 8).cast("int")), (i * 7 + k * 5) % F.col("n")
+    at = F.when(kind == "nudge", (i % 11 - 5) * 9000.0).when((kind == "drag") | (k % 2 == 0), F.col("zero") + (i * 31 + k * 17) % 200 * 3600.0)
+    e = e.select("song_id", "seq", kind.alias("kind"), first.alias("first"), (first + k % 3).alias("last"), at.alias("start"), (at + 1800).alias("end"), F.concat(F.lit("new "), k.cast("string")).alias("text"))
+    return K.word_edits(w.select("song_id", "word_idx", F.col("event_type").alias("word"), "start", "end", "line", "duration"), e)
+
+
+@query("log_mel")
+def log_mel(spark, sf):
+    """Eight mel bands of windows of 16 samples, every eight samples of each vector."""
+    ship(spark)
+    e = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("x"))
+    return K.log_mels(e, 16, 8, 8)

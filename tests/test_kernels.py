@@ -93,3 +93,46 @@ def test_windows_are_padded_to_their_neighbours_and_split():
     assert K.windows([False, True, False, True, False], start, end) == [(1, 1, 0.8, 2.5), (3, 3, 5.5, 7.5)]
     assert K.windows([True] * 3, [0.0, 60.0, 120.0], [1.0, 61.0, 121.0]) == [(0, 1, 0.0, 62.0), (2, 2, 119.0, 122.0)]
     assert K.windows([], [], []) == []
+
+
+def test_edits_keep_the_map_in_order():
+    words = [{"word": w, "start": s, "end": e, "line": ln} for w, s, e, ln in (("a", 1.0, 1.5, 0), ("b", 2.0, 2.5, 0), ("c", 4.0, 5.0, 1))]
+    op = lambda kind, first=0, last=0, start=None, end=None, text=None: dict(kind=kind, first=first, last=last, start=start, end=end, text=text)
+    times = lambda ws: [(w["word"], round(w["start"], 6), round(w["end"], 6)) for w in ws]
+    assert times(K.edited(words, 6.0, op("drag", 1, start=0.5, end=9.0))) == [("a", 1.0, 1.5), ("b", 1.0, 6.0), ("c", 4.0, 5.0)]
+    assert K.edited(words, 6.0, op("drag", 1, start=2.0, end=2.5)) is None and K.edited(words, 6.0, op("delete", 3)) is None
+    assert times(K.edited(words, 6.0, op("nudge", 0, 1, start=5.0))) == [("a", 3.0, 3.5), ("b", 4.0, 4.5), ("c", 4.0, 5.0)]
+    assert times(K.edited(words, 6.0, op("nudge", 2, 2, start=3.0))) == [("a", 1.0, 1.5), ("b", 2.0, 2.5), ("c", 6.0, 6.0)]
+    assert times(K.edited(words, 6.0, op("insert", 1, text="x y"))) == [("a", 1.0, 1.5), ("b", 2.0, 2.5), ("x", 2.875, 3.25), ("y", 3.25, 3.625), ("c", 4.0, 5.0)]
+    assert times(K.edited(words, 6.0, op("insert", 1, start=2.2, text="x"))) == [("a", 1.0, 1.5), ("b", 2.0, 2.2), ("x", 2.2, 2.5), ("c", 4.0, 5.0)]
+    assert times(K.edited(words, 6.0, op("insert", -1, text="x")))[0] == ("x", 0.25, 0.75)
+    assert K.edited(words, 6.0, op("text", 0, text=" a ")) is None and K.edited([], 6.0, op("insert", -1, text="x")) is None
+    end, changed = K.after_edits(words, 6.0, [op("undo"), op("delete", 0), op("text", 0, text="B"), op("undo"), op("undo"), op("redo")])
+    assert [w["word"] for w in end] == ["b", "c"] and changed == 5
+    # Undo goes back 200 states; a new edit drops what could be redone.
+    many = [op("text", 0, text=str(k)) for k in range(250)] + [op("undo")] * 300
+    assert K.after_edits(words, 6.0, many)[0][0]["word"] == "49"
+    assert K.after_edits(words, 6.0, [op("text", 0, text="x"), op("undo"), op("text", 0, text="y"), op("redo")])[0][0]["word"] == "y"
+
+
+def test_word_edits_over_groups(spark):
+    w = spark.createDataFrame([(1, 0, "a", 1.0, 2.0, 0, 9.0), (1, 1, "b", 3.0, 4.0, None, 9.0), (2, 0, "c", 0.0, 1.0, None, 9.0)], "song_id long, word_idx int, word string, start double, end double, line long, duration double")
+    e = spark.createDataFrame([(1, 1, "text", 0, 0, None, None, "z"), (1, 0, "delete", 0, None, None, None, None), (3, 0, "delete", 0, 0, None, None, None)], "song_id long, seq int, kind string, first int, last int, start double, end double, text string")
+    got = sorted((r["song_id"], r["word_idx"], r["word"], r["line"], r["changed"]) for r in K.word_edits(w, e).collect())
+    assert got == [(1, 0, "z", None, 2), (2, 0, "c", None, 0)]
+
+
+def test_log_mel_against_sums():
+    r = np.random.default_rng(4)
+    x, size, hop, mels, rate = r.normal(size=40), 16, 8, 4, 16000
+    filters = K.mel_filters(size, mels, rate)
+    mirrored = [x[abs(t)] if t < 40 else x[78 - t] for t in range(-8, 48)]
+    want = []
+    for frame in range(5):
+        part = [v * (0.5 - 0.5 * math.cos(2 * math.pi * n / size)) for n, v in enumerate(mirrored[frame * hop : frame * hop + size])]
+        power = [sum(v * math.cos(2 * math.pi * k * n / size) for n, v in enumerate(part)) ** 2 + sum(v * math.sin(2 * math.pi * k * n / size) for n, v in enumerate(part)) ** 2 for k in range(9)]
+        want.append([math.log10(max(1e-10, sum(f * p for f, p in zip(row, power, strict=True)))) for row in filters])
+    want = (np.maximum(want, np.max(want) - 8) + 4) / 4
+    assert np.allclose(K.log_mel(x, filters, size, hop), want)
+    full = K.mel_filters(400, 80, 16000)
+    assert full.shape == (80, 201) and (full >= 0).all() and (full.sum(axis=1) > 0).all()
