@@ -108,10 +108,10 @@ def lifecycles(commands: DataFrame) -> DataFrame:
     return commands.groupBy("job").applyInPandas(run, "job long, state string, refused long")
 
 
-def lifecycle_stream(commands: DataFrame, seed: DataFrame | None = None) -> DataFrame:
+def lifecycle_stream(commands: DataFrame) -> DataFrame:
     """The same on a stream, with state kept by job: job, state and refused after each trigger; seq orders a trigger's commands.
 
-    A snapshot to start from (job, state) is a first trigger's "seed:" commands.
+    A job that starts from a snapshot gets it as its first command, "seed:" and the state.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 

@@ -1,4 +1,4 @@
-"""Streaming forms of the job reducer, the tumbling rate limit and the latch (SURVEY L)."""
+"""Streaming forms of the job reducer, the tumbling rate limit, the latch, playing marks and room views (SURVEY L)."""
 
 from __future__ import annotations
 
@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.readwriter import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from canticle.operators.jobs import guest_view
+
 
 def reduced_jobs(events: DataFrame) -> DataFrame:
     """job, status and count of events so far, by keyed state; events: job, rank, us, event_id, status.
@@ -78,3 +81,18 @@ def play_marks(plays: DataFrame) -> DataFrame:
         yield pd.DataFrame({"party": key[0], "event_id": pdf["event_id"].to_numpy(), "accepted": accepted, "gone": pd.array(gone, "Int64")})
 
     return plays.groupBy("party").applyInPandasWithState(step, "party long, event_id long, accepted boolean, gone long", "playing long, gone array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def fan_out(queues: DataFrame, guests: DataFrame, listing: DataFrame, out: str, checkpoint: str) -> DataStreamWriter:
+    """A stream, yet to be started, that writes each guest's view of a party's queue once it has changed.
+
+    queues: party, version and what guest_view takes; guests and listing are tables.  Of the versions of a party in a
+    trigger the last is told.  A trigger's views replace what a lost run of the same trigger has left.
+    """
+
+    def send(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("party").agg(F.max("version").alias("version"))
+        views = guest_view(batch.join(last, ["party", "version"], "left_semi"), guests, listing).join(last, "party")
+        views.write.mode("overwrite").parquet(f"{out}/trigger={number}")
+
+    return queues.writeStream.foreachBatch(send).option("checkpointLocation", checkpoint)

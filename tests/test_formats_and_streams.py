@@ -128,3 +128,68 @@ def test_play_mark_stream_equals_its_batch_twin(spark, tmp_path):
     got = {(r["event_id"], r["accepted"], r["gone"]) for r in spark.table("marks").collect()}
     want = {(r["event_id"], r["accepted"], r["left"]) for r in A.play_marks(plays.withColumn("seq", F.struct("us", "event_id"))).collect()}
     assert got == want and len(q.recentProgress) >= 2
+
+
+def in_two_files(frame, at, path):
+    """A stream of two triggers: rows up to the middle of a column, then the others."""
+    middle = frame.agg(F.percentile(at, F.lit(0.5))).first()[0]
+    for early in (True, False):
+        frame.where((F.col(at) < middle) == early).coalesce(1).write.mode("append").parquet(path)
+    return frame.sparkSession.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def collected(stream, tmp_path, name, mode):
+    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"cp-{name}")).start()
+    assert q.awaitTermination(120)
+    return stream.sparkSession.table(name)
+
+
+def test_latch_stream_equals_its_batch_query(spark, tmp_path):
+    from canticle.plans.jobs import latch
+
+    e = jobs(spark, DATA).select("job", "event_id", "us", (F.col("value") > 300).alias("hit"))
+    got = collected(twins.latched(in_two_files(e, "us", str(tmp_path / "in"))), tmp_path, "latched", "append")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, latch(spark, DATA).collect()))
+
+
+def test_minute_count_stream(spark, tmp_path):
+    """A window is told once the watermark has passed it; what comes in a trigger after that is left out."""
+    rows = [(k % 2, f"2024-01-01 00:00:{k:02d}") for k in range(10)] + [(0, "2024-01-01 00:01:30"), (1, "2024-01-01 03:00:00")]
+    more = [(1, "2024-01-01 03:00:10"), (1, "2024-01-01 09:00:00")]
+    for part in (rows, more, [(0, "2024-01-01 00:00:59"), (0, "2024-01-01 20:00:00")]):
+        spark.createDataFrame(part, "job long, at string").select("job", F.to_timestamp("at").alias("ts")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("job long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(twins.minute_counts(s, limit=3), tmp_path, "minutes", "append").select("job", F.date_format("minute", "HH:mm").alias("m"), "n", "refused").collect()
+    assert sorted(map(tuple, got)) == [(0, "00:00", 5, 2), (0, "00:01", 1, 0), (1, "00:00", 5, 2), (1, "03:00", 2, 0), (1, "09:00", 1, 0)]
+
+
+def test_lifecycle_stream_follows_a_snapshot(spark, tmp_path):
+    from canticle.operators import jobs as J
+
+    first = [(1, 0, "seed:running"), (2, 0, "seed:queued"), (3, 1, "enqueue"), (3, 2, "take")]
+    later = [(1, 3, "finish"), (1, 4, "cancel"), (2, 3, "take"), (2, 4, "fail"), (2, 5, "retry")]
+    for part in (first, later):
+        spark.createDataFrame(part, "job long, seq int, command string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema("job long, seq int, command string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = collected(J.lifecycle_stream(s), tmp_path, "lifecycles", "update").collect()
+    told = {(r["job"], r["state"], r["refused"]) for r in got}
+    assert told == {(1, "running", 0), (2, "queued", 0), (3, "running", 0), (1, "completed", 1), (2, "queued", 0)} and len(got) == 5
+    batch = spark.createDataFrame([(3, 1, "enqueue"), (3, 2, "take"), (4, 1, "take")], "job long, seq int, command string")
+    assert {tuple(r) for r in J.lifecycles(batch).collect()} == {(3, "running", 0), (4, None, 1)}
+
+
+def test_room_views_are_told_by_trigger(spark, tmp_path):
+    schema = "party long, version int, guest long, id long, position int, song_id long, playing long"
+    one = [(1, 1, 7, 10, 0, 100, 10), (1, 2, 7, 10, 0, 100, 10), (1, 2, 8, 11, 1, 101, 10), (2, 1, 9, 12, 0, 999, 12)]
+    two = [(1, 3, 8, 11, 0, 101, 11)]
+    for part in (one, two):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    guests = spark.createDataFrame([(1, 7), (1, 8), (2, 9)], "party long, guest long")
+    listing = spark.createDataFrame([(100, "sa", "A"), (101, "sb", "B")], "id long, pid string, title string")
+    q = twins.fan_out(s, guests, listing, str(tmp_path / "out"), str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert q.awaitTermination(120) and q.exception() is None
+    got = spark.read.parquet(str(tmp_path / "out")).select("trigger", "guest", "version", "id", "title", "playing", "mine").collect()
+    assert sorted(map(tuple, got)) == [
+        (0, 7, 2, 10, "A", True, True), (0, 7, 2, 11, "B", False, False), (0, 8, 2, 10, "A", True, False), (0, 8, 2, 11, "B", False, True), (1, 7, 3, 11, "B", True, False), (1, 8, 3, 11, "B", True, True),
+    ]
