@@ -77,10 +77,11 @@ def cover_names(spark, sf):
 REDUCED = "r AS (SELECT job, arg_max(status, [rank, us, event_id]) AS status FROM jobs GROUP BY job)"
 
 
-@query("unfinished_jobs", f"WITH {JOBS}, {REDUCED} SELECT job, status FROM r WHERE status IN ('queued', 'running') AND job % 9 <> 0")
+@query("unfinished_jobs", f"WITH {JOBS}, s AS (SELECT event_id // 3 AS job, arg_max(status, [rank, us, event_id]) AS status FROM jobs GROUP BY 1) SELECT job, status FROM s WHERE status IN ('queued', 'running') AND job % 9 <> 0")
 def unfinished_jobs(spark, sf):
-    """What the queue file holds: jobs that wait or run and were not asked to stop (every ninth was)."""
-    return R.unfinished(job_reduce(spark, sf).withColumn("cancel_requested", F.col("job") % 9 == 0)).select("job", "status")
+    """What the queue file holds: jobs (three events each) that wait or run and were not asked to stop, as every ninth was."""
+    j = jobs(spark, sf).groupBy(F.floor(F.col("event_id") / 3).alias("job")).agg(F.max_by("status", F.struct("rank", "us", "event_id")).alias("status"))
+    return R.unfinished(j.withColumn("cancel_requested", F.col("job") % 9 == 0)).select("job", "status")
 
 
 @query("event_channel", f"""WITH {JOBS}, {REDUCED} SELECT -1 AS seq, job AS job_id, '{{"kind":"lifecycle","job_id":' || job || ',"status":"' || status || '"}}' AS payload FROM r
