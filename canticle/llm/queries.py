@@ -110,6 +110,27 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    from canticle.llm.lexical import rank
+
+    return rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, a third of them tampered with, and whether they fold to the root."""
+    from canticle.llm.merkle import document_leaves, manifest
+
+    return manifest(spark, document_leaves(table(spark, sf_dir, "documents")))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of every document under links of 0.9 on three-word shingles."""
+    from canticle.llm.ngram_join import similar_groups
+
+    return similar_groups(spark, table(spark, sf_dir, "documents")).drop("n_copies")
+
+
 OP8_SQL = r"""
 WITH sizes AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -147,6 +168,84 @@ FROM (SELECT o.*, s.source AS src FROM ordered o JOIN sizes s USING (row_id)) GR
 """
 
 
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+FOLDED = f"translate(text, '{ALPHABET}', '{ALPHABET.lower()}')"
+
+OP11_SQL = rf"""
+WITH d AS (
+  SELECT r, doc_id, t, len(t) AS n FROM (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), []) AS t FROM documents)
+  WHERE len(t) > 0),
+c AS (SELECT CAST(count(*) AS BIGINT) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM d),
+q AS (SELECT DISTINCT item_id, term FROM (
+  SELECT item_id, unnest(regexp_extract_all({FOLDED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)),
+p AS (SELECT r, doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT r, doc_id, n, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM c) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM p GROUP BY term),
+s AS (
+  SELECT q.item_id, p.r, p.doc_id,
+         CAST(sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * c.docs) // c.terms)))) AS BIGINT) AS score
+  FROM q JOIN p USING (term) JOIN w USING (term), c GROUP BY q.item_id, p.r, p.doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
+
+def merkle_sql(part_levels: int = 8, top_levels: int = 3) -> str:
+    """The tree level by level: 8^part_levels leaves a lang and 8^top_levels langs at most."""
+
+    def climb(name: str, levels: int) -> str:
+        # Per level: nodes (grp, pos, h); a group's single node stays as it is.
+        out = ""
+        for k in range(levels):
+            out += f"""
+{name}{k + 1} AS (
+  SELECT grp, pos // 8 AS pos, CASE WHEN any_value(total) > 1 THEN sha256(string_agg(h, '' ORDER BY pos)) ELSE any_value(h) END AS h
+  FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS total FROM {name}{k}) GROUP BY grp, pos // 8),
+{name}{k}s AS (
+  SELECT grp, pos, string_agg(h, '' ORDER BY pos) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lo,
+         string_agg(h, '' ORDER BY pos) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS hi,
+         count(*) OVER (PARTITION BY grp) > 1 AS more
+  FROM {name}{k} WINDOW w AS (PARTITION BY grp, pos // 8 ORDER BY pos)),"""
+        return out
+
+    def field(x: str) -> str:
+        return f"coalesce(CAST(strlen(CAST({x} AS VARCHAR)) AS VARCHAR) || ':' || CAST({x} AS VARCHAR), '-')"
+
+    head = " || ".join(field(x) for x in ("doc_id", "source", "lang", "n_chars"))
+    # CRC-32 by half bytes, the low one first; a table entry is four steps of the reflected polynomial.
+    entries = list(range(16))
+    for _ in range(4):
+        entries = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in entries]
+    halves = "flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) & 15 AS BIGINT), CAST(ascii(x) >> 4 AS BIGINT)]))"
+    crc32 = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {halves}), lambda a, x: xor(CAST({entries} AS BIGINT[])[1 + (xor(a, x) & 15)], a >> 4))"
+
+    def steps(name: str, levels: int, node: str) -> str:
+        out = ""
+        for k in range(levels):
+            out += f"""
+{node}{k + 1} AS (
+  SELECT f.* REPLACE (CASE WHEN s.more THEN sha256(coalesce(s.lo, '') || f.seen || coalesce(s.hi, '')) ELSE f.seen END AS seen,
+                      CASE WHEN s.more THEN f.beside || coalesce(s.lo, '') || coalesce(s.hi, '') ELSE f.beside END AS beside, f.place // 8 AS place)
+  FROM {node}{k} f JOIN {name}{k}s s ON s.grp IS NOT DISTINCT FROM f.grp AND s.pos = f.place),"""
+        return out
+
+    return f"""
+WITH rows_ AS (
+  SELECT doc_id, lang, sha256({head} || {field('text')}) AS leaf, sha256({head} || {field(FOLDED)}) AS folded,
+         xor({crc32}, 4294967295) % 3 = 0 AS tampered FROM documents),
+f0 AS (
+  SELECT doc_id, lang AS grp, leaf, CASE WHEN tampered THEN folded ELSE leaf END AS seen, '' AS beside,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place FROM rows_),
+n0 AS (SELECT grp, place AS pos, leaf AS h FROM f0),{climb('n', part_levels)}{steps('n', part_levels, 'f')}
+t0 AS (SELECT 0 AS grp, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS pos, h, grp AS lang FROM n{part_levels}),{climb('t', top_levels)}
+g0 AS (SELECT f.doc_id, 0 AS grp, f.leaf, f.seen, f.beside, t.pos AS place, t.h AS subroot FROM f{part_levels} f JOIN t0 t ON t.lang IS NOT DISTINCT FROM f.grp),{steps('t', top_levels, 'g')}
+r AS (SELECT h AS root FROM t{top_levels})
+SELECT doc_id, leaf, subroot, root, sha256(beside) AS proof_sha256, seen AS folded_root, seen = root AS verified FROM g{top_levels}, r
+"""
+
+
 def queries() -> dict:
     return {
         "op1_quality": op1_quality,
@@ -159,8 +258,11 @@ def queries() -> dict:
         "op8_mixing": op8_mixing,
         "op9_toxicity": op9_toxicity,
         "op10_sharding": op10_sharding,
+        "op11_search": op11_search,
+        "op12_merkle": op12_merkle,
+        "op13_ngram_join": op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL}
+    return {"op2_topk": OP2_SQL, "op3_decontamination": OP3_SQL, "op8_mixing": OP8_SQL, "op11_search": OP11_SQL, "op12_merkle": merkle_sql()}
