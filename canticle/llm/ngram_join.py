@@ -149,14 +149,30 @@ def derived(bags: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: in
     return link
 
 
+def _open_pairs(square: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a tile that block skipping leaves and that are of different components; across tiles, one of each."""
+    part, own, n, pos = (np.array(square[c]) for c in ("part", "own", "n", "pos"))
+    i, j = candidates(n, pos, similarity)
+    keep = part[i] != part[j]
+    if square["a"][0].as_py() != square["b"][0].as_py():
+        keep &= own[i] != own[j]
+    return i[keep], j[keep]
+
+
+def _met(similarity: int):
+    """The entries of a tile that are in a pair; only these need their full sets."""
+
+    def run(square: pa.Table) -> pa.Table:
+        used = np.unique(np.concatenate(_open_pairs(square, similarity)))
+        return square.take(pa.array(used))
+
+    return run
+
+
 def _linked(similarity: int):
     def run(square: pa.Table) -> pa.Table:
-        ids, part, own, n, pos = (np.array(square[c]) for c in ("id", "part", "own", "n", "pos"))
-        i, j = candidates(n, pos, similarity)
-        keep = part[i] != part[j]
-        if square["a"][0].as_py() != square["b"][0].as_py():
-            keep &= own[i] != own[j]
-        i, j = i[keep], j[keep]
+        ids = np.array(square["id"])
+        i, j = _open_pairs(square, similarity)
         if len(i):
             used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
             bags = [_unpack(square["bag"][int(k)].as_py()) for k in used]
@@ -241,6 +257,7 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     met = met.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part")
+    met = met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), met.schema)
     more = met.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long").distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
     scratch.drop(bags, named, links)
