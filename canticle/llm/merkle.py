@@ -1,7 +1,7 @@
 """Merkle manifest of a table: a tree of fanout 8 for each part, a tree over the parts' roots, proofs of rows.
 
 Leaves are hashed in the JVM and placed by a range sort, so that a part of any size is dealt over tasks
-as aligned blocks of 8^5 consecutive leaves.  Within a block the hex digests stand in one contiguous
+as aligned blocks of 8^4 consecutive leaves.  Within a block the hex digests stand in one contiguous
 numpy matrix of 64 bytes a row; eight rows are 512 consecutive bytes, so a level is hashed run by run
 and every sibling is found by index arithmetic.  The roots of blocks are the leaves of the next pass,
 until a part has one node; then the way back gives each block what its leaves' proofs need from above.
@@ -20,8 +20,8 @@ from canticle.llm import kernels as K
 from canticle.llm.storage import Scratch
 
 FANOUT, HEX = 8, 64
-#: Levels of a block: it has 8^5 = 32,768 leaves of 64 bytes each at most.
-LEVELS = 5
+#: Levels of a block: it has 8^4 = 4,096 leaves of 64 bytes each at most.
+LEVELS = 4
 #: Rows of a range when leaves are placed.
 RANGE_ROWS = 1 << 19
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
