@@ -47,17 +47,21 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items found in documents: one row a pair."""
     from canticle.llm.decontamination import leaks
 
-    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
+    return leaks(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), least=1).drop("key")
 
 
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM documents),
 i AS (SELECT item_id, string_split_regex(trim(lower(text), chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE w[1] <> '')),
+short AS (SELECT DISTINCT len(w) AS n FROM i WHERE w[1] <> '' AND len(w) < 5),
+ds AS (
+  SELECT doc_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM d WHERE w[1] <> '')
+  UNION SELECT doc_id, array_to_string(list_slice(w, k, k + n - 1), ' ') FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, short WHERE w[1] <> '')),
 iss AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, k, k + 4), ' ') AS s FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM i WHERE w[1] <> '')),
-n AS (SELECT item_id, count(*) AS n_shingles FROM iss GROUP BY item_id)
-SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, count(*) / any_value(n_shingles) AS containment
-FROM ds JOIN iss USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
+n AS (SELECT item_id, count(*) AS n_shingles FROM iss GROUP BY item_id),
+l AS (SELECT item_id, max(len(w)) AS n_words FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, any_value(n_shingles) AS n_shingles, any_value(n_words) AS n_words, count(*) / any_value(n_shingles) AS containment
+FROM ds JOIN iss USING (s) JOIN n USING (item_id) JOIN l USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= 0.8 * any_value(n_shingles) - 1e-9
 """
 
 
