@@ -90,12 +90,13 @@ def _learn(batch: pa.Table) -> pa.Table:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, most: int) -> tuple[DataFrame, int]:
     """doc_id, text, label and place of at most about `most` labelled rows, by a hash of doc_id; and their number.
 
-    Rows without a doc_id or a 0/1 label are left out; a doc_id with both labels counts as 1.
+    Rows without a doc_id or a 0/1 label are left out; a doc_id with both labels counts as 1.  Labels of
+    documents that docs does not have do not count, so the bound thins what can be learned from only.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(label).cast("int").alias("_label"))
     known = known.where(F.col("_id").isNotNull() & F.col("_label").isin(0, 1)).groupBy("_id").agg(F.max("_label").alias("_label"))
     known = known.where(use).withColumn("_place", F.xxhash64("_id", F.lit(SEED)))
-    n = known.count()
+    n = docs.select(F.col("doc_id").cast("long").alias("_id")).join(known, "_id").count()
     if n > most:
         known = known.where(F.col("_place") < F.lit(-(1 << 63) + int((1 << 64) * (most / n))))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
@@ -123,10 +124,11 @@ def fit_known(docs: DataFrame, labels: DataFrame, use: Column | None = None, mos
     rows = rows.withColumn("learner", F.pmod(F.xxhash64("doc_id", F.lit(SEED + 1)), F.lit(learners)))
     rows = rows.repartition(learners, "learner")
     parts = rows.groupBy("learner").applyInArrow(_learn, "feature long, weight double")
-    mean = parts.groupBy("feature").agg((F.sum("weight") / learners).alias("weight"))
-    found = mean.toPandas()  # at most BIAS + 1 rows
-    weights = np.zeros(BIAS + 1, np.float32)
-    weights[found["feature"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float32)
+    found = parts.groupBy("feature").agg(F.sum("weight").alias("weight"), F.count("*").alias("learners")).toPandas()  # at most BIAS + 1 rows
+    weights = np.zeros(BIAS + 1)
+    weights[found["feature"].to_numpy(np.int64)] = found["weight"].to_numpy(np.float64)
+    ran = found["learners"][found["feature"] == BIAS].sum()  # a learner with rows always has a bias
+    weights = (weights / max(1, ran)).astype(np.float32)
     return weights, len(found) > 0
 
 
