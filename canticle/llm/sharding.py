@@ -4,19 +4,19 @@ A store is a folder:
 
     data/v000001-<job>/...       shards that version 1 added; never changed
     manifests/v000001-<job>/     the manifest of that version as Parquet: one row a live shard
-    versions/v000001             the commit: created exclusively, it names the manifest
+    versions/v000001             the commit: it names the manifest, and appears whole or not at all
 
 Arrivals are appended as small shards.  Compaction puts shards into tiers by size, merges a tier's
 runs once it holds FANIN of them into files of about the target size, and commits old minus merged
 plus new as the next version.  A writer that loses the race for a version starts again from the
-version that won.  Readers follow the largest version, so they see a whole version or none of it.
+version that won; one that dies leaves no version behind.  Readers follow the largest version, so they see a whole version or none of it.
 """
 
 from __future__ import annotations
 
 import functools
+import os
 import re
-import time
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -44,7 +44,7 @@ class ShardStore:
     # Versions
 
     def _claims(self) -> dict[int, int]:
-        """The version files, with their lengths; one of length 0 is being written."""
+        """The version files, with their lengths."""
         fs, folder = filesystem(self.spark, f"{self.root}/versions")
         if not fs.exists(folder):
             return {}
@@ -52,17 +52,17 @@ class ShardStore:
         return {int(m[1]): n for m, n in found if m}
 
     def versions(self) -> list[int]:
+        """The whole versions; an empty file, which only a writer of another kind can leave, is none."""
         return sorted(v for v, n in self._claims().items() if n)
 
     def latest(self) -> int:
-        """The last version, 0 for an empty store; a commit under way is waited for."""
-        for pause in (0, 0.1, 0.3, 1, 3, 10):
-            time.sleep(pause)
-            claims = self._claims()
-            last = max(claims, default=0)
-            if not last or claims[last]:
-                return last
-        raise Conflict(f"the writer of version {last} left an empty versions/v{last:06d}; delete it to go on")
+        """The last whole version, 0 for an empty store."""
+        return max(self.versions(), default=0)
+
+    def _next(self) -> tuple[int, int]:
+        """The last whole version, and the number of the next one: above every file there is."""
+        claims = self._claims()
+        return max((v for v, n in claims.items() if n), default=0), max(claims, default=0) + 1
 
     def manifest(self, version: int | None = None) -> DataFrame:
         """path, tier, bytes, rows and version (that added it) of each live shard."""
@@ -80,7 +80,10 @@ class ShardStore:
             stream.close()
 
     def _commit(self, version: int, shards: DataFrame) -> None:
-        """Writes the manifest, then creates the version's file, which names it; only one writer can."""
+        """Writes the manifest, then a whole file that names it, then gives that the version's name; only one writer can.
+
+        A writer that dies on the way leaves files that no version lists, and nothing to wait for.
+        """
         name = f"v{version:06d}-{uuid.uuid4().hex}"
         try:
             shards.write.parquet(f"{self.root}/manifests/{name}")
@@ -90,15 +93,33 @@ class ShardStore:
                 raise Conflict(f"version {version - 1} is gone") from e
             raise
         fs, path = filesystem(self.spark, f"{self.root}/versions/v{version:06d}")
-        fs.mkdirs(path.getParent())
+        _, whole = filesystem(self.spark, f"{self.root}/versions/.{name}")
+        stream = fs.create(whole, False)
+        stream.write(bytearray(name.encode()))
+        stream.close()
+        if not self._published(fs, whole, path):
+            fs.delete(whole, False)
+            raise Conflict(f"version {version} exists")
+
+    def _published(self, fs, whole, path) -> bool:
+        """Gives a whole file its final name in one step, unless that is taken."""
+        local = fs.getUri().getScheme() == "file"
         try:
-            stream = fs.create(path, False)
+            if local:  # a local rename would replace what is there; a link does not
+                os.link(whole.toUri().getPath(), path.toUri().getPath())
+                fs.delete(whole, False)
+            else:
+                jvm = self.spark._jvm
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+                none[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), self.spark._jsc.hadoopConfiguration()).rename(whole, path, none)
+            return True
+        except FileExistsError:
+            return False
         except Py4JJavaError as e:
             if "FileAlreadyExists" in str(e.java_exception) or fs.exists(path):
-                raise Conflict(f"version {version} exists") from e
+                return False
             raise
-        stream.write(bytearray(name.encode()))
-        stream.close()
 
     def _written(self, folder: str, version: int) -> DataFrame:
         """Manifest rows of the shards in a folder, from file metadata and row counts."""
@@ -120,9 +141,9 @@ class ShardStore:
         folder = f"{self.root}/data/a-{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").option("maxRecordsPerFile", rows_per_shard or arrival_rows(rows)).parquet(folder)
         while True:
-            version = self.latest() + 1
+            base, version = self._next()
             try:
-                self._commit(version, self.manifest(version - 1).unionByName(self._written(folder, version)))
+                self._commit(version, self.manifest(base).unionByName(self._written(folder, version)))
                 return version
             except Conflict:
                 continue
@@ -149,8 +170,8 @@ class ShardStore:
 
     def _merge_once(self) -> int | None:
         """One round of merges and its commit; None if there is nothing to merge."""
-        version = self.latest() + 1
-        live = self.manifest(version - 1)
+        base, version = self._next()
+        live = self.manifest(base)
         plan = self.plan(live).persist()
         try:
             runs = plan.agg(F.count_distinct("run").alias("n")).first()["n"]
@@ -169,7 +190,7 @@ class ShardStore:
             try:
                 self._commit(version, merged.select(*live.columns).unionByName(self._written(folder, version)))
             except Conflict:
-                return version - 1
+                return self.latest()
             return version
         finally:
             plan.unpersist()

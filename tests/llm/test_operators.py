@@ -389,6 +389,68 @@ def test_shard_store_interleaved_writers(spark, tmp_path):
     assert sorted(map(str, one.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
 
 
+def test_shard_store_outlives_a_dead_writer(spark, tmp_path):
+    """A writer that dies before its version has a name, or an empty version file, holds nobody up."""
+    docs = frame(spark, odd_documents())
+    store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=1 << 20)
+    store.append(docs.where("key < 30"), 10)
+    dead = sharding.ShardStore(spark, store.root)
+    dead._published = lambda *_: (_ for _ in ()).throw(KeyboardInterrupt)
+    try:
+        dead.append(docs.where("key >= 30"), 10)
+        raise AssertionError("the writer lived")
+    except KeyboardInterrupt:
+        pass
+    assert store.versions() == [1]
+    (tmp_path / "store" / "versions" / "v000002").touch()
+    assert store.latest() == 1 and store.read().count() == docs.where("key < 30").count()
+    assert store.append(docs.where("key >= 30"), 10) == 3
+    assert store.compact() >= 3
+    assert sorted(map(str, store.read().select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+
+
+def test_short_items_are_found_inside_documents(spark):
+    from tests.helpers import connect
+
+    texts = ["a secret answer is hidden here", "Secret\tANSWER is", "secret answer", "no", "the answer is no", "", None, "x " * 300_000 + "secret answer is", "secret answer is secret answer is"]
+    docs = frame(spark, [(k, t, "", "", 0, "", 0, "") for k, t in enumerate(texts)] + [(None, "so secret answer is", "", "", 0, "", 0, "")])
+    items = spark.createDataFrame([(1, "secret answer is"), (2, "no"), (3, " "), (4, None), (5, "answer is"), (6, "a secret answer is hidden")], "item_id long, text string")
+    got = decontamination.leaks(spark, docs, items, least=1).drop("key")
+    want = {(k, i) for k, t in [*enumerate(texts), (None, "so secret answer is")] for i, x in ((1, "secret answer is"), (2, "no"), (5, "answer is"), (6, "a secret answer is hidden")) if f" {x} " in f" {' '.join((t or '').lower().split())} "}
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == want and len(want) > 10
+    assert {(r["item_id"], r["n_words"]) for r in got.collect()} == {(1, 3), (2, 1), (5, 2), (6, 5)}
+    whole = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark, docs, items).collect()}
+    assert whole == {(1, 1), (3, 2), (0, 6)}
+    some = {(r["doc_id"], r["item_id"]) for r in decontamination.leaks(spark, docs, items, least=3).collect()}
+    assert some == {x for x in want if x[1] in (1, 6)} | {(3, 2)}
+    assert {r["doc_id"] for r in decontamination.keep_unleaked(spark, docs, items, least=3).collect()} == {2, 4, 5, 6}
+    con = connect(DATA)
+    con.register("d", docs.where("doc_id is not null and doc_id != 7").select("doc_id", "text").toPandas())
+    con.register("i", items.toPandas())
+    con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM d; CREATE OR REPLACE VIEW benchmark AS SELECT * FROM i")
+    twin = {(int(r[0]), int(r[1])) for r in con.execute(queries.OP3_SQL).fetchall()}
+    assert twin == {x for x in want if x[0] not in (None, 7)}  # the twin holds a text once a word
+
+
+def test_labels_of_other_documents_do_not_thin_the_sample(spark):
+    """The bound holds for labelled documents, however many labels there are; weights are means over learners that ran."""
+    docs = frame(spark, [(k, f"word{k % 7} " * 5 + ("vile" if k % 3 == 0 else "kind"), "", "", 0, "", 0, "") for k in range(200)])
+    labels = spark.range(400_000).select(F.col("id").alias("doc_id"), (F.col("id") % 3 == 0).cast("int").alias("toxic"))
+    rows, n = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 16000)
+    assert n == 200 == rows.count()
+    rows, n = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 100)
+    assert n == 100 and 60 < rows.count() < 140
+    few, all_ = toxicity.fit(docs, labels), toxicity.fit(docs, labels.where("doc_id < 200"))
+    assert (few == all_).all() and few.any()
+    one = docs.where("doc_id < 3")
+    monkey, toxicity.ROWS_PER_LEARNER = toxicity.ROWS_PER_LEARNER, 1
+    try:
+        weights, ran = toxicity.fit_known(one, labels)
+    finally:
+        toxicity.ROWS_PER_LEARNER = monkey
+    assert ran and np.isfinite(weights).all()
+
+
 def test_compaction_plan_against_plain_python(spark, tmp_path):
     store = sharding.ShardStore(spark, str(tmp_path / "store"), target_bytes=100)
     r = random.Random(4)
