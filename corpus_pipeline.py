@@ -9,6 +9,10 @@ from canticle.llm.queries import table
 from canticle.llm.storage import Scratch
 
 
+#: Benchmark items of fewer words are common phrases; inside longer documents they are no leak.
+LEAST_ITEM_WORDS = 5
+
+
 def clean_toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the toxicity model rejects; it is fitted on the labelled ones among docs."""
     return toxicity.keep_clean(spark, docs, table(spark, sf_dir, "labels"))
@@ -20,8 +24,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a benchmark item."""
-    return decontamination.keep_unleaked(spark, docs, table(spark, sf_dir, "benchmark"))
+    """Drops the documents that hold a benchmark item of LEAST_ITEM_WORDS or more, or that are a shorter one."""
+    return decontamination.keep_unleaked(spark, docs, table(spark, sf_dir, "benchmark"), least=LEAST_ITEM_WORDS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
