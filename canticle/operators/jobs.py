@@ -34,6 +34,12 @@ def state_rank(state: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, STATES)), state) - 1
 
 
+def snapshot(events: DataFrame) -> DataFrame:
+    """job, rank, us, event_id, status and events: where each job is after its events (job, rank, us, event_id, status)."""
+    last = F.max(F.struct("rank", "us", "event_id", "status")).alias("last")
+    return events.groupBy("job").agg(last, F.count("*").alias("events")).select("job", "last.*", "events")
+
+
 def progress(events: DataFrame) -> DataFrame:
     """job, stage, fraction and failure after its events (job, seq, type, stage, fraction, message).
 
