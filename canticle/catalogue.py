@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from canticle.plans import REGISTRY, SQL
-from canticle.plans import alignment, formats, jobs, kernels, library, lyrics, matching, resolve, scalars, signal, streams, words  # noqa: F401  registers their queries
+from canticle.plans import alignment, files, formats, jobs, kernels, library, lyrics, matching, resolve, scalars, signal, streams, words  # noqa: F401  registers their queries
 
 
 def queries() -> dict:
