@@ -1,4 +1,4 @@
-"""Formats and song folders: exports of the timed words, and files given as literal rows, as the tables hold none."""
+"""Formats and song folders: exports of the timed words, and files made around the parts' names, as the tables hold none."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from canticle.plans import query
-from canticle.plans.lyrics import values
-from canticle.plans.views import WORDS, words
+from canticle.plans.lyrics import formed, formed_sql, quoted, values
+from canticle.plans.views import WORDS, table, words
 from canticle.shipping import ship
 from canticle.sources import folders as D
 from canticle.sources import lrc as R
+from canticle.sources import songfiles as S
+from canticle.storage import Scratch
 
 #: Hours between events become seconds between words.
 PACE = 7200.0
@@ -103,20 +105,20 @@ def self_check(spark, sf):
 
 
 LRCS = [
-    ("a", "﻿[ti:Song One]\r\n[ar: Ann ]\r\n[00:12.00]<00:12.50>Hello <00:13.00>you\r\n[00:15.00]\r\n[00:16.00]\r\n[01:02.3][01:05.3]Twice I <3 you\r\n[Chorus]\r\n[chorus: la]\r\n[00:20:50]end\r\n[00:30.00]", "Hello you||Twice I <3 you|[Chorus]|[chorus: la]|end", "Song One", "Ann"),
-    ("b", "plain\n\nwords\n", "plain|words", None, None), ("c", "[tool:x][00:01.00] [la:en] one\n[ti:]\n[ti:Last][#:note]two", "one|two", "Last", None), ("d", "", "", None, None), ("e", "[00:01]\n[0a:01]no tag", "[0a:01]no tag", None, None),
+    ("a", "﻿[ti:Song {n}]\r\n[ar: Ann ]\r\n[00:12.00]<00:12.50>Hello <00:13.00>you\r\n[00:15.00]\r\n[00:16.00]\r\n[01:02.3][01:05.3]Twice I <3 {n}\r\n[Chorus]\r\n[chorus: la]\r\n[00:20:50]end\r\n[00:30.00]", "Hello you||Twice I <3 {n}|[Chorus]|[chorus: la]|end", "Song {n}", "Ann"),
+    ("b", "plain\n\n{n}\n", "plain|{n}", None, None), ("c", "[tool:x][00:01.00] [la:en] one\n[ti:]\n[ti:Last][#:note]two", "one|two", "Last", None), ("d", "", "", None, None), ("e", "[00:01]\n[0a:01]no tag", "[0a:01]no tag", None, None),
 ]
 
 
-@query("lrc_read", "WITH " + values([(i, *r) for i, _, *r in LRCS], ["path", "text", "title", "artist"]) + " SELECT path, text, title, artist FROM v")
+@query("lrc_read", "SELECT p_partkey AS id, " + ", ".join(f"{formed_sql([x[i] for x in LRCS])} AS {c}" for i, c in ((2, "text"), (3, "title"), (4, "artist"))) + " FROM part")
 def lrc_read(spark, sf):
-    """Whole LRC documents: words, title and artist; the twin holds what they say."""
-    rows = spark.createDataFrame([x[:2] for x in LRCS], "path string, text string")
-    return R.read_lrc(rows).withColumn("text", F.replace("text", F.lit("\n"), F.lit("|")))
+    """Whole LRC documents around each part's name: words, title and artist."""
+    rows = R.read_lrc(formed(spark, sf, [x[1] for x in LRCS], "text").select(F.col("id").alias("path"), "text"))
+    return rows.select(F.col("path").alias("id"), F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), "title", "artist")
 
 
 STARS = [
-    ("a", "#TITLE:A\n#BPM:120,0\n#GAP:500\n: 0 2 5 Hel\n: 2 2 5 lo \n* 4 1 7 you\n- 6\nF 8 2 0 ~ah\nR 10 1 0  rap\nG 11 1 0 per\nE\njunk"),
+    ("a", "#TITLE:{n}\n#BPM:120,0\n#GAP:500\n: 0 2 5 Hel\n: 2 2 5 lo \n* 4 1 7 you\n- 6\nF 8 2 0 ~ah\nR 10 1 0  rap\nG 11 1 0 per\nE\njunk"),
     ("b", "#TITLE:B\n#BPM:300\n#RELATIVE:yes\n: 0 1 0 a\n- 4 10\n: 0 1 0 b\n- 5\n: 1 1 0 c\nE"), ("duet", "#TITLE:D\n#BPM:300\nP1\n: 0 1 0 a\nE"), ("nobpm", "#TITLE:N\n: 0 1 0 a\nE"), ("short", "#BPM:300\n: 0 1\nE"), ("none", "#BPM:300\nE"), ("word", "#BPM:300\nHello\nE"),
 ]
 MERGED = [
@@ -126,28 +128,36 @@ MERGED = [
 WRONG = [("duet", "line 3: duets are not read"), ("nobpm", "no usable #BPM"), ("short", "line 2: malformed note"), ("none", "no notes"), ("word", "line 2: unrecognized line")]
 
 
-@query("syllable_merge", "WITH " + values(MERGED, ["song_id", "word_idx", "word", "start", "finish", "line", "word_in_line", "unsung"]) + " SELECT song_id, word_idx, word, CAST(start AS DOUBLE) AS start, CAST(finish AS DOUBLE) AS finish, line, word_in_line, unsung FROM v")
+def stars(spark, sf):
+    return formed(spark, sf, [t for _, t in STARS], "text").select(F.col("id").cast("string").alias("path"), "text")
+
+
+OF = "SELECT p_partkey AS id, [" + ", ".join(f"'{x}'" for x, _ in STARS) + f"][1 + p_partkey % {len(STARS)}] AS kind FROM part"
+
+
+@query("syllable_merge", f"WITH s AS ({OF}), " + values(MERGED, ["kind", "word_idx", "word", "start", "finish", "line", "word_in_line", "unsung"]) + " SELECT id, word_idx, word, CAST(start AS DOUBLE) AS start, CAST(finish AS DOUBLE) AS finish, line, word_in_line, unsung FROM s JOIN v USING (kind)")
 def syllable_merge(spark, sf):
-    """Notes of UltraStar files as words in seconds: relative beats, decimal commas, free and golden notes."""
-    ship(spark)
-    m = R.merge_syllables(R.read_ultrastar(spark.createDataFrame(STARS, "path string, text string")))
-    return m.select("song_id", "word_idx", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("finish"), "line", "word_in_line", "unsung")
+    """Notes of an UltraStar file a part as words in seconds: relative beats, decimal commas, free and golden notes."""
+    m = R.merge_syllables(R.read_ultrastar(stars(spark, sf)))
+    return m.select(F.col("song_id").cast("long").alias("id"), "word_idx", "word", F.round("start", 6).alias("start"), F.round("end", 6).alias("finish"), "line", "word_in_line", "unsung")
 
 
-@query("ultrastar_errors", "WITH " + values(WRONG, ["path", "error"]) + " SELECT path, error FROM v")
+@query("ultrastar_errors", f"WITH s AS ({OF}), " + values(WRONG, ["kind", "error"]) + " SELECT id, error FROM s JOIN v USING (kind)")
 def ultrastar_errors(spark, sf):
     """Song files that cannot be read, with the line that is wrong."""
-    ship(spark)
-    return R.read_ultrastar(spark.createDataFrame(STARS, "path string, text string")).where("error is not null").select("path", "error").distinct()
+    return R.read_ultrastar(stars(spark, sf)).where("error is not null").select(F.col("path").cast("long").alias("id"), "error").distinct()
 
 
-BYTES = [(1, b"\xef\xbb\xbfmark \xc3\xa9", "mark é"), (2, b"\xff\xfeh\x00\xe9\x00", "hé"), (3, b"\xfe\xff\x00h\x00\xe9", "hé"), (4, "plain é".encode(), "plain é"), (5, b"old \xe9 \x93q\x94 \x80", "old é “q” €"), (6, b"", "")]
+#: How a text is stored: mark and charset of each encoding; the old code page's own characters come last.
+STORED = [("EFBBBF", "UTF-8", ""), ("FFFE", "UTF-16LE", ""), ("FEFF", "UTF-16BE", ""), ("", "UTF-8", ""), ("", "ISO-8859-1", "20937194 80")]
 
 
-@query("decode_text", "WITH " + values([(i, t) for i, _, t in BYTES], ["id", "text"]) + " SELECT id, text FROM v")
+@query("decode_text", "SELECT p_partkey AS id, p_name || ' é' || CASE WHEN p_partkey % 5 = 4 THEN ' “q” €' ELSE '' END AS text FROM part")
 def decode_text(spark, sf):
     """Texts in the encodings that song files come in."""
-    return spark.createDataFrame([(i, bytearray(b)) for i, b, _ in BYTES], "id int, content binary").select("id", R.decode(F.col("content")).alias("text"))
+    p, k, text = table(spark, sf, "part"), F.col("p_partkey"), F.concat("p_name", F.lit(" é"))
+    content = F.coalesce(*(F.when(k % 5 == i, F.concat(F.unhex(F.lit(mark)), F.encode(text, charset), F.unhex(F.lit(more.replace(" ", "20"))))) for i, (mark, charset, more) in enumerate(STORED)))
+    return p.select(k.alias("id"), R.decode(content).alias("text"))
 
 
 TREE = {
@@ -159,40 +169,69 @@ TREE = {
 TAGS = [("/m/H/Tagged.m4a", "From tags", "Tag Band"), ("/m/D/Named.mp3", "Tag title", "Tag artist"), ("/m/B/Three.wav", "", " ")]
 PAIRED = [
     ("/m/Ann - One.mp3", "/m/ann - one.txt", "text", "One", "Ann", "filename", None, None, None, "m"), ("/m/B/Two.mp3", "/m/B/Two.lyrics.txt", "text", "Two", None, "filename", None, None, None, "B"),
-    ("/m/B/Three.wav", "/m/B/Three.lrc", "lrc", "Lrc Three", "Lrc Band", "lrc", None, None, None, "B"), ("/m/C/Solo.mp3", "/m/C/any.txt", "text", "Solo", None, "filename", None, None, None, None),
-    ("/m/D/Named.mp3", "/m/D/song.txt", "ultrastar", "Star", "Star Band", "ultrastar", 1999, None, "de", None), ("/m/E/Duet.mp3", "/m/E/Duet.txt", "unreadable", "Two", None, "ultrastar", None, None, None, None),
+    ("/m/B/Three.wav", "/m/B/Three.lrc", "lrc", "Lrc Three", "Lrc Band", "lrc", None, None, None, "B"), ("/m/C/Solo.mp3", "/m/C/any.txt", "text", "Solo", None, "filename", None, None, None, "s{k}"),
+    ("/m/D/Named.mp3", "/m/D/song.txt", "ultrastar", "Star", "Star Band", "ultrastar", 1999, None, "de", "s{k}"), ("/m/E/Duet.mp3", "/m/E/Duet.txt", "unreadable", "Two", None, "ultrastar", None, None, None, "s{k}"),
     ("/m/H/Tagged.m4a", None, "none", "From tags", "Tag Band", "tags", None, None, None, "H"), ("/m/H/video.webm", None, "none", "video", None, "filename", None, None, None, "H"),
     ("/m/I/Same.mp3", "/m/I/Same.txt", "text", "Same", None, "filename", None, None, None, "I"), ("/m/I/same.wav", "/m/I/Same.lrc", "lrc", "same", None, "filename", None, None, None, "I"),
 ]
-PAIRED[0] = (*PAIRED[0][:-1], None)  # a song at the root, while others are in folders
+PAIRED[0] = (*PAIRED[0][:-1], None)  # alone in a folder at the root
+KINDS = [
+    ("/m/ann - one.txt", "text"), ("/m/B/Two.lyrics.txt", "text"), ("/m/B/Two.lrc", "lrc"), ("/m/B/Three.lrc", "lrc"), ("/m/B/notes.txt", "text"), ("/m/C/any.txt", "text"), ("/m/D/song.txt", "ultrastar"),
+    ("/m/D/Named.txt", "text"), ("/m/E/Duet.txt", "ultrastar"), ("/m/H/empty.txt", "empty"), ("/m/I/Same.txt", "text"), ("/m/I/Same.lrc", "lrc"),
+]
+
+
+def at(path: str) -> str:
+    """A path of the tree in SQL, with the supplier's folder behind the root."""
+    return f"'s' || s_suppkey || '{path.removeprefix('/m')}'" if path else "NULL"
+
+
+def tree(spark, sf):
+    """The songs and lyric files of a folder, written to disk, with a copy of the tree for each supplier; and its root."""
+    root = Scratch(spark, "songs").path("m")
+    one = F.explode(F.create_map(*(F.lit(x) for k, v in TREE.items() for x in (k.removeprefix("/m"), v)))).alias("place", "text")
+    files = table(spark, sf, "supplier").select("s_suppkey", one)
+    files = files.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), "place").alias("path"), F.when(F.col("text") == "", "sound").otherwise(F.col("text")).cast("binary").alias("content"))
+    S.write_files(files, root)
+    found = D.scan(D.listed(spark, root), root)
+    return found, D.inspect(D.with_contents(spark, root, found.where("kind = 'lyrics'"))), root
+
+
+def local(root: str, *columns: str) -> list[F.Column]:
+    """Paths below the root as they were before it."""
+    return [F.regexp_replace(c, f"^.*{root.rsplit('/', 1)[-1]}/", "").alias(c) for c in columns]
 
 
-def tree(spark):
-    rows = [(k, bytearray(v.encode()), len(v)) for k, v in TREE.items()]
-    found = D.scan(spark.createDataFrame(rows, "path string, content binary, length long"), "/m")
-    return found, D.inspect(found.where("kind = 'lyrics'"))
+def titled_sql() -> str:
+    rows = [(at(r[0]), at(r[1]) if r[1] else "NULL", *(quoted(x) for x in r[2:9]), "NULL" if r[9] is None else quoted(r[9]).replace("{k}", "' || s_suppkey || '")) for r in PAIRED]
+    names = ("song", "lyric", "kind", "title", "artist", "title_source", "year", "genre", "language", "collection")
+    return " UNION ALL ".join("SELECT " + ", ".join(f"{'CAST(NULL AS INTEGER)' if c == 'year' and v == 'NULL' else v} AS {c}" for v, c in zip(r, names, strict=True)) + " FROM supplier" for r in rows)
 
 
-@query("title_precedence", "WITH " + values(PAIRED, ["song", "lyric", "kind", "title", "artist", "title_source", "year", "genre", "language", "collection"]) + " SELECT * FROM v")
+@query("title_precedence", titled_sql())
 def title_precedence(spark, sf):
-    """A folder of songs scanned, paired and titled; the twin holds what a person would say."""
+    """A folder of songs a supplier, scanned from disk, paired and titled."""
     ship(spark)
-    found, lyrics = tree(spark)
-    tags = spark.createDataFrame(TAGS, "path string, title string, artist string")
-    return D.songs(found.where("kind = 'audio'"), lyrics, tags).join(D.collections(found, "/m"), "song", "left").drop("error")
+    found, lyrics, root = tree(spark, sf)
+    base = D.root_of(found)
+    tags = table(spark, sf, "supplier").select("s_suppkey", F.explode(F.array(*(F.struct(*(F.lit(x).alias(c) for x, c in zip(t, ("at", "title", "artist"), strict=True))) for t in TAGS))).alias("t"))
+    tags = tags.select(F.concat(F.lit(f"{base}/s"), F.col("s_suppkey").cast("string"), F.replace("t.at", F.lit("/m/"), F.lit("/"))).alias("path"), "t.title", "t.artist")
+    out = D.songs(found.where("kind = 'audio'"), lyrics, tags).join(D.collections(found, base), "song", "left").drop("error")
+    return out.withColumns({c: local(root, c)[0] for c in ("song", "lyric")})
 
 
-@query("pair_folder", "WITH " + values([r[:2] for r in PAIRED], ["song", "lyric"]) + " SELECT song, lyric FROM v UNION ALL SELECT 'left', unnest(['/m/B/Two.lrc', '/m/B/notes.txt', '/m/D/Named.txt'])")
+@query("pair_folder", " UNION ALL ".join([f"SELECT {at(r[0])} AS song, {at(r[1]) if r[1] else 'NULL'} AS lyric FROM supplier" for r in PAIRED] + [f"SELECT 'left', {at(x)} FROM supplier" for x in ("/m/B/Two.lrc", "/m/B/notes.txt", "/m/D/Named.txt")]))
 def pair_folder(spark, sf):
     """Which lyric file belongs to which song, and the files that nobody claimed."""
     ship(spark)
-    found, lyrics = tree(spark)
+    found, lyrics, root = tree(spark, sf)
     paired = D.pair(found.where("kind = 'audio'"), lyrics)
-    return paired.unionByName(D.unclaimed(lyrics, paired.where("lyric is not null")).select(F.lit("left").alias("song"), F.col("path").alias("lyric")))
+    return paired.unionByName(D.unclaimed(lyrics, paired.where("lyric is not null")).select(F.lit("left").alias("song"), F.col("path").alias("lyric"))).select(*local(root, "song", "lyric"))
 
 
-@query("inspect_files", "WITH " + values([("/m/ann - one.txt", "text"), ("/m/B/Two.lyrics.txt", "text"), ("/m/B/Two.lrc", "lrc"), ("/m/B/Three.lrc", "lrc"), ("/m/B/notes.txt", "text"), ("/m/C/any.txt", "text"), ("/m/D/song.txt", "ultrastar"), ("/m/D/Named.txt", "text"), ("/m/E/Duet.txt", "ultrastar"), ("/m/H/empty.txt", "empty"), ("/m/I/Same.txt", "text"), ("/m/I/Same.lrc", "lrc")], ["path", "what"]) + " SELECT path, what FROM v")
+@query("inspect_files", " UNION ALL ".join(f"SELECT {at(p)} AS path, '{w}' AS what FROM supplier" for p, w in KINDS))
 def inspect_files(spark, sf):
-    """What each lyric file of the folder is."""
+    """What each lyric file of the folders is."""
     ship(spark)
-    return tree(spark)[1].select("path", "what")
+    _, lyrics, root = tree(spark, sf)
+    return lyrics.select(*local(root, "path"), "what")

@@ -1,4 +1,4 @@
-"""Lyric text and catalogue queries over documents, pages and parts, with literal rows where those lack the case."""
+"""Lyric text and catalogue queries over documents, pages and parts, with forms put around their names where those lack the case."""
 
 from __future__ import annotations
 
@@ -23,6 +23,22 @@ def literal(spark, rows, columns):
     return spark.createDataFrame(rows, columns)
 
 
+def quoted(v) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+
+def formed(spark, sf, forms, column: str):
+    """id and a text for each part: its form by its key, with the part's name for {n}."""
+    k = F.col("p_partkey")
+    form = F.get(F.array(*(F.lit(f).cast("string") for f in forms)), (k % len(forms)).cast("int"))
+    return table(spark, sf, "part").select(k.alias("id"), F.replace(form, F.lit("{n}"), F.col("p_name")).alias(column), (k % len(forms)).cast("int").alias("form"))
+
+
+def formed_sql(forms) -> str:
+    """The same as an expression over part."""
+    return f"replace([{', '.join(map(quoted, forms))}][1 + p_partkey % {len(forms)}], '{{n}}', p_name)"
+
+
 def values(rows, columns) -> str:
     q = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
     return f"v({', '.join(columns)}) AS (VALUES {', '.join('(' + ', '.join(q(v) for v in r) + ')' for r in rows)})"
@@ -58,19 +74,19 @@ def lyrics_clean(spark, sf):
 
 
 SONGS = [
-    ("la la\nlo lo\n", "la la\nlo lo\n", "no changes needed"),
-    ("[Verse 1: Ann]\r\nhello there (ooh)\r\nagain x2\r\n\r\n[Chorus x2]\r\nla la\r\nlo lo\r\n\r\nend of it42Embed", "hello there (ooh)\nagain\nagain\n\nla la\nlo lo\n\nla la\nlo lo\n\nend of it", "removed 1 section header, removed 1 credit/boilerplate line, expanded 2 marked repeats, flagged 1 ad-lib".replace("removed 1 section header, ", "removed 2 section headers, ")),
-    ("one\ntwo\n(x3)\nthree", "one\ntwo\none\ntwo\none\ntwo\nthree", "expanded one x3 stanza"),
+    ("la {n}\nlo lo\n", "la {n}\nlo lo\n", "no changes needed"),
+    ("[Verse 1: Ann]\r\n{n} there (ooh)\r\nagain x2\r\n\r\n[Chorus x2]\r\nla la\r\nlo lo\r\n\r\nend of it42Embed", "{n} there (ooh)\nagain\nagain\n\nla la\nlo lo\n\nla la\nlo lo\n\nend of it", "removed 1 section header, removed 1 credit/boilerplate line, expanded 2 marked repeats, flagged 1 ad-lib".replace("removed 1 section header, ", "removed 2 section headers, ")),
+    ("one\n{n}\n(x3)\nthree", "one\n{n}\none\n{n}\none\n{n}\nthree", "expanded one x3 stanza"),
     ("Lyrics by Someone\n\nsing (a (b) c) and (d\nx99", "\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d\nsing (a (b) c) and (d", "removed 1 credit/boilerplate line, expanded one x8 stanza, flagged 1 ad-lib"),
     ("Hook: (x2)\nhey", "hey\n\nhey", "removed 1 section header, expanded one x2 hook"), ("", "", "no changes needed"),
 ]
 
 
-@query("cleanup_summary", "WITH " + values([(i, t.replace("\n", "|"), w) for i, (_, t, w) in enumerate(SONGS)], ["id", "text", "summary"]) + " SELECT id, text, summary FROM v")
+@query("cleanup_summary", f"SELECT p_partkey AS id, {formed_sql([t.replace(chr(10), '|') for _, t, _ in SONGS])} AS text, {formed_sql([w for _, _, w in SONGS])} AS summary FROM part")
 def cleanup_summary(spark, sf):
-    """Cleaned texts and what was changed, in words; the twin holds what should come out."""
+    """Cleaned texts and what was changed, in words, for lyrics of several shapes around each part's name."""
     ship(spark)
-    c = C.clean(literal(spark, [(i, t) for i, (t, _, _) in enumerate(SONGS)], "id int, text string"))
+    c = C.clean(formed(spark, sf, [t for t, _, _ in SONGS], "text").select("id", "text"))
     return c.select("id", F.replace("text", F.lit("\n"), F.lit("|")).alias("text"), C.summary(F.col("edits")).alias("summary"))
 
 
@@ -179,37 +195,41 @@ def language_tags(spark, sf):
     return rows.select("id", tag.alias("tag"), language_name(tag).alias("language"))
 
 
-NAMES = [(1, "  Ann   Lee "), (2, "x" * 20), (3, "   "), (4, "Zoë"), (5, "a\tb")]
+NAMES = ["  {n}   Lee ", "x{n}xxxxxxxxxxxxxxxxxxxx", "   ", "Zoë {n}", "a\tb {n}"]
 
 
-@query("clean_name", f"WITH {values(NAMES, ['id', 'name'])} " + r"SELECT id, nullif(trim(left(trim(regexp_replace(name, '\s+', ' ', 'g')), 14)), '') AS name FROM v")
+@query("clean_name", f"WITH v AS (SELECT p_partkey AS id, {formed_sql(NAMES)} AS name FROM part) " + r"SELECT id, nullif(trim(left(trim(regexp_replace(name, '\s+', ' ', 'g')), 14)), '') AS name FROM v")
 def clean_name(spark, sf):
-    return literal(spark, NAMES, "id int, name string").select("id", T.clean_name(F.col("name")).alias("name"))
+    return formed(spark, sf, NAMES, "name").select("id", T.clean_name(F.col("name")).alias("name"))
 
 
-GENRES = [(1, "Rock"), (2, "(17)"), (3, "17"), (4, " "), (5, None), (6, "80s Pop")]
+GENRES = ["Rock {n}", "(17)", "17", " ", None, "80s {n} ", "{n}"]
 
 
-@query("clean_genre", f"WITH {values(GENRES, ['id', 'g'])} " + r"SELECT id, CASE WHEN trim(g) <> '' AND NOT regexp_matches(trim(g), '^\(?[0-9]+\)?$') THEN trim(g) END AS genre FROM v")
+@query("clean_genre", f"WITH v AS (SELECT p_partkey AS id, {formed_sql(GENRES)} AS g FROM part) " + r"SELECT id, CASE WHEN trim(g) <> '' AND NOT regexp_matches(trim(g), '^\(?[0-9]+\)?$') THEN trim(g) END AS genre FROM v")
 def clean_genre(spark, sf):
-    return literal(spark, GENRES, "id int, g string").select("id", T.clean_genre(F.col("g")).alias("genre"))
+    return formed(spark, sf, GENRES, "g").select("id", T.clean_genre(F.col("g")).alias("genre"))
 
 
-FILES = [(1, "Artist_-_Some_Title"), (2, "Just a title"), (3, "A - B - C"), (4, " - x")]
+FILES = ["Artist_-_{n}", "Just {n}", "A - {n} - C", " - {n}", "{n} -  B_b"]
 
 
-@query("filename_meta", f"WITH {values(FILES, ['id', 'f'])}, " + r"t AS (SELECT id, trim(regexp_replace(replace(f, '_', ' '), '\s+', ' ', 'g')) AS t FROM v) SELECT id, nullif(trim(regexp_extract(t, '^(.*?) - (.*)$', 1)), '') AS artist, coalesce(nullif(trim(regexp_extract(t, '^(.*?) - (.*)$', 2)), ''), t) AS title FROM t")
+@query("filename_meta", f"WITH v AS (SELECT p_partkey AS id, {formed_sql(FILES)} AS f FROM part), " + r"t AS (SELECT id, trim(regexp_replace(replace(f, '_', ' '), '\s+', ' ', 'g')) AS t FROM v) SELECT id, nullif(trim(regexp_extract(t, '^(.*?) - (.*)$', 1)), '') AS artist, coalesce(nullif(trim(regexp_extract(t, '^(.*?) - (.*)$', 2)), ''), t) AS title FROM t")
 def filename_meta(spark, sf):
     artist, title = T.filename_title(F.col("f"))
-    return literal(spark, FILES, "id int, f string").select("id", artist.alias("artist"), title.alias("title"))
+    return formed(spark, sf, FILES, "f").select("id", artist.alias("artist"), title.alias("title"))
 
 
-MARKS = [(1, "x2", 2), (2, "(3x)", 3), (3, "[x 12]", None), (4, "x1", None), (5, "xx", None), (6, "2 x", None), (7, "chorus x2", None), (8, " { ×4 } ", 4), (9, "[2x)", None), (10, "X99", 8), (11, "x100", None), (12, "[x08]", 8), (13, "((x2))", None)]
+#: Repeat markers, and other texts that look like one; {d} is a number from 0 to 119.
+MARKS = ["x{d}", "({d}x)", "[x {d}]", "xx", "{d} x", "chorus x{d}", " { ×{d} } ", "[{d}x)", "((x{d}))", "[x0{d}]", "X{d}"]
 
 
-@query("repeat_markers", f"WITH {values(MARKS, ['id', 'm', 'times'])} SELECT id, CAST(times AS INTEGER) AS times FROM v")
+@query("repeat_markers", "WITH m AS (SELECT p_partkey AS id, p_partkey % 11 AS form, p_partkey // 11 % 120 AS d FROM part) SELECT id, CASE WHEN (form IN (0, 1, 6, 10) AND d BETWEEN 2 AND 99) OR (form = 9 AND d BETWEEN 2 AND 9) THEN CAST(least(d, 8) AS INTEGER) END AS times FROM m")
 def repeat_markers(spark, sf):
-    return literal(spark, [m[:2] for m in MARKS], "id int, m string").select("id", C.repeat_count(F.col("m")).alias("times"))
+    """How often each marker says to sing a line: from 2 to 99 counts, and 8 is the most."""
+    rows = formed(spark, sf, MARKS, "m")
+    d = (F.floor(F.col("id") / len(MARKS)) % 120).cast("string")
+    return rows.select("id", C.repeat_count(F.replace("m", F.lit("{d}"), d)).alias("times"))
 
 
 @query("repeat_expand", f"WITH {LINES}, {KEPT}, r AS (SELECT doc_id, k, line, CAST(1 + (doc_id + k) % 3 AS BIGINT) AS times FROM kept), d AS (SELECT doc_id, sum(times) AS total, count(*) AS n FROM r GROUP BY 1) SELECT doc_id, CAST(total AS BIGINT) AS lines, CAST(total - n AS BIGINT) AS repeated FROM d")
@@ -225,12 +245,16 @@ def repeat_expand(spark, sf):
     return c.select("doc_id", F.size("lines").cast("long").alias("lines"), F.size(F.filter("lines", lambda x: x["repeated"])).cast("long").alias("repeated"))
 
 
-CHORDS = [(1, "Am", True), (2, "F#m7", True), (3, "C/G", True), (4, "Hello", False), (5, "Gsus4", True), (6, "Do", False), (7, "C7sus4", True), (8, "CM7", True), (9, "Bm7b5", True), (10, "Csus4add", False), (11, "A/", False), (12, "Cb5", True), (13, "H7", False), (14, "Bb", True), (15, "C/Gm", False)]
+#: What stands behind a root, and whether that makes a chord.
+CHORDS = [("m", True), ("#m7", True), ("/G", True), ("ello", False), ("sus4", True), ("o", False), ("7sus4", True), ("M7", True), ("m7b5", True), ("sus4add", False), ("/", False), ("b5", True), ("7", True), ("b", True), ("/Gm", False)]
 
 
-@query("chord_names", f"WITH {values(CHORDS, ['id', 'w', 'chord'])} SELECT id, chord FROM v")
+@query("chord_names", f"SELECT p_partkey AS id, [{', '.join(str(c).upper() for _, c in CHORDS)}][1 + p_partkey % 15] AND substr('ABCDEFGH', CAST(1 + p_partkey // 15 % 8 AS INTEGER), 1) <> 'H' AS chord FROM part")
 def chord_names(spark, sf):
-    return literal(spark, [c[:2] for c in CHORDS], "id int, w string").select("id", C.is_chord(F.col("w")).alias("chord"))
+    """Which words are chords: roots A to G with what may stand behind one."""
+    rows = formed(spark, sf, [c for c, _ in CHORDS], "w")
+    root = F.substr(F.lit("ABCDEFGH"), (F.floor(F.col("id") / 15) % 8 + 1).cast("int"), F.lit(1))
+    return rows.select("id", C.is_chord(F.concat(root, "w")).alias("chord"))
 
 
 SHEETS = [(-1, "Am  F#m7 C/G\nHello [Am] there\n[00:12.00]Timed\nA &amp; B", ["only 10 words: is this the whole song?", "1 chord lines", "1 lines with inline chords", "1 lines with timestamps: this is an LRC file", "HTML left over from a web page"]), (-2, "", ["no lyric words left after cleanup"]), (-3, "Am\nthe [not a chord] line " + "la " * 40, ["1 lines over 100 characters"])]
@@ -246,14 +270,14 @@ def lyrics_check(spark, sf):
     return rows.join(c, "id").select("id", F.array_join(C.problems(F.col("text"), F.col("n")), "|").alias("warnings"))
 
 
-LRC = [(1, "[00:12.00]<00:12.50>Hello <00:13.00>you"), (2, "[ti:Song]"), (3, "[Chorus]"), (4, "[01:02.3][01:05.3]Twice"), (5, "I <3 you")]
+LRC = ["[00:12.00]<00:12.50>Hello <00:13.00>{n}", "[ti:{n}]", "[{n}]", "[01:02.3][01:05.3]{n}", "I <3 {n}"]
 
 
-@query("lrc_strip", f"WITH {values(LRC, ['id', 'l'])} " + r"SELECT id, trim(regexp_replace(regexp_replace(l, '(\[|<)[0-9]{1,3}:[0-9]{2}(\.[0-9]{1,3})?(\]|>)', '', 'g'), '^\[(ti|ar|al|by|offset|length|re|ve|au):.*\]$', '')) AS line FROM v")
+@query("lrc_strip", f"WITH v AS (SELECT p_partkey AS id, {formed_sql(LRC)} AS l FROM part) " + r"SELECT id, trim(regexp_replace(regexp_replace(l, '(\[|<)[0-9]{1,3}:[0-9]{2}(\.[0-9]{1,3})?(\]|>)', '', 'g'), '^\[(ti|ar|al|by|offset|length|re|ve|au):.*\]$', '')) AS line FROM v")
 def lrc_strip(spark, sf):
     from canticle.sources.lrc import strip_tags
 
-    return literal(spark, LRC, "id int, l string").select("id", strip_tags(F.col("l")).alias("line"))
+    return formed(spark, sf, LRC, "l").select("id", strip_tags(F.col("l")).alias("line"))
 
 
 @query("union_dedup", "WITH u AS (SELECT url, page_id, 0 AS s FROM pages UNION ALL SELECT upper(url), page_id, 1 FROM pages WHERE page_id % 2 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY lower(url) ORDER BY s, page_id) AS rn FROM u) SELECT url, page_id FROM r WHERE rn = 1")
@@ -303,11 +327,15 @@ def common_folder(spark, sf):
     return T.common_folder(one.unionByName(two).unionByName(three), "brand")
 
 
-US = [(1, "#TITLE: A song \n#BPM:300\n#bpm:20\n: 0 1 0 la", "A song", "300", None), (2, "#ARTIST:\n#ARTIST:Bob\n#TITLE:x:y\n", "x:y", None, None), (3, "no headers\n#TITLE:late", None, None, None), (4, "\ufeff#title:folded\n\n# GENRE : pop \nE\n#BPM:1", "folded", None, "pop")]
+#: Song files, with the title, tempo and genre that they give.
+US = [
+    ("#TITLE: A {n} \n#BPM:300\n#bpm:20\n: 0 1 0 la", "A {n}", "300", None), ("#ARTIST:\n#ARTIST:Bob\n#TITLE:{n}:y\n", "{n}:y", None, None), ("no headers\n#TITLE:{n}", None, None, None),
+    ("\ufeff#title:{n}\n\n# GENRE : pop {n} \nE\n#BPM:1", "{n}", None, "pop {n}"),
+]
 
 
-@query("header_lookup", "WITH " + values([(i, *r) for i, _, *r in US], ["id", "title", "bpm", "genre"]) + " SELECT id, title, bpm, genre FROM v")
+@query("header_lookup", "SELECT p_partkey AS id, " + ", ".join(f"{formed_sql([u[i] for u in US])} AS {c}" for i, c in ((1, "title"), (2, "bpm"), (3, "genre"))) + " FROM part")
 def header_lookup(spark, sf):
     """Headers of a song file: the first of a name counts, blank values and what stands behind the notes do not."""
-    rows = literal(spark, [u[:2] for u in US], "id int, text string").withColumn("h", T.headers(F.col("text")))
+    rows = formed(spark, sf, [u[0] for u in US], "text").withColumn("h", T.headers(F.col("text")))
     return rows.select("id", *(T.header(F.col("h"), k).alias(k.lower()) for k in ("TITLE", "BPM", "GENRE")))

@@ -45,13 +45,16 @@ def job_lyrics(spark, sf):
     return R.last_lyrics(p.select("folder"), job_manifests(spark, sf), texts)
 
 
+#: A suite's files, and which of them belong together.
 SUITE = ["s/a.mp3", "s/a.txt", "s/a.ultrastar.txt", "s/a.lyrics.txt", "s/b.flac", "s/b.txt", "s/c.WAV", "s/c.lyrics.txt", "s/d.txt", "t/d.ogg", "s/E.m4a", "s/e.UltraStar.txt"]
+BESIDE = "(VALUES ('s/a.mp3', 's/a.ultrastar.txt', 's/a.lyrics.txt'), ('s/b.flac', 's/b.txt', NULL), ('s/c.WAV', NULL, 's/c.lyrics.txt'), ('t/d.ogg', NULL, NULL), ('s/E.m4a', 's/e.UltraStar.txt', NULL)) AS v(audio, reference, lyrics)"
 
 
-@query("suite_pairs", "SELECT * FROM (VALUES ('s/a.mp3', 's/a.ultrastar.txt', 's/a.lyrics.txt'), ('s/b.flac', 's/b.txt', NULL), ('s/c.WAV', NULL, 's/c.lyrics.txt'), ('t/d.ogg', NULL, NULL), ('s/E.m4a', 's/e.UltraStar.txt', NULL)) AS v(audio, reference, lyrics)")
+@query("suite_pairs", f"SELECT s_suppkey || '/' || audio AS audio, s_suppkey || '/' || reference AS reference, s_suppkey || '/' || lyrics AS lyrics FROM supplier, {BESIDE}")
 def suite_pairs(spark, sf):
-    """Songs of an accuracy suite with their references; literal rows."""
-    return R.suite(spark.createDataFrame([(x,) for x in SUITE], "path string"))
+    """Songs of an accuracy suite a supplier, with their references."""
+    paths = table(spark, sf, "supplier").select(F.explode(F.array(*map(F.lit, SUITE))).alias("path"), F.col("s_suppkey").cast("string").alias("k"))
+    return R.suite(paths.select(F.concat("k", F.lit("/"), "path").alias("path")))
 
 
 TEXT = r'{"audio":"D:\\Old Songs\\{n}\\a.mp3","dir":"d:/old songs/{n}","root":"D:\\OLD SONGS","other":"D:\\Old Songs 2\\x","note":"see D:/Old Songs/"}'

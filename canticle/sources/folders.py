@@ -25,6 +25,22 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length")
 
 
+def listed(spark: SparkSession, root: str) -> DataFrame:
+    """path and length of all files below a folder; no file is opened."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+
+
+def with_contents(spark: SparkSession, root: str, lyrics: DataFrame) -> DataFrame:
+    """Lyric files of a scan with their contents; only files with an extension of lyrics are opened."""
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[tT][xX][tT],[lL][rR][cC]}").load(root)
+    return lyrics.join(texts.select("path", "content"), "path")
+
+
+def root_of(found: DataFrame) -> str:
+    """The root of a scan, spelled as its paths are."""
+    return found._root
+
+
 def parts(path: Column) -> tuple[Column, Column, Column]:
     """Folder, name and stem, and the extension last, of a path with either separator; the latter three folded."""
     flat = F.replace(path, F.lit("\\"), F.lit("/"))
@@ -36,6 +52,13 @@ def extension(name: Column) -> Column:
     return F.regexp_extract(name, r".\.([^.]*)$", 1)
 
 
+def spelled(found: DataFrame, root: str) -> str:
+    """A root as Spark's own listing spells it, with a scheme, where the paths have one."""
+    first = found.select("path").first()
+    scheme = "" if first is None or not (at := first["path"].find(root.removeprefix("file://").removeprefix("file:"))) > 0 else first["path"][:at]
+    return scheme + root.removeprefix("file://").removeprefix("file:") if scheme else root
+
+
 def scan(found: DataFrame, root: str) -> DataFrame:
     """The song and lyric files (path, folder, name, stem, kind, ...) below a root; each path once, whatever its case.
 
@@ -43,6 +66,7 @@ def scan(found: DataFrame, root: str) -> DataFrame:
     hold a manifest, and all below them), and names that are never lyrics.  kind is audio or lyrics.
     """
     folder, name, stem = parts(F.col("path"))
+    root = spelled(found, root)
     rows = found.withColumn("folder", folder).withColumn("name", name).withColumn("stem", stem)
     below = F.regexp_replace(F.substring(F.col("folder"), len(root.rstrip("/")) + 1, 1 << 20), "^/", "")
     steps = F.filter(F.split(below, "/"), lambda x: x != "")
@@ -50,15 +74,17 @@ def scan(found: DataFrame, root: str) -> DataFrame:
     # A folder with a manifest and all folders below it: every folder of a path is looked up.
     jobs = rows.where(F.col("name") == MANIFEST).select(F.lower("folder").alias("_job")).distinct()
     above = F.transform(F.sequence(F.lit(0), F.size("steps")), lambda k: F.lower(F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(F.slice("steps", F.lit(1), k), "/"))))
-    rows = rows.withColumn("_up", F.explode(F.transform(above, lambda x: F.regexp_replace(x, "/$", ""))))
-    inside = rows.join(jobs, F.col("_up") == F.col("_job"), "left_semi").select(F.lower("path").alias("_key")).distinct()
-    rows = rows.drop("_up", "steps").dropDuplicates(["path"]).withColumn("_key", F.lower("path")).join(inside, "_key", "left_anti")
+    ups = rows.select("path", F.explode(F.transform(above, lambda x: F.regexp_replace(x, "/$", ""))).alias("_up"))
+    inside = ups.join(jobs, F.col("_up") == F.col("_job"), "left_semi").select(F.lower("path").alias("_key")).distinct()
+    rows = rows.drop("steps").withColumn("_key", F.lower("path")).join(inside, "_key", "left_anti")
     ext = extension(F.col("name"))
     lyrics = ext.isin("txt", "lrc") & ~F.col("stem").isin(*NOT_LYRICS)
     rows = rows.withColumn("kind", F.when(ext.isin(*AUDIO, *UNSUPPORTED), "audio").when(lyrics, "lyrics")).where("kind is not null")
     first = rows.groupBy("_key").agg(F.min("path").alias("path"))
     out = rows.join(first.select("path"), "path", "left_semi").withColumn("playable", ~ext.isin(*UNSUPPORTED)).drop("_key")
-    return Scratch(found.sparkSession, "folders").table(out, "scan")
+    out = Scratch(found.sparkSession, "folders").table(out, "scan")
+    out._root = root.rstrip("/")
+    return out
 
 
 def inspect(lyrics: DataFrame) -> DataFrame:

@@ -336,6 +336,27 @@ def stored(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("key").agg(F.max_by("content", F.struct("version", "content")).alias("content"), F.max("version").alias("version"))
 
 
+def write_files(rows: DataFrame, folder: str) -> None:
+    """Writes rows (path below the folder, content) as files, each whole, from the tasks that have them."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        system, root = opened(folder)
+        made = set()
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                name = f"{root}/{path}"
+                above = name.rsplit("/", 1)[0]
+                if above not in made:
+                    system.create_dir(above)
+                    made.add(above)
+                with system.open_output_stream(name) as f:
+                    f.write(content or b"")
+        yield from ()
+
+    rows.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
 # What goes into a store
 
 
