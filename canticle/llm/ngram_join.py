@@ -30,7 +30,7 @@ from canticle.llm.storage import Scratch
 #: Words of a shingle, and the least Jaccard similarity of a link in hundredths.
 WORDS, SIMILARITY = 3, 90
 #: One in so many shingles (by hash) is counted over all documents and comes first in the order.
-SHARE = 4
+SHARE = 8
 #: Sets of a tile, and shingles of a membership matrix.
 TILE, COLUMNS = 256, 2048
 SETS = "row long, n_shingles long, k1 long, k2 long, n_counted int, tokens array<long>, rest array<long>"
@@ -189,9 +189,10 @@ def _postings(scratch: Scratch, heads: DataFrame, similarity: int) -> DataFrame:
     The order of shingles: the counted ones by number of sets, then hash; the others by hash.  A shingle of
     one set only meets nothing, but holds its place in the prefix.
     """
-    counted = heads.select("id", "n", "n_counted", F.explode("tokens").alias("token"))
+    sizes = F.shiftleft("n", 32).bitwiseOR(F.col("n_counted").cast("long"))  # one column to carry
+    counted = heads.select("id", sizes.alias("sizes"), F.explode("tokens").alias("token"))
     df = counted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = counted.join(df, "token").groupBy("id", "n", "n_counted").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = counted.join(df, "token").groupBy("id", F.shiftright("sizes", 32).alias("n"), F.col("sizes").cast("int").alias("n_counted")).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     single = F.col("n_counted") - F.size("shared")
     kept = F.slice("shared", F.lit(1), F.greatest(prefix_length_column(similarity) - single, F.lit(0)).cast("int"))
     lead = shared.select("id", "n", single.alias("single"), F.posexplode(kept).alias("at", "s"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canticle.functions import names as N
@@ -13,39 +13,59 @@ SLACK_S, SLACK_SHARE = 20.0, 0.25
 SAME_S, BAND_S = 3.0, 10.0
 
 
-def matches(songs: DataFrame, records: DataFrame) -> DataFrame:
-    """Each song with the records whose titles match, narrowed to its artist's where there are any.
+def phrases(name: Column) -> Column:
+    """The runs of whole words of a normalized name, itself among them."""
+    words = F.split(name, " ")
+    n = F.size(words)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " ")))))
 
-    songs: song, title, artist, duration; records: record (its place among the hits), track, band, album, length,
-    lines, synced.  Titles meet by an equi-join on their keys; records without lyrics take no part.
+
+def artists_linked(songs: DataFrame, records: DataFrame) -> DataFrame:
+    """key, want and got of each two artists of one title key of which one is a run of whole words of the other.
+
+    Runs of words meet by equi-joins, so a title that many artists share costs what they are, not their pairs.
     """
-    s = songs.withColumn("key", F.explode(N.title_keys(N.normalize_title(F.col("title"))))).withColumn("want", N.normalize_title(F.coalesce("artist", F.lit(""))))
-    r = records.where(F.coalesce("lines", F.lit(0)) > 0).withColumn("key", F.explode(N.title_keys(N.normalize_title(F.col("track"))))).withColumn("got", N.normalize_title(F.coalesce("band", F.lit(""))))
-    pairs = s.join(r, "key").drop("key").dropDuplicates(["song", "record"])
-    pairs = pairs.withColumn("by_artist", N.artists_match(F.col("want"), F.col("got")))
-    some = F.max("by_artist").over(Window.partitionBy("song"))
-    return pairs.withColumn("_some", some).where((F.col("want") == "") | F.col("by_artist") | ~F.col("_some")).drop("_some")
+    s, r = songs.select("key", "want").where("want != ''").distinct(), records.select("key", "got").where("got != ''").distinct()
+    inside = s.join(r.withColumn("want", F.explode(phrases(F.col("got")))), ["key", "want"])
+    around = s.withColumn("got", F.explode(phrases(F.col("want")))).join(r, ["key", "got"])
+    return inside.select("key", "want", "got").unionByName(around.select("key", "want", "got")).distinct()
 
 
-def off_live(title: Column, track: Column, album: Column) -> Column:
-    """Whether a record is a live one and the song is not."""
-    return ~N.is_live(title) & (N.is_live(track) | F.coalesce(N.is_live(album), F.lit(False)))
+def live_record(track: Column, album: Column) -> Column:
+    """Whether a record is a live one, by its title or its album's."""
+    return N.is_live(track) | F.coalesce(N.is_live(album), F.lit(False))
 
 
-def pick_best(pairs: DataFrame) -> DataFrame:
-    """song and record: the best match of each song.
+def best_records(songs: DataFrame, records: DataFrame) -> DataFrame:
+    """song and record: the best record of each song, of those with its title, and of its artist's where there are any.
 
-    With a duration: studio before live, the nearer band, more lyric lines, synced, the smallest offset, the first
-    hit; records without a length or out of the slack are out.  Without: the first synced studio record, else the
-    first studio one, else the first.
+    songs: song, title, artist, duration; records: record (its place among the hits), track, band, album, length,
+    lines, synced.  Titles meet by an equi-join on their keys; records without lyrics take no part.  With a duration:
+    studio before live, the nearer band, more lyric lines, synced, the smallest offset, the first hit; records without
+    a length or out of the slack are out.  Without: the first synced studio record, else the first studio one, else
+    the first.
+
+    Records of one title, artist, kind and length differ only in what a song has no say in, so the best of them stands
+    for all before songs come in: for an artist's songs by artist, for others by length alone.
     """
-    live = off_live(F.col("title"), F.col("track"), F.col("album"))
+    s = songs.select("song", "duration", N.is_live(F.col("title")).alias("own_live"), F.explode(N.title_keys(N.normalize_title(F.col("title")))).alias("key"), N.normalize_title(F.coalesce("artist", F.lit(""))).alias("want"))
+    r = records.where(F.coalesce("lines", F.lit(0)) > 0)
+    r = r.select("record", "length", "lines", "synced", live_record(F.col("track"), F.col("album")).alias("live"), F.explode(N.title_keys(N.normalize_title(F.col("track")))).alias("key"), N.normalize_title(F.coalesce("band", F.lit(""))).alias("got"))
+    timed, blind = F.struct((-F.col("lines")).cast("int").alias("c"), (~F.col("synced")).alias("d"), "record"), F.struct((~F.col("synced")).alias("d"), "record")
+    by_artist = r.groupBy("key", "got", "live", "length").agg(F.min(timed).alias("timed"), F.min(blind).alias("blind"), F.min("record").alias("first"))
+    by_title = by_artist.groupBy("key", "live", "length").agg(F.min("timed").alias("timed"), F.min("blind").alias("blind"), F.min("first").alias("first"))
+    links = artists_linked(s, by_artist)
+    linked = s.join(links, ["key", "want"])
+    others = s.join(linked.select("song").distinct(), "song", "left_anti")
+    near = linked.join(by_artist, ["key", "got"]).drop("got").unionByName(others.join(by_title, "key"))
+
+    live = F.col("live") & ~F.col("own_live")
     off = F.abs(F.col("length") - F.col("duration"))
-    timed = F.coalesce(F.col("duration") > 0, F.lit(False))
+    known = F.coalesce(F.col("duration") > 0, F.lit(False))
     fits = off <= F.greatest(F.lit(SLACK_S), F.col("duration") * SLACK_SHARE)
     band = F.when(off <= SAME_S, F.lit(-1)).otherwise(F.floor(off / BAND_S).cast("int"))
-    by_length = F.struct(live.alias("a"), band.alias("b"), (-F.col("lines")).cast("int").alias("c"), (~F.col("synced")).alias("d"), off.alias("e"))
-    rank = F.when(live, 2).when(F.col("synced"), 0).otherwise(1)
-    blind = F.struct(F.lit(False).alias("a"), rank.alias("b"), F.lit(0).alias("c"), F.lit(False).alias("d"), F.lit(0.0).alias("e"))
-    rows = pairs.where(~timed | F.coalesce(fits, F.lit(False)))
-    return rows.groupBy("song").agg(F.min_by("record", F.struct(F.when(timed, by_length).otherwise(blind), F.col("record"))).alias("record"))
+    by_length = F.struct(live.alias("a"), band.alias("b"), F.col("timed.c").alias("c"), F.col("timed.d").alias("d"), off.alias("e"), F.col("timed.record").alias("record"))
+    rank = F.when(live, 2).when(F.col("blind.d"), 1).otherwise(0)
+    unknown = F.struct(F.lit(False).alias("a"), rank.alias("b"), F.lit(0).alias("c"), F.lit(False).alias("d"), F.lit(0.0).alias("e"), F.when(live, F.col("first")).otherwise(F.col("blind.record")).alias("record"))
+    rows = near.where(~known | F.coalesce(fits, F.lit(False)))
+    return rows.groupBy("song").agg(F.min(F.when(known, by_length).otherwise(unknown))["record"].alias("record"))

@@ -89,14 +89,14 @@ def pick_best(spark, sf):
     """The best record of every song: title and artist, then studio, band of length, lines, synced, nearest."""
     r = records(spark, sf)
     songs = r.select(F.col("record").alias("song"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), "duration")
-    return M.pick_best(M.matches(songs, r.drop("p_name", "p_brand", "duration")))
+    return M.best_records(songs, r.drop("p_name", "p_brand", "duration"))
 
 
 @query("pick_best_nodur", PICK.replace("{duration}", "NULL::DOUBLE") + ", d AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY CASE WHEN live THEN 2 WHEN synced THEN 0 ELSE 1 END, record) AS rn FROM c) SELECT song, record FROM d WHERE rn = 1")
 def pick_best_nodur(spark, sf):
     r = records(spark, sf)
     songs = r.select(F.col("record").alias("song"), F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.lit(None).cast("double").alias("duration"))
-    return M.pick_best(M.matches(songs, r.drop("p_name", "p_brand", "duration")))
+    return M.best_records(songs, r.drop("p_name", "p_brand", "duration"))
 
 
 VIDEO = [" (Official Video)", " [Lyrics]", " (Acoustic)", " | Channel", " [HD] (4K)", " (Live Performance at home)", " [Session 3]"]
