@@ -23,7 +23,19 @@ OTHER = r"[^\p{L}\p{N}/"
 
 
 def outside_brackets(c: Column) -> Column:
-    """A text without its brackets and what is in them, however deep; an open bracket swallows the rest."""
+    """A text without its brackets and what is in them, however deep; an open bracket swallows the rest.
+
+    Three rounds take out pairs without brackets in them; what is nested deeper goes character by character.
+    """
+    flat = c
+    for _ in range(3):
+        flat = F.regexp_replace(flat, r"[(\[{][^()\[\]{}]*[)\]}]", "")
+    rest = F.regexp_replace(F.regexp_replace(flat, r"(?s)[(\[{].*$", ""), r"[)\]}]", "")
+    return F.when(flat.rlike(r"(?s)[(\[{].*[)\]}]"), folded_brackets(c)).otherwise(rest)
+
+
+def folded_brackets(c: Column) -> Column:
+    """The same by one pass over the characters."""
     zero = F.struct(F.lit(0).alias("depth"), F.lit("").alias("out"))
 
     def step(s, x):

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from canticle.functions import names as N
+from canticle.storage import Scratch
 
 #: A record may be off by so many seconds or by this share of the song, whichever is more.
 SLACK_S, SLACK_SHARE = 20.0, 0.25
 #: Offsets up to this are the same recording; larger ones compare in bands of ten seconds.
 SAME_S, BAND_S = 3.0, 10.0
+#: An exact hit's length is off by so much at most.
+EXACT_S = 2.0
 
 
 def phrases(name: Column) -> Column:
@@ -36,6 +41,19 @@ def live_record(track: Column, album: Column) -> Column:
     return N.is_live(track) | F.coalesce(N.is_live(album), F.lit(False))
 
 
+def asked(songs: DataFrame, title: Column, artist: Column, keys: Column) -> DataFrame:
+    """What a search asks for each song: song, duration, own_live, key (one of keys, a row each) and want."""
+    want = N.normalize_title(F.coalesce(artist, F.lit("")))
+    return songs.select("song", "duration", N.is_live(title).alias("own_live"), F.explode(keys).alias("key"), want.alias("want"))
+
+
+def known(records: DataFrame) -> DataFrame:
+    """Records with lyrics, by the keys of their titles: record, length, lines, synced, live, key and got."""
+    r = records.where(F.coalesce("lines", F.lit(0)) > 0)
+    live = live_record(F.col("track"), F.col("album"))
+    return r.select("record", "length", "lines", "synced", live.alias("live"), F.explode(N.title_keys(N.normalize_title(F.col("track")))).alias("key"), N.normalize_title(F.coalesce("band", F.lit(""))).alias("got"))
+
+
 def best_records(songs: DataFrame, records: DataFrame) -> DataFrame:
     """song and record: the best record of each song, of those with its title, and of its artist's where there are any.
 
@@ -48,24 +66,76 @@ def best_records(songs: DataFrame, records: DataFrame) -> DataFrame:
     Records of one title, artist, kind and length differ only in what a song has no say in, so the best of them stands
     for all before songs come in: for an artist's songs by artist, for others by length alone.
     """
-    s = songs.select("song", "duration", N.is_live(F.col("title")).alias("own_live"), F.explode(N.title_keys(N.normalize_title(F.col("title")))).alias("key"), N.normalize_title(F.coalesce("artist", F.lit(""))).alias("want"))
-    r = records.where(F.coalesce("lines", F.lit(0)) > 0)
-    r = r.select("record", "length", "lines", "synced", live_record(F.col("track"), F.col("album")).alias("live"), F.explode(N.title_keys(N.normalize_title(F.col("track")))).alias("key"), N.normalize_title(F.coalesce("band", F.lit(""))).alias("got"))
+    keys = N.title_keys(N.normalize_title(F.col("title")))
+    scratch = Scratch(songs.sparkSession, "best-records")  # each side is read several times
+    return chosen(scratch.table(asked(songs, F.col("title"), F.col("artist"), keys), "songs"), scratch.table(known(records), "records"))
+
+
+def chosen(s: DataFrame, r: DataFrame, only_artist: bool = False) -> DataFrame:
+    """song and record for what is asked and known; with only_artist, songs without a record of their artist have none."""
     timed, blind = F.struct((-F.col("lines")).cast("int").alias("c"), (~F.col("synced")).alias("d"), "record"), F.struct((~F.col("synced")).alias("d"), "record")
     by_artist = r.groupBy("key", "got", "live", "length").agg(F.min(timed).alias("timed"), F.min(blind).alias("blind"), F.min("record").alias("first"))
     by_title = by_artist.groupBy("key", "live", "length").agg(F.min("timed").alias("timed"), F.min("blind").alias("blind"), F.min("first").alias("first"))
     links = artists_linked(s, by_artist)
     linked = s.join(links, ["key", "want"])
-    others = s.join(linked.select("song").distinct(), "song", "left_anti")
-    near = linked.join(by_artist, ["key", "got"]).drop("got").unionByName(others.join(by_title, "key"))
+    near = linked.join(by_artist, ["key", "got"]).drop("got")
+    if not only_artist:
+        others = s.join(linked.select("song").distinct(), "song", "left_anti")
+        near = near.unionByName(others.join(by_title, "key"))
 
     live = F.col("live") & ~F.col("own_live")
     off = F.abs(F.col("length") - F.col("duration"))
-    known = F.coalesce(F.col("duration") > 0, F.lit(False))
+    has_length = F.coalesce(F.col("duration") > 0, F.lit(False))
     fits = off <= F.greatest(F.lit(SLACK_S), F.col("duration") * SLACK_SHARE)
     band = F.when(off <= SAME_S, F.lit(-1)).otherwise(F.floor(off / BAND_S).cast("int"))
     by_length = F.struct(live.alias("a"), band.alias("b"), F.col("timed.c").alias("c"), F.col("timed.d").alias("d"), off.alias("e"), F.col("timed.record").alias("record"))
     rank = F.when(live, 2).when(F.col("blind.d"), 1).otherwise(0)
     unknown = F.struct(F.lit(False).alias("a"), rank.alias("b"), F.lit(0).alias("c"), F.lit(False).alias("d"), F.lit(0.0).alias("e"), F.when(live, F.col("first")).otherwise(F.col("blind.record")).alias("record"))
-    rows = near.where(~known | F.coalesce(fits, F.lit(False)))
-    return rows.groupBy("song").agg(F.min(F.when(known, by_length).otherwise(unknown))["record"].alias("record"))
+    rows = near.where(~has_length | F.coalesce(fits, F.lit(False)))
+    return rows.groupBy("song").agg(F.min(F.when(has_length, by_length).otherwise(unknown))["record"].alias("record"))
+
+
+#: The searches of a look-up in order; each is for songs that all before it left open.
+STAGES = ("exact", "title and artist", "title", "bare title and artist", "bare title", "swapped")
+
+
+def look_up(songs: DataFrame, records: DataFrame) -> DataFrame:
+    """song, record and stage: the best record of each song, by the first search that finds one.
+
+    Exact: the same title and artist, whatever the case, and a length that is off by two seconds at most where both
+    are known.  Then by all words of the title, of the artist's records and of anybody's, and the same without version
+    words; last with artist and title in each other's place.  Songs without a title are not looked up.  What a stage
+    finds is written, and the next one reads the songs that are left, so most songs meet the narrow searches only.
+    """
+    scratch = Scratch(songs.sparkSession, "look-up")
+    text = lambda c: F.nullif(F.trim(c), F.lit(""))
+    left = scratch.table(songs.select("song", text("title").alias("title"), text("artist").alias("artist"), "duration").where("title is not null"), "songs")
+    kept = scratch.table(known(records), "records")
+    title, artist = F.col("title"), F.col("artist")
+    whole, other = N.normalize_title(title), N.normalize_title(artist)
+    bare = N.strip_version(whole)
+    # All words of what is asked for: a record of this very title, or of this one and version words.
+    squeezed = lambda c: F.when(c != "", F.array(*(F.concat(F.lit(kind), N.squash(c)) for kind in ("whole ", "bare "))))
+    named, tagged = F.coalesce(other != "", F.lit(False)), bare != whole
+
+    def exact(s: DataFrame) -> DataFrame:
+        r = records.where(F.coalesce("lines", F.lit(0)) > 0).select("record", "length", F.lower(F.trim("track")).alias("_title"), F.lower(F.trim("band")).alias("_artist"))
+        near = F.coalesce(F.abs(F.col("length") - F.col("duration")) <= EXACT_S, F.lit(True))
+        same = s.select("song", "duration", F.lower("title").alias("_title"), F.lower("artist").alias("_artist")).join(r, ["_title", "_artist"]).where(near)
+        return same.groupBy("song").agg(F.min("record").alias("record"))
+
+    searches = (
+        exact,
+        lambda s: chosen(asked(s.where(named), title, artist, squeezed(whole)), kept, True),
+        lambda s: chosen(asked(s, title, artist, squeezed(whole)), kept),
+        lambda s: chosen(asked(s.where(named & tagged), title, artist, squeezed(bare)), kept, True),
+        lambda s: chosen(asked(s.where(tagged), title, artist, squeezed(bare)), kept),
+        lambda s: chosen(asked(s.where(named), artist, title, squeezed(other)), kept, True),
+    )
+    found = []
+    for number, (stage, search) in enumerate(zip(STAGES, searches, strict=True), 1):
+        hits = scratch.table(search(left).withColumn("stage", F.lit(stage)), f"found-{number}")
+        found.append(hits)
+        if number < len(STAGES):
+            left = scratch.table(left.join(hits.select("song"), "song", "left_anti"), f"left-{number}")
+    return functools.reduce(DataFrame.unionByName, found)

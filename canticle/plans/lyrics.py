@@ -224,7 +224,7 @@ def filename_meta(spark, sf):
 MARKS = ["x{d}", "({d}x)", "[x {d}]", "xx", "{d} x", "chorus x{d}", " { ×{d} } ", "[{d}x)", "((x{d}))", "[x0{d}]", "X{d}"]
 
 
-@query("repeat_markers", "WITH m AS (SELECT p_partkey AS id, p_partkey % 11 AS form, p_partkey // 11 % 120 AS d FROM part) SELECT id, CASE WHEN (form IN (0, 1, 6, 10) AND d BETWEEN 2 AND 99) OR (form = 9 AND d BETWEEN 2 AND 9) THEN CAST(least(d, 8) AS INTEGER) END AS times FROM m")
+@query("repeat_markers", "WITH m AS (SELECT p_partkey AS id, p_partkey % 11 AS form, p_partkey // 11 % 120 AS d FROM part) SELECT id, CASE WHEN form IN (0, 1, 6, 9, 10) AND d BETWEEN 2 AND 99 THEN CAST(least(d, 8) AS INTEGER) END AS times FROM m")
 def repeat_markers(spark, sf):
     """How often each marker says to sing a line: from 2 to 99 counts, and 8 is the most."""
     rows = formed(spark, sf, MARKS, "m")

@@ -99,6 +99,46 @@ def pick_best_nodur(spark, sf):
     return M.best_records(songs, r.drop("p_name", "p_brand", "duration"))
 
 
+#: How a look-up asks for a part's record, by p_partkey modulo six: title, artist and length in SQL.
+ASKED = [
+    ("track", "band", "length"), ("p_name", "p_brand", "duration"), ("p_name", "'Nobody'", "NULL"), ("p_name || ' Acoustic Version Demo'", "p_brand", "duration"), ("p_name || ' Remastered 2011'", "NULL", "NULL"), ("p_brand", "p_name", "duration"),
+]
+
+
+def look_up_sql() -> str:
+    """The stages one behind the other; keys of titles by the same recursion as the records'."""
+    case = lambda i: "CASE record % 6 " + " ".join(f"WHEN {k} THEN {f[i]}" for k, f in enumerate(ASKED)) + " END"
+    views = f"""{RECS}, q AS (SELECT record AS song, CASE WHEN record % 37 = 0 THEN ' ' ELSE {case(0)} END AS title, {case(1)} AS artist, CAST({case(2)} AS DOUBLE) AS duration FROM recs),
+ allt AS (SELECT record AS id, track AS t FROM recs UNION ALL SELECT -song - 1, title FROM q UNION ALL SELECT 1000000000 + song, coalesce(artist, '') FROM q)"""
+    keys = STRIP.format(views=views, key="id", norm=norm_sql("t"), source="allt") + """, k AS (SELECT id, array_to_string(arg_max(w, len(w)), ' ') AS norm, replace(array_to_string(arg_max(w, len(w)), ' '), ' ', '') AS whole, replace(array_to_string(arg_min(w, len(w)), ' '), ' ', '') AS bare FROM s GROUP BY id),
+ r AS (SELECT recs.record, track, album, length, lines, synced, lower(trim(track)) AS lt, lower(trim(band)) AS lb, k.whole, k.bare, """ + norm_sql("coalesce(band, '')") + f""" AS got, {LIVE.format(c='track')} OR {LIVE.format(c='album')} AS live FROM recs JOIN k ON k.id = record WHERE lines > 0),
+ a AS (SELECT q.song, q.title, q.artist, q.duration, t.norm AS tn, t.whole AS tw, t.bare AS tb, coalesce(n.norm, '') AS an, coalesce(n.whole, '') AS aw, {LIVE.format(c='q.title')} AS tl, coalesce({LIVE.format(c='q.artist')}, FALSE) AS al
+  FROM q JOIN k t ON t.id = -q.song - 1 JOIN k n ON n.id = 1000000000 + q.song WHERE trim(q.title) <> ''),
+ f1 AS (SELECT song, min(record) AS record, 'exact' AS stage FROM a JOIN r ON r.lt = lower(trim(a.title)) AND r.lb = lower(trim(a.artist)) WHERE coalesce(abs(length - duration) <= 2, TRUE) GROUP BY song)"""
+
+    def stage(n: int, name: str, key: str, want: str, live: str, where: str, only: bool) -> str:
+        seen = " UNION ALL ".join(f"SELECT song FROM f{i}" for i in range(1, n))
+        return f""",
+ m{n} AS (SELECT a.song, a.duration, r.*, r.live AND NOT a.{live} AS far, abs(r.length - a.duration) AS off, a.{want} AS want, a.{want} <> '' AND r.got <> '' AND (contains(' ' || r.got || ' ', ' ' || a.{want} || ' ') OR contains(' ' || a.{want} || ' ', ' ' || r.got || ' ')) AS same
+  FROM a JOIN r ON a.{key} <> '' AND a.{key} IN (r.whole, r.bare) WHERE {where} AND a.song NOT IN ({seen})),
+ n{n} AS (SELECT *, max(same) OVER (PARTITION BY song) AS anyone FROM m{n}),
+ f{n} AS (SELECT song, record, '{name}' AS stage FROM (SELECT *, row_number() OVER (PARTITION BY song ORDER BY CASE WHEN duration > 0 THEN far END, CASE WHEN duration > 0 THEN CASE WHEN off <= 3 THEN -1 ELSE floor(off / 10) END END, CASE WHEN duration > 0 THEN -lines END, CASE WHEN duration > 0 THEN NOT synced END, CASE WHEN duration > 0 THEN off END,
+  CASE WHEN far THEN 2 WHEN synced THEN 0 ELSE 1 END, record) AS rn FROM n{n} WHERE (same OR NOT (anyone OR {only})) AND (coalesce(duration, 0) <= 0 OR off <= greatest(20, duration * 0.25))) WHERE rn = 1)"""
+
+    rest = [("title and artist", "tw", "an", "tl", "a.an <> ''", True), ("title", "tw", "an", "tl", "TRUE", False), ("bare title and artist", "tb", "an", "tl", "a.an <> '' AND a.tb <> a.tw", True), ("bare title", "tb", "an", "tl", "a.tb <> a.tw", False), ("swapped", "aw", "tn", "al", "a.an <> ''", True)]
+    return keys + "".join(stage(n, *x) for n, x in enumerate(rest, 2)) + " " + " UNION ALL ".join(f"SELECT * FROM f{n}" for n in range(1, 7))
+
+
+@query("look_up", look_up_sql())
+def look_up(spark, sf):
+    """Each part looked up in the catalogue by what is known of it, stage by stage."""
+    r = records(spark, sf).withColumn("nothing", F.lit(None).cast("string"))
+    pick = lambda i: F.coalesce(*(F.when(F.col("record") % 6 == k, F.expr(f[i])) for k, f in enumerate(ASKED)))
+    title = F.when(F.col("record") % 37 == 0, " ").otherwise(pick(0))
+    songs = r.select(F.col("record").alias("song"), title.alias("title"), pick(1).alias("artist"), pick(2).cast("double").alias("duration"))
+    return M.look_up(songs, r.drop("p_name", "p_brand", "duration", "nothing"))
+
+
 VIDEO = [" (Official Video)", " [Lyrics]", " (Acoustic)", " | Channel", " [HD] (4K)", " (Live Performance at home)", " [Session 3]"]
 
 
