@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from canticle.llm import kernels as K
 from canticle.llm.graph import connected_components
@@ -30,9 +31,11 @@ from canticle.llm.storage import Scratch
 #: Words of a shingle, and the least Jaccard similarity of a link in hundredths.
 WORDS, SIMILARITY = 3, 90
 #: One in so many shingles (by hash) is counted over all documents and comes first in the order.
-SHARE = 8
+SHARE = 4
 #: Sets of a tile, and shingles of a membership matrix.
 TILE, COLUMNS = 256, 2048
+#: Pairs an entry, from which on a tile is worked through as a whole.
+DENSE = 4
 SETS = "row long, n_shingles long, k1 long, k2 long, n_counted int, tokens array<long>, rest array<long>"
 
 
@@ -159,12 +162,24 @@ def _open_pairs(square: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarr
     return i[keep], j[keep]
 
 
-def _met(similarity: int):
-    """The entries of a tile that are in a pair; only these need their full sets."""
+def _met(similarity: int, dense: int = DENSE):
+    """What is left of a tile: its few pairs themselves, or where they are many its entries that are in one.
+
+    Pairs of all tiles are then taken once each, however many lists they share; entries bring their full
+    sets to their tile once each, however many pairs they are in.
+    """
 
     def run(square: pa.Table) -> pa.Table:
-        used = np.unique(np.concatenate(_open_pairs(square, similarity)))
-        return square.take(pa.array(used))
+        i, j = _open_pairs(square, similarity)
+        used = np.unique(np.concatenate([i, j]))
+        ids = np.array(square["id"])
+        if len(i) > dense * len(used):
+            rows = square.take(pa.array(used))
+            u = v = pa.nulls(len(rows), pa.int64())
+        else:
+            rows = square.slice(0, 1).take(pa.array(np.zeros(len(i), np.int64)))
+            u, v = pa.array(np.minimum(ids[i], ids[j])), pa.array(np.maximum(ids[i], ids[j]))
+        return rows.append_column("u", u).append_column("v", v)
 
     return run
 
@@ -192,7 +207,7 @@ def _postings(scratch: Scratch, heads: DataFrame, similarity: int) -> DataFrame:
     sizes = F.shiftleft("n", 32).bitwiseOR(F.col("n_counted").cast("long"))  # one column to carry
     counted = heads.select("id", sizes.alias("sizes"), F.explode("tokens").alias("token"))
     df = counted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = counted.join(df, "token").groupBy("id", F.shiftright("sizes", 32).alias("n"), F.col("sizes").cast("int").alias("n_counted")).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    shared = counted.join(df, "token").groupBy("id", F.shiftright("sizes", 32).alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n_counted")).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     single = F.col("n_counted") - F.size("shared")
     kept = F.slice("shared", F.lit(1), F.greatest(prefix_length_column(similarity) - single, F.lit(0)).cast("int"))
     lead = shared.select("id", "n", single.alias("single"), F.posexplode(kept).alias("at", "s"))
@@ -258,10 +273,12 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     met = met.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part")
-    met = met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), met.schema)
-    more = met.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long").distinct()
+    met = scratch.table(met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), StructType([*met.schema, *(StructField(c, LongType()) for c in "uv")])), "met")
+    few, many = met.where("u is not null").select("u", "v").distinct(), met.where("u is null").drop("u", "v")
+    dense = many.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long")
+    more = _verified(bags, few, similarity).unionByName(dense).distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-    scratch.drop(bags, named, links)
+    scratch.drop(bags, named, links, met)
     return classed, connected_components(joined, scratch).select(F.col("id").alias("rep"), "component")
 
 

@@ -224,8 +224,9 @@ def family(seed: int, n: int, words: int, edits: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("seed, share, tile", [(1, 4, 256), (2, 1, 4), (3, 64, 7)])
-def test_join_is_the_plain_one(spark, monkeypatch, seed, share, tile):
+@pytest.mark.parametrize("seed, share, tile, dense", [(1, 4, 256, 4), (2, 1, 4, 0), (3, 64, 7, 1)])
+def test_join_is_the_plain_one(spark, monkeypatch, seed, share, tile, dense):
+    monkeypatch.setattr(ngram_join, "_met", lambda similarity, own=ngram_join._met: own(similarity, dense))
     monkeypatch.setattr(ngram_join, "SHARE", share)
     monkeypatch.setattr(ngram_join, "TILE", tile)
     rows = [r[:2] for r in odd_rows(seed, 120, 60)]
