@@ -36,7 +36,9 @@ SHARE = 4
 TILE, COLUMNS = 256, 2048
 #: Pairs an entry, from which on a tile is worked through as a whole.
 DENSE = 4
-SETS = "row long, n_shingles long, k1 long, k2 long, n_counted int, tokens array<long>, rest array<long>"
+SETS = "row long, n_shingles long, k1 long, k2 long, n_counted int, tokens array<long>, rest array<long>, parity binary"
+#: 64-bit words of parities that are compared at once.
+WORDS_AT_ONCE = 1 << 20
 
 
 def prefix_length(n, similarity: int):
@@ -49,6 +51,30 @@ def needed(a, b, similarity: int):
     return -(-similarity * (a + b) // (100 + similarity))
 
 
+def parities(s: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """For each set a map of bits, a power of two of them and about as many as members: each bit is the parity of
+    the members that fall on it.  Folding a map's halves by exclusive-or gives the map of half the size."""
+    out = []
+    for a, b in zip(off[:-1], off[1:], strict=True):
+        bits = max(64, 1 << int(b - a - 1).bit_length()) if b > a else 64
+        odd = np.bincount((s[a:b] % K.U(bits)).astype(np.int64), minlength=bits) & 1
+        out.append(np.packbits(odd.astype(np.uint8), bitorder="little").tobytes())
+    return out
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """The maps as rows of 64-bit words, all of the least size among them."""
+    least = min(len(m) for m in maps) // 8
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(m, np.uint64).reshape(-1, least), axis=0) for m in maps])
+
+
+def apart(maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of each pair differ: the sets differ in so many members at least."""
+    step = max(1, WORDS_AT_ONCE // maps.shape[1])
+    parts = [np.bitwise_count(maps[i[k : k + step]] ^ maps[j[k : k + step]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), step)]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
+
+
 def _sets(similarity: int):
     """Set size, identity, counted shingles and, where those are too few for a prefix, the next ones in order."""
     bound = K.U(min((1 << 64) // SHARE, (1 << 64) - 1))
@@ -72,6 +98,7 @@ def _sets(similarity: int):
                     "n_counted": have.astype(np.int32),
                     "tokens": pa.ListArray.from_arrays(counted.astype(np.int32), s[s < bound].view(np.int64)),
                     "rest": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(more)]).astype(np.int32), s[rest].view(np.int64)),
+                    "parity": pa.array(parities(s, off), pa.binary()),
                 }
             )
 
@@ -153,13 +180,20 @@ def derived(bags: list[np.ndarray], i: np.ndarray, j: np.ndarray, similarity: in
 
 
 def _open_pairs(square: pa.Table, similarity: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a tile that block skipping leaves and that are of different components; across tiles, one of each."""
+    """Pairs of a tile that block skipping leaves and that are of different components; across tiles, one of each.
+
+    Pairs whose maps of parities differ in more bits than linked sets may differ in members are out as well.
+    """
     part, own, n, pos = (np.array(square[c]) for c in ("part", "own", "n", "pos"))
     i, j = candidates(n, pos, similarity)
     keep = part[i] != part[j]
     if square["a"][0].as_py() != square["b"][0].as_py():
         keep &= own[i] != own[j]
-    return i[keep], j[keep]
+    i, j = i[keep], j[keep]
+    if len(i):
+        near = apart(folded(square["parity"].to_pylist()), i, j) <= n[i] + n[j] - 2 * needed(n[i], n[j], similarity)
+        i, j = i[near], j[near]
+    return i, j
 
 
 def _met(similarity: int, dense: int = DENSE):
@@ -242,7 +276,6 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     classed = scratch.table(classed.select("row", "n_shingles", F.coalesce("rep", "row").alias("rep")), "classes")
     heads = sets.where("n_shingles > 0").join(classed.where("row = rep").select("row"), "row", "left_semi")
     postings = _postings(scratch, heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "n_counted", "tokens", "rest"), similarity)
-    scratch.drop(sets)
     lists = _lists(scratch, postings, similarity)
     scratch.drop(postings)
     bags = rows.select("row", "text").join(lists.select(F.col("id").alias("row")).distinct().hint("merge"), "row", "left_semi")
@@ -273,12 +306,13 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     met = met.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part")
+    met = met.join(sets.select(F.col("row").alias("id"), "parity"), "id")
     met = scratch.table(met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), StructType([*met.schema, *(StructField(c, LongType()) for c in "uv")])), "met")
     few, many = met.where("u is not null").select("u", "v").distinct(), met.where("u is null").drop("u", "v")
     dense = many.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long")
     more = _verified(bags, few, similarity).unionByName(dense).distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-    scratch.drop(bags, named, links, met)
+    scratch.drop(bags, named, links, met, sets)
     return classed, connected_components(joined, scratch).select(F.col("id").alias("rep"), "component")
 
 

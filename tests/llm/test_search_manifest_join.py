@@ -260,6 +260,20 @@ def test_derived_overlaps_are_the_full_ones():
     assert ngram_join.derived(bags, i, j, 90).tolist() == want and 0 < sum(want) < len(want)
 
 
+def test_parities_never_say_too_much():
+    r = np.random.default_rng(9)
+    base = np.unique(r.choice(1 << 40, 700).astype(np.uint64))
+    sets = [np.unique(np.concatenate([base[r.random(len(base)) > r.random() * 0.6], r.choice(1 << 40, int(r.integers(1, 90))).astype(np.uint64)])) for _ in range(30)] + [base[:1], base[:64]]
+    off = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    maps = ngram_join.parities(np.concatenate(sets), off)
+    i, j = np.nonzero(np.triu(np.ones((len(sets), len(sets)), bool), 1))
+    truth = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    for k in (slice(0, 30), slice(None)):
+        few = (i < len(maps[k])) & (j < len(maps[k]))
+        bits = ngram_join.apart(ngram_join.folded(maps[k]), i[few], j[few])
+        assert (bits <= truth[few]).all() and ((truth[few] - bits) % 2 == 0).all() and bits.max() > 20
+
+
 def test_block_skipping_leaves_every_pair_that_its_bound_allows():
     r = np.random.default_rng(4)
     n = r.integers(8, 60, 80)
