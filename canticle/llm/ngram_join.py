@@ -302,11 +302,11 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     mixed = named.groupBy("token", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members"), mark.alias("mark")).where("lo < hi")
     met = named.join(mixed.select("token", "band", "members", "mark"), ["token", "band"])
     met = met.groupBy("members", "mark", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("part").alias("part"))
+    met = met.join(sets.select(F.col("row").alias("id"), "parity"), "id")
     # A long list is a square of tiles; a set goes to the tiles of its row and column.
     met = met.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part")
-    met = met.join(sets.select(F.col("row").alias("id"), "parity"), "id")
+    met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part", "parity")
     met = scratch.table(met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), StructType([*met.schema, *(StructField(c, LongType()) for c in "uv")])), "met")
     few, many = met.where("u is not null").select("u", "v").distinct(), met.where("u is null").drop("u", "v")
     dense = many.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long")
