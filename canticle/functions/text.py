@@ -18,6 +18,11 @@ def normalize_word(c: Column) -> Column:
     return F.regexp_replace(F.upper(F.translate(c, "‘’ʼ", "'''")), "[^A-Z']", "")
 
 
+def ui_norm(c: Column) -> Column:
+    """Lower case; letters and digits of any script and apostrophes only."""
+    return F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}']", "")
+
+
 def edit_ratio(a: Column, b: Column) -> Column:
     """Levenshtein distance over the longer length; 0 for two empty strings."""
     longest = F.greatest(F.length(a), F.length(b))

@@ -10,6 +10,9 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from canticle.functions.text import ui_norm
 
 GAP, MISMATCH, PLAUSIBLE = 1.0, 1.5, 0.5
 #: Bytes of decisions that a dynamic program holds at once.
@@ -156,10 +159,41 @@ def align_grade(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(lambda it: map(run, it), "id string, matched long, hyp_only long, ref_only long")
 
 
-def ctc_path(emission: np.ndarray, target: list[int], blank: int = 0) -> list[int] | None:
-    """The state of each frame on the best path over 2N + 1 states; None where frames are too few.
+def align_pairs(pairs: DataFrame) -> DataFrame:
+    """id, hyp_idx and ref_idx: a row for each matched pair, and one for each word of either side that has no partner.
+
+    pairs: id, hyp and ref (arrays of words).  Decisions are worked out again in blocks where they would take over
+    HELD bytes, so a long pair of texts takes longer, not more memory.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            got = align(list(r.hyp), list(r.ref))
+            left, right = ({p[k] for p in got} for k in (0, 1))
+            out += [(r.id, i, j) for i, j in got]
+            out += [(r.id, i, None) for i in range(len(r.hyp)) if i not in left]
+            out += [(r.id, None, j) for j in range(len(r.ref)) if j not in right]
+        rows = pd.DataFrame(out, columns=["id", "hyp_idx", "ref_idx"])
+        return rows.astype({"hyp_idx": "Int32", "ref_idx": "Int32"})
+
+    return pairs.mapInPandas(lambda it: map(run, it), "id string, hyp_idx int, ref_idx int")
+
+
+def between_words(target: list[int], delim: int) -> np.ndarray:
+    """Which of the 2N + 1 states are blanks between words: the outer two and those beside a token that parts words."""
+    parts = np.array([True] + [t == delim for t in target] + [True])
+    out = np.zeros(2 * len(target) + 1, bool)
+    out[::2] = parts[:-1] | parts[1:]
+    out[[0, -1]] = True
+    return out
+
+
+def ctc_path(emission: np.ndarray, target: list[int], blank: int = 0, silent: np.ndarray | None = None, delim: int | None = None) -> list[int] | None:
+    """The state of each frame on the best path over 2N + 1 states; None where there is none.
 
-    Stay, advance one, or skip a blank between different tokens; the earlier option wins ties.
+    Stay, advance one, or skip a blank between different tokens; the earlier option wins ties.  A silent frame
+    (silent: a flag a frame; those beyond its end are not) may be spent only in a blank between words.
     """
     states = [blank] + [x for t in target for x in (t, blank)]
     t, s = len(emission), len(states)
@@ -168,6 +202,12 @@ def ctc_path(emission: np.ndarray, target: list[int], blank: int = 0) -> list[in
     skip = np.array([k > 1 and states[k] != blank and states[k] != states[k - 2] for k in range(s)])
     score = np.full(s, -np.inf)
     score[:2] = emission[0, states[0]], emission[0, states[1]]
+    quiet = np.zeros(t, bool)
+    if silent is not None:
+        quiet[: len(silent)] = silent[:t]
+    barred = ~between_words(target, delim)
+    if quiet[0]:
+        score[barred] = -np.inf
 
     def step(score, k):
         one = np.concatenate([[-np.inf], score[:-1]])
@@ -176,10 +216,15 @@ def ctc_path(emission: np.ndarray, target: list[int], blank: int = 0) -> list[in
         for by, option in ((1, one), (2, two)):
             better = option > best
             best[better], move[better] = option[better], by
-        return best + emission[k + 1, states], move
+        best = best + emission[k + 1, states]
+        if quiet[k + 1]:
+            best[barred] = -np.inf
+        return best, move
 
     score, moves = backwards(score, t - 1, step, s)
     at = s - 2 if score[s - 2] > score[s - 1] else s - 1
+    if score[at] == -np.inf:
+        return None
     path = [at]
     for move in moves:
         at -= int(move[at])
@@ -204,6 +249,30 @@ def ctc_align(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(lambda it: map(run, it), "song long, token_no int, first int, last int")
 
 
+def ctc_align_silent(rows: DataFrame, delim: int) -> DataFrame:
+    """song, token_no, first, last and free; rows: song, emission, target and silent (a flag a frame).
+
+    No token lies in a silent frame and no word spans one; a song that has no such path is aligned without regard to
+    silence, and free says so.  A song without any path has no rows.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            emission, target = np.array(r.emission.tolist(), np.float64), [int(x) for x in r.target]
+            path = ctc_path(emission, target, silent=np.asarray(r.silent, bool), delim=delim)
+            free = path is None
+            path = np.array(ctc_path(emission, target) or [] if free else path, int)
+            token = path[path % 2 == 1] // 2
+            frame = np.flatnonzero(path % 2 == 1)
+            edges = np.flatnonzero(np.diff(token, prepend=-1))
+            lasts = frame[np.append(edges[1:], len(frame)) - 1] if len(frame) else frame
+            out.append(pd.DataFrame({"song": r.song, "token_no": token[edges], "first": frame[edges], "last": lasts, "free": free}))
+        return pd.concat(out) if out else pd.DataFrame(columns=["song", "token_no", "first", "last", "free"])
+
+    return rows.mapInPandas(lambda it: map(run, it), "song long, token_no int, first int, last int, free boolean")
+
+
 IDEAL, LONGEST = 7, 24
 #: Seconds that a line counts as at least.
 SHORTEST = 0.2
@@ -290,7 +359,8 @@ def reflow_lines(words: DataFrame, gap: float) -> DataFrame:
 
 def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[float, float]]:
     """Times of typed words: equal words keep theirs (a longest common subsequence), equal runs go one to
-    one, other runs share their span, 80 per cent of each share voiced; onsets never go back."""
+    one, other runs share the span between the kept words around them (at the ends, the old text's), 80 per cent
+    of each share voiced; onsets never go back."""
     n, m = len(old), len(new)
     code: dict[str, int] = {}
     was, now = (np.array([code.setdefault(x, len(code)) for x in words], int) for words in ((w[0] for w in old), new))
@@ -317,8 +387,8 @@ def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[fl
             if x - a == y - b:
                 out[b:y] = [old[a + k][1:] for k in range(y - b)]
             else:
-                left = old[a][1] if a < x else (old[a - 1][2] if a else 0.0)
-                right = old[x - 1][2] if a < x else (old[x][1] if x < n else left)
+                left = old[a - 1][2] if a else old[0][1] if n else 0.0
+                right = old[x][1] if x < n else max(old[-1][1:]) if n else left
                 share = max(0.0, right - left) / (y - b)
                 out[b:y] = [(left + k * share, left + (k + 0.8) * share) for k in range(y - b)]
         if y < m:
@@ -332,7 +402,12 @@ def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[fl
 
 
 def lcs_retime(songs: DataFrame) -> DataFrame:
-    """song_id, word_idx, start, end; songs: song_id, old (array of word, start, end), new (array of words)."""
+    """song_id, word_idx, start, end; songs: song_id, old (array of word, start, end), new (array of words).
+
+    Words are equal where they are without case, punctuation and signs.
+    """
+    same = F.transform("old", lambda w: F.struct(ui_norm(w["word"]).alias("word"), w["start"].alias("start"), w["end"].alias("end")))
+    songs = songs.select("song_id", same.alias("old"), F.transform("new", ui_norm).alias("new"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -389,8 +464,11 @@ def onsets(level: list[float], least: float, apart: int) -> list[int]:
     return out
 
 
-def windows(changed: list[bool], start: list[float], end: list[float], pad: float = 1.0, most: float = 100.0) -> list[tuple[int, int, float, float]]:
-    """first, last, from and to of each stretch to align again: runs of changed words, padded up to their neighbours, split where too long."""
+def windows(changed: list[bool], start: list[float], end: list[float], pad: float = 1.0, most: float = 100.0, duration: float = math.inf) -> list[tuple[int, int, float, float]]:
+    """first, last, from and to of each stretch to align again: runs of changed words, padded up to their neighbours, split where too long.
+
+    Padding stays inside the song; a stretch without length, as behind the song's end, is left out.
+    """
     out, k, n = [], 0, len(changed)
     while k < n:
         if not changed[k]:
@@ -404,9 +482,15 @@ def windows(changed: list[bool], start: list[float], end: list[float], pad: floa
             b = a
             while b + 1 < k and end[b + 1] - start[a] + 2 * pad <= most:
                 b += 1
-            low = max(0.0, start[a] - pad, end[a - 1] if a else 0.0)
-            high = min(end[b] + pad, start[b + 1] if b + 1 < n else end[b] + pad)
-            out.append((a, b, min(low, start[a]), max(high, end[b])))
+            voiced = max(end[b], start[a])
+            low = max(0.0, start[a] - pad)
+            if a:
+                low = min(max(low, end[a - 1], start[a - 1]), start[a])
+            high = min(voiced + pad, duration)
+            if b + 1 < n:
+                high = max(min(high, start[b + 1]), voiced)
+            if high > low:
+                out.append((a, b, low, high))
             a = b + 1
     return out
 

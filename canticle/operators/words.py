@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from canticle.operators.library import at_places
+from canticle.storage import Scratch
+
 
 
 def song():
@@ -220,6 +223,31 @@ def error_stats(errors: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def accuracy_report(aligned: DataFrame) -> DataFrame:
+    """One row a song and one for all (song null): words of both sides, matches, what has no partner, errors, and the row as JSON.
+
+    aligned: song, hyp_idx and ref_idx (one of them null where a word has no partner), err (seconds, of pairs) and
+    freestyle (of the reference word).  Quantiles are nearest-rank ones of the absolute error, found by place over one
+    range partitioning, so no song and not the row for all is gathered.
+    """
+    rows = aligned.withColumn("scope", F.explode(F.array(F.struct(F.lit(False).alias("all"), F.col("song")), F.struct(F.lit(True).alias("all"), F.lit(None).cast(aligned.schema["song"].dataType).alias("song")))))
+    rows = rows.select("scope.all", "scope.song", "hyp_idx", "ref_idx", "freestyle", "err", F.abs("err").alias("off"))
+    rows = Scratch(aligned.sparkSession, "accuracy").table(rows, "rows")  # read by the counts and by the places; aligned once
+    hyp, ref = F.col("hyp_idx").isNotNull(), F.col("ref_idx").isNotNull()
+    ones = {"n_hyp": hyp, "n_ref": ref, "matched": hyp & ref, "freestyle_matched": hyp & ref & F.col("freestyle"), "hyp_only": ~ref, "ref_only": ~hyp}
+    by = ["all", "song"]
+    share = lambda s: F.round(F.avg(F.when(F.col("off") <= s, 1.0).when(F.col("off").isNotNull(), 0.0)), 6)
+    folds = rows.groupBy(*by).agg(
+        *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in ones.items()),
+        F.max("off").alias("worst"), F.round(F.avg("err"), 6).alias("mean"), share(0.05).alias("within_50"), share(0.1).alias("within_100"),
+    )
+    rank = lambda p: lambda n: F.greatest(F.ceil(n * F.lit(p)) - 1, F.lit(0))
+    places = at_places(rows.where("off IS NOT NULL"), by, "off", {"median": rank(0.5), "p90": rank(0.9), "p95": rank(0.95)}).drop("n")
+    keep = [F.col(f"f.{c}").eqNullSafe(F.col(f"p.{c}")) for c in by]
+    out = folds.alias("f").join(places.alias("p"), keep[0] & keep[1], "left").select("f.*", "p.median", "p.p90", "p.p95").drop("all")
+    return out.withColumn("report", F.to_json(F.struct(*out.columns)))
+
+
 def on_bars(bins: DataFrame, first: int, width: float, bars: int) -> DataFrame:
     """song_id, edges, bar and peak of bins (song_id, bin, peak) on bars of `width` bins from bin `first` on.
 

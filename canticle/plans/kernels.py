@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from canticle.functions.text import normalize_word
 from canticle.operators import kernels as K
+from canticle.operators import words as W
 from canticle.plans import query
 from canticle.plans.views import table, words
 from canticle.shipping import ship
@@ -24,17 +25,49 @@ def turns(spark, sf):
     c = table(spark, sf, "conversations").withColumn("w", F.coalesce(F.transform(F.split("text", r"\s+"), normalize_word), F.array().cast("array<string>")))
     nxt = F.lead("w").over(Window.partitionBy("conv_id").orderBy("turn"))
     pairs = c.withColumn("ref", nxt).where("ref IS NOT NULL")
-    return pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("w").alias("hyp"), "ref")
+    return pairs.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "conv_id", F.col("w").alias("hyp"), "ref")
+
+
+@query("align_pairs")
+def align_pairs(spark, sf):
+    """The pairs themselves of each turn and the next, and the words of both that have no partner."""
+    ship(spark)
+    return K.align_pairs(turns(spark, sf))
+
+
+@query("accuracy_report")
+def accuracy_report(spark, sf):
+    """Each conversation's turns against the next ones: word k of a turn begins at 0.4 k seconds, of the next one at 0.38 k; words of up to three letters are freestyle."""
+    ship(spark)
+    t = turns(spark, sf)
+    p = K.align_pairs(t).join(t.select("id", "conv_id", "ref"), "id")
+    err = F.when(F.col("hyp_idx").isNotNull() & F.col("ref_idx").isNotNull(), F.round(F.col("hyp_idx") * 0.4 - F.col("ref_idx") * 0.38, 6))
+    free = F.length(F.get("ref", F.col("ref_idx"))) <= 3
+    return W.accuracy_report(p.select(F.col("conv_id").alias("song"), "hyp_idx", "ref_idx", err.alias("err"), free.alias("freestyle")))
 
 
 @query("ctc_align")
 def ctc_align(spark, sf):
     """Frames are a label's vectors; the target has a token for every four of them, every fourth component's place in turn."""
     ship(spark)
+    return K.ctc_align(emissions(spark, sf).drop("silent"))
+
+
+@query("ctc_align_silent")
+def ctc_align_silent(spark, sf):
+    """The same with silent frames, those of two vectors in eleven, and a token in every five that parts words."""
+    ship(spark)
+    rows = emissions(spark, sf)
+    parted = F.transform("target", lambda t, k: F.when(k % 5 == 4, 1).otherwise(F.when(t == 1, 2).otherwise(t)))
+    return K.ctc_align_silent(rows.withColumn("target", parted), 1)
+
+
+def emissions(spark, sf):
     e = table(spark, sf, "embeddings").withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")))
-    rows = e.groupBy(F.col("label").cast("long").alias("song")).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "embedding"))), lambda x: x["embedding"]).alias("emission"))
+    rows = e.groupBy(F.col("label").cast("long").alias("song")).agg(F.array_sort(F.collect_list(F.struct("n", "embedding", (F.col("vec_id") % 11 < 2).alias("silent")))).alias("f"))
+    rows = rows.select("song", F.transform("f", lambda x: x["embedding"]).alias("emission"), F.transform("f", lambda x: x["silent"]).alias("silent"))
     places = F.size(F.get("emission", F.lit(0))) - 1
-    return K.ctc_align(rows.withColumn("target", F.transform(F.sequence(F.lit(0), F.ceil(F.size("emission") / 4).cast("int") - 1), lambda k: 4 * k % places + 1)))
+    return rows.withColumn("target", F.transform(F.sequence(F.lit(0), F.ceil(F.size("emission") / 4).cast("int") - 1), lambda k: 4 * k % places + 1))
 
 
 def spoken(w):
@@ -76,7 +109,7 @@ def realign_windows(spark, sf):
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word_idx")
-        w = K.windows(pdf["unsung"].tolist(), pdf["start"].tolist(), pdf["end"].tolist())
+        w = K.windows(pdf["unsung"].tolist(), pdf["start"].tolist(), pdf["end"].tolist(), duration=pdf["end"].max())
         return pd.DataFrame(w, columns=["first", "last", "low", "high"]).assign(song_id=pdf["song_id"].iloc[0])[["song_id", "first", "last", "low", "high"]]
 
     w = words(spark, sf)
@@ -94,13 +127,14 @@ def reflow_lines(spark, sf):
 
 @query("lcs_retime")
 def lcs_retime(spark, sf):
-    """Every song retyped without its errors and with a word put in front."""
+    """Every song retyped in capitals with commas, without its errors and with a word put in front."""
     ship(spark)
     w = words(spark, sf)
     old = F.array_sort(F.collect_list(F.struct("word_idx", F.col("event_type").alias("word"), "start", "end")))
     s = w.groupBy("song_id").agg(F.transform(old, lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end"))).alias("old"))
     kept = F.filter(F.transform("old", lambda x: x["word"]), lambda x: x != "error")
-    return K.lcs_retime(s.withColumn("new", F.concat(F.array(F.lit("intro")), kept)))
+    typed = F.transform(kept, lambda w: F.concat(F.upper(w), F.lit(",")))
+    return K.lcs_retime(s.withColumn("new", F.concat(F.array(F.lit("intro")), typed)))
 
 
 @query("plan_chunks")

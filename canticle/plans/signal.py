@@ -83,3 +83,21 @@ def longest_silent_run(spark, sf):
 @query("overlap_add", f"WITH {FRAMES}, s AS (SELECT song, frame_idx, generate_subscripts(x, 1) - 1 AS i, unnest(x) AS v FROM frames), w AS (SELECT song, frame_idx * 32 + i AS sample, 32.5::DOUBLE - abs(i + 1 - 32.5::DOUBLE) AS w, v FROM s) SELECT song, CAST(sample AS INTEGER) AS sample, round(sum(w * v) / sum(w), 6) AS v FROM w GROUP BY song, sample")
 def overlap_add(spark, sf):
     return G.overlap_add(frames(spark, sf), 32, 64).select("song", "sample", F.round("v", 6).alias("v"))
+
+
+@query("shifted_passes", f"""WITH {FRAMES}, s AS (SELECT song, frame_idx * 64 + generate_subscripts(x, 1) - 1 AS j, unnest(x) AS v FROM frames),
+st AS (SELECT song, count(*) AS n, avg(v) AS m, stddev_samp(v) AS d FROM s GROUP BY song),
+z AS (SELECT song, j, (v - m) / d AS v FROM s JOIN st USING (song)),
+g AS (SELECT song, n + lead AS total, lead, unnest(range(0, (n + lead + 149) // 150)) * 150 AS o FROM st, (VALUES (75), (25)) p(lead)),
+h AS (SELECT song, lead, o, least(o + 200, total) AS e FROM g),
+c AS (SELECT song, lead, o, e, o - (200 - (e - o)) // 2 AS b FROM h),
+x AS (SELECT c.song, c.lead, o, z.j, z.v - coalesce(y.v, 0) / 2 AS v FROM c JOIN z ON z.song = c.song AND z.j + c.lead >= o AND z.j + c.lead < e LEFT JOIN z y ON y.song = c.song AND y.j = 2 * b + 199 - 2 * c.lead - z.j),
+w AS (SELECT *, 100.5::DOUBLE - abs(j + lead - o + 1 - 100.5::DOUBLE) AS w FROM x),
+p AS (SELECT song, lead, j, sum(w * v) / sum(w) AS v FROM w GROUP BY song, lead, j)
+SELECT song, j, round(avg(p.v) * max(d) + max(m), 6) AS v FROM p JOIN st USING (song) GROUP BY song, j""")
+def shifted_passes(spark, sf):
+    """Two delayed passes over each label's vectors end to end, 200 samples every 150; each segment loses half its mirror image."""
+    f = frames(spark, sf).select("song", "frame_idx", F.posexplode("x").alias("i", "v"))
+    s = f.select("song", (F.col("frame_idx").cast("long") * 64 + F.col("i")).alias("j"), "v")
+    mirrored = lambda x: F.zip_with(x, F.reverse(x), lambda v, w: v - w / 2)
+    return G.shifted_passes(s, 200, 150, G.leads(2, 100), mirrored).select("song", "j", F.round("v", 6).alias("v"))

@@ -1,9 +1,11 @@
 import itertools
+import json
 import math
 
 import numpy as np
 
 from canticle.operators import kernels as K
+from canticle.operators import words as W
 
 
 def test_align_matches_exact_and_fuzzy_words():
@@ -53,6 +55,10 @@ def test_retime_keeps_common_words_and_never_goes_back():
     out = K.retime(old, ["z", "a", "b", "c"])
     assert [s for s, _ in out] == sorted(s for s, _ in out)
     assert K.retime([], ["a"]) == [(0.0, 0.0)]
+    old = [("a", 1.0, 1.5), ("b", 2.0, 3.0), ("c", 3.0, 3.5), ("d", 5.0, 6.0)]
+    assert K.retime(old, ["a", "x", "d"]) == [(1.0, 1.5), (1.5, 1.5 + 0.8 * 3.5), (5.0, 6.0)]
+    assert K.retime(old, ["d", "y"]) == [(5.0, 6.0), (6.0, 6.0)]
+    assert K.retime(old, ["x", "y"]) == [(1.0, 3.0), (3.5, 5.5)]
 
 
 def test_reflow_breaks():
@@ -136,3 +142,77 @@ def test_log_mel_against_sums():
     assert np.allclose(K.log_mel(x, filters, size, hop), want)
     full = K.mel_filters(400, 80, 16000)
     assert full.shape == (80, 201) and (full >= 0).all() and (full.sum(axis=1) > 0).all()
+
+
+def test_windows_end_with_the_song():
+    start, end = [0.0, 8.0, 9.0], [1.0, 8.5, 9.8]
+    assert K.windows([False, False, True], start, end, duration=10.0) == [(2, 2, 8.5, 10.0)]
+    assert K.windows([False, False, True], start, end, duration=8.5) == []
+    assert K.windows([False, True, False], [0.0, 5.0, 9.0], [7.0, 4.0, 9.5]) == [(1, 1, 5.0, 6.0)]
+
+
+def test_silent_frames_hold_only_blanks_between_words():
+    r = np.random.default_rng(7)
+    bad = 0
+    for _ in range(40):
+        target = [int(x) for x in r.integers(1, 3, 3)]
+        e = np.round(r.normal(size=(6, 3)) * 4) / 4
+        silent = r.random(6) < 0.3
+        states = [0] + [x for t in target for x in (t, 0)]
+        free = [s % 2 == 0 and (s in (0, 6) or 2 in (states[s - 1], states[s + 1])) for s in range(7)]
+        assert K.between_words(target, 2).tolist() == free
+        total = {
+            p: sum(e[t, states[s]] for t, s in enumerate(p))
+            for p in itertools.product(range(7), repeat=6)
+            if p[0] < 2 and p[-1] > 4 and all(b - a in (0, 1) or (b - a == 2 and b % 2 and states[b] != states[a]) for a, b in itertools.pairwise(p))
+            and all(free[s] for s, q in zip(p, silent, strict=True) if q)
+        }
+        path = K.ctc_path(e, target, silent=silent, delim=2)
+        assert (path is None) == (not total)
+        bad += path is None
+        if path:
+            assert tuple(path) in total and abs(total[tuple(path)] - max(total.values())) < 1e-9
+    assert 0 < bad < 40
+    assert K.ctc_path(e, target, silent=np.zeros(2, bool), delim=2) == K.ctc_path(e, target)
+
+
+def test_songs_without_a_path_around_silence_are_aligned_freely(spark):
+    e = [[0.0, -1.0, -2.0]] * 4
+    rows = spark.createDataFrame([(1, e, [1], [True] * 4), (2, e, [1], [True, False, True, True]), (3, e[:1], [1, 1], [False])], "song long, emission array<array<double>>, target array<int>, silent array<boolean>")
+    got = sorted(tuple(x) for x in K.ctc_align_silent(rows, 2).collect())
+    assert got[1:] == [(2, 0, 1, 1, False)] and got[0][0] == 1 and got[0][4]
+
+
+def test_pairs_and_report_are_those_of_plain_python(spark):
+    r = np.random.default_rng(3)
+    words = ["LA", "LALA", "SUN", "MOON", "A", ""]
+    rows = [(f"{s}-{k}", s, *(list(map(str, r.choice(words, n))) for n in r.integers(0, 12, 2))) for s in (1, 2, 3) for k in range(5)]
+    t = spark.createDataFrame([*rows, ("4-0", 4, [], []), ("5-0", 5, ["SUN"], [])], "id string, song long, hyp array<string>, ref array<string>")
+    pairs = K.align_pairs(t.drop("song"))
+    want = []
+    for i, _, hyp, ref in [*rows, ("5-0", 5, ["SUN"], [])]:
+        got = K.align(hyp, ref)
+        want += [(i, *p) for p in got]
+        want += [(i, k, None) for k in range(len(hyp)) if k not in dict(got)] + [(i, None, k) for k in range(len(ref)) if k not in {q for _, q in got}]
+    key = lambda x: tuple(-1 if c is None else c for c in x)
+    assert sorted((tuple(x) for x in pairs.collect()), key=key) == sorted(want, key=key)
+    song, ref = {x[0]: x[1] for x in rows} | {"5-0": 5}, {x[0]: x[3] for x in rows}
+    aligned = pairs.join(t.select("id", "song", "ref"), "id").selectExpr("song", "hyp_idx", "ref_idx", "IF(hyp_idx IS NULL, NULL, (hyp_idx - ref_idx) * 0.04D) AS err", "length(get(ref, ref_idx)) = 1 AS freestyle")
+    report = {x["song"]: x.asDict() for x in W.accuracy_report(aligned).collect()}
+    assert set(report) == {1, 2, 3, 5, None}
+    for s, x in report.items():
+        own = [p for p in want if s in (None, song[p[0]])]
+        both = [p for p in own if None not in p]
+        err = [(i - j) * 0.04 for _, i, j in both]
+        off = sorted(map(abs, err))
+        counts = [sum(p[1] is not None for p in own), sum(p[2] is not None for p in own), len(both), sum(len(ref[p[0]][p[2]]) == 1 for p in both), sum(p[2] is None for p in own), sum(p[1] is None for p in own)]
+        assert [x[c] for c in ("n_hyp", "n_ref", "matched", "freestyle_matched", "hyp_only", "ref_only")] == counts
+        for c, p in (("median", 0.5), ("p90", 0.9), ("p95", 0.95), ("worst", 1.0)):
+            assert x[c] == (off[math.ceil(len(off) * p) - 1] if off else None)
+        assert x["mean"] is None if not off else abs(x["mean"] - sum(err) / len(err)) < 1e-6
+        assert json.loads(x["report"])["n_ref"] == counts[1]
+
+
+def test_retyped_words_are_known_without_case_and_signs(spark):
+    songs = spark.createDataFrame([(1, [("Don't", 1.0, 2.0), ("Élan!", 3.0, 4.0)], ["x", "DON'T,", "élan"])], "song_id long, old array<struct<word:string,start:double,end:double>>, new array<string>")
+    assert [(x["start"], x["end"]) for x in K.lcs_retime(songs).orderBy("word_idx").collect()] == [(1.0, 1.0), (1.0, 2.0), (3.0, 4.0)]
