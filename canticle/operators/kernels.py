@@ -357,13 +357,11 @@ def reflow_lines(words: DataFrame, gap: float) -> DataFrame:
     return words.groupBy("song_id").applyInPandas(run, "song_id long, word_idx int, line_no int")
 
 
-def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[float, float]]:
-    """Times of typed words: equal words keep theirs (a longest common subsequence), equal runs go one to
-    one, other runs share the span between the kept words around them (at the ends, the old text's), 80 per cent
-    of each share voiced; onsets never go back."""
+def kept_words(old: list[str], new: list[str]) -> list[tuple[int, int]]:
+    """The pairs of a longest common subsequence; leaving an old word out comes first."""
     n, m = len(old), len(new)
     code: dict[str, int] = {}
-    was, now = (np.array([code.setdefault(x, len(code)) for x in words], int) for words in ((w[0] for w in old), new))
+    was, now = (np.array([code.setdefault(x, len(code)) for x in words], int) for words in (old, new))
 
     def step(below, k):
         """Lengths from old word n - 1 - k on, by new word, and where leaving that old word out is as good."""
@@ -380,6 +378,15 @@ def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[fl
         if j < m and was[i] == now[j]:
             pairs.append((i, j))
             j += 1
+    return pairs
+
+
+def retime(old: list[tuple[str, float, float]], new: list[str]) -> list[tuple[float, float]]:
+    """Times of typed words: equal words keep theirs (a longest common subsequence), equal runs go one to
+    one, other runs share the span between the kept words around them (at the ends, the old text's), 80 per cent
+    of each share voiced; onsets never go back."""
+    n, m = len(old), len(new)
+    pairs = kept_words([w[0] for w in old], new)
     out: list[tuple[float, float]] = [(0.0, 0.0)] * m
     a = b = 0
     for x, y in [*pairs, (n, m)]:
@@ -419,6 +426,29 @@ def lcs_retime(songs: DataFrame) -> DataFrame:
     return songs.mapInPandas(lambda it: map(run, it), "song_id long, word_idx int, start double, end double")
 
 
+def line_times(songs: DataFrame) -> DataFrame:
+    """song_id, row_no and at: where each row of a typed text begins; songs: song_id, old (array of word, start, end), rows (array of lines).
+
+    A row begins with its first word that is kept of the old ones; rows without one, blank ones among them, have null.
+    """
+    tokens = lambda r: F.filter(F.split(r, r"\s+"), lambda w: w != "")
+    same = F.transform("old", lambda w: F.struct(ui_norm(w["word"]).alias("word"), w["start"].alias("start"), w["end"].alias("end")))
+    songs = songs.select("song_id", same.alias("old"), F.transform("rows", lambda r: F.transform(tokens(r), ui_norm)).alias("rows"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for r in pdf.itertuples():
+            rows = [list(x) for x in r.rows]
+            old, new = [(w["word"], w["start"], w["end"]) for w in r.old], [w for x in rows for w in x]
+            times, kept, at = retime(old, new), {j for _, j in kept_words([w[0] for w in old], new)}, 0
+            for k, x in enumerate(rows):
+                out.append((r.song_id, k, next((times[j][0] for j in range(at, at + len(x)) if j in kept), None)))
+                at += len(x)
+        return pd.DataFrame(out, columns=["song_id", "row_no", "at"])
+
+    return songs.mapInPandas(lambda it: map(run, it), "song_id long, row_no int, at double")
+
+
 def plan_chunks(levels: list[float], least: int, most: int) -> list[int]:
     """Cut positions: each chunk ends at its quietest frame between `least` and `most` frames on."""
     cuts, at = [], 0

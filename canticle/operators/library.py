@@ -165,6 +165,19 @@ def at_places(df: DataFrame, by: list[str], value: str, places: dict[str, Callab
     return hits.groupBy(*by, "n").agg(*pick)
 
 
+def sort_by(df: DataFrame, value: Column, direction: str, tie: Column) -> DataFrame:
+    """Rows with their place in a column's order, "asc" or "desc"; nulls come last in both, ties by `tie`."""
+    return ranked(df, value.isNull(), value.desc() if direction == "desc" else value.asc(), tie)
+
+
+def browse(songs: DataFrame, members: DataFrame, collection: int | None) -> DataFrame:
+    """Songs (id), of a collection with their position in it, or all of them, without a position and without a join."""
+    if collection is None:
+        return songs.withColumn("position", F.lit(None).cast(members.schema["position"].dataType))
+    own = members.where(F.col("collection_id") == collection).select(F.col("song_id").alias("id"), "position")
+    return songs.join(own, "id")
+
+
 def terciles(songs: DataFrame, column: str) -> DataFrame:
     """slow and fast bounds, of round-index thirds; null with fewer than three values."""
     known = songs.where(F.col(column).isNotNull() & ~F.isnan(column))

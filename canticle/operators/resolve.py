@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from canticle.functions.text import ascii_fold
 from canticle.operators.library import create_collections
-from canticle.sources.folders import AUDIO, UNSUPPORTED, extension, parts
+from canticle.sources.folders import AUDIO, MANIFEST, UNSUPPORTED, extension, parts
 
 ROLES = ("instrumental", "vocals", "original")
 #: The lyrics that were pasted for a job, in its folder.
 PASTED = "pasted-lyrics.txt"
+#: How the name of a file with a timing map ends.
+ALIGNED = ".align.json"
 # Extensions of covers by media type; others are img.
 COVERS = {"image/jpeg": "jpg", "image/png": "png", "image/bmp": "bmp", "image/gif": "gif", "image/tiff": "tiff", "image/webp": "webp"}
 
@@ -41,6 +43,29 @@ def playable(asks: DataFrame, songs: DataFrame, manifests: DataFrame, files: Dat
     return each.groupBy("ask", "outcome").agg(*(F.max(F.when((F.col("role") == r) & F.col("_there"), F.col("path"))).alias(r) for r in ROLES))
 
 
+def targets(asks: DataFrame, manifests: DataFrame) -> DataFrame:
+    """ask, kind, name, map and error of each accuracy target (ask, path, is_dir).
+
+    kind: job (a job's folder or its manifest), map (a timing map), audio (graded by the newest job of that file) or none.
+    manifests: path, audio, map (null where the job has not been aligned) and created.  A name is the audio's, or the map's
+    file name, without its extension.  Targets meet manifests by two equal-key joins, each a target at most once.
+    """
+    name = F.substring_index("path", "/", -1)
+    stem = lambda p: F.regexp_replace(F.substring_index(p, "/", -1), r"(.)\.[^.]*$", "$1")
+    kind = F.when(F.col("is_dir") | (name == MANIFEST), "job").when(name.endswith(ALIGNED), "map").when(extension(F.lower(name)).isin(*AUDIO), "audio").otherwise("none")
+    rows = asks.withColumn("kind", kind)
+    by_file = F.when(F.col("kind") == "job", F.when(F.col("is_dir"), F.concat("path", F.lit(f"/{MANIFEST}"))).otherwise(F.col("path")))
+    rows = rows.withColumn("_file", by_file).withColumn("_audio", F.when(F.col("kind") == "audio", F.col("path")))
+    own = manifests.groupBy(F.col("path").alias("_file")).agg(F.max_by(F.struct("audio", "map"), "created").alias("own"))
+    newest = manifests.where("map IS NOT NULL").groupBy(F.col("audio").alias("_audio")).agg(F.max_by("map", F.struct("created", "path")).alias("_newest"))
+    rows = rows.join(own, "_file", "left").join(newest, "_audio", "left")
+    job, audio = F.col("kind") == "job", F.col("kind") == "audio"
+    found = F.when(job, F.col("own.map")).when(audio, F.col("_newest")).when(F.col("kind") == "map", F.col("path"))
+    called = F.when(job, stem(F.col("own.audio"))).when(audio, stem(F.col("path"))).when(F.col("kind") == "map", F.regexp_replace(name, rf"({re.escape(ALIGNED)})+$", ""))
+    error = F.when(F.col("kind") == "none", "not a job, a timing map or a song").when(job & F.col("own").isNull(), "no manifest").when(job & F.col("own.map").isNull(), "not aligned yet").when(audio & F.col("_newest").isNull(), "no job of this song")
+    return rows.select("ask", "kind", F.when(error.isNull(), called).alias("name"), found.alias("map"), error.alias("error"))
+
+
 def last_lyrics(jobs: DataFrame, manifests: DataFrame, texts: DataFrame) -> DataFrame:
     """folder and lyrics of each job's last run: those of its manifest (folder, lyrics_path), even if it had none; without a manifest, the pasted file."""
     m = manifests.select("folder", "lyrics_path", F.lit(True).alias("_man"))
@@ -48,6 +73,29 @@ def last_lyrics(jobs: DataFrame, manifests: DataFrame, texts: DataFrame) -> Data
     return jobs.join(m, "folder", "left").withColumn("path", path).join(texts.select("path", "text"), "path", "left").select("folder", F.col("text").alias("lyrics"))
 
 
+def path_key(path: Column) -> Column:
+    """A path as paths are compared: either separator, any case."""
+    return F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
+
+
+def in_library(candidates: DataFrame, songs: DataFrame, stems: bool = False) -> DataFrame:
+    """Candidates (path) with in_library: whether a song has that path, or with stems that path but for its extension."""
+    path = F.regexp_replace("path", r"([^/\\])\.[^./\\]*$", "$1") if stems else F.col("path")
+    have = songs.select(path_key(path).alias("_key")).distinct().withColumn("_have", F.lit(True))
+    rows = candidates.withColumn("_key", path_key(F.col("path"))).join(have, "_key", "left")
+    return rows.withColumn("in_library", F.coalesce("_have", F.lit(False))).drop("_key", "_have")
+
+
+def import_choice(candidates: DataFrame, use_collections: bool) -> DataFrame:
+    """One row on what an import will do: candidates have checked, lyrics, collection and in_library.
+
+    Only checked songs are counted, but for those of the library that are left out; blank collections are none.
+    """
+    c, lyrics = F.col("checked"), F.trim(F.coalesce("lyrics", F.lit(""))) != ""
+    names = F.count_distinct(F.when(c & (F.col("collection") != ""), F.col("collection"))) if use_collections else F.lit(0).cast("long")
+    return candidates.agg(F.count_if(c).alias("n"), F.count_if(c & lyrics).alias("with_lyrics"), F.count_if(c & ~lyrics).alias("transcribe"), F.count_if(F.col("in_library") & ~c).alias("skipped"), names.alias("collections"))
+
+
 def suite(files: DataFrame) -> DataFrame:
     """audio, reference (name.ultrastar.txt before name.txt; null: skipped) and lyrics (name.lyrics.txt) of each song file among files (path)."""
     folder, name, stem = parts(F.col("path"))

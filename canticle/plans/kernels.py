@@ -10,7 +10,7 @@ from canticle.functions.text import normalize_word
 from canticle.operators import kernels as K
 from canticle.operators import words as W
 from canticle.plans import query
-from canticle.plans.views import table, words
+from canticle.plans.views import WORDS, table, words
 from canticle.shipping import ship
 
 
@@ -137,6 +137,19 @@ def lcs_retime(spark, sf):
     return K.lcs_retime(s.withColumn("new", F.concat(F.array(F.lit("intro")), typed)))
 
 
+@query("line_times", f"""WITH {WORDS} SELECT song_id, CAST(k AS INTEGER) AS row_no, CASE WHEN k % 2 = 0 AND k // 2 * 6 < n THEN list_extract(starts, CAST(k // 2 * 6 + 1 AS INTEGER)) END AS at
+FROM (SELECT song_id, count(*) AS n, list(start ORDER BY word_idx) AS starts FROM words GROUP BY song_id), LATERAL (SELECT unnest(range(0, (n + 5) // 6 * 2 + 1)) AS k)""")
+def line_times(spark, sf):
+    """Every song's words typed six to a row, in capitals with signs, a blank row behind each and a new word in the last."""
+    ship(spark)
+    old = F.array_sort(F.collect_list(F.struct("word_idx", F.concat("event_type", F.col("word_idx").cast("string")).alias("word"), "start", "end")))
+    s = words(spark, sf).groupBy("song_id").agg(old.alias("w"))
+    row = lambda k: F.array_join(F.transform(F.slice("w", k * 6 + 1, 6), lambda x: F.upper(F.concat(x["word"], F.lit("!")))), "  ")
+    rows = F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size("w") - 1) / 6).cast("int")), lambda k: F.array(row(k), F.lit(" "))))
+    plain = F.transform("w", lambda x: F.struct(x["word"].alias("word"), x["start"].alias("start"), x["end"].alias("end")))
+    return K.line_times(s.select("song_id", plain.alias("old"), F.concat(rows, F.array(F.lit("coda"))).alias("rows")))
+
+
 @query("plan_chunks")
 def plan_chunks(spark, sf):
     ship(spark)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canticle.operators import library as L
@@ -47,6 +50,22 @@ def lib_collection(spark, sf):
     return lib(spark, sf).join(members, F.col("id") == F.col("song_id")).select("id", "title", "position")
 
 
+@query("lib_browse", f"WITH {LIB}, {COLL}, b AS (SELECT NULL AS collection, id, NULL AS position FROM lib UNION ALL SELECT collection_id, song_id, position FROM coll_songs WHERE collection_id IN (2, 5)) SELECT b.collection, b.id, b.position, s.title FROM b JOIN lib s USING (id)")
+def lib_browse(spark, sf):
+    """The whole library, then two collections of it: without a collection there is no join."""
+    songs, members = lib(spark, sf), coll_songs(spark, sf)
+    views = (L.browse(songs, members, c).select(F.lit(c).cast("long").alias("collection"), "id", F.col("position").cast("long").alias("position"), "title") for c in (None, 2, 5))
+    return functools.reduce(DataFrame.unionByName, views)
+
+
+@query("sort_columns", f"WITH {LIB} SELECT id, row_number() OVER (ORDER BY year IS NULL, year, id) AS by_year, row_number() OVER (ORDER BY lower(title) DESC, id) AS by_title FROM lib")
+def sort_columns(spark, sf):
+    """Places by year going up and by title, whatever its case, going down; what has no value comes last either way."""
+    year = L.sort_by(lib(spark, sf), F.col("year"), "asc", F.col("id")).select("id", F.col("place").alias("by_year"))
+    title = L.sort_by(lib(spark, sf), F.lower("title"), "desc", F.col("id")).select("id", F.col("place").alias("by_title"))
+    return year.join(title, "id")
+
+
 @query("collection_names_by_song", f"WITH {COLL} SELECT song_id, string_agg(name, '|' ORDER BY lower(name), name) AS names FROM coll_songs JOIN coll ON id = collection_id GROUP BY song_id")
 def collection_names_by_song(spark, sf):
     named = coll_songs(spark, sf).join(coll(spark, sf), F.col("id") == F.col("collection_id"))

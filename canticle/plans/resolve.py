@@ -45,6 +45,54 @@ def job_lyrics(spark, sf):
     return R.last_lyrics(p.select("folder"), job_manifests(spark, sf), texts)
 
 
+CHOICES = """c AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN upper(p_brand) ELSE p_brand END || '/' || p_name || '.' || p_partkey || '.mp3' AS path, p_partkey % 3 > 0 AS checked,
+ CASE WHEN p_partkey % 5 > 0 THEN p_name WHEN p_partkey % 2 = 0 THEN ' ' END AS lyrics, CASE WHEN p_partkey % 7 > 0 THEN p_type ELSE '' END AS collection, p_partkey % 4 = 0 AS in_library FROM part)"""
+
+
+def candidates(spark, sf):
+    """A song a part, in folders with either separator; every fourth is in the library under another case."""
+    i = F.col("p_partkey")
+    path = lambda slash, brand: F.concat(brand, F.lit(slash), "p_name", F.lit("."), i.cast("string"), F.lit(".mp3"))
+    p = table(spark, sf, "part")
+    c = p.select(i.alias("id"), path("/", F.when(i % 2 == 0, F.upper("p_brand")).otherwise(F.col("p_brand"))).alias("path"), (i % 3 > 0).alias("checked"), F.when(i % 5 > 0, F.col("p_name")).when(i % 2 == 0, " ").alias("lyrics"), F.when(i % 7 > 0, F.col("p_type")).otherwise("").alias("collection"))
+    return c, p.where(i % 4 == 0).select(path("\\", F.lower("p_brand")).alias("path"))
+
+
+@query("import_known", f"WITH {CHOICES} SELECT id, path, in_library, id % 4 = 0 AS downloaded FROM c")
+def import_known(spark, sf):
+    """Which candidates the library has, by path, and by path without extension for links that are yet to be downloaded."""
+    c, songs = candidates(spark, sf)
+    links = R.in_library(c.select("id", F.regexp_replace("path", r"\.mp3$", "").alias("path")), songs, stems=True).select("id", F.col("in_library").alias("downloaded"))
+    return R.in_library(c, songs).select("id", "path", "in_library").join(links, "id")
+
+
+@query("import_choice", f"WITH {CHOICES}, n AS (SELECT count(*) FILTER (checked) AS n, count(*) FILTER (checked AND trim(coalesce(lyrics, '')) <> '') AS with_lyrics, count(*) FILTER (checked AND trim(coalesce(lyrics, '')) = '') AS transcribe, count(*) FILTER (in_library AND NOT checked) AS skipped, count(DISTINCT collection) FILTER (checked AND collection <> '') AS k FROM c) SELECT u AS use_collections, n, with_lyrics, transcribe, skipped, CASE WHEN u THEN k ELSE 0 END AS collections FROM n, (VALUES (true), (false)) v(u)")
+def import_choice(spark, sf):
+    """What an import of the checked candidates does, into collections or not."""
+    c = R.in_library(*candidates(spark, sf))
+    with_, without = (R.import_choice(c, u).withColumn("use_collections", F.lit(u)) for u in (True, False))
+    return with_.unionByName(without)
+
+
+@query("accuracy_targets", """WITH p AS (SELECT p_partkey AS ask, p_partkey % 7 AS k, p_partkey % 3 = 0 AS bare, p_name AS n FROM part)
+SELECT ask, CASE k WHEN 0 THEN 'job' WHEN 1 THEN 'job' WHEN 2 THEN 'map' WHEN 3 THEN 'audio' WHEN 4 THEN 'none' WHEN 5 THEN 'job' ELSE 'audio' END AS kind,
+ CASE WHEN k IN (0, 1, 3) AND NOT bare THEN n || '.' || ask WHEN k = 2 THEN n END AS name, CASE WHEN k IN (0, 1) AND NOT bare THEN 'jobs/' || ask || '/1.align.json' WHEN k = 2 THEN 'maps/' || n || '.align.json.align.json' WHEN k = 3 AND NOT bare THEN 'jobs/' || ask || '/2.align.json' END AS map,
+ CASE WHEN k = 4 THEN 'not a job, a timing map or a song' WHEN k = 5 THEN 'no manifest' WHEN k IN (0, 1) AND bare THEN 'not aligned yet' WHEN k = 6 OR k = 3 AND bare THEN 'no job of this song' END AS error FROM p""")
+def accuracy_targets(spark, sf):
+    """A target a part: job folders, manifests, maps, songs and other files; every third job has no map, songs have two jobs."""
+    i, k = F.col("p_partkey"), F.col("p_partkey") % 7
+    text = i.cast("string")
+    folder, song = F.concat(F.lit("jobs/"), text), F.concat(F.lit("in/"), "p_name", F.lit("."), text, F.lit(".mp3"))
+    path = F.when(k.isin(0, 5), folder).when(k == 1, F.concat(folder, F.lit("/job.json"))).when(k == 2, F.concat(F.lit("maps/"), "p_name", F.lit(".align.json.align.json")))
+    path = path.when(k.isin(3, 6), song).otherwise(F.concat(F.lit("in/"), text, F.lit(".pdf")))
+    p = table(spark, sf, "part")
+    created = F.when(k == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    m = p.where(~k.isin(5, 6)).withColumn("created", F.explode(created))
+    file = F.concat(folder, F.when(F.col("created") == 2, "/again").otherwise(""), F.lit("/job.json"))
+    m = m.select(file.alias("path"), song.alias("audio"), F.when(i % 3 != 0, F.concat(folder, F.lit("/"), F.col("created").cast("string"), F.lit(".align.json"))).alias("map"), "created")
+    return R.targets(p.select(i.alias("ask"), path.alias("path"), k.isin(0, 5).alias("is_dir")), m)
+
+
 #: A suite's files, and which of them belong together.
 SUITE = ["s/a.mp3", "s/a.txt", "s/a.ultrastar.txt", "s/a.lyrics.txt", "s/b.flac", "s/b.txt", "s/c.WAV", "s/c.lyrics.txt", "s/d.txt", "t/d.ogg", "s/E.m4a", "s/e.UltraStar.txt"]
 BESIDE = "(VALUES ('s/a.mp3', 's/a.ultrastar.txt', 's/a.lyrics.txt'), ('s/b.flac', 's/b.txt', NULL), ('s/c.WAV', NULL, 's/c.lyrics.txt'), ('t/d.ogg', NULL, NULL), ('s/E.m4a', 's/e.UltraStar.txt', NULL)) AS v(audio, reference, lyrics)"

@@ -65,14 +65,14 @@ def soft_limit(spark, sf):
     return frames(spark, sf).select("vec_id", F.round(G.soft_limit(F.get("x", F.lit(0)) * 8), 6).alias("v"))
 
 
-@query("log_softmax", f"WITH {FRAMES}, t AS (SELECT vec_id, x, list_max(x) AS m FROM frames) SELECT vec_id, round(x[1] - m - ln(list_sum(list_transform(x, lambda v: exp(v - m)))), 6) AS first FROM t")
+@query("log_softmax", f"WITH {FRAMES}, t AS (SELECT vec_id, x, list_max(x) AS m FROM frames) SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, round(unnest(x) - m - ln(list_sum(list_transform(x, lambda v: exp(v - m)))), 6) AS v FROM t")
 def log_softmax(spark, sf):
-    return frames(spark, sf).select("vec_id", F.round(F.get(G.log_softmax(F.col("x")), F.lit(0)), 6).alias("first"))
+    return frames(spark, sf).select("vec_id", F.posexplode(G.log_softmax(F.col("x"))).alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
-@query("zscore_vectors", f"WITH {FRAMES}, m AS (SELECT vec_id, x, list_sum(x) / len(x) AS m FROM frames) SELECT vec_id, round((x[1] - m) / sqrt(list_sum(list_transform(x, lambda v: (v - m) * (v - m))) / len(x) + 1e-7), 6) AS first FROM m")
+@query("zscore_vectors", f"WITH {FRAMES}, m AS (SELECT vec_id, x, list_sum(x) / len(x) AS m FROM frames) SELECT vec_id, generate_subscripts(x, 1) - 1 AS i, round((unnest(x) - m) / sqrt(list_sum(list_transform(x, lambda v: (v - m) * (v - m))) / len(x) + 1e-7), 6) AS v FROM m")
 def zscore_vectors(spark, sf):
-    return frames(spark, sf).select("vec_id", F.round(F.get(G.zscore(F.col("x")), F.lit(0)), 6).alias("first"))
+    return frames(spark, sf).select("vec_id", F.posexplode(G.zscore(F.col("x"))).alias("i", "v")).withColumn("v", F.round("v", 6))
 
 
 @query("longest_silent_run", f"WITH {FRAMES}, s AS (SELECT vec_id, generate_subscripts(x, 1) AS i, abs(unnest(x)) < 0.05 AS q FROM frames), r AS (SELECT *, i - row_number() OVER (PARTITION BY vec_id, q ORDER BY i) AS run FROM s), n AS (SELECT vec_id, run, count(*) FILTER (WHERE q) AS n FROM r WHERE q GROUP BY ALL) SELECT f.vec_id, CAST(coalesce(max(n), 0) AS INTEGER) AS longest FROM frames f LEFT JOIN n USING (vec_id) GROUP BY f.vec_id")

@@ -6,6 +6,8 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from canticle.operators import resolve
+from canticle.sources import levels as L
 from canticle.sources import lrc as R
 from canticle.sources import songfiles as S
 
@@ -144,3 +146,39 @@ def test_relative_songs_move_on_at_breaks(spark):
     rows = R.read_ultrastar(spark.createDataFrame([("s", text), ("t", text.replace("- 1\n", "-\n"))], "path string, text string")).collect()
     assert sorted((r["beat"], r["line"]) for r in rows if r["path"] == "s") == [(0, 0), (12, 1), (20, 2)]
     assert [r["error"] for r in rows if r["path"] == "t"] == ["line 7: malformed line break"]
+
+
+def test_levels_are_worked_out_again_only_for_changed_stems(spark, tmp_path):
+    stems = tmp_path / "stems"
+    stems.mkdir()
+    for name, size in (("a.wav", 10), ("b.WAV", 20), ("c.txt", 5)):
+        (stems / name).write_bytes(b"x" * size)
+    found = L.facts(spark, str(stems))
+    assert sorted((x["key"][-5:], x["source_len"]) for x in found.collect()) == [("a.wav", 10), ("b.WAV", 20)]
+    store = str(tmp_path / "store")
+    keys = {x["key"][-5:]: x["key"] for x in found.collect()}
+    samples = lambda own: spark.createDataFrame([(keys[k], j, v) for k, x in own.items() for j, v in enumerate(x)], "key string, j long, v double")
+    peaks = lambda rows: {x["key"][-5:]: x["peaks"] for x in rows.collect()}
+    # b cannot be decoded: it gets no record and is tried again.
+    assert peaks(L.refresh(spark, store, found, samples({"a.wav": [0.1, -0.5, 0.25, 0.0, 1.0]}), 2)) == {"a.wav": [128, 64, 255]}
+    again = samples({"a.wav": [9.0], "b.WAV": [0.0, 0.0, 0.0]})
+    assert peaks(L.refresh(spark, store, found, again, 2)) == {"a.wav": [128, 64, 255], "b.WAV": [0, 0]}
+    # Nothing is stale: nothing is published and nothing read.
+    assert L.stale(found.selectExpr("key", "1 AS version", "100 AS bins_per_second", "source_len", "source_mtime_unix"), L.known(spark, store)).count() == 0
+    (stems / "a.wav").write_bytes(b"x" * 11)
+    changed = L.facts(spark, str(stems))
+    assert peaks(L.refresh(spark, store, changed, samples({"a.wav": [2.0], "b.WAV": [7.0]}), 2)) == {"a.wav": [255], "b.WAV": [0, 0]}
+    # A record that cannot be read and one of another version count as none.
+    S.publish(spark.createDataFrame([(keys["a.wav"], "{broken")], "key string, content string"), store)
+    assert set(peaks(L.known(spark, store))) == {"b.WAV"}
+    assert peaks(L.refresh(spark, store, changed, samples({"b.WAV": [3.0, 6.0]}), 1, version=2)) == {"b.WAV": [128, 255]}
+
+
+def test_targets_of_a_report(spark):
+    asks = [(1, "jobs/1", True), (2, "jobs/1/job.json", False), (3, "x/S.one.align.json", False), (4, "in/Song.MP3", False), (5, "in/.mp3", False), (6, "jobs/9", True), (7, "jobs/2", True), (8, "in/new.flac", False), (9, "notes.txt", False)]
+    jobs = [("jobs/1/job.json", "in/a.b.mp3", "jobs/1/m", 1), ("jobs/2/job.json", "in/Song.MP3", None, 9), ("jobs/3/job.json", "in/Song.MP3", "jobs/3/m", 5), ("jobs/4/job.json", "in/Song.MP3", "jobs/4/m", 5)]
+    rows = resolve.targets(spark.createDataFrame(asks, "ask int, path string, is_dir boolean"), spark.createDataFrame(jobs, "path string, audio string, map string, created int"))
+    assert sorted(tuple(x) for x in rows.collect()) == [
+        (1, "job", "a.b", "jobs/1/m", None), (2, "job", "a.b", "jobs/1/m", None), (3, "map", "S.one", "x/S.one.align.json", None), (4, "audio", "Song", "jobs/4/m", None),
+        (5, "none", None, None, "not a job, a timing map or a song"), (6, "job", None, None, "no manifest"), (7, "job", None, None, "not aligned yet"), (8, "audio", None, None, "no job of this song"), (9, "none", None, None, "not a job, a timing map or a song"),
+    ]
