@@ -3,8 +3,10 @@ import json
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from canticle.operators import kernels as K
+from canticle.operators import signal as G
 from canticle.operators import words as W
 
 
@@ -216,3 +218,34 @@ def test_pairs_and_report_are_those_of_plain_python(spark):
 def test_retyped_words_are_known_without_case_and_signs(spark):
     songs = spark.createDataFrame([(1, [("Don't", 1.0, 2.0), ("Élan!", 3.0, 4.0)], ["x", "DON'T,", "élan"])], "song_id long, old array<struct<word:string,start:double,end:double>>, new array<string>")
     assert [(x["start"], x["end"]) for x in K.lcs_retime(songs).orderBy("word_idx").collect()] == [(1.0, 1.0), (1.0, 2.0), (3.0, 4.0)]
+
+
+def test_shifted_passes_against_loops(spark):
+    r = np.random.default_rng(9)
+    songs = {1: r.normal(size=3), 2: r.normal(size=17), 3: np.full(5, 2.0), 4: r.normal(size=1)}
+    rows = spark.createDataFrame([(s, j, float(v)) for s, x in songs.items() for j, v in enumerate(x)], "song int, j long, v double")
+    delays = G.leads(2, 5)
+    assert delays == [4, 2] and G.leads(0, 5) == [0]
+    got = {(x["song"], x["j"]): x["v"] for x in G.shifted_passes(rows, 8, 6, delays, lambda x: F.zip_with(x, F.reverse(x), lambda a, b: a - b / 2)).collect()}
+    want = {}
+    for s, x in songs.items():
+        std = float(np.std(x, ddof=1)) if len(x) > 1 else 0.0
+        std, mean = std if std > 0 else 1.0, float(np.mean(x))
+        for lead in delays:
+            late = np.concatenate([np.zeros(lead), (x - mean) / std])
+            top, below = np.zeros(len(late)), np.zeros(len(late))
+            for o in range(0, len(late), 6):
+                kept = min(8, len(late) - o)
+                start = o - (8 - kept) // 2
+                seen = np.array([late[k] if 0 <= k < len(late) else 0.0 for k in range(start, start + 8)])
+                made = seen - seen[::-1] / 2
+                for i in range(kept):
+                    w = min(i + 1, 8 - i)
+                    top[o + i] += w * made[o - start + i]
+                    below[o + i] += w
+            for j in range(len(x)):
+                want[s, j] = want.get((s, j), 0.0) + (top / below)[lead + j] / len(delays)
+        for j in range(len(x)):
+            want[s, j] = want[s, j] * std + mean
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
