@@ -5,11 +5,16 @@ Files come as rows (path, content), as Spark's binaryFile source gives them, so
 
 from __future__ import annotations
 
+import functools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canticle.functions.text import clean_genre, filename_title, header, headers, language_tag, plausible_year
 from canticle.sources import lrc
+from canticle.sources.songfiles import opened
 from canticle.storage import Scratch
 
 # Extensions of songs, those that cannot be decoded among them, and names that are never lyrics.
@@ -25,15 +30,94 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content", "length")
 
 
+#: Bytes of contents that a task reads before it passes them on.
+READ_BYTES = 4 << 20
+
+
+def reachable(root: str) -> bool:
+    """Whether tasks can open a root themselves; other stores are left to Spark's own readers."""
+    try:
+        opened(root)
+    except (OSError, ValueError, NotImplementedError):
+        return False
+    return True
+
+
+def hidden(name: str) -> bool:
+    """Names that Spark's readers leave out."""
+    return name.startswith(".") or name.endswith("._COPYING_") or name.startswith("_") and "=" not in name
+
+
+def entries(root: str):
+    """A map over batches of folders (below a root, as text) to what is in them: path below the root, length, and whether it is a folder."""
+
+    def run(batches):
+        from pyarrow import fs
+
+        system, base = opened(root)
+        for b in batches:
+            for below in b.column(0).to_pylist():
+                found = system.get_file_info(fs.FileSelector(base.rstrip("/") + below or "/", allow_not_found=below != ""))
+                kept = [f for f in found if not hidden(f.base_name)]
+                for k in range(0, len(kept), 10_000):
+                    some = kept[k : k + 10_000]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([f"{below}/{f.base_name}" for f in some], pa.string()), pa.array([f.size if f.is_file else None for f in some], pa.int64()), pa.array([not f.is_file for f in some], pa.bool_())],
+                        names=["below", "length", "is_folder"],
+                    )
+
+    return run
+
+
 def listed(spark: SparkSession, root: str) -> DataFrame:
-    """path and length of all files below a folder; no file is opened."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    """path and length of all files below a folder; no file is opened.
+
+    Tasks list folders, a level of the tree at a time, so the driver holds no names.
+    """
+    if not reachable(root):
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
+    scratch, levels, tasks = Scratch(spark, "listing"), [], spark.sparkContext.defaultParallelism * 4
+    level = spark.createDataFrame([("",)], "below string")
+    while not level.isEmpty():
+        found = scratch.table(level.mapInArrow(entries(root), "below string, length long, is_folder boolean"), f"level-{len(levels)}")
+        levels.append(found)
+        level = found.where("is_folder").select("below").repartition(tasks)
+    rows = functools.reduce(DataFrame.unionByName, levels).where("not is_folder")
+    return rows.select(F.concat(F.lit(root.rstrip("/")), "below").alias("path"), "length")
 
 
 def with_contents(spark: SparkSession, root: str, lyrics: DataFrame) -> DataFrame:
-    """Lyric files of a scan with their contents; only files with an extension of lyrics are opened."""
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[tT][xX][tT],[lL][rR][cC]}").load(root)
-    return lyrics.join(texts.select("path", "content"), "path")
+    """Lyric files of a scan with their contents; only files with an extension of lyrics are opened, by the tasks that have their rows."""
+    if not reachable(root):
+        texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{[tT][xX][tT],[lL][rR][cC]}").load(root)
+        return lyrics.join(texts.select("path", "content"), "path")
+    place = lyrics.columns.index("path")
+    schema = T.StructType([*lyrics.schema.fields, T.StructField("content", T.BinaryType())])
+    start, names = len(root.rstrip("/")), schema.names
+
+    def run(batches):
+        system, base = opened(root)
+        for b in batches:
+            rows, contents, size = [], [], 0
+            for k, path in enumerate(b.column(place).to_pylist()):
+                try:
+                    with system.open_input_stream(base.rstrip("/") + path[start:]) as f:
+                        contents.append(f.read())
+                    rows.append(k)
+                    size += len(contents[-1])
+                except FileNotFoundError:
+                    pass
+                if size >= READ_BYTES or k == b.num_rows - 1:
+                    yield pa.RecordBatch.from_arrays([*b.take(pa.array(rows, pa.int64())).columns, pa.array(contents, pa.binary())], names=names)
+                    rows, contents, size = [], [], 0
+
+    tasks = spark.sparkContext.defaultParallelism * 4
+    return lyrics.repartition(tasks, "path").mapInArrow(run, schema)
+
+
+def large(rows: DataFrame) -> DataFrame:
+    """Rows that grow with the folders: their files are compressed, so Spark takes them for small and would broadcast them."""
+    return rows.hint("merge")
 
 
 def root_of(found: DataFrame) -> str:
@@ -75,13 +159,13 @@ def scan(found: DataFrame, root: str) -> DataFrame:
     jobs = rows.where(F.col("name") == MANIFEST).select(F.lower("folder").alias("_job")).distinct()
     above = F.transform(F.sequence(F.lit(0), F.size("steps")), lambda k: F.lower(F.concat_ws("/", F.lit(root.rstrip("/")), F.array_join(F.slice("steps", F.lit(1), k), "/"))))
     ups = rows.select("path", F.explode(F.transform(above, lambda x: F.regexp_replace(x, "/$", ""))).alias("_up"))
-    inside = ups.join(jobs, F.col("_up") == F.col("_job"), "left_semi").select(F.lower("path").alias("_key")).distinct()
-    rows = rows.drop("steps").withColumn("_key", F.lower("path")).join(inside, "_key", "left_anti")
+    inside = ups.join(large(jobs), F.col("_up") == F.col("_job"), "left_semi").select(F.lower("path").alias("_key")).distinct()
+    rows = rows.drop("steps").withColumn("_key", F.lower("path")).join(large(inside), "_key", "left_anti")
     ext = extension(F.col("name"))
     lyrics = ext.isin("txt", "lrc") & ~F.col("stem").isin(*NOT_LYRICS)
     rows = rows.withColumn("kind", F.when(ext.isin(*AUDIO, *UNSUPPORTED), "audio").when(lyrics, "lyrics")).where("kind is not null")
     first = rows.groupBy("_key").agg(F.min("path").alias("path"))
-    out = rows.join(first.select("path"), "path", "left_semi").withColumn("playable", ~ext.isin(*UNSUPPORTED)).drop("_key")
+    out = rows.join(large(first.select("path")), "path", "left_semi").withColumn("playable", ~ext.isin(*UNSUPPORTED)).drop("_key")
     out = Scratch(found.sparkSession, "folders").table(out, "scan")
     out._root = root.rstrip("/")
     return out
@@ -99,7 +183,7 @@ def inspect(lyrics: DataFrame) -> DataFrame:
     rows = scratch.table(rows, "kinds")
     tagged = lrc.read_lrc(rows.where("what = 'lrc'")).select("path", F.col("text").alias("lrc_text"), F.col("title").alias("lrc_title"), F.col("artist").alias("lrc_artist"))
     bad = lrc.read_ultrastar(rows.where("what = 'ultrastar'")).groupBy("path").agg(F.max("error").alias("reason"))
-    return scratch.table(rows.join(tagged, "path", "left").join(bad, "path", "left"), "lyrics")
+    return scratch.table(rows.join(large(tagged), "path", "left").join(large(bad), "path", "left"), "lyrics")
 
 
 def pair(audio: DataFrame, lyrics: DataFrame) -> DataFrame:
@@ -111,24 +195,24 @@ def pair(audio: DataFrame, lyrics: DataFrame) -> DataFrame:
     a = audio.select("folder", F.col("path").alias("song"), "name", "stem")
     c = lyrics.select("folder", F.col("path").alias("lyric"), F.col("name").alias("lyric_name"), "what", F.lower(F.coalesce(header(F.col("headers"), "AUDIO"), header(F.col("headers"), "MP3"))).alias("named"))
     mine = lambda p: p.groupBy("song").agg(F.min_by("lyric", F.struct("rank", F.lower("lyric"))).alias("lyric"))
-    one = mine(c.where("named is not null").join(a, [c["folder"] == a["folder"], c["named"] == a["name"]]).select("song", "lyric", F.lit(0).alias("rank")))
+    one = mine(c.where("named is not null").join(large(a), [c["folder"] == a["folder"], c["named"] == a["name"]]).select("song", "lyric", F.lit(0).alias("rank")))
     scratch = Scratch(audio.sparkSession, "folders")
     one = scratch.table(one, "named")
-    left, free = a.join(one, "song", "left_anti"), c.join(one, "lyric", "left_anti")
+    left, free = a.join(large(one), "song", "left_anti"), c.join(large(one), "lyric", "left_anti")
     # Songs of one stem want the same files in the same order, so the k-th of them gets the k-th file.
     ends = F.explode(F.array(*(F.struct(F.lit(k).alias("rank"), F.concat("stem", F.lit(x)).alias("wanted")) for k, x in enumerate((".txt", ".lyrics.txt", ".lrc")))))
     same = Window.partitionBy("folder", "stem")
     queue = left.withColumn("k", F.row_number().over(same.orderBy(F.lower("song"))))
     wants = left.select("folder", "stem").distinct().withColumn("w", ends).select("folder", "stem", "w.*")
-    given = wants.join(free.select(F.col("folder").alias("_in"), "lyric", "lyric_name"), [F.col("folder") == F.col("_in"), F.col("wanted") == F.col("lyric_name")])
+    given = wants.join(large(free.select(F.col("folder").alias("_in"), "lyric", "lyric_name")), [F.col("folder") == F.col("_in"), F.col("wanted") == F.col("lyric_name")])
     given = given.withColumn("k", F.row_number().over(same.orderBy("rank", F.lower("lyric")))).select("folder", "stem", "k", "lyric", "rank")
-    two = queue.join(given, ["folder", "stem", "k"])
+    two = queue.join(large(given), ["folder", "stem", "k"])
     two = two.groupBy("lyric").agg(F.min_by("song", F.lower("song")).alias("song")).select("song", "lyric")
     two = scratch.table(two, "alike")
-    single = a.groupBy("folder").agg(F.count("*").alias("n"), F.min("song").alias("song")).where("n = 1").join(two, "song", "left_anti").join(one, "song", "left_anti")
-    rest = free.where("what not in ('empty', 'unreadable')").join(two, "lyric", "left_anti").groupBy("folder").agg(F.count("*").alias("m"), F.min("lyric").alias("lyric")).where("m = 1")
-    three = single.join(rest, "folder").select("song", "lyric")
-    return a.select("song").join(one.unionByName(two).unionByName(three), "song", "left")
+    single = a.groupBy("folder").agg(F.count("*").alias("n"), F.min("song").alias("song")).where("n = 1").join(large(two), "song", "left_anti").join(large(one), "song", "left_anti")
+    rest = free.where("what not in ('empty', 'unreadable')").join(large(two), "lyric", "left_anti").groupBy("folder").agg(F.count("*").alias("m"), F.min("lyric").alias("lyric")).where("m = 1")
+    three = single.join(large(rest), "folder").select("song", "lyric")
+    return a.select("song").join(large(one.unionByName(two).unionByName(three)), "song", "left")
 
 
 def songs(audio: DataFrame, lyrics: DataFrame, tags: DataFrame) -> DataFrame:
@@ -139,7 +223,7 @@ def songs(audio: DataFrame, lyrics: DataFrame, tags: DataFrame) -> DataFrame:
     """
     c = lyrics.select(F.col("path").alias("lyric"), "what", "headers", "lrc_text", "lrc_title", "lrc_artist", "reason")
     t = tags.select(F.col("path").alias("song"), F.nullif(F.trim("title"), F.lit("")).alias("tag_title"), F.nullif(F.trim("artist"), F.lit("")).alias("tag_artist"))
-    rows = pair(audio, lyrics).join(c, "lyric", "left").join(t, "song", "left")
+    rows = pair(audio, lyrics).join(large(c), "lyric", "left").join(large(t), "song", "left")
     bare = F.regexp_replace(F.regexp_replace(F.replace("song", F.lit("\\"), F.lit("/")), "^.*/", ""), r"(.)\.[^.]*$", "$1")
     file_artist, file_title = filename_title(bare)
     h = lambda k: F.when(F.col("headers").isNotNull(), header(F.col("headers"), k))
@@ -155,7 +239,7 @@ def songs(audio: DataFrame, lyrics: DataFrame, tags: DataFrame) -> DataFrame:
 
 def unclaimed(lyrics: DataFrame, paired: DataFrame) -> DataFrame:
     """Lyric files that no song claimed, empty ones left out."""
-    return lyrics.where("what <> 'empty'").join(paired.select(F.col("lyric").alias("path")), "path", "left_anti").select("path")
+    return lyrics.where("what <> 'empty'").join(large(paired.select(F.col("lyric").alias("path"))), "path", "left_anti").select("path")
 
 
 def collections(found: DataFrame, root: str) -> DataFrame:

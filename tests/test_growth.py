@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from canticle.operators import cleanup as C
 from canticle.shipping import ship
+from canticle.sources import folders as D
 
 
 def test_annotate_broadcasts_no_exploded_words(spark):
@@ -27,3 +28,18 @@ def test_cleaned_batches_are_small(spark):
     assert len(got) >= 4 and max(sum(len(x) for x in b.column("text").to_pylist()) for b in got) < 3 * C.BATCH_CHARS
     assert [i for b in got for i in b.column("_id").to_pylist()] == list(range(len(texts)))
     assert got[0].column("words").to_pylist()[0][1] == {"line": 0, "place": 1, "word": "it", "adlib": False}
+
+
+def test_listing_leaves_no_names_with_the_driver(spark, tmp_path):
+    """Tasks list the folders a level at a time and open the lyric files; Spark's own index of files stays out."""
+    for name in ("a/One.mp3", "a/One.txt", "b/c/d/Two é.LRC", "b/.hid/x.txt", "b/_aside/y.txt", "b/k=v/_z=1.txt", "top.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    root = str(tmp_path)
+    found = D.listed(spark, root)
+    want = {r.path.removeprefix("file:"): r.length for r in D.files(spark, root).collect()}
+    assert {r.path: r.length for r in found.collect()} == want and len(want) == 5
+    assert not [f for f in found.inputFiles() if f.endswith((".txt", ".mp3"))]
+    texts = D.with_contents(spark, root, D.scan(found, root).where("kind = 'lyrics'"))
+    assert {r.path.removeprefix(root + "/"): bytes(r.content).decode() for r in texts.collect()} == {n: n for n in ("a/One.txt", "b/c/d/Two é.LRC", "b/k=v/_z=1.txt", "top.txt")}
+    assert not [f for f in texts.inputFiles() if f.endswith(".txt")]
