@@ -13,6 +13,8 @@ from canticle.storage import Scratch
 from canticle.streaming import timers as T
 
 AWAY, LIFE, LATE = 90_000_000_000, 604_800_000_000, 3_600_000_000
+#: Neighbouring requests that share a row of state.
+REQUESTS = 512
 
 
 def event_stream(spark, sf: str) -> DataFrame:
@@ -64,7 +66,7 @@ def replies_stream(spark, sf):
     """Each even event asks and the next one replies, but for every seventh: replies in two minutes, late ones, and requests that a timer gives up."""
     e, i = event_stream(spark, sf), F.col("event_id")
     frames = e.where(i % 14 != 1).select(F.floor(i / 2).alias("request"), "event_id", "us", F.when(i % 2 == 0, "request").otherwise("reply").alias("kind"))
-    return drained(T.replies(frames, 120_000_000, "1 hour"), "replies").drop("trigger")
+    return drained(T.replies(frames, 120_000_000, "1 hour", REQUESTS), "replies").drop("trigger")
 
 
 @query("jobs_from_snapshot", f"WITH {JOBS} SELECT job, arg_max(status, [rank, us, event_id]) AS status, count(*) AS events FROM jobs GROUP BY job HAVING count(*) FILTER (WHERE event_id % 2 = 1) > 0")

@@ -1,5 +1,7 @@
 """Streams with timers and initial state: what they tell, when, and what state they keep."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,3 +108,27 @@ def test_done_jobs_leave_the_state(spark, tmp_path):
     _, got = run(T.followed_jobs(s, seed, 24 * HOUR, "1 minute"), tmp_path, "done", "update")
     assert got == [(2, "running", 2), (3, "failed", 1), (4, "queued", 1)]
     assert kept(spark, tmp_path, "done") == [2, 4]
+
+
+def test_neighbouring_keys_share_state_and_calls(spark, tmp_path):
+    """Runs of keys tell what single keys do; a run of 64 is one row of state, and goes with its last key."""
+    minute = HOUR // 60
+    first = [(k, 2 * k, k, "request") for k in range(-3, 200)] + [(k, 2 * k + 1, k + minute * (k % 5), "reply") for k in range(0, 200, 3)]
+    later = [(150, 900, minute, "reply"), (151, 901, minute, "reply"), (500, 902, 5 * HOUR, "request"), (501, 903, 5 * HOUR, "request")]
+    got = {}
+    for n in (1, 64):
+        s = triggers(spark, str(tmp_path / f"in-{n}"), (first, later), "request long, event_id long, us long, kind string")
+        _, got[n] = run(T.replies(s, 2 * minute, "1 hour", n), tmp_path, f"runs_{n}", "append")
+    assert got[1] == got[64] and sum(x[3] == "lost" for x in got[1]) > 100 and {x[3] for x in got[1]} == {"answered", "late", "lost"}
+    assert kept(spark, tmp_path, "runs_1") == [500, 501] and kept(spark, tmp_path, "runs_64") == [7]
+
+
+def test_runs_of_jobs_go_on_from_a_snapshot(spark, tmp_path):
+    """A run holds jobs of the snapshot, jobs of the stream and jobs of both; those that are done leave it one by one."""
+    schema = "job long, rank int, us long, event_id long, status string"
+    seed = spark.createDataFrame([(k, k % 3, ZERO, k, f"s{k % 3}", k) for k in range(10)], f"{schema}, events long")
+    s = triggers(spark, str(tmp_path / "in"), ([(k, 1, HOUR, 100 + k, "running") for k in range(5, 13)], [(40, 0, 90 * HOUR, 5, "queued")]), schema)
+    _, got = run(T.followed_jobs(s, seed, 24 * HOUR, "1 minute", 8), tmp_path, "job_runs", "update")
+    assert got == sorted([(k, "s2" if k % 3 == 2 and k < 10 else "running", k + 1 if k < 10 else 1) for k in range(5, 13)] + [(40, "queued", 1)])
+    held = spark.read.format("statestore").option("stateVarName", "value").load(str(tmp_path / "cp-job_runs")).select("value.kept").collect()
+    assert sorted(x[0] for r in held for x in json.loads(r[0])) == [0, 1, 3, 4, 6, 7, 9, 10, 11, 12, 40]
