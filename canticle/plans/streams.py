@@ -13,8 +13,8 @@ from canticle.storage import Scratch
 from canticle.streaming import timers as T
 
 AWAY, LIFE, LATE = 90_000_000_000, 604_800_000_000, 3_600_000_000
-#: Neighbouring requests that share a row of state.
-REQUESTS = 512
+#: Neighbouring requests, or rooms and jobs with many rows each, that share a row of state.
+REQUESTS, JOBS_TOGETHER = 512, 16
 
 
 def event_stream(spark, sf: str) -> DataFrame:
@@ -51,13 +51,13 @@ SELECT room, lives.us AS opened, ends, CASE WHEN old THEN 'closed' ELSE 'gone' E
 def room_timers_stream(spark, sf):
     """Every life of every room that has ended: its host away for 25 hours, or a week old; timers end those that are not heard of again."""
     host = event_stream(spark, sf).select(F.col("job").alias("room"), "event_id", "us")
-    return drained(T.room_lives(host, AWAY, LIFE, "1 hour"), "rooms").drop("trigger")
+    return drained(T.room_lives(host, AWAY, LIFE, "1 hour", JOBS_TOGETHER), "rooms").drop("trigger")
 
 
 @query("rate_limit_stream", f"WITH {JOBS} SELECT job, event_id, row_number() OVER (PARTITION BY job, secs // 604800 ORDER BY us, event_id) <= 10 AS accepted FROM jobs")
 def rate_limit_stream(spark, sf):
     """Ten messages a week of each key, counted as they come; a key that stays away for a week is forgotten."""
-    return drained(T.span_limit(event_stream(spark, sf).select("job", "event_id", "us"), LIFE, 10, "1 hour"), "limit").drop("trigger")
+    return drained(T.span_limit(event_stream(spark, sf).select("job", "event_id", "us"), LIFE, 10, "1 hour", JOBS_TOGETHER), "limit").drop("trigger")
 
 
 @query("replies_stream", f"""WITH {JOBS}, {END}, f AS (SELECT event_id // 2 AS request, us, event_id % 2 = 1 AS reply, event_id % 14 = 1 AS dropped FROM jobs), p AS (SELECT request, min(us) FILTER (NOT reply) AS asked, min(us) FILTER (reply AND NOT dropped) AS said FROM f GROUP BY request)
@@ -75,5 +75,5 @@ def jobs_from_snapshot(spark, sf):
     e = table(spark, sf, "events").select(F.col("user_id").alias("job"), "event_id", micros("ts").alias("us"), "event_type", "value")
     e = e.withColumn("status", F.expr(STATUS)).withColumn("rank", F.expr(RANK)).where("event_id % 2 = 0")
     later = event_stream(spark, sf).where("event_id % 2 = 1").select("job", "rank", "us", "event_id", "status")
-    told = drained(T.followed_jobs(later, J.snapshot(e), 10 * LIFE, "1 hour"), "followed", "update")
+    told = drained(T.followed_jobs(later, J.snapshot(e), 10 * LIFE, "1 hour", JOBS_TOGETHER), "followed", "update")
     return told.groupBy("job").agg(F.max_by("status", "trigger").alias("status"), F.max_by("events", "trigger").alias("events"))
