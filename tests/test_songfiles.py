@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canticle.operators import resolve
+from canticle.plans.files import song_folder, song_of
 from canticle.sources import levels as L
 from canticle.sources import lrc as R
 from canticle.sources import songfiles as S
@@ -182,3 +183,13 @@ def test_targets_of_a_report(spark):
         (1, "job", "a.b", "jobs/1/m", None), (2, "job", "a.b", "jobs/1/m", None), (3, "map", "S.one", "x/S.one.align.json", None), (4, "audio", "Song", "jobs/4/m", None),
         (5, "none", None, None, "not a job, a timing map or a song"), (6, "job", None, None, "no manifest"), (7, "job", None, None, "not aligned yet"), (8, "audio", None, None, "no job of this song"), (9, "none", None, None, "not a job, a timing map or a song"),
     ]
+
+
+def test_a_song_folder_is_one_plain_file_a_song(spark):
+    """Files are written where they stay, without a folder, a checksum file or a rename for each."""
+    texts = spark.createDataFrame([(1, "a\nb"), (999, "é"), (1000, ""), (-7, "x"), (None, "n")], "song_id long, text string")
+    folder = song_folder(spark, texts, "plain").removeprefix("file:")
+    found = sorted(os.path.join(d, n).removeprefix(folder + "/") for d, _, names in os.walk(folder) for n in names)
+    assert found == ["0/song_id=-7.txt", "0/song_id=1.txt", "0/song_id=999.txt", "1/song_id=1000.txt", "none/song_id=none.txt"]
+    rows = spark.read.format("ultrastar").load(folder).select(song_of("path").alias("song"), "line_no", "line", "error").collect()
+    assert sorted(map(tuple, rows), key=str) == sorted([(1, 1, "a", None), (1, 2, "b", None), (999, 1, "é", None), (1000, None, None, "empty file"), (-7, 1, "x", None), (None, 1, "n", None)], key=str)
