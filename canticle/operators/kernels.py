@@ -19,6 +19,8 @@ GAP, MISMATCH, PLAUSIBLE = 1.0, 1.5, 0.5
 HELD = 1 << 26
 #: Letters of words that are compared as arrays; longer ones are compared one by one.
 SHORT = 32
+#: Cells of pairs of texts that are aligned in one walk.
+TOGETHER = 1 << 20
 
 
 def levenshtein(a: str, b: str) -> int:
@@ -145,18 +147,158 @@ def align(hyp: list[str], ref: list[str]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def pair_distances(words: list[str], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Edit distances of words[a[k]] to words[b[k]], each of 1 to SHORT letters; pairs of equal lengths go together."""
+    size = np.array([len(w) for w in words])
+    letters = np.array(words).view(np.uint32).reshape(len(words), -1)
+    out = np.zeros(len(a), np.int8)
+    order = np.argsort(kind := size[a] * (SHORT + 1) + size[b], kind="stable")
+    for some in np.split(order, np.flatnonzero(np.diff(kind[order])) + 1) if len(order) else ():
+        n, m = int(size[a[some[0]]]), int(size[b[some[0]]])
+        x, y = np.ascontiguousarray(letters[a[some], :n].T), np.ascontiguousarray(letters[b[some], :m].T)
+        row = [np.full(len(some), j, np.int8) for j in range(m + 1)]
+        for i in range(n):
+            new = [row[0] + np.int8(1)]
+            for j in range(m):
+                new.append(np.minimum(np.minimum(row[j + 1], new[j]) + np.int8(1), row[j] + (x[i] != y[j])))
+            row = new
+        out[some] = row[m]
+    return out
+
+
+def letter_sets(words: list[str]) -> np.ndarray:
+    """Which of 32 classes of letters each word has at least once (low bits) and at least twice (high bits)."""
+    out = np.zeros(len(words), np.uint64)
+    for k, w in enumerate(words):
+        once = twice = 0
+        for x in w:
+            bit = 1 << (ord(x) & 31)
+            twice |= once & bit
+            once |= bit
+        out[k] = once | twice << 32
+    return out
+
+
+def cost_matrices(pairs: list[tuple[list[str], list[str]]]) -> list[np.ndarray]:
+    """The cost of each word of hyp to each of ref, a matrix a pair of texts; equal pairs of words are compared once."""
+    at: dict[str, int] = {}
+    sides = [[np.array([at.setdefault(w, len(at)) for w in x]) for x in p] for p in pairs]
+    words, codes, spots = list(at), [], []
+    for x, y in sides:
+        (u, i), (v, j) = (np.unique(z, return_inverse=True) for z in (x, y))
+        codes.append((u[:, None] * len(words) + v[None, :]).ravel())
+        spots.append((i, j, len(v)))
+    every, place = np.unique(np.concatenate(codes), return_inverse=True)
+    a, b = every // len(words), every % len(words)
+    size = np.array([len(w) for w in words])
+    least, most = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    near = (least > 0) & (2 * least >= most)  # words further apart in length are never plausible
+    # A letter of one word that the other lacks is an edit, so most pairs are settled without their distance.
+    has = letter_sets(words)
+    lacks = np.maximum(np.bitwise_count(has[a] & ~has[b]), np.bitwise_count(has[b] & ~has[a]))
+    near &= lacks <= PLAUSIBLE * most
+    short = np.flatnonzero(near & (most <= SHORT))
+    c = np.full(len(every), MISMATCH)
+    ratio = pair_distances([w[:SHORT] for w in words], a[short], b[short]) / most[short]
+    c[short] = np.where(ratio <= PLAUSIBLE, ratio, MISMATCH)
+    for k in np.flatnonzero(near & (most > SHORT)):
+        c[k] = cost(words[a[k]], words[b[k]])
+    ends = np.cumsum([len(x) for x in codes])
+    return [c[place[end - len(x) : end]].reshape(-1, w)[np.ix_(i, j)] for x, end, (i, j, w) in zip(codes, ends, spots)]
+
+
+def align_together(matrices: list[np.ndarray]) -> list[list[tuple[int, int]]]:
+    """`align` of several pairs of texts, by the costs of their words (none empty), in one walk over the anti-diagonals of all."""
+    size = np.array([m.shape for m in matrices])
+    n, m = size[:, 0].max(), max(2, size[:, 1].max())
+    c = np.full((len(matrices), n, m), MISMATCH)
+    for k, x in enumerate(matrices):
+        c[k, : x.shape[0], : x.shape[1]] = x
+    flat = c.reshape(len(c), n * m)
+    moves = np.zeros((n + m + 1, len(c), n + 1), np.int8)
+    before, last = np.zeros((len(c), n + 1)), np.zeros((len(c), n + 1))
+    for k in range(1, n + m + 1):
+        d = np.empty_like(last)
+        if k <= m:
+            d[:, 0] = k * GAP
+        if k <= n:
+            d[:, k] = k * GAP
+        lo, hi = max(1, k - m), min(n, k - 1) + 1
+        if lo < hi:
+            first = (lo - 1) * m + k - lo - 1
+            diagonal = before[:, lo - 1 : hi - 1] + flat[:, first : first + (hi - lo - 1) * (m - 1) + 1 : m - 1]
+            up, left = last[:, lo - 1 : hi - 1] + GAP, last[:, lo:hi] + GAP
+            best = np.minimum(np.minimum(diagonal, up), left)
+            d[:, lo:hi] = best
+            moves[k, :, lo:hi] = np.where(best == diagonal, 0, np.where(best == up, 1, 2))
+        before, last = last, d
+    i, j = size.T.copy()
+    out, live = [[] for _ in c], np.arange(len(c))
+    while len(live := live[(i[live] > 0) & (j[live] > 0)]):
+        go = moves[i[live] + j[live], live, i[live]]
+        i[live] -= go != 2
+        j[live] -= go != 1
+        met = live[go == 0]
+        met = met[c[met, i[met], j[met]] <= PLAUSIBLE]
+        for k, x, y in zip(met.tolist(), i[met].tolist(), j[met].tolist()):
+            out[k].append((x, y))
+    return [x[::-1] for x in out]
+
+
+def align_all(pairs: list[tuple[list[str], list[str]]]) -> list[list[tuple[int, int]]]:
+    """`align` of each pair of texts: words are compared for many pairs at once, and pairs of like sizes are walked together.
+
+    A pair of more than TOGETHER cells goes alone, with decisions worked out again in blocks.
+    """
+    cells = [len(a) * len(b) for a, b in pairs]
+    out = [align(*p) if n > TOGETHER else [] for p, n in zip(pairs, cells)]
+    some, held = [], 0
+    for k, n in enumerate(cells):
+        if 0 < n <= TOGETHER:
+            some.append(k)
+            held += n
+        if some and (held > 4 * TOGETHER or k + 1 == len(pairs)):
+            matrices = dict(zip(some, cost_matrices([pairs[x] for x in some])))
+            for group in like_sizes({x: m.shape for x, m in matrices.items()}):
+                for x, got in zip(group, align_together([matrices[x] for x in group])):
+                    out[x] = got
+            some, held = [], 0
+    return out
+
+
+def like_sizes(shapes: dict[int, tuple[int, int]]) -> list[list[int]]:
+    """Groups of at most TOGETHER cells, of which at least a third are the pairs' own and the rest fill them up to one size."""
+    out, n, m, used = [], 0, 0, 0
+    for k, (a, b) in sorted(shapes.items(), key=lambda x: (x[1][0].bit_length(), x[1][1])):
+        wide, high, size = max(n, a), max(m, b), len(out[-1]) + 1 if out else 1
+        if not out or size * wide * max(wide, high) > TOGETHER or size * wide * high > 3 * (used + a * b):
+            out.append([])
+            wide, high, used = a, b, 0
+        out[-1].append(k)
+        n, m, used = wide, high, used + a * b
+    return out
+
+
+def aligned_frames(pdf: pd.DataFrame, rows, columns: list[str]):
+    """Frames of what `rows` tells of each pair and its alignment, for some hundred pairs at a time."""
+    for k in range(0, len(pdf), 512):
+        part = pdf.iloc[k : k + 512]
+        pairs = [(list(a), list(b)) for a, b in zip(part["hyp"], part["ref"])]
+        out = [x for i, p, got in zip(part["id"], pairs, align_all(pairs)) for x in rows(i, *p, got)]
+        yield pd.DataFrame(out, columns=columns)
+
+
 def align_grade(pairs: DataFrame) -> DataFrame:
     """id, matched, hyp_only, ref_only; pairs: id, hyp and ref (arrays of words)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            hyp, ref = list(r.hyp), list(r.ref)
-            got = len(align(hyp, ref))
-            out.append((r.id, got, len(hyp) - got, len(ref) - got))
-        return pd.DataFrame(out, columns=["id", "matched", "hyp_only", "ref_only"])
+    def rows(i, hyp, ref, got):
+        return [(i, len(got), len(hyp) - len(got), len(ref) - len(got))]
+
+    def run(batches):
+        for pdf in batches:
+            yield from aligned_frames(pdf, rows, ["id", "matched", "hyp_only", "ref_only"])
 
-    return pairs.mapInPandas(lambda it: map(run, it), "id string, matched long, hyp_only long, ref_only long")
+    return pairs.mapInPandas(run, "id string, matched long, hyp_only long, ref_only long")
 
 
 def align_pairs(pairs: DataFrame) -> DataFrame:
@@ -166,18 +308,18 @@ def align_pairs(pairs: DataFrame) -> DataFrame:
     HELD bytes, so a long pair of texts takes longer, not more memory.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in pdf.itertuples():
-            got = align(list(r.hyp), list(r.ref))
-            left, right = ({p[k] for p in got} for k in (0, 1))
-            out += [(r.id, i, j) for i, j in got]
-            out += [(r.id, i, None) for i in range(len(r.hyp)) if i not in left]
-            out += [(r.id, None, j) for j in range(len(r.ref)) if j not in right]
-        rows = pd.DataFrame(out, columns=["id", "hyp_idx", "ref_idx"])
-        return rows.astype({"hyp_idx": "Int32", "ref_idx": "Int32"})
-
-    return pairs.mapInPandas(lambda it: map(run, it), "id string, hyp_idx int, ref_idx int")
+    def rows(i, hyp, ref, got):
+        left, right = ({p[k] for p in got} for k in (0, 1))
+        yield from ((i, a, b) for a, b in got)
+        yield from ((i, a, None) for a in range(len(hyp)) if a not in left)
+        yield from ((i, None, b) for b in range(len(ref)) if b not in right)
+
+    def run(batches):
+        for pdf in batches:
+            for out in aligned_frames(pdf, rows, ["id", "hyp_idx", "ref_idx"]):
+                yield out.astype({"hyp_idx": "Int32", "ref_idx": "Int32"})
+
+    return pairs.mapInPandas(run, "id string, hyp_idx int, ref_idx int")
 
 
 def between_words(target: list[int], delim: int) -> np.ndarray:

@@ -1,9 +1,12 @@
 """What must not grow with the tables: broadcasts, batches, listings, groups."""
 
+import random
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from canticle.operators import cleanup as C
+from canticle.operators import kernels as K
 from canticle.operators import matching as M
 from canticle.shipping import ship
 from canticle.sources import folders as D
@@ -56,3 +59,18 @@ def test_equal_asks_are_answered_once(spark, monkeypatch):
     assert best == {k: 7 if k % 2 == 0 else 0 for k in range(40)}
     assert M.look_up(songs, records).count() == 40
     assert max(sizes) <= 4  # two keys of two asks
+
+
+def test_pairs_aligned_together_are_as_alone(monkeypatch):
+    """Whatever the sizes, empty and long words: the same pairs as one by one; a walk takes many pairs and bounded cells."""
+    rng, walks = random.Random(5), []
+    vocabulary = ["", "a", "ab", "x" * 33, "x" * 40 + "y", "é", "straße", "😀a", "cat", "cart"] + ["".join(rng.choices("abc", k=rng.randint(1, 9))) for _ in range(60)]
+    some = lambda r: [rng.choice(vocabulary) for _ in range(rng.randint(0, r))]
+    pairs = [(some(r), some(r)) for r in (1, 2, 3, 8, 30, 70) for _ in range(40)]
+    together = K.align_together
+    monkeypatch.setattr(K, "align_together", lambda m: walks.append(len(m)) or together(m))
+    want = [K.align(*p) for p in pairs]
+    assert K.align_all(pairs) == want and len(walks) < 40 and max(walks) > 20
+    monkeypatch.setattr(K, "TOGETHER", 500)
+    assert K.align_all(pairs) == want
+    assert K.align_all([]) == [] and K.align_all([([], ["a"])]) == [[]]
