@@ -193,3 +193,16 @@ def test_a_song_folder_is_one_plain_file_a_song(spark):
     assert found == ["0/song_id=-7.txt", "0/song_id=1.txt", "0/song_id=999.txt", "1/song_id=1000.txt", "none/song_id=none.txt"]
     rows = spark.read.format("ultrastar").load(folder).select(song_of("path").alias("song"), "line_no", "line", "error").collect()
     assert sorted(map(tuple, rows), key=str) == sorted([(1, 1, "a", None), (1, 2, "b", None), (999, 1, "é", None), (1000, None, None, "empty file"), (-7, 1, "x", None), (None, 1, "n", None)], key=str)
+
+
+def test_a_part_is_read_in_small_batches(spark, tmp_path):
+    """What a read holds is bounded by bytes, however many texts a part has."""
+    store = str(tmp_path / "store")
+    rows = spark.range(3000).select(F.concat(F.lit("k"), F.col("id").cast("string")).alias("key"), F.when(F.col("id") != 7, F.repeat(F.lit("é"), 2000)).alias("content"))
+    S.publish(rows.coalesce(1), store)
+    reader = S.StoreReader({"path": store})
+    (part,) = reader.partitions()
+    batches = list(reader.read(part))
+    assert len(batches) > 3 and max(b.num_rows for b in batches) < 1000 and sum(b.num_rows for b in batches) == 3000
+    got = S.stored(spark, store).agg(F.count("*"), F.count("content"), F.sum(F.length("content")), F.max("version")).first()
+    assert tuple(got) == (3000, 2999, 2999 * 2000, 1)
