@@ -24,22 +24,28 @@ def folder_of(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, "/[^/]*$", ""))
 
 
+def spread(key: Column, own: Column) -> Column:
+    """A join key that meets nothing where it is null, but is a row's own there, so rows without a key are not all dealt to one task."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\0"), own.cast("string")))
+
+
 def playable(asks: DataFrame, songs: DataFrame, manifests: DataFrame, files: DataFrame) -> DataFrame:
     """ask, outcome and the files (null where they are gone) that may be played for each ask (ask, song_id, map_path).
 
     A library id is looked up among songs (id and one path a role); without one, the manifest (folder, map and one path
     a role) in the map's folder answers, if that map is its own.  outcome: ok, no song, no manifest, not its map, nothing.
     """
-    s = songs.select(F.col("id").alias("song_id"), *(F.col(r).alias(f"s_{r}") for r in ROLES), F.lit(True).alias("_song"))
+    s = songs.select(F.col("id").cast("string").alias("_id"), *(F.col(r).alias(f"s_{r}") for r in ROLES), F.lit(True).alias("_song"))
     m = manifests.select(F.col("folder").alias("_folder"), F.col("map").alias("_map"), *(F.col(r).alias(f"m_{r}") for r in ROLES), F.lit(True).alias("_man"))
-    rows = asks.withColumn("_folder", F.when(F.col("song_id").isNull(), folder_of(F.col("map_path")))).join(s, "song_id", "left").join(m, "_folder", "left")
+    folder = F.when(F.col("song_id").isNull(), folder_of(F.col("map_path")))
+    rows = asks.withColumn("_id", spread(F.col("song_id"), F.col("ask"))).withColumn("_folder", spread(folder, F.col("ask"))).join(s, "_id", "left").join(m, "_folder", "left")
     by_id = F.col("song_id").isNotNull()
     outcome = F.when(by_id, F.when(F.col("_song"), "ok").otherwise("no song")).when(F.col("map_path").isNull(), "nothing").when(F.col("_man").isNull(), "no manifest")
     rows = rows.withColumn("outcome", outcome.when(F.col("_map").eqNullSafe(F.col("map_path")), "ok").otherwise("not its map"))
     wanted = F.array(*(F.struct(F.lit(r).alias("role"), F.when(F.col("outcome") == "ok", F.when(by_id, F.col(f"s_{r}")).otherwise(F.col(f"m_{r}"))).alias("path")) for r in ROLES))
     each = rows.select("ask", "outcome", F.explode(wanted).alias("w")).select("ask", "outcome", "w.role", "w.path")
-    there = files.select("path", F.lit(True).alias("_there")).distinct()
-    each = each.join(there, "path", "left")
+    there = files.select(F.col("path").alias("_path"), F.lit(True).alias("_there")).distinct()
+    each = each.withColumn("_path", spread(F.col("path"), F.col("ask"))).join(there, "_path", "left")
     return each.groupBy("ask", "outcome").agg(*(F.max(F.when((F.col("role") == r) & F.col("_there"), F.col("path"))).alias(r) for r in ROLES))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canticle.operators import cleanup as C
 from canticle.operators import kernels as K
 from canticle.operators import matching as M
+from canticle.operators import resolve as R
 from canticle.shipping import ship
 from canticle.sources import folders as D
 
@@ -74,3 +75,22 @@ def test_pairs_aligned_together_are_as_alone(monkeypatch):
     monkeypatch.setattr(K, "TOGETHER", 500)
     assert K.align_all(pairs) == want
     assert K.align_all([]) == [] and K.align_all([([], ["a"])]) == [[]]
+
+
+def test_asks_without_a_key_are_not_dealt_to_one_task(spark):
+    """Asks by id have no folder, asks by map no id, and most of both no file: none of the joins gathers them under null."""
+    asks = spark.range(400).select(F.col("id").alias("ask"), F.when(F.col("id") == 3, 3).cast("long").alias("song_id"), F.when(F.col("id") == 5, "jobs/5/map.json").alias("map_path"))
+    files = lambda n: [F.concat(F.lit(f"{n}/{r}/"), F.col("id").cast("string")).alias(r) for r in R.ROLES]
+    songs, manifests = spark.range(9).select("id", *files("s")), spark.range(9).select(F.concat(F.lit("jobs/"), F.col("id").cast("string")).alias("folder"), F.concat(F.lit("jobs/"), F.col("id").cast("string"), F.lit("/map.json")).alias("map"), *files("m"))
+    have = spark.createDataFrame([("s/vocals/3",), ("m/original/5",), (None,)], "path string")
+    out = R.playable(asks, songs, manifests, have)
+    got = {r.ask: tuple(r)[1:] for r in out.collect()}
+    assert len(got) == 400 and got[3] == ("ok", None, "s/vocals/3", None) and got[5] == ("ok", None, None, "m/original/5") and got[4] == ("nothing", None, None, None)
+    keys = asks.select(R.spread(F.col("song_id"), F.col("ask")).alias("k"))
+    assert keys.distinct().count() == 400 and keys.where("k = '3'").count() == 1 and keys.where("k = '5'").count() == 0
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = R.playable(asks, songs, manifests, have)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert all(f"({k}#" in plan for k in ("_id", "_folder", "_path")) and "(song_id#" not in plan.split("LeftOuter, ", 1)[1].split("\n")[0]
