@@ -9,8 +9,10 @@ from canticle.operators import cleanup as C
 from canticle.operators import kernels as K
 from canticle.operators import matching as M
 from canticle.operators import resolve as R
+from canticle.plans import formats
 from canticle.shipping import ship
 from canticle.sources import folders as D
+from tests.conftest import DATA
 
 
 def test_annotate_broadcasts_no_exploded_words(spark):
@@ -94,3 +96,9 @@ def test_asks_without_a_key_are_not_dealt_to_one_task(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert all(f"({k}#" in plan for k in ("_id", "_folder", "_path")) and "(song_id#" not in plan.split("LeftOuter, ", 1)[1].split("\n")[0]
+
+
+def test_self_check_works_words_and_texts_out_once(spark):
+    """Its plan reads them where they were written; the events are in no branch of it."""
+    out = formats.self_check(spark, DATA)
+    assert out.count() > 0 and not [f for f in out.inputFiles() if "events" in f]
