@@ -13,16 +13,24 @@ shingle, can be linked.
 
 Only the components of the links are wanted, so copies are one class from the start, and pairs that are
 connected already are left out.
+
+Shingles are counted by exchange: documents' counted shingles are packed into blocks, a block sends its distinct
+ones to buckets of hashes, and buckets answer with the numbers of sets.  A shingle so costs a few bytes on its way
+there and fewer on its way back, and never a row of its own.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
+from canticle.llm import blocks as B
 from canticle.llm import kernels as K
 from canticle.llm.graph import connected_components
 from canticle.llm.near_dedup import _numbered, _parts, _unpack, _verified
@@ -36,7 +44,10 @@ SHARE = 4
 TILE, COLUMNS = 256, 2048
 #: Pairs an entry, from which on a tile is worked through as a whole.
 DENSE = 4
-SETS = "row long, n_shingles long, k1 long, k2 long, n_counted int, tokens array<long>, rest array<long>, parity binary"
+#: Counted shingles and documents of a block, and counted shingles of a bucket, about.
+BLOCK, BUCKET = 1 << 19, 1 << 20
+FACTS = pa.struct([(c, pa.int64()) for c in ("row", "n_shingles", "k1", "k2")])
+SETS = "block long, facts array<struct<row:long,n_shingles:long,k1:long,k2:long>>, n_tokens long, have binary, tokens binary, more binary, rest binary"
 #: 64-bit words of parities that are compared at once.
 WORDS_AT_ONCE = 1 << 20
 
@@ -75,32 +86,111 @@ def apart(maps: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
+def _bound() -> int:
+    """Hashes below it are of counted shingles."""
+    return min((1 << 64) // SHARE, (1 << 64) - 1)
+
+
 def _sets(similarity: int):
-    """Set size, identity, counted shingles and, where those are too few for a prefix, the next ones in order."""
-    bound = K.U(min((1 << 64) // SHARE, (1 << 64) - 1))
+    """Blocks of sets: size and identity of each, counted shingles and, where those are too few for a prefix, the next ones in order."""
+    bound = K.U(_bound())
+
+    def worked(batch) -> tuple:
+        s, off = K.distinct(*K.ngrams(*K.words(batch.column(1)), WORDS))
+        k1, k2 = (np.diff(np.concatenate([[K.U(0)], np.cumsum(K.mix(s ^ K.U(c)), dtype=K.U)])[off].view(np.int64)) for c in (0x5BD1E995, 0x1B873593))
+        n = np.diff(off)
+        have = np.diff(np.concatenate([[0], np.cumsum(s < bound)])[off])  # a set is in order of hash, so these lead
+        more = np.minimum(np.maximum(prefix_length(n, similarity) - have, 0), n - have)
+        place = np.arange(len(s)) - np.repeat(off[:-1] + have, n)
+        rest = (place >= 0) & (place < np.repeat(more, n))
+        return np.array(batch.column(0), np.int64), n, k1, k2, have, s[s < bound], more, s[rest]
+
+    def packed(number: int, parts: list[tuple]) -> pa.RecordBatch:
+        *facts, have, tokens, more, rest = (np.concatenate(x) for x in zip(*parts, strict=True))
+        facts = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in facts], fields=list(FACTS))
+        row = {"block": pa.array([number], pa.int64()), "facts": pa.ListArray.from_arrays(pa.array([0, len(have)], pa.int32()), facts)}
+        return pa.record_batch(row | {"n_tokens": pa.array([len(tokens)], pa.int64())} | {k: pa.array([x.tobytes()], pa.binary()) for k, x in (("have", have), ("tokens", tokens), ("more", more), ("rest", rest))})
 
     def run(batches):
-        for batch in (part for b in batches for part in _parts(b)):
-            s, off = K.distinct(*K.ngrams(*K.words(batch.column(1)), WORDS))
-            k1, k2 = (np.diff(np.concatenate([[K.U(0)], np.cumsum(K.mix(s ^ K.U(c)), dtype=K.U)])[off].view(np.int64)) for c in (0x5BD1E995, 0x1B873593))
-            n = np.diff(off)
-            counted = np.concatenate([[0], np.cumsum(s < bound)])[off]  # a set is in order of hash, so these lead
-            have = np.diff(counted)
-            more = np.minimum(np.maximum(prefix_length(n, similarity) - have, 0), n - have)
-            place = np.arange(len(s)) - np.repeat(off[:-1] + have, n)
-            rest = (place >= 0) & (place < np.repeat(more, n))
-            yield pa.record_batch(
-                {
-                    "row": batch.column(0),
-                    "n_shingles": n,
-                    "k1": k1,
-                    "k2": k2,
-                    "n_counted": have.astype(np.int32),
-                    "tokens": pa.ListArray.from_arrays(counted.astype(np.int32), s[s < bound].view(np.int64)),
-                    "rest": pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(more)]).astype(np.int32), s[rest].view(np.int64)),
-                    "parity": pa.array(parities(s, off), pa.binary()),
-                }
-            )
+        task = TaskContext.get()
+        number, parts, size = (task.partitionId() if task else 0) << 32, [], 0
+        for part in (part for b in batches for part in _parts(b)):
+            parts.append(worked(part))
+            size += len(part) + len(parts[-1][5])
+            if size >= BLOCK:
+                yield packed(number, parts)
+                number, parts, size = number + 1, [], 0
+        if parts:
+            yield packed(number, parts)
+
+    return run
+
+
+def codes(tokens: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The leading width + 32 of a counted shingle's bits: its bucket, and 32 bits to tell it there from others."""
+    return tokens >> K.U(max(0, bits - width - 32))
+
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    code = np.sort(code)
+    new = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[new], np.diff(np.append(new, len(code)))
+
+
+def _ask(bits: int, width: int):
+    def run(batches):
+        for batch in batches:
+            for number, tokens in zip(batch.column("block").to_pylist(), batch.column("tokens"), strict=True):
+                code, count = counted(codes(_unpack(tokens.as_py()), bits, width))
+                out = [(b, B.squeeze(code[x:y].astype(np.uint32)), B.squeeze(count[x:y].astype(np.uint32))) for b, x, y in B.dealt((code >> K.U(32)).astype(np.int64), 1 << width)]
+                columns = [pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))]
+                yield pa.record_batch([columns[0], pa.array([number] * len(out), pa.int64()), *columns[1:]], ["bucket", "block", "keys", "counts"])
+
+    return run
+
+
+def _answer(group: pa.Table) -> pa.Table:
+    """The number of sets of each shingle that blocks ask for, in the order asked."""
+    keys, counts = ([B.unsqueeze(x.as_py(), np.uint32) for x in group[c]] for c in ("keys", "counts"))
+    _, which = np.unique(np.concatenate(keys), return_inverse=True)
+    df = np.bincount(which, np.concatenate(counts)).astype(np.int64)[which]
+    edges = np.concatenate([[0], np.cumsum([len(x) for x in keys])])
+    df = np.minimum(df, np.iinfo(np.uint32).max).astype(np.uint32)
+    return pa.table({"block": group["block"], "bucket": group["bucket"], "df": pa.array([B.squeeze(df[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())})
+
+
+def leading(off: np.ndarray, tokens: np.ndarray, df: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, token, place) of each set's `most` first tokens by df, then hash, that another set has too."""
+    own = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    order = np.lexsort((tokens, df, own))
+    place = np.arange(len(tokens)) - off[own]
+    keep = (place < most[own]) & (df[order] > 1)
+    return own[keep], tokens[order][keep], place[keep]
+
+
+def _prefixes(similarity: int, bits: int, width: int):
+    """token, id, n and pos of the prefix shingles of a block's sets that stand for their class."""
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                block = {c: batch.column(c)[r] for c in batch.schema.names}
+                facts = block["facts"].values
+                rows, n = (np.array(facts.field(c), np.int64) for c in ("row", "n_shingles"))
+                have, more = (np.frombuffer(block[c].as_py(), np.int64) for c in ("have", "more"))
+                tokens, rest = _unpack(block["tokens"].as_py()), _unpack(block["rest"].as_py())
+                df = np.zeros(0, np.int64)
+                if len(tokens):
+                    code = codes(tokens, bits, width)
+                    answers = sorted(block["answers"].as_py(), key=lambda x: x["bucket"])
+                    df = np.concatenate([B.unsqueeze(x["df"], np.uint32) for x in answers])[np.searchsorted(counted(code)[0], code)]
+                lead, token, pos = leading(np.concatenate([[0], np.cumsum(have)]), tokens, df, prefix_length(n, similarity))
+                tail = np.repeat(np.arange(len(n)), more)
+                at = np.arange(len(rest)) - (np.cumsum(more) - more)[tail] + have[tail]
+                own, token, pos = np.concatenate([lead, tail]), np.concatenate([token, rest]), np.concatenate([pos, at])
+                keep = np.isin(rows, block["heads"].values.to_numpy())[own]
+                own = own[keep]
+                yield pa.record_batch([pa.array(x) for x in (token[keep].view(np.int64), rows[own], n[own], pos[keep])], ["token", "id", "n", "pos"])
 
     return run
 
@@ -108,7 +198,8 @@ def _sets(similarity: int):
 def _bags(batches):
     for batch in (part for b in batches for part in _parts(b)):
         s, off = K.distinct(*K.ngrams(*K.words(batch.column(1)), WORDS))
-        yield pa.record_batch({"id": batch.column(0), "bag": pa.array([s[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())})
+        bags = [s[a:b].tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+        yield pa.record_batch({"id": batch.column(0), "bag": pa.array(bags, pa.binary()), "parity": pa.array(parities(s, off), pa.binary())})
 
 
 def candidates(n: np.ndarray, pos: np.ndarray, similarity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -232,27 +323,22 @@ def _linked(similarity: int):
     return run
 
 
-def _postings(scratch: Scratch, heads: DataFrame, similarity: int) -> DataFrame:
-    """token, id, n and pos of every prefix shingle that another set has too; heads: id, n, n_counted, tokens, rest.
+def _postings(scratch: Scratch, sets: DataFrame, classed: DataFrame, similarity: int) -> DataFrame:
+    """token, id, n and pos of every prefix shingle that another row has too, of each class's least row.
 
-    The order of shingles: the counted ones by number of sets, then hash; the others by hash.  A shingle of
-    one set only meets nothing, but holds its place in the prefix.
+    The order of shingles: the counted ones by number of rows, then hash; the others by hash.  A shingle of
+    one row only meets nothing, but holds its place in the prefix.  Numbers are of the leading bits of a
+    hash, so one may be too high, but is the same in every set.
     """
-    sizes = F.shiftleft("n", 32).bitwiseOR(F.col("n_counted").cast("long"))  # one column to carry
-    counted = heads.select("id", sizes.alias("sizes"), F.explode("tokens").alias("token"))
-    df = counted.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = counted.join(df, "token").groupBy("id", F.shiftright("sizes", 32).alias("n"), F.col("sizes").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("n_counted")).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
-    single = F.col("n_counted") - F.size("shared")
-    kept = F.slice("shared", F.lit(1), F.greatest(prefix_length_column(similarity) - single, F.lit(0)).cast("int"))
-    lead = shared.select("id", "n", single.alias("single"), F.posexplode(kept).alias("at", "s"))
-    lead = lead.select(F.col("s.token").alias("token"), "id", "n", (F.col("at") + F.col("single")).cast("long").alias("pos"))
-    tail = heads.select("id", "n", "n_counted", F.posexplode("rest").alias("at", "token"))
-    tail = tail.select("token", "id", "n", (F.col("at") + F.col("n_counted")).cast("long").alias("pos"))
-    return scratch.table(lead.unionByName(tail), "postings")
-
-
-def prefix_length_column(similarity: int) -> F.Column:
-    return F.floor(F.col("n") * (100 - similarity) / 100 + 1e-9).cast("int") + 1
+    bits = (_bound() - 1).bit_length()
+    total = sets.agg(F.sum("n_tokens")).first()[0] or 0
+    width = max(0, math.ceil(math.log2(max(1, total) / BUCKET)))
+    sent = sets.select("block", "tokens").mapInArrow(_ask(bits, width), "bucket int, block long, keys binary, counts binary")
+    answers = sent.groupBy("bucket").applyInArrow(_answer, "block long, bucket int, df binary")
+    answers = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "df")).alias("answers"))
+    heads = classed.where("row = rep and n_shingles > 0").groupBy("block").agg(F.collect_list("row").alias("heads"))
+    blocks = sets.join(heads, "block").join(answers, "block", "left")
+    return scratch.table(blocks.mapInArrow(_prefixes(similarity, bits, width), "token long, id long, n long, pos long"), "postings")
 
 
 def _lists(scratch: Scratch, postings: DataFrame, similarity: int) -> DataFrame:
@@ -271,15 +357,16 @@ def _lists(scratch: Scratch, postings: DataFrame, similarity: int) -> DataFrame:
 def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFrame, DataFrame]:
     """(row, n_shingles, rep) of each row of a written table (row, doc_id, text), and (rep, component) of linked classes."""
     sets = scratch.table(rows.select("row", "text").mapInArrow(_sets(similarity), SETS), "sets")
-    classes = sets.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("rep"))
-    classed = sets.select("row", "n_shingles", "k1", "k2").join(classes, ["k1", "k2", "n_shingles"], "left")
-    classed = scratch.table(classed.select("row", "n_shingles", F.coalesce("rep", "row").alias("rep")), "classes")
-    heads = sets.where("n_shingles > 0").join(classed.where("row = rep").select("row"), "row", "left_semi")
-    postings = _postings(scratch, heads.select(F.col("row").alias("id"), F.col("n_shingles").alias("n"), "n_counted", "tokens", "rest"), similarity)
+    facts = sets.select("block", F.inline("facts"))
+    classes = facts.where("n_shingles > 0").groupBy("k1", "k2", "n_shingles").agg(F.min("row").alias("rep"))
+    classed = facts.join(classes, ["k1", "k2", "n_shingles"], "left")
+    classed = scratch.table(classed.select("block", "row", "n_shingles", F.coalesce("rep", "row").alias("rep")), "classes")
+    postings = _postings(scratch, sets, classed, similarity)
+    scratch.drop(sets)
     lists = _lists(scratch, postings, similarity)
     scratch.drop(postings)
     bags = rows.select("row", "text").join(lists.select(F.col("id").alias("row")).distinct().hint("merge"), "row", "left_semi")
-    bags = scratch.table(bags.mapInArrow(_bags, "id long, bag binary"), "bags")
+    bags = scratch.table(bags.mapInArrow(_bags, "id long, bag binary, parity binary"), "bags")
 
     # First each list's least set with all others that positions leave; what that links needs no more pairs.
     # A copy of the list's lead is joined, so no list is gathered.
@@ -302,17 +389,17 @@ def _grouped(scratch: Scratch, rows: DataFrame, similarity: int) -> tuple[DataFr
     mixed = named.groupBy("token", "band").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("members"), mark.alias("mark")).where("lo < hi")
     met = named.join(mixed.select("token", "band", "members", "mark"), ["token", "band"])
     met = met.groupBy("members", "mark", "id").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("part").alias("part"))
-    met = met.join(sets.select(F.col("row").alias("id"), "parity"), "id")
+    met = met.join(bags.select("id", "parity"), "id")
     # A long list is a square of tiles; a set goes to the tiles of its row and column.
     met = met.withColumn("tiles", F.ceil(F.col("members") / TILE).cast("int")).withColumn("own", F.pmod(F.xxhash64("id", F.lit(6)), F.col("tiles")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     met = met.select("members", "mark", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "id", "n", "pos", "part", "parity")
     met = scratch.table(met.groupBy("members", "mark", "a", "b").applyInArrow(_met(similarity), StructType([*met.schema, *(StructField(c, LongType()) for c in "uv")])), "met")
     few, many = met.where("u is not null").select("u", "v").distinct(), met.where("u is null").drop("u", "v")
-    dense = many.join(bags, "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long")
+    dense = many.join(bags.select("id", "bag"), "id").groupBy("members", "mark", "a", "b").applyInArrow(_linked(similarity), "u long, v long")
     more = _verified(bags, few, similarity).unionByName(dense).distinct()
     joined = scratch.table(parts.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(more), "links")
-    scratch.drop(bags, named, links, met, sets)
+    scratch.drop(bags, named, links, met)
     return classed, connected_components(joined, scratch).select(F.col("id").alias("rep"), "component")
 
 

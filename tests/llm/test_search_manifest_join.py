@@ -8,9 +8,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from canticle.llm import lexical, merkle, ngram_join
+from canticle.llm.blocks import unsqueeze
 from canticle.llm import queries as Q
 from tests.conftest import DATA, DATA_001
 from tests.helpers import connect, same
@@ -291,3 +293,46 @@ def test_block_skipping_leaves_every_pair_that_its_bound_allows():
 def test_join_equals_brute_force_on_the_tables(spark):
     rows = [(r["doc_id"], r["text"]) for r in Q.table(spark, DATA, "documents").select("doc_id", "text").collect()]
     assert known(Q.op13_ngram_join(spark, DATA).collect()) == known(components(rows))
+
+
+def shuffled(spark) -> int:
+    """Bytes that the session's stages have written to shuffles."""
+    sc = spark.sparkContext
+    quantiles, statuses = sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(sc._jvm.java.util.ArrayList(), False, False, quantiles, statuses)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_counted_shingles_are_no_rows_of_a_shuffle(spark):
+    r = random.Random(5)
+    rows = [(k, " ".join(f"{r.choice(WORDS)}{r.randrange(10**6)}" for _ in range(2000))) for k in range(200)]
+    rows += [(200 + k, " ".join(t.split()[:-2])) for k, (_, t) in enumerate(rows[:20])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = shuffled(spark)
+    got = ngram_join.similar_groups(spark, docs).select("doc_id", "n_shingles", "component_id").collect()
+    used = shuffled(spark) - before
+    assert {r["doc_id"]: r["component_id"] for r in got} == {k: k % 200 for k, _ in rows}
+    text = sum(len(t) for _, t in rows)
+    assert used < 1.75 * text, (used, text, used / text)
+
+
+def test_blocks_are_told_how_many_sets_hold_a_shingle():
+    r = np.random.default_rng(6)
+    tokens = np.unique(r.integers(0, 1 << 62, 500)).astype(np.uint64)
+    blocks = [np.concatenate([r.choice(tokens, 60, replace=False) for _ in range(k)]) for k in (1, 3, 9)]
+    asks = [b.to_pylist() for b in ngram_join._ask(62, 2)([pa.record_batch({"block": [0, 1, 2], "tokens": [b.tobytes() for b in blocks]})])]
+    sent = pa.Table.from_pylist([row for part in asks for row in part])
+    assert set(sent["bucket"].to_pylist()) == {0, 1, 2, 3}
+    answers = pa.concat_tables(ngram_join._answer(sent.filter(pa.array(np.array(sent["bucket"]) == k))) for k in range(4)).to_pylist()
+    whole = dict(zip(*(x.tolist() for x in np.unique(np.concatenate(blocks), return_counts=True)), strict=True))
+    for k, block in enumerate(blocks):
+        own = sorted((x for x in answers if x["block"] == k), key=lambda x: x["bucket"])
+        got = np.concatenate([unsqueeze(x["df"], np.uint32) for x in own])
+        assert got.tolist() == [whole[t] for t in np.unique(block).tolist()]
+
+
+def test_leading_shingles_are_the_rarest_and_singles_hold_a_place():
+    off, tokens = np.array([0, 4, 4, 7]), np.array([1, 2, 3, 4, 2, 3, 9], np.uint64)
+    df = np.array([1, 3, 2, 1, 3, 2, 1])
+    got = ngram_join.leading(off, tokens, df, np.array([4, 1, 2]))
+    assert [x.tolist() for x in got] == [[0, 0, 2], [3, 2, 3], [2, 3, 1]]
