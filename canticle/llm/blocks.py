@@ -6,6 +6,9 @@ bytes, zstd-compressed.  Blocks are written once to the shared folder; every pas
 
 from __future__ import annotations
 
+import copy
+import functools
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -20,16 +23,38 @@ BLOCK_BYTES = 3 << 20
 SCHEMA = "block long, n_bytes long, ids binary, known binary, sizes binary, tags binary, text binary"
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """One of each a process: making them costs as much as a small message."""
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def squeeze(x) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
+    return _codec()[0].compress(x if isinstance(x, bytes) else np.ascontiguousarray(x).tobytes())
 
 
 def unsqueeze(x: bytes, dtype=np.uint8) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(x), dtype)
+    return np.frombuffer(_codec()[1].decompress(x), dtype)
+
 
+def _pack(block_bytes: int, across: bool):
+    return lambda batches: _packed(_filled(batches, block_bytes) if across else batches, block_bytes)
 
-def _pack(block_bytes: int):
-    return lambda batches: _packed(batches, block_bytes)
+
+def _filled(batches, block_bytes: int):
+    """The rows of batches in batches that fill whole blocks, but for the last."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(1).nbytes
+        if size >= block_bytes:
+            b = pa.concat_batches(held)
+            full = list(K.blocks(K.buffer_of(b.column(1))[1], block_bytes))[-1][0] or b.num_rows
+            yield b[:full]
+            held = [b[full:]] if full < b.num_rows else []
+            size = sum(x.column(1).nbytes for x in held)
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _packed(batches, block_bytes: int):
@@ -57,9 +82,12 @@ def _packed(batches, block_bytes: int):
             number += 1
 
 
-def pack(scratch: Scratch, docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The block table of docs (doc_id long, text string, tag tinyint); a null text is empty."""
-    return scratch.table(docs.mapInArrow(_pack(block_bytes), SCHEMA), "blocks")
+def pack(scratch: Scratch, docs: DataFrame, block_bytes: int = BLOCK_BYTES, across: bool = False) -> DataFrame:
+    """The block table of docs (doc_id long, text string, tag tinyint); a null text is empty.
+
+    across: whether a block takes texts of several Arrow batches until it is full.
+    """
+    return scratch.table(docs.mapInArrow(_pack(block_bytes, across), SCHEMA), "blocks")
 
 
 class Block:
@@ -71,6 +99,14 @@ class Block:
         self.tags = np.frombuffer(tags, np.int8)
         self.buf = unsqueeze(text)
 
+    def parts(self, size: int):
+        """The block in blocks of about `size` bytes, in order."""
+        for lo, hi in K.blocks(self.off, size):
+            part = copy.copy(self)
+            part.ids, part.known, part.tags = self.ids[lo:hi], self.known[lo:hi], self.tags[lo:hi]
+            part.off, part.buf = self.off[lo : hi + 1] - self.off[lo], self.buf[self.off[lo] : self.off[hi]]
+            yield part
+
 
 def opened(batch):
     """(block number, Block) of each row of a batch that has a block table's columns."""

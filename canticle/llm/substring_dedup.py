@@ -3,22 +3,24 @@
 Equal strings are brought together by content.  The anchor of a window of 50 bytes is the least hash
 among its 16-byte strings, so equal windows have equal anchors.
 
-1. Documents are packed into blocks; each block tells the distinct anchors of its windows.
+1. Documents are packed into blocks, and neighbouring blocks into packs; each tells the distinct anchors of its windows.
 2. Anchors are dealt into buckets, which answer every block: occurs elsewhere, or not, or is hot.
 3. Blocks send the segments of text whose anchors repeat to the anchors' buckets, equal segments once
-   with the least doc_id.  Windows of a hot anchor (one that very many blocks have) go one by one to
-   buckets of their own hash, so no bucket holds a hot passage's surroundings.
+   with the least doc_id.  Windows of a hot anchor (one with very many segments) go one by one
+   to buckets of their own hash, so no bucket holds a hot passage's surroundings.
 4. A bucket sorts the suffixes of its segments (suffix_array) and tells each window whether an equal
    one starts in a document with a smaller doc_id.
 5. Blocks cover the bytes and write what is left.
 
-Answers are bits; blocks rebuild the order in which they asked, so no text or key travels back.
+Answers are bits; blocks rebuild the order in which they asked, so no text or key travels back.  A message
+goes from a pack to a shelf of neighbouring buckets, so there are few even where blocks and buckets are many.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,13 @@ LENGTH, GRAM = 50, 16
 #: Windows of a segment at most.
 CUT = 64
 #: Text bytes a bucket stands for; the number of buckets follows from the input.
-BUCKET_BYTES = 2 << 20
-#: Blocks that have an anchor before its windows are dealt one by one.
-HOT_BLOCKS = 1024
+BUCKET_BYTES = 1 << 18
+#: Blocks of a pack; they are worked on one after the other.
+PACK = 4
+#: Shelves that are made before one holds several buckets, and the buckets of a shelf at most; they are sorted one after the other.
+SHELVES, SHELF = 128, 32
+#: Segments of an anchor, over all blocks, before its windows are dealt one by one.
+HOT_SEGMENTS = 1 << 14
 PIECE = 1 << 17
 NONE, REPEATED, HOT = 0, 1, 2
 
@@ -108,6 +114,16 @@ class Windows:
         self.which = back[self.which]
         self.bucket = (self.key % U(n_buckets)).astype(np.int64)
 
+    def sizes(self) -> np.ndarray:
+        """How many segments the block would send for each anchor, equal ones once; up to 65,535."""
+        pieces = -(-self.count // CUT)
+        often = np.bincount(self.which, minlength=len(self.key))[self.which] > 1
+        start, which = self.start[often], self.which[often]
+        mark = K.mix(K.span_hashes(self.block.buf, start, start + self.count[often] + LENGTH - 1) + which.astype(U))
+        once = ~often
+        once[np.flatnonzero(often)[np.unique(mark, return_index=True)[1]]] = True
+        return np.minimum(np.bincount(self.which[once], pieces[once], len(self.key)), 65535).astype(np.uint16)
+
     def shared_inside(self) -> np.ndarray:
         """Whether each anchor is in two documents of this block."""
         ids = self.block.ids[self.doc]
@@ -163,11 +179,13 @@ class Segments:
         self.sent_count, self.sent_bucket, self.sent_start = count[heads], bucket[heads], start[heads]
         self.block = block
 
-    def rows(self, n_buckets: int):
-        for b, lo, hi in B.dealt(self.sent_bucket, n_buckets):
+    def rows(self, deal: Deal):
+        """(shelf, windows of each segment with its bucket's place on the shelf in the high byte, least doc_ids, text) of what is sent."""
+        for shelf, lo, hi in deal.shelves(self.sent_bucket):
             size = self.sent_count[lo:hi] + LENGTH - 1
             flat = np.repeat(self.sent_start[lo:hi] - before(size), size) + np.arange(size.sum())
-            yield b, self.sent_count[lo:hi].astype(np.uint8), self.low[lo:hi], self.block.buf[flat]
+            counts = self.sent_bucket[lo:hi] % deal.shelf * 256 + self.sent_count[lo:hi]
+            yield shelf, counts.astype(np.uint16), self.low[lo:hi], self.block.buf[flat]
 
     def covered(self, bits: np.ndarray) -> np.ndarray:
         """Which bytes of the block the windows cover that start in an earlier document."""
@@ -181,69 +199,141 @@ class Segments:
         return np.cumsum(edge)[: len(self.block.buf)] > 0
 
 
-def _ask(n_buckets: int):
+class Deal(NamedTuple):
+    """How anchors are dealt: buckets, buckets of a shelf, and bytes of a block."""
+
+    buckets: int
+    shelf: int
+    block_bytes: int
+
+    def shelves(self, bucket: np.ndarray):
+        """(shelf, from, to) of each run of an ascending bucket column."""
+        return B.dealt(bucket // self.shelf, -(-self.buckets // self.shelf))
+
+    def blocks(self, batch):
+        """Number of each pack of a batch (a row of a block table), and its blocks."""
+        for number, pack in B.opened(batch):
+            yield number, pack.parts(self.block_bytes)
+
+
+class Messages:
+    """What a pack sends to each shelf: its blocks' arrays one behind the other."""
+
+    def __init__(self):
+        self.parts: dict[int, list[tuple[np.ndarray, ...]]] = {}
+
+    def add(self, shelf: int, *arrays: np.ndarray) -> None:
+        self.parts.setdefault(shelf, []).append(arrays)
+
+    def batch(self, number: int, **written) -> pa.RecordBatch:
+        """A row a shelf; written: what makes bytes of each array, by the column's name."""
+        columns = [[] for _ in written]
+        for parts in self.parts.values():
+            for column, write, arrays in zip(columns, written.values(), zip(*parts, strict=True), strict=True):
+                column.append(write(np.concatenate(arrays)))
+        return pa.record_batch([pa.array(list(self.parts), pa.int32()), pa.array([number] * len(self.parts), pa.int64()), *(pa.array(x, pa.binary()) for x in columns)], ["shelf", "block", *written])
+
+
+class Replies:
+    """What came back to a pack from each shelf, taken block by block in the order in which it was sent."""
+
+    def __init__(self, rows, read):
+        self.parts = {x["shelf"]: read(x) for x in rows or []}
+        self.taken = dict.fromkeys(self.parts, 0)
+
+    def take(self, counts: list[tuple[int, int]]) -> np.ndarray:
+        """The next so many of each (shelf, count)."""
+        out = [np.zeros(0, np.uint8)]
+        for shelf, n in counts:
+            out.append(self.parts[shelf][self.taken[shelf] : self.taken[shelf] + n])
+            self.taken[shelf] += n
+        return np.concatenate(out)
+
+
+def _ask(deal: Deal):
     def run(batches):
         for batch in batches:
-            for number, block in B.opened(batch):
-                w = Windows(block, n_buckets)
-                inside = w.shared_inside()
-                short = (w.key >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
-                out = [(b, number, short[lo:hi].tobytes(), np.packbits(inside[lo:hi]).tobytes()) for b, lo, hi in B.dealt(w.bucket, n_buckets)]
-                yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["bucket", "block", "keys", "inside"])
+            for number, blocks in deal.blocks(batch):
+                out = Messages()
+                for block in blocks:
+                    w = Windows(block, deal.buckets)
+                    short = (w.key >> U(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+                    inside, sizes = w.shared_inside(), w.sizes()
+                    for shelf, lo, hi in deal.shelves(w.bucket):
+                        out.add(shelf, short[lo:hi], inside[lo:hi], sizes[lo:hi])
+                yield out.batch(number, keys=lambda x: x.tobytes(), inside=lambda x: np.packbits(x).tobytes(), sizes=B.squeeze)
 
     return run
 
 
-def _answer(hot_blocks: int):
-    return lambda group: _answered(group, hot_blocks)
+def _answer(hot_segments: int, hot_blocks: int | None):
+    return lambda group: _answered(group, hot_segments, hot_blocks)
 
 
-def _answered(group: pa.Table, hot_blocks: int) -> pa.Table:
-    """For each block's anchors of one bucket: whether another block has them too, or very many do."""
-    keys = []
-    for x in group["keys"]:
-        part = np.zeros((len(x.as_py()) // 5, 8), np.uint8)
-        part[:, :5] = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
+def _answered(group: pa.Table, hot_segments: int, hot_blocks: int | None) -> pa.Table:
+    """For each pack's anchors of one shelf: whether another document has them too, or too many segments do."""
+    keys, inside, sizes = [], [], []
+    for key, shared, size in zip(group["keys"], group["inside"], group["sizes"], strict=True):
+        part = np.zeros((len(key.as_py()) // 5, 8), np.uint8)
+        part[:, :5] = np.frombuffer(key.as_py(), np.uint8).reshape(-1, 5)
         keys.append(part.view(U).reshape(-1))
+        inside.append(np.unpackbits(np.frombuffer(shared.as_py(), np.uint8), count=len(part)))
+        sizes.append(B.unsqueeze(size.as_py(), np.uint16))
     _, which, count = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
-    count = count[which]
-    code = np.where(count > hot_blocks, HOT, np.where(count > 1, REPEATED, NONE)).astype(np.uint8)
+    hot = np.bincount(which, np.concatenate(sizes)) > hot_segments
+    if hot_blocks is not None:
+        hot |= count > hot_blocks
+    repeated = (count > 1) | (np.bincount(which, np.concatenate(inside)) > 0)
+    code = np.where(repeated, np.where(hot, HOT, REPEATED), NONE).astype(np.uint8)[which]
     edges = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
-    out = []
-    for i, inside in enumerate(group["inside"]):
-        part = code[edges[i] : edges[i + 1]]
-        part = np.maximum(part, np.unpackbits(np.frombuffer(inside.as_py(), np.uint8), count=len(part)))
-        out.append(B.squeeze(part))
-    return pa.table({"block": group["block"], "bucket": group["bucket"], "codes": out})
+    out = [B.squeeze(code[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+    return pa.table({"block": group["block"], "shelf": group["shelf"], "codes": out})
 
 
-def _codes(answers) -> np.ndarray:
-    """All answers of a block in the order of buckets."""
-    parts = sorted(answers or [], key=lambda x: x["bucket"])
-    return np.concatenate([B.unsqueeze(x["codes"]) for x in parts]) if parts else np.zeros(0, np.uint8)
+def _segments(deal: Deal, blocks, answers):
+    """Each block's segments that go to buckets, by the answers to its pack."""
+    codes = Replies(answers, lambda x: B.unsqueeze(x["codes"]))
+    for block in blocks:
+        w = Windows(block, deal.buckets)
+        yield block, w.segments(codes.take([(shelf, hi - lo) for shelf, lo, hi in deal.shelves(w.bucket)]))
 
 
-def _send(n_buckets: int):
+def _send(deal: Deal):
     def run(batches):
         for batch in batches:
-            for (number, block), answers in zip(B.opened(batch), batch.column("answers").to_pylist(), strict=True):
-                w = Windows(block, n_buckets)
-                out = [(b, number, B.squeeze(n), B.squeeze(low), B.squeeze(text)) for b, n, low, text in w.segments(_codes(answers)).rows(n_buckets)]
-                yield pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["bucket", "block", "counts", "low", "text"])
+            for (number, blocks), answers in zip(deal.blocks(batch), batch.column("answers").to_pylist(), strict=True):
+                out = Messages()
+                for _, segments in _segments(deal, blocks, answers):
+                    for row in segments.rows(deal):
+                        out.add(*row)
+                yield out.batch(number, counts=B.squeeze, low=B.squeeze, text=B.squeeze)
 
     return run
 
 
 def _sort(group: pa.Table) -> pa.Table:
-    """For each window of a bucket's segments: whether an equal one starts in an earlier document."""
-    counts = [B.unsqueeze(x.as_py()).astype(np.int64) for x in group["counts"]]
+    """For each window of a shelf's segments: whether an equal one starts in an earlier document."""
+    counts = [B.unsqueeze(x.as_py(), np.uint16) for x in group["counts"]]
     low = np.concatenate([B.unsqueeze(x.as_py(), np.int64) for x in group["low"]])
     text = np.concatenate([B.unsqueeze(x.as_py()) for x in group["text"]])
-    n = np.concatenate(counts)
+    bucket, n = np.divmod(np.concatenate(counts).astype(np.int64), 256)
     ends = np.cumsum(n + LENGTH - 1)
     starts = ends - (n + LENGTH - 1)
-    # Segments that several blocks sent are sorted once, for the least of their documents.
     mark = K.span_hashes(text, starts, ends)
+    first, earlier = before(n), np.zeros(n.sum(), bool)
+    for b in np.unique(bucket):
+        mine = np.flatnonzero(bucket == b)
+        at = np.repeat(first[mine] - before(n[mine]), n[mine])
+        at += np.arange(len(at))
+        earlier[at] = _sorted(text, starts[mine], ends[mine], n[mine], low[mine], mark[mine])
+    edges = np.concatenate([[0], np.cumsum([(c & 255).sum(dtype=np.int64) for c in counts])])
+    bits = [B.squeeze(np.packbits(earlier[edges[i] : edges[i + 1]])) for i in range(len(counts))]
+    return pa.table({"block": group["block"], "shelf": group["shelf"], "bits": bits, "n": np.diff(edges)})
+
+
+def _sorted(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: np.ndarray, low: np.ndarray, mark: np.ndarray) -> np.ndarray:
+    """For each window of a bucket's segments, which are stretches of the text: whether an equal one starts in an earlier document."""
+    # Segments that several blocks sent are sorted once, for the least of their documents.
     order = np.lexsort((mark, n))
     heads = np.flatnonzero(~repeats(text, starts[order], (ends - starts)[order], mark[order]))
     alike = np.empty(len(n), np.int64)
@@ -261,59 +351,60 @@ def _sort(group: pa.Table) -> pa.Table:
     minimum = np.empty(len(p), np.int64)
     for order, heads in equal_windows(text, starts, starts + size, p, LENGTH):
         minimum[order] = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
-    earlier = minimum[np.repeat(first[alike] - before(n), n) + np.arange(n.sum())] < np.repeat(low, n)
-    edges = np.concatenate([[0], np.cumsum([c.sum() for c in counts])])
-    bits = [B.squeeze(np.packbits(earlier[edges[i] : edges[i + 1]])) for i in range(len(counts))]
-    return pa.table({"block": group["block"], "bucket": group["bucket"], "bits": bits, "n": np.diff(edges)})
+    return minimum[np.repeat(first[alike] - before(n), n) + np.arange(n.sum())] < np.repeat(low, n)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def _finish(n_buckets: int, with_text: bool):
+def _finish(deal: Deal, with_text: bool):
     def run(batches):
         for batch in batches:
             columns = (batch.column(c).to_pylist() for c in ("answers", "found"))
-            for (_, block), answers, found in zip(B.opened(batch), *columns, strict=True):
-                segments = Windows(block, n_buckets).segments(_codes(answers))
-                parts = sorted(found or [], key=lambda x: x["bucket"])
-                bits = np.concatenate([np.unpackbits(B.unsqueeze(x["bits"]), count=x["n"]).astype(bool) for x in parts]) if parts else np.zeros(0, bool)
-                gone = segments.covered(bits)
-                sizes, removed, spans, digests, kept = [], [], [], [], []
-                for a, b in zip(block.off[:-1], block.off[1:], strict=True):
-                    part = gone[a:b]
-                    left = block.buf[a:b] if not part.any() else block.buf[a:b][~part]
-                    sizes.append(b - a)
-                    removed.append(b - a - len(left))
-                    spans.append(int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()))
-                    digests.append(hashlib.sha256(left.tobytes()).hexdigest())
-                    kept.append(left.tobytes() if with_text else None)
-                ids = pa.array(block.ids, pa.int64(), mask=~block.known)
-                yield pa.record_batch([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+            for (_, blocks), answers, found in zip(deal.blocks(batch), *columns, strict=True):
+                bits = Replies(found, lambda x: np.unpackbits(B.unsqueeze(x["bits"]), count=x["n"]))
+                for block, segments in _segments(deal, blocks, answers):
+                    runs = deal.shelves(segments.sent_bucket)
+                    gone = segments.covered(bits.take([(shelf, int(segments.sent_count[lo:hi].sum())) for shelf, lo, hi in runs]).astype(bool))
+                    sizes, removed, spans, digests, kept = [], [], [], [], []
+                    for a, b in zip(block.off[:-1], block.off[1:], strict=True):
+                        part = gone[a:b]
+                        left = block.buf[a:b] if not part.any() else block.buf[a:b][~part]
+                        sizes.append(b - a)
+                        removed.append(b - a - len(left))
+                        spans.append(int(part[:1].sum() + (part[1:] & ~part[:-1]).sum()))
+                        digests.append(hashlib.sha256(left.tobytes()).hexdigest())
+                        kept.append(left.tobytes() if with_text else None)
+                    ids = pa.array(block.ids, pa.int64(), mask=~block.known)
+                    yield pa.record_batch([ids, *(pa.array(x, pa.int64()) for x in (sizes, removed, spans)), pa.array(digests), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     return run
 
 
-def remove_repeats(spark: SparkSession, docs: DataFrame, with_text: bool = False, block_bytes: int = B.BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(
+    spark: SparkSession, docs: DataFrame, with_text: bool = False, block_bytes: int = B.BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_blocks: int | None = None, hot_segments: int = HOT_SEGMENTS, shelves: int = SHELVES
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, the remaining bytes) of each row of docs.
 
     docs: doc_id, text.  A byte goes if it lies in a 50-byte string of its document that also starts
     in a document with a smaller doc_id; all strings are those of the input.  Null texts are empty;
     texts below 50 bytes are left alone; a row without doc_id neither removes nor loses anything;
     rows that repeat a doc_id do not remove each other's bytes.  Other columns are ignored.
+    hot_segments, hot_blocks: an anchor with more segments, or in more blocks, is hot.
     """
     scratch = Scratch(spark, "substring-dedup")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(0).cast("tinyint").alias("tag"))
-    blocks = B.pack(scratch, rows, block_bytes)
-    total = blocks.agg(F.sum("n_bytes")).first()[0] or 0
+    packs = B.pack(scratch, rows, PACK * block_bytes, across=True)
+    total = packs.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, math.ceil(total / bucket_bytes))
-    asked = blocks.mapInArrow(_ask(n), "bucket int, block long, keys binary, inside binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answer(hot_blocks), "block long, bucket int, codes binary")
-    answers = scratch.table(answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "codes")).alias("answers")), "answers")
-    with_answers = blocks.join(answers.hint("shuffle_hash"), "block", "left")
-    sent = with_answers.mapInArrow(_send(n), "bucket int, block long, counts binary, low binary, text binary")
-    found = sent.groupBy("bucket").applyInArrow(_sort, "block long, bucket int, bits binary, n long")
-    found = scratch.table(found.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits", "n")).alias("found")), "found")
-    both = blocks.join(answers.join(found, "block", "left"), "block", "left")
-    out = both.mapInArrow(_finish(n, with_text), DIGEST)
+    deal = Deal(n, min(SHELF, max(1, n // shelves)), block_bytes)
+    asked = packs.mapInArrow(_ask(deal), "shelf int, block long, keys binary, inside binary, sizes binary")
+    answers = asked.groupBy("shelf").applyInArrow(_answer(hot_segments, hot_blocks), "block long, shelf int, codes binary")
+    answers = scratch.table(answers.groupBy("block").agg(F.collect_list(F.struct("shelf", "codes")).alias("answers")), "answers")
+    with_answers = packs.join(answers.hint("shuffle_hash"), "block", "left")
+    sent = with_answers.mapInArrow(_send(deal), "shelf int, block long, counts binary, low binary, text binary")
+    found = sent.groupBy("shelf").applyInArrow(_sort, "block long, shelf int, bits binary, n long")
+    found = scratch.table(found.groupBy("block").agg(F.collect_list(F.struct("shelf", "bits", "n")).alias("found")), "found")
+    both = packs.join(answers.join(found, "block", "left"), "block", "left")
+    out = both.mapInArrow(_finish(deal, with_text), DIGEST)
     return out if with_text else out.drop("kept")

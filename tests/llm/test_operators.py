@@ -5,9 +5,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from canticle.llm import decontamination, langid, lm_scoring, mixing, near_dedup, quality, queries, sharding, substring_dedup, topk, toxicity
+from canticle.llm import blocks, decontamination, langid, lm_scoring, mixing, near_dedup, quality, queries, sharding, substring_dedup, topk, toxicity
 from tests.conftest import DATA, DATA_001
 from tests.helpers import connect, same
 
@@ -60,6 +61,29 @@ def test_substring_dedup_against_brute_force(spark):
     assert substring_dedup.remove_repeats(spark, frame(spark, [])).count() == 0
 
 
+def test_substring_dedup_in_packs_and_shelves(spark):
+    """Blocks of a pack and buckets of a shelf share messages; anchors are hot by their segments, not by their blocks."""
+    rows = odd_documents(9)
+    for options in ({"shelves": 2}, {"shelves": 1, "hot_segments": 1}, {"shelves": 3, "hot_segments": 3}):
+        got = substring_dedup.remove_repeats(spark, frame(spark, rows), block_bytes=2000, bucket_bytes=300, **options)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == removed([(r[0], r[1]) for r in rows])
+    batch = pa.record_batch([pa.array(x, t) for x, t in zip(zip(*((i, t, 0) for i, t, *_ in rows), strict=True), (pa.int64(), pa.string(), pa.int8()), strict=True)], ["doc_id", "text", "tag"])
+    packs = list(blocks._packed(blocks._filled((batch[k : k + 10] for k in range(0, len(rows), 10)), 8000), 8000))
+    assert sum(len(b.ids) for p in packs for _, b in blocks.opened(p)) == len(rows) and len(packs) < 10
+    deal = substring_dedup.Deal(100, 50, 2000)
+    asked = [m for p in packs for m in substring_dedup._ask(deal)([p])]
+    assert sum(len(list(b)) for p in packs for _, b in deal.blocks(p)) > len(packs) and max(m.num_rows for m in asked) == 2
+
+    def codes(texts, hot):
+        each = [blocks._packed([pa.record_batch([pa.array([k], pa.int64()), pa.array([t]), pa.array([0], pa.int8())], ["doc_id", "text", "tag"])], 8000) for k, t in enumerate(texts)]
+        asked = [m for b in each for m in substring_dedup._ask(substring_dedup.Deal(1, 1, 8000))(b)]
+        return {c for x in substring_dedup._answered(pa.Table.from_batches(asked), hot, None)["codes"] for c in blocks.unsqueeze(x.as_py())}
+
+    line = " ".join(f"w{k}" for k in range(30))
+    assert codes([line] * 40, 40) == {substring_dedup.REPEATED} and codes([line] * 41, 40) == {substring_dedup.HOT}
+    assert codes([line], 0) == {substring_dedup.NONE}
+
+
 def shingled(text):
     fold = {c: c + 32 for c in range(65, 91)}
     w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(fold))
