@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from canticle.functions.text import clean_genre, filename_title, header, headers, language_tag, plausible_year
 from canticle.sources import lrc
 from canticle.sources.songfiles import opened
-from canticle.storage import Scratch
+from canticle.storage import Scratch, large
 
 # Extensions of songs, those that cannot be decoded among them, and names that are never lyrics.
 AUDIO = ("mp3", "flac", "wav", "m4a", "ogg", "aac", "aiff", "aif", "mp4", "m4v", "mov", "mkv")
@@ -115,11 +115,6 @@ def with_contents(spark: SparkSession, root: str, lyrics: DataFrame) -> DataFram
     return lyrics.repartition(tasks, "path").mapInArrow(run, schema)
 
 
-def large(rows: DataFrame) -> DataFrame:
-    """Rows that grow with the folders: their files are compressed, so Spark takes them for small and would broadcast them."""
-    return rows.hint("merge")
-
-
 def root_of(found: DataFrame) -> str:
     """The root of a scan, spelled as its paths are."""
     return found._root

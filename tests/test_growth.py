@@ -12,6 +12,8 @@ from canticle.operators import resolve as R
 from canticle.plans import formats
 from canticle.shipping import ship
 from canticle.sources import folders as D
+from canticle.sources import lrc as L
+from canticle.storage import Scratch
 from tests.conftest import DATA
 
 
@@ -102,3 +104,21 @@ def test_self_check_works_words_and_texts_out_once(spark):
     """Its plan reads them where they were written; the events are in no branch of it."""
     out = formats.self_check(spark, DATA)
     assert out.count() > 0 and not [f for f in out.inputFiles() if "events" in f]
+
+
+def plans_of(query, spark, monkeypatch) -> list[str]:
+    """The plans of a query and of all tables that it writes on its way."""
+    plan, written, plans = lambda df: df._jdf.queryExecution().executedPlan().toString(), Scratch.table, []
+    monkeypatch.setattr(Scratch, "table", lambda self, df, name: plans.append(plan(df)) or written(self, df, name))
+    plans.append(plan(query(spark, DATA)))
+    return plans
+
+
+def test_titles_broadcast_no_songs(spark, monkeypatch):
+    """Songs' headers, lines and notes meet by shuffle; the one row that a collection's name needs is all that is broadcast."""
+    plans = plans_of(formats.title_precedence, spark, monkeypatch)
+    assert len(plans) > 10 and sum(p.count("BroadcastExchange") for p in plans) == 1 and "flat" in next(p for p in plans if "BroadcastExchange" in p)
+    texts = spark.createDataFrame([("a", "#TITLE:x\n#BPM:300\n: 0 1 0 la\nE"), ("b", "#TITLE:y\nwhat")], "path string, text string")
+    notes = L.read_ultrastar(texts)
+    assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
+    assert {(r.path, r.syllable, r.error) for r in notes.collect()} == {("a", "la", None), ("b", None, "line 2: unrecognized line")}
