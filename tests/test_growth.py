@@ -13,6 +13,7 @@ from canticle.plans import formats
 from canticle.shipping import ship
 from canticle.sources import folders as D
 from canticle.sources import lrc as L
+from canticle.sources import songfiles as S
 from canticle.storage import Scratch
 from tests.conftest import DATA
 
@@ -122,3 +123,11 @@ def test_titles_broadcast_no_songs(spark, monkeypatch):
     notes = L.read_ultrastar(texts)
     assert "Broadcast" not in notes._jdf.queryExecution().executedPlan().toString()
     assert {(r.path, r.syllable, r.error) for r in notes.collect()} == {("a", "la", None), ("b", None, "line 2: unrecognized line")}
+
+
+def test_inspected_files_are_written_by_many_tasks(spark, monkeypatch):
+    """Suppliers come in one file, which is one task; their songs are written by several, and none is broadcast."""
+    tasks, write = [], S.write_files
+    monkeypatch.setattr(S, "write_files", lambda rows, folder: tasks.append(rows.rdd.getNumPartitions()) or write(rows, folder))
+    plans = plans_of(formats.inspect_files, spark, monkeypatch)
+    assert min(tasks) > 1 and len(plans) > 8 and not any("Broadcast" in p for p in plans)
