@@ -131,3 +131,9 @@ def test_inspected_files_are_written_by_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(S, "write_files", lambda rows, folder: tasks.append(rows.rdd.getNumPartitions()) or write(rows, folder))
     plans = plans_of(formats.inspect_files, spark, monkeypatch)
     assert min(tasks) > 1 and len(plans) > 8 and not any("Broadcast" in p for p in plans)
+
+
+def test_pairs_broadcast_no_files(spark, monkeypatch):
+    """Neither the lyric files that are read nor the pairs and the files that are left over."""
+    plans = plans_of(formats.pair_folder, spark, monkeypatch)
+    assert len(plans) > 10 and not any("Broadcast" in p for p in plans)
